@@ -6,7 +6,7 @@ or another SQL engine gives the same numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # 32-bit integer mixing (public multiply-xorshift constants).
@@ -26,23 +26,26 @@ ACKLAM_SPLIT = 0.02425
 ERFC = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223]
 
 
-def mix32(x: Column) -> Column:
-    """Scramble a 32-bit value held in a BIGINT."""
-    for _ in range(2):
-        x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX)).bitwiseAND(F.lit(MASK))
+def _fold(x: Column) -> Column:
     return F.shiftright(x, 16).bitwiseXOR(x)
 
 
-def hash32(seed: Column | int, rep: Column, slot: Column) -> Column:
-    seed = F.lit(seed) if isinstance(seed, int) else seed
+def add_hash(df: DataFrame, seed: Column, rep: Column, slot: Column, out: str) -> DataFrame:
+    """Add a 32-bit hash of (seed, replicate, slot), scrambled in steps.
+
+    Each step is its own projection: as one expression every step would repeat the one before.
+    """
     low = slot.cast("bigint").bitwiseAND(F.lit(MASK))
     base = seed.cast("bigint") * F.lit(SEED_STEP) + rep.cast("bigint") * F.lit(REP_STEP) + low * F.lit(SLOT_STEP)
-    return mix32(base.bitwiseAND(F.lit(MASK)))
+    df = df.withColumn(out, base.bitwiseAND(F.lit(MASK)))
+    for _ in range(2):
+        df = df.withColumn(out, (_fold(F.col(out)) * F.lit(MIX)).bitwiseAND(F.lit(MASK)))
+    return df.withColumn(out, _fold(F.col(out)))
 
 
-def uniform(seed: Column | int, rep: Column, slot: Column) -> Column:
-    """Uniform in (0, 1)."""
-    return (hash32(seed, rep, slot) + 0.5) / float(MASK + 1)
+def unit_interval(h: Column) -> Column:
+    """Hash to a uniform in (0, 1)."""
+    return (h + 0.5) / float(MASK + 1)
 
 
 def md5_rank(seed: int | str, *parts: Column) -> Column:
@@ -82,7 +85,7 @@ def normal_quantile(p: Column) -> Column:
     )
 
 
-def poisson_weight(count: Column, u: Column) -> Column:
+def add_poisson_weight(df: DataFrame, count: str, u: str, out: str) -> DataFrame:
     """Poisson(count) variate from one uniform: how often `count` equal rows are drawn together.
 
     One row uses the distribution itself; more rows use the Cornish-Fisher expansion, whose
@@ -95,7 +98,7 @@ def poisson_weight(count: Column, u: Column) -> Column:
         steps.append((k, cum))
         p /= k + 1
     for k, upto in reversed(steps):
-        one = F.when(u < upto, F.lit(float(k))).otherwise(one)
-    z = normal_quantile(u)
-    many = F.greatest(F.lit(0.0), F.round(count + F.sqrt(count) * z + (z * z - 1) / 6))
-    return F.when(count == 1, one).otherwise(many)
+        one = F.when(F.col(u) < upto, F.lit(float(k))).otherwise(one)
+    c, z = F.col(count), F.col("_z")
+    many = F.greatest(F.lit(0.0), F.round(c + F.sqrt(c) * z + (z * z - 1) / 6))
+    return df.withColumn("_z", normal_quantile(F.col(u))).withColumn(out, F.when(c == 1, one).otherwise(many)).drop("_z")

@@ -41,6 +41,11 @@ def banded(value: Column, bands) -> Column:
     return F.when(value.isNotNull(), out)
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson correlation as an aggregate; null where a side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def snr_verdict(snr: Column) -> Column:
     return banded(snr, SNR_BANDS)
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrid.functions.draws import hash32
+from evalgrid.functions.draws import add_hash
 from evalgrid.functions.zones import NO_ZONE, grid_list, zone_of
 from evalgrid.operators.skew import attach, top_per_key
 
@@ -180,7 +180,7 @@ def calibration_fits(df: DataFrame, subject: str, row_id: str, day: str, axes: d
         F.explode(F.when(F.col(day) == F.col("_first"), F.array(F.lit("random"), F.lit("first session"))).otherwise(F.array(F.lit("random")))).alias("scheme"),
     )
     drawn = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = drawn.withColumn("_h", hash32(seed, F.col("draw"), F.col(row_id)))
+    drawn = add_hash(drawn, F.lit(seed), F.col("draw"), F.col(row_id), "_h")
     drawn = top_per_key(drawn, [subject, "scheme", "draw"], [F.col("_h"), F.col(row_id)], max(sizes), rank="_r")
     by_k = drawn.select("*", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k")).where(F.col("_r") <= F.col("k"))
     aggs = [F.count(F.lit(1)).alias("_n")]

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.functions.draws import hash32, normal_cdf, normal_quantile, poisson_weight, uniform
+from evalgrid.functions.draws import add_hash, add_poisson_weight, normal_cdf, normal_quantile, unit_interval
 from evalgrid.functions.zones import finite
 from evalgrid.operators.skew import attach
 
@@ -33,7 +33,7 @@ def replicate_sums(
     seed: int | Column = 0,
     limit: int = LIMIT,
 ) -> DataFrame:
-    """(cell, b, s, w): sum and weight of each bootstrap replicate; cells with < 2 units give none.
+    """(cell, _rep, s, w): sum and weight of each bootstrap replicate; cells with < 2 units give none.
 
     `unit` is an integer identifier, unique within the cell (hash other keys with xxhash64).
     """
@@ -52,11 +52,12 @@ def replicate_sums(
         .select(*cell, "_n", "_seed", F.transform("_rows", lambda r: r["_v"]).alias("_vals"), F.explode(F.sequence(F.lit(0), F.lit(TASKS - 1))).alias("_task"))
         .repartition(*cell, "_task")
         .where(F.col("_task") * per_task < reps)
-        .select(*cell, "_n", "_seed", "_vals", F.explode(F.sequence(F.col("_task") * per_task, F.least((F.col("_task") + 1) * per_task, F.lit(reps)) - 1)).alias("b"))
-        .select(*cell, "_n", "_seed", "_vals", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_slot"))
+        .select(*cell, "_n", "_seed", "_vals", F.explode(F.sequence(F.col("_task") * per_task, F.least((F.col("_task") + 1) * per_task, F.lit(reps)) - 1)).alias("_rep"))
+        .select(*cell, "_n", "_seed", "_vals", "_rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_slot"))
     )
-    pick = F.pmod(hash32(F.col("_seed"), F.col("b"), F.col("_slot")), F.col("_n")).cast("int")
-    small = small.groupBy(*cell, "b").agg(
+    small = add_hash(small, F.col("_seed"), F.col("_rep"), F.col("_slot"), "_h")
+    pick = F.pmod("_h", F.col("_n")).cast("int")
+    small = small.groupBy(*cell, "_rep").agg(
         F.sum(F.get("_vals", pick)).alias("s"), F.count(F.lit(1)).cast("double").alias("w")
     )
 
@@ -64,12 +65,12 @@ def replicate_sums(
         sized.where(F.col("_n") > limit)
         .groupBy(*cell, "_v", "_seed")
         .agg(F.count(F.lit(1)).cast("double").alias("_c"), F.min("_u").alias("_u"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("b"))
+        .select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
     )
-    weight = poisson_weight(F.col("_c"), uniform(F.col("_seed"), F.col("b"), F.col("_u")))
+    tally = add_hash(tally, F.col("_seed"), F.col("_rep"), F.col("_u"), "_h").withColumn("_q", unit_interval(F.col("_h")))
     large = (
-        tally.withColumn("_w", weight)
-        .groupBy(*cell, "b")
+        add_poisson_weight(tally, "_c", "_q", "_w")
+        .groupBy(*cell, "_rep")
         .agg(F.sum(F.col("_w") * F.col("_v")).alias("s"), F.sum("_w").alias("w"))
     )
     return small.unionByName(large)
@@ -115,7 +116,7 @@ def paired_differences(long: DataFrame, pairs: DataFrame, unit: str, by: Sequenc
     The values stay in long form: each row meets only the pairs that name its side.
     """
     ok = long.where(finite(F.col(value).cast("double")))
-    left = ok.join(pairs, ok[side] == pairs["a"]).select("a", "b", *by, unit, F.col(value).alias("_x"))
+    left = ok.withColumnRenamed(side, "a").join(pairs, "a").select("a", "b", *by, unit, F.col(value).alias("_x"))
     right = ok.select(F.col(side).alias("b"), *by, unit, F.col(value).alias("_y"))
     return left.join(right, ["b", *by, unit]).select(
         "a", "b", *by, unit, (F.col("_x") - F.col("_y")).cast("double").alias("diff")
@@ -126,7 +127,7 @@ def stratified_ci(units: DataFrame, cell: Sequence[str], stratum: str, unit: str
     """Resample units within each stratum, then pool: strata keep their sizes in every replicate."""
     own_seed = F.lit(seed) + F.pmod(F.xxhash64(F.col(stratum)), F.lit(1_000_003))
     sums = replicate_sums(units, [*cell, stratum], unit, value, reps, own_seed)
-    pooled = sums.groupBy(*cell, "b").agg((F.sum("s") / F.sum("w")).alias("m"))
+    pooled = sums.groupBy(*cell, "_rep").agg((F.sum("s") / F.sum("w")).alias("m"))
     ends = pooled.groupBy(*cell).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
     est = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(value).cast("double")).alias("estimate"))
     return est.join(ends, list(cell), "left").select(

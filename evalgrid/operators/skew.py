@@ -171,3 +171,19 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     """The first `k` rows of each key; Spark's window group limit prunes before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def haloed(df: DataFrame, keys: Sequence[str], t: str, slot_len: int, lookback: int, slot: str = "slot") -> DataFrame:
+    """Copy each row into every slot whose rows may look back on it; `_own` marks the original.
+
+    Sliding windows of at most `lookback` then run per (keys, slot) instead of per key. Keep only
+    `_own` rows afterwards.
+    """
+    first = F.floor(F.col(t) / slot_len)
+    last = F.floor((F.col(t) + lookback) / slot_len)
+    return (
+        df.withColumn("_home", first)
+        .withColumn(slot, F.explode(F.sequence(F.col("_home"), last)))
+        .withColumn("_own", F.col(slot) == F.col("_home"))
+        .drop("_home")
+    )

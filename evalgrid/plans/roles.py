@@ -116,7 +116,8 @@ GROUPS = [["bolt", "ring"], ["gear", "plate"]]
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RL: (method, unit, place, item, category), `place` a struct that orders a list."""
+    """RL: (method, unit, place, item, category), `place` a struct that orders a list. Method qty
+    lists small quantities only, so it does not cover every unit."""
     li = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("unit"), "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"
     )
@@ -133,6 +134,7 @@ def ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         li.join(part, "l_partkey")
         .select("*", F.explode(methods).alias("m"))
+        .where((F.col("m.method") != "qty") | (F.col("l_quantity") <= 40))
         .select("m.method", "unit", "m.place", "item", F.when(cat >= 0, cat).cast("int").alias("category"))
     )
 
@@ -184,7 +186,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM lineitem JOIN noun ON l_partkey=p_partkey"""),
     "rl": (["rl0"], """SELECT 'line' AS method, unit, item, category, row_number() OVER (PARTITION BY unit ORDER BY l_linenumber,l_partkey,l_suppkey,l_extendedprice) AS pos FROM rl0
         UNION ALL SELECT 'price', unit, item, category, row_number() OVER (PARTITION BY unit ORDER BY -l_extendedprice,l_partkey,l_suppkey,l_extendedprice) FROM rl0
-        UNION ALL SELECT 'qty', unit, item, category, row_number() OVER (PARTITION BY unit ORDER BY l_quantity,l_partkey,l_suppkey,l_extendedprice) FROM rl0"""),
+        UNION ALL SELECT 'qty', unit, item, category, row_number() OVER (PARTITION BY unit ORDER BY l_quantity,l_partkey,l_suppkey,l_extendedprice) FROM rl0 WHERE l_quantity<=40"""),
     "rv": ([], """SELECT o_orderkey AS unit, o_orderpriority AS room, o_totalprice/1000 AS seconds,
         list_sort([CAST(o_custkey%7 AS INT),CAST((o_custkey+3)%7 AS INT)]) AS pos,
         list_sort([CAST((o_custkey+1)%7 AS INT),CAST((o_custkey+2)%7 AS INT),CAST((o_custkey+5)%7 AS INT)]) AS neg,
