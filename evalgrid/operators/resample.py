@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions.draws import add_hash, add_poisson_weight, normal_cdf, normal_quantile, unit_interval
 from evalgrid.functions.zones import finite
 from evalgrid.operators.skew import attach
+from evalgrid.session import cut_lineage
 
 REPS = 5000
 BCA_REPS = 10000
@@ -91,9 +92,9 @@ def bootstrap_ci(
     whole = not cell
     if whole:
         units, cell = units.withColumn("_all", F.lit(0)), ["_all"]
-    est = units.where(finite(F.col(value).cast("double"))).groupBy(*cell).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(F.col(value).cast("double")).alias("estimate")
-    )
+    # the units are read several times: write them once instead of recomputing what they came from
+    units = cut_lineage(units.select(*cell, unit, F.col(value).cast("double").alias(value)).where(finite(F.col(value).cast("double"))))
+    est = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("estimate"))
     tail = (1 - level) / 2
     means = replicate_sums(units, cell, unit, value, reps, seed, limit)
     ends = means.groupBy(*cell).agg(
@@ -125,6 +126,7 @@ def paired_differences(long: DataFrame, pairs: DataFrame, unit: str, by: Sequenc
 
 def stratified_ci(units: DataFrame, cell: Sequence[str], stratum: str, unit: str, value: str, reps: int = REPS, seed: int = 0) -> DataFrame:
     """Resample units within each stratum, then pool: strata keep their sizes in every replicate."""
+    units = cut_lineage(units.select(*cell, stratum, unit, F.col(value).cast("double").alias(value)).where(finite(F.col(value).cast("double"))))
     own_seed = F.lit(seed) + F.pmod(F.xxhash64(F.col(stratum)), F.lit(1_000_003))
     sums = replicate_sums(units, [*cell, stratum], unit, value, reps, own_seed)
     pooled = sums.groupBy(*cell, "_rep").agg((F.sum("s") / F.sum("w")).alias("m"))
@@ -142,7 +144,8 @@ def bca_ci(units: DataFrame, cell: Sequence[str], unit: str, value: str, reps: i
     degenerate (v, v); where the correction is undefined the plain percentiles are used.
     """
     v = F.col(value).cast("double")
-    est = units.where(finite(v)).groupBy(*cell).agg(
+    units = cut_lineage(units.select(*cell, unit, v.alias(value)).where(finite(v)))
+    est = units.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("estimate"), F.skewness(v).alias("_skew"), F.min(v).alias("_min"), F.max(v).alias("_max")
     )
     sums = replicate_sums(units, cell, unit, value, reps, seed)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions.scores import READING_WINDOW_S, bits_per_selection, rate, same_item
 from evalgrid.operators.resample import bootstrap_ci, paired_differences
 from evalgrid.operators.skew import attach, quantiles
+from evalgrid.session import cut_lineage
 
 # Frame times at or above this are not frame times; design rule; match band.
 FRAME_MS_CAP = 500
@@ -88,6 +89,7 @@ def condition_cells(sel: DataFrame, trials: DataFrame, cell: Sequence[str], who:
     e = sel.groupBy(*cell, who).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("correct").cast("bigint")).alias("c"), F.avg(F.col("correct").cast("double")).alias("v")
     )
+    t, e = cut_lineage(t), cut_lineage(e)
     units = e.select(*cell, who, "v", F.lit("acc").alias("of")).unionByName(t.select(*cell, who, "v", F.lit("wrong").alias("of")))
     ci = bootstrap_ci(units, [*cell, "of"], who, "v", reps, seed)
     ends = ci.groupBy(*cell).agg(*[
@@ -105,6 +107,7 @@ def condition_cells(sel: DataFrame, trials: DataFrame, cell: Sequence[str], who:
 def clustered_accuracy(rows: DataFrame, cell: Sequence[str], who: str, flag: str, reps: int, seed: int = 0) -> DataFrame:
     """Pooled rate over rows with an interval over participant means: (cell, n, estimate, ci)."""
     per = rows.groupBy(*cell, who).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(flag).cast("bigint")).alias("_c"), F.avg(F.col(flag).cast("double")).alias("_v"))
+    per = cut_lineage(per)
     pooled = per.groupBy(*cell).agg(F.sum("_n").alias("n"), (F.sum("_c") / F.sum("_n")).alias("estimate"), F.count(F.lit(1)).alias("clusters"))
     ci = bootstrap_ci(per, cell, who, "_v", reps, seed).select(*cell, "ci_lo", "ci_hi")
     return pooled.join(ci, list(cell), "left")

@@ -219,10 +219,10 @@ def bootstrap_sql(units: str, cell: str, reps: int, seed: int = 0) -> str:
 b_idx AS (SELECT {cell}, v, row_number() OVER (PARTITION BY {cell} ORDER BY unit)-1 AS i,
           count(*) OVER (PARTITION BY {cell}) AS n FROM {units}),
 b_est AS (SELECT {cell}, count(*) AS n, avg(v) AS est FROM {units} GROUP BY {cell}),
-b_x0 AS (SELECT {cell}, n, b, slot, ({seed}*374761393 + b*668265263 + slot*1640531527) & 4294967295 AS x
-         FROM (SELECT {cell}, n, b, unnest(range(n)) AS slot FROM b_est, range({reps}) r(b) WHERE n>=2)),
-b_x1 AS (SELECT {cell}, n, b, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x0),
-b_x2 AS (SELECT {cell}, n, b, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x1),
-b_x3 AS (SELECT {cell}, b, xor(x>>16, x) % n AS i FROM b_x2),
-b_mean AS (SELECT {cell}, b, avg(v) AS m FROM b_x3 JOIN b_idx USING ({cell}, i) GROUP BY {cell}, b),
+b_x0 AS (SELECT {cell}, n, rep, slot, ({seed}*374761393 + rep*668265263 + slot*1640531527) & 4294967295 AS x
+         FROM (SELECT {cell}, n, rep, unnest(range(n)) AS slot FROM b_est, range({reps}) r(rep) WHERE n>=2)),
+b_x1 AS (SELECT {cell}, n, rep, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x0),
+b_x2 AS (SELECT {cell}, n, rep, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x1),
+b_x3 AS (SELECT {cell}, rep, xor(x>>16, x) % n AS i FROM b_x2),
+b_mean AS (SELECT {cell}, rep, avg(v) AS m FROM b_x3 JOIN b_idx USING ({cell}, i) GROUP BY {cell}, rep),
 b_ci AS (SELECT {cell}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM b_mean GROUP BY {cell})"""

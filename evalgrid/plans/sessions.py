@@ -11,6 +11,7 @@ from evalgrid.operators.skew import attach
 from evalgrid.plans.classification import r6, rounded
 from evalgrid.plans.registry import query
 from evalgrid.plans.roles import KEYS, bootstrap_sql, event_log, sql, table
+from evalgrid.session import cut_lineage
 
 CELL = ["pattern", "guard", "calib"]
 REPS = 5000
@@ -27,7 +28,7 @@ tr AS (SELECT *, CASE WHEN raw_ms IS NOT NULL THEN s0 END AS ms, CASE WHEN raw_m
 
 
 def _facts(spark, sf):
-    log = event_log(spark, sf)
+    log = cut_lineage(event_log(spark, sf))  # trial numbers are derived once, then read four times
     reach = T.reachability(log, KEYS, "participant")
     return T.keep_reachable(T.selections(log), reach, KEYS), T.keep_reachable(T.trial_ends(log), reach, KEYS)
 
