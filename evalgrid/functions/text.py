@@ -75,9 +75,17 @@ def singular_forms(word: Column) -> Column:
     return F.array_compact(F.array(*forms))
 
 
-def keep_first(items: Column, key: Column, k: int = K_MAX) -> Column:
-    """First item of each distinct key, in order, at most k (`key` is parallel to `items`)."""
-    return F.transform(F.slice(F.array_distinct(key), 1, k), lambda v: F.get(items, (F.array_position(key, v) - 1).cast("int")))
+def keep_first(items: Column, key, k: int = K_MAX) -> Column:
+    """First item of each distinct key(item), in order, at most k; one pass over the array."""
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("keys"), none.alias("items"))
+
+    def step(acc: Column, x: Column) -> Column:
+        seen = (F.size(acc["keys"]) >= k) | F.array_contains(acc["keys"], key(x))
+        grown = F.struct(F.array_append(acc["keys"], key(x)).alias("keys"), F.array_append(acc["items"], x).alias("items"))
+        return F.when(seen, acc).otherwise(grown)
+
+    return F.aggregate(items, start, step, lambda acc: acc["items"])
 
 
 def phrase_items(text: Column) -> Column:
@@ -100,7 +108,7 @@ def list_items(text: Column) -> Column:
     parts = F.split(text, "[,;\n]")
     clean = F.transform(parts, lambda p: strip(F.regexp_replace(strip(F.regexp_replace(p, r"^\s*(?:\d+[.)]|[-*•])\s*", "")), r"^\.+|\.+$", "")))
     good = F.filter(clean, lambda p: (p != "") & (F.length(p) <= MAX_LIST_CHARS))
-    return keep_first(good, F.transform(good, F.lower))
+    return keep_first(good, F.lower)
 
 
 def strip_prompt(decoded: Column, prompt: Column) -> Column:
