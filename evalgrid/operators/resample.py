@@ -152,23 +152,18 @@ def bca_ci(units: DataFrame, cell: Sequence[str], unit: str, value: str, reps: i
     means = sums.select(*cell, F.try_divide("s", "w").alias("m"))
     sorted_means = means.groupBy(*cell).agg(F.array_sort(F.collect_list("m")).alias("_m"))
     d = est.join(sorted_means, list(cell), "left")
+    # every step is its own column: inlined, each would repeat the scans of the replicate array
     below = F.size(F.filter("_m", lambda m: m < F.col("estimate")))
     upto = F.size(F.filter("_m", lambda m: m <= F.col("estimate")))
-    accel = F.col("_skew") / (6 * F.sqrt("n"))
-    d = d.withColumn("_z0", normal_quantile((below + upto) / (2.0 * F.size("_m")))).withColumn("_a", accel)
-
-    def at(p: Column) -> Column:
-        pos = p * (F.size("_m") - 1)
-        lo = F.get("_m", F.floor(pos).cast("int"))
-        hi = F.get("_m", F.ceil(pos).cast("int"))
-        return lo + (hi - lo) * (pos - F.floor(pos))
-
-    ends = []
-    for p in ((1 - level) / 2, (1 + level) / 2):
-        z = F.col("_z0") + normal_quantile(F.lit(p))
-        shifted = normal_cdf(F.col("_z0") + z / (1 - F.col("_a") * z))
-        usable = finite(shifted) & (shifted >= 0) & (shifted <= 1)
-        bca = F.when(usable, at(shifted)).otherwise(at(F.lit(p)))
-        same = F.abs(F.col("_max") - F.col("_min")) <= 1e-8 + 1e-5 * F.abs(F.col("_min"))
-        ends.append(F.when(same & (F.col("n") > 0), F.col("_min")).when(F.col("n") >= 2, bca))
-    return d.select(*cell, "n", "estimate", ends[0].alias("ci_lo"), ends[1].alias("ci_hi"))
+    d = d.withColumn("_share", (below + upto) / (2.0 * F.size("_m"))).withColumn("_z0", normal_quantile(F.col("_share")))
+    d = d.withColumn("_a", F.col("_skew") / (6 * F.sqrt("n")))
+    same = F.abs(F.col("_max") - F.col("_min")) <= 1e-8 + 1e-5 * F.abs(F.col("_min"))
+    for end, p in (("ci_lo", (1 - level) / 2), ("ci_hi", (1 + level) / 2)):
+        d = d.withColumn("_z", F.col("_z0") + normal_quantile(F.lit(p)))
+        d = d.withColumn("_s", normal_cdf(F.col("_z0") + F.col("_z") / (1 - F.col("_a") * F.col("_z"))))
+        usable = finite(F.col("_s")) & (F.col("_s") >= 0) & (F.col("_s") <= 1)
+        d = d.withColumn("_at", F.when(usable, F.col("_s")).otherwise(F.lit(p)) * (F.size("_m") - 1))
+        lo, hi = F.get("_m", F.floor("_at").cast("int")), F.get("_m", F.ceil("_at").cast("int"))
+        value = lo + (hi - lo) * (F.col("_at") - F.floor("_at"))
+        d = d.withColumn(end, F.when(same & (F.col("n") > 0), F.col("_min")).when(F.col("n") >= 2, value))
+    return d.select(*cell, "n", "estimate", "ci_lo", "ci_hi")

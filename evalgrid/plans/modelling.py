@@ -1 +1,151 @@
-"""Queries."""
+"""Regression, calibration and cross-validation queries over lineitem and predictions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalgrid.functions.scores import correlation
+from evalgrid.operators import classify as C
+from evalgrid.operators import models as M
+from evalgrid.operators.resample import bca_ci
+from evalgrid.plans.classification import r6, rounded
+from evalgrid.plans.registry import query
+from evalgrid.plans.roles import predictions, table
+
+PRICE_CAP = 100000.0
+
+
+def regression(spark, sf):
+    """RG: y = price, x = quantity, discount; the group is the supplier. Rows get a content hash id."""
+    li = table(spark, sf, "lineitem")
+    return li.select(
+        F.col("l_suppkey").alias("grp"), F.col("l_quantity").alias("qty"), F.col("l_discount").alias("disc"), F.col("l_tax").alias("tax"),
+        (F.col("l_extendedprice") / PRICE_CAP).alias("price"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") % 2).alias("held_out"),
+        F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("row_id"),
+    )
+
+
+_RG = """rg AS (SELECT l_suppkey AS grp, l_quantity AS qty, l_discount AS disc, l_tax AS tax, l_extendedprice/100000e0 AS price, l_returnflag AS flag FROM lineitem)"""
+
+
+@query("q_d15_fit_both_ways", f"""WITH {_RG},
+g AS (SELECT grp, count(*) AS n, covar_pop(price,qty) AS c, var_pop(price) AS vp, var_pop(qty) AS vt, avg(price) AS mp, avg(qty) AS mt FROM rg GROUP BY 1),
+f AS (SELECT *, c/vp AS aw, CASE WHEN abs(c/vt)>1e-3 THEN vt/c END AS a FROM g)
+SELECT grp, n, round(aw,6) AS a_wrong, round(mt-aw*mp,6) AS b_wrong, round(a,4) AS a, round(mt-a*mp,4) AS b FROM f""")
+def fit_both_ways(spark, sf):
+    f = M.line_fits(regression(spark, sf), ["grp"], "price", "qty").drop("raw_lo", "raw_hi")
+    return rounded(f, "a_wrong", "b_wrong").withColumn("a", F.round("a", 4)).withColumn("b", F.round("b", 4))
+
+
+@query("q_d17_snr", f"""WITH {_RG},
+p AS (SELECT flag, qty, avg(price) AS m, stddev_samp(price) AS s FROM rg GROUP BY 1,2),
+g AS (SELECT flag, max(m)-min(m) AS signal, avg(s) AS noise, (max(m)-min(m))/avg(s) AS snr FROM p GROUP BY 1), c AS (SELECT flag, corr(price,qty) AS r FROM rg GROUP BY 1)
+SELECT flag, round(signal,6) AS signal, round(noise,6) AS noise, round(snr,6) AS snr, round(r,6) AS r, CASE WHEN snr<1.5e0 THEN 'nothing to recover' WHEN snr<3e0 THEN 'marginal' ELSE 'workable' END AS snr_verdict,
+ CASE WHEN abs(r)<0.3e0 THEN 'useless' WHEN abs(r)<0.6e0 THEN 'weak' ELSE 'usable' END AS r_verdict FROM g JOIN c USING (flag)""")
+def snr(spark, sf):
+    return rounded(M.signal_to_noise(regression(spark, sf), ["flag"], "qty", "price"), "signal", "noise", "snr", "r")
+
+
+@query("q_d33_corr_tertiles", f"""WITH {_RG},
+p AS (SELECT grp, round(avg(qty),4) AS w, round(avg(price),6) AS acc FROM rg GROUP BY 1),
+k AS (SELECT *, (rank() OVER (ORDER BY w) + rank() OVER (ORDER BY w DESC)) AS d1, (rank() OVER (ORDER BY acc) + rank() OVER (ORDER BY acc DESC)) AS d2, rank() OVER (ORDER BY w)-rank() OVER (ORDER BY w DESC) AS rw, rank() OVER (ORDER BY acc)-rank() OVER (ORDER BY acc DESC) AS ra FROM p),
+c AS (SELECT corr(w,acc) AS pearson, (SELECT corr(rw,ra) FROM k) AS spearman, quantile_cont(w,1/3) AS q1, quantile_cont(w,2/3) AS q2 FROM p),
+t AS (SELECT CASE WHEN w<=q1 THEN 'smallest' WHEN w<=q2 THEN 'middle' ELSE 'largest' END AS third, w, acc, pearson, spearman FROM p, c)
+SELECT third, count(*) AS n, round(avg(w),6) AS width, round(avg(acc),6) AS acc, round(any_value(pearson),6) AS pearson, round(any_value(spearman),6) AS spearman FROM t GROUP BY 1""")
+def corr_tertiles(spark, sf):
+    p = regression(spark, sf).groupBy("grp").agg(F.round(F.avg("qty"), 4).alias("w"), F.round(F.avg("price"), 6).alias("acc")).withColumn("g", F.lit("all"))
+    t = M.thirds(p, ["g"], "w", ["grp"])
+    t = t.groupBy("g", "third").agg(F.count(F.lit(1)).alias("n"), F.avg("w").alias("width"), F.avg("acc").alias("acc"))
+    c = p.groupBy("g").agg(correlation("w", "acc").alias("pearson")).join(M.rank_correlation(p, ["g"], "w", "acc"), "g")
+    return rounded(t.join(c, "g").drop("g"), "width", "acc", "pearson", "spearman")
+
+
+@query("q_f1_logo_linear", f"""WITH {_RG},
+g AS (SELECT grp, count(*)*1e0 n, sum(qty) sx, sum(price) sy, sum(qty*qty) sxx, sum(qty*price) sxy FROM rg GROUP BY 1),
+t AS (SELECT sum(n) n, sum(sx) sx, sum(sy) sy, sum(sxx) sxx, sum(sxy) sxy FROM g),
+f AS (SELECT g.grp, t.n-g.n n, t.sx-g.sx sx, t.sy-g.sy sy, t.sxx-g.sxx sxx, t.sxy-g.sxy sxy FROM g, t),
+c AS (SELECT grp, (n*sxy-sx*sy)/(n*sxx-sx*sx) AS b, sy/n AS my, sx/n AS mx FROM f)
+SELECT rg.grp, count(*) AS n, round(sqrt(avg(pow(price-(my+b*(qty-mx)),2))),6) AS rmse, round(avg(my+b*(qty-mx)),6) AS mean_prediction FROM rg JOIN c USING (grp) GROUP BY 1""")
+def logo_linear(spark, sf):
+    d = regression(spark, sf)
+    p = M.predict(d, M.fit_folds(d, "grp", ["qty"], "price"), "grp", ["qty"], "row_id")
+    e = F.col("price") - F.col("prediction")
+    g = p.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg("prediction").alias("mean_prediction"))
+    return rounded(g, "rmse", "mean_prediction")
+
+
+_SETS = {"all": ["qty", "disc"], "eye": ["qty"], "head": ["disc"]}
+
+
+@query("q_f5_ablation", f"""WITH {_RG},
+m AS (SELECT avg(qty) aq, avg(disc) ad, avg(price) mp FROM rg), z AS (SELECT grp, qty-aq q, disc-ad d, price-mp y FROM rg, m),
+g AS (SELECT grp, count(*)*1e0 n, sum(q) q, sum(d) d, sum(y) y, sum(q*q) qq, sum(d*d) dd, sum(q*d) qd, sum(q*y) qy, sum(d*y) dy FROM z GROUP BY 1),
+t AS (SELECT sum(n) n, sum(q) q, sum(d) d, sum(y) y, sum(qq) qq, sum(dd) dd, sum(qd) qd, sum(qy) qy, sum(dy) dy FROM g),
+r AS (SELECT g.grp, t.n-g.n n, t.q-g.q q, t.d-g.d d, t.y-g.y y, t.qq-g.qq qq, t.dd-g.dd dd, t.qd-g.qd qd, t.qy-g.qy qy, t.dy-g.dy dy FROM g, t),
+s AS (SELECT grp, n, q/n mq, d/n md, y/n my, qq-q*q/n qq, dd-d*d/n dd, qd-q*d/n qd, qy-q*y/n qy, dy-d*y/n dy FROM r),
+c AS (SELECT grp, mq, md, my, 'all' AS feature_set, (qy*dd-dy*qd)/(qq*dd-qd*qd) AS bq, (dy*qq-qy*qd)/(qq*dd-qd*qd) AS bd FROM s UNION ALL SELECT grp, mq, md, my, 'eye', qy/qq, 0 FROM s UNION ALL SELECT grp, mq, md, my, 'head', 0, dy/dd FROM s),
+p AS (SELECT feature_set, z.grp, y+mp AS y, my+mp+bq*(q-mq)+bd*(d-md) AS p FROM z JOIN c USING (grp), m),
+a AS (SELECT feature_set, sqrt(avg(pow(y-p,2))) AS rmse, avg(CASE WHEN least(greatest(floor(p*3),0),2)=least(greatest(floor(y*3),0),2) THEN 1e0 ELSE 0e0 END) AS acc FROM p GROUP BY 1)
+SELECT feature_set, round(rmse,6) AS rmse, round(acc,6) AS zone_accuracy, round(acc-(SELECT acc FROM a WHERE feature_set='all'),6) AS gap_to_all FROM a""")
+def ablation(spark, sf):
+    d = regression(spark, sf)
+    p = M.predict(d, M.fit_folds(d, "grp", ["qty", "disc"], "price", _SETS), "grp", ["qty", "disc"], "row_id")
+    e = F.col("price") - F.col("prediction")
+    ok = M.strip_zone("prediction", 3) == M.strip_zone("price", 3)
+    a = p.groupBy("feature_set").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(ok.cast("double")).alias("zone_accuracy"))
+    full = a.where("feature_set = 'all'").select(F.col("zone_accuracy").alias("_full"), F.explode(F.array(*[F.lit(s) for s in _SETS])).alias("feature_set"))
+    return rounded(a.join(full, "feature_set").withColumn("gap_to_all", F.col("zone_accuracy") - F.col("_full")).drop("_full"), "rmse", "zone_accuracy", "gap_to_all")
+
+
+@query("q_f2_folds_rows")
+def folds(spark, sf):
+    d = regression(spark, sf)
+    return d.join(M.group_folds(d, "grp", 5), "grp").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("grp").alias("groups"))
+
+
+@query("q_f3_ridge_rows")
+def ridge(spark, sf):
+    d = regression(spark, sf)
+    p = M.predict(d, M.fit_folds(d, "grp", ["qty", "disc", "tax"], "price", alpha=1.0), "grp", ["qty", "disc", "tax"], "row_id")
+    e = F.col("price") - F.col("prediction")
+    return rounded(p.groupBy("grp").agg(F.sqrt(F.avg(e * e)).alias("rmse")), "rmse")
+
+
+@query("q_f4_gbt_rows")
+def gbt(spark, sf):
+    d = regression(spark, sf).join(M.group_folds(regression(spark, sf), "grp", 2), "grp")
+    d = d.withColumn("qty", F.when(F.col("disc") < 0.09, F.col("qty")))  # some features are missing
+    p = M.gbt_folds(d.select("grp", "fold", "qty", "tax", "price"), "fold", [0, 1], ["qty", "tax"], "price", iterations=5)
+    e = F.col("price") - F.col("prediction")
+    return rounded(p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")), "rmse")
+
+
+@query("q_f6_isotonic_rows")
+def isotonic(spark, sf):
+    d = regression(spark, sf)
+    return M.isotonic_knots(M.isotonic_blocks(d, ["flag"], "qty", "price"), ["flag"])
+
+
+@query("q_f7_mapping_rows")
+def mapping(spark, sf):
+    d = regression(spark, sf).withColumn("target", F.col("qty") / 50)
+    m = M.pick_mapping(d, ["grp"], "price", "target", "held_out", 3, "row_id")
+    return m.select("grp", "held_out", r6(F.col("accuracy_line"), "accuracy_line"), r6(F.col("accuracy_monotone"), "accuracy_monotone"), "mapping")
+
+
+@query("q_f8_alpha_rows")
+def alphas(spark, sf):
+    return rounded(M.alpha_search(regression(spark, sf), "grp", ["qty", "disc", "tax"], "price"), "mse")
+
+
+@query("q_f10_pipeline_rows")
+def pipeline(spark, sf):
+    d = regression(spark, sf)
+    model = M.ridge_pipeline(["qty", "disc"], "price", d.count()).fit(d)
+    return model.transform(d).groupBy("flag").agg(r6(F.avg("prediction"), "mean_prediction"), r6(F.avg("price"), "mean_price"))
+
+
+@query("q_e3_bca_rows")
+def bca(spark, sf):
+    per = C.group_accuracy(C.zone_answers(predictions(spark, sf)), ["grid"], "subject")
+    return rounded(bca_ci(per, ["grid"], "subject", "acc"), "estimate", "ci_lo", "ci_hi")
