@@ -277,17 +277,17 @@ def _pool(x_lo, x_hi, y, w) -> list[list[float]]:
     return out
 
 
-def isotonic_blocks(df: DataFrame, keys: Sequence[str], x: str, y: str, slots: int = 256) -> DataFrame:
+def isotonic_blocks(df: DataFrame, keys: Sequence[str], x: str, y: str, slot_rows: int = 50_000) -> DataFrame:
     """Monotone least-squares fit per key as blocks (x_lo, x_hi, level, weight).
 
-    Equal x are averaged in an aggregate, x slots are pooled in parallel, and only their blocks
-    meet per key; pooling pooled blocks gives the exact fit.
+    Equal x are averaged in an aggregate, a key's x range is pooled in slots of about `slot_rows`
+    points, and only the pooled blocks meet per key; pooling them again gives the exact fit.
     """
     pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    span = pts.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"))
+    span = pts.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.ceil(F.count(F.lit(1)) / slot_rows).alias("_k"))
     p = attach(pts, span, keys, ["x"], how="inner")
     width = F.col("_hi") - F.col("_lo")
-    slot = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / width * slots), F.lit(slots - 1))).otherwise(F.lit(0))
+    slot = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / width * F.col("_k")), F.col("_k") - 1)).otherwise(F.lit(0))
     p = p.select(*keys, slot.cast("int").alias("_slot"), F.col("x").alias("x_lo"), F.col("x").alias("x_hi"), F.col("y").alias("level"), F.col("w").alias("weight"))
     names = list(keys)
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.select(*names).schema.fields)

@@ -1 +1,76 @@
-"""Queries."""
+"""Live-session operators on the stored log (batch twins of the stream operators)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from evalgrid.operators.skew import running
+from evalgrid.plans.registry import query
+from evalgrid.plans.roles import DAY, HOUR, KEYS, event_log, sql, table
+from evalgrid.streaming import live as L
+from evalgrid.streaming.selection import Layout
+
+LAYOUT = Layout(items=("water", "tea", "book", "lamp", "radio"), zones=3, dwell=24 * 3600, pause=3600, scan_every=96 * 3600)
+
+
+def _observed(spark, sf):
+    log = event_log(spark, sf)
+    return log.select("participant", "trial", F.floor(F.col("t_us") / 1_000_000).alias("t"), "seq", F.when(F.col("event") != "page", F.col("zone")).alias("zone"))
+
+
+@query("q_l1_dwell_rows")
+def dwell(spark, sf):
+    return L.selections_batch(_observed(spark, sf), ["participant"], "t", "seq", "zone", LAYOUT)
+
+
+@query("q_l3_confirm_rows")
+def confirm(spark, sf):
+    from dataclasses import replace
+
+    return L.selections_batch(_observed(spark, sf), ["participant"], "t", "seq", "zone", replace(LAYOUT, guard="confirm", pattern="scan"))
+
+
+@query("q_l6_alert_rows")
+def alerts(spark, sf):
+    log = event_log(spark, sf).withColumn("t", F.floor(F.col("t_us") / 1000))
+    return L.rate_alerts(log, ["participant"], "t", "seq", "frame_ms", limit=40.0, every=24 * 3600 * 1000)
+
+
+@query("q_l2_repeat", sql("""
+WITH s AS (SELECT participant, zone, seq, row_number() OVER (PARTITION BY participant ORDER BY seq) AS n FROM ev WHERE event='select'),
+f AS (SELECT *, CASE WHEN zone IS DISTINCT FROM lag(zone) OVER (PARTITION BY participant ORDER BY n) THEN 1 ELSE 0 END AS nw FROM s),
+r AS (SELECT *, sum(nw) OVER (PARTITION BY participant ORDER BY n) AS run FROM f),
+c AS (SELECT participant, run, min(n) AS first, count(*) AS len FROM r GROUP BY 1,2),
+p AS (SELECT *, lag(len) OVER (PARTITION BY participant ORDER BY run) AS before FROM c)
+SELECT r.participant, seq, CASE WHEN (n-first)%2=1 THEN 'select' WHEN n=first AND coalesce(before%2=1,false) THEN 'disagreed' ELSE 'first of two' END AS verdict FROM r JOIN p ON p.participant=r.participant AND p.run=r.run""", "ev"))
+def repeat(spark, sf):
+    s = event_log(spark, sf).where("event = 'select'").select("participant", "zone", "seq").withColumn("slot", F.floor(F.col("seq") / 100_000))
+    s = running(s, ["participant"], "slot", ["seq"], count="n").drop("slot")
+    return L.repeat_confirm(s, ["participant"], "n", "zone").select("participant", "seq", "verdict")
+
+
+@query("q_l4_pages", sql(f"""
+SELECT participant, trial, CAST(floor((max(t_us)-min(t_us))/{6*HOUR}) AS BIGINT) AS pages FROM ev GROUP BY 1,2""", "ev"))
+def pages(spark, sf):
+    return L.auto_pages(event_log(spark, sf), KEYS, "t_us", 6 * HOUR)
+
+
+@query("q_l7_trials", sql("""
+SELECT participant, trial, count(*) FILTER (WHERE event='select') AS selections, count(*) FILTER (WHERE event='reject') AS rejects, max(CASE WHEN event='trial_end' THEN t_us END) AS closed_at,
+ max(CASE WHEN event='trial_end' THEN item END) AS item, bool_or(event='trial_end' AND coalesce(item=cue_item,false)) AS correct FROM ev GROUP BY 1,2 HAVING count(*) FILTER (WHERE event='trial_end')>0""", "ev"))
+def trials(spark, sf):
+    return L.trials_batch(event_log(spark, sf), "participant")
+
+
+@query("q_l8_windows", f"""
+SELECT (epoch_us(ts)//{DAY})*{DAY} AS w_start, event_type, count(*) AS n FROM events GROUP BY 1,2""")
+def windows(spark, sf):
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    return L.windowed_counts(e, "ts", ["event_type"], "1 day").withColumn("w_start", F.unix_micros("w_start"))
+
+
+@query("q_l8_dedupe", f"""
+SELECT DISTINCT user_id, event_type, epoch_us(ts)//{DAY} AS day FROM events""")
+def dedupe(spark, sf):
+    e = table(spark, sf, "events").select("user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / DAY).alias("day"))
+    return L.first_seen(e, "ts", ["user_id", "event_type", "day"])
