@@ -10,7 +10,7 @@ from evalgrid.plans.roles import DAY, HOUR, KEYS, event_log, sql, table
 from evalgrid.streaming import live as L
 from evalgrid.streaming.selection import Layout
 
-LAYOUT = Layout(items=("water", "tea", "book", "lamp", "radio"), zones=3, dwell=24 * 3600, pause=3600, scan_every=96 * 3600)
+LAYOUT = Layout(items=("water", "tea", "book", "lamp", "radio"), zones=3, dwell=12 * 3600, pause=3600, scan_every=24 * 3600)
 
 
 def _observed(spark, sf):
@@ -20,20 +20,20 @@ def _observed(spark, sf):
 
 @query("q_l1_dwell_rows")
 def dwell(spark, sf):
-    return L.selections_batch(_observed(spark, sf), ["participant"], "t", "seq", "zone", LAYOUT)
+    return L.selections_batch(_observed(spark, sf), KEYS, "t", "seq", "zone", LAYOUT)
 
 
 @query("q_l3_confirm_rows")
 def confirm(spark, sf):
     from dataclasses import replace
 
-    return L.selections_batch(_observed(spark, sf), ["participant"], "t", "seq", "zone", replace(LAYOUT, guard="confirm", pattern="scan"))
+    return L.selections_batch(_observed(spark, sf), KEYS, "t", "seq", "zone", replace(LAYOUT, guard="confirm", pattern="scan"))
 
 
 @query("q_l6_alert_rows")
 def alerts(spark, sf):
     log = event_log(spark, sf).withColumn("t", F.floor(F.col("t_us") / 1000))
-    return L.rate_alerts(log, ["participant"], "t", "seq", "frame_ms", limit=40.0, every=24 * 3600 * 1000)
+    return L.rate_alerts_batch(log, ["participant"], "t", "seq", "frame_ms", limit=40.0, every=24 * 3600 * 1000)
 
 
 @query("q_l2_repeat", sql("""

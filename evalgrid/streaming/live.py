@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from evalgrid.functions.scores import same_item
 from evalgrid.operators.skew import running
-from evalgrid.operators.windows import MIN_FPS, RATE_FRAMES
+from evalgrid.operators.windows import MIN_FPS, RATE_FRAMES, slow_frames
 from evalgrid.streaming import keyed
 from evalgrid.streaming.selection import EVENT_SCHEMA, Layout, advance, start
 
@@ -43,7 +43,16 @@ def selections_stream(stream: DataFrame, keys: Sequence[str], t: str, seq: str,
     return keyed.run_stream(stream.select(*keys, t, seq, zone), keys, [t, seq], begin, step, EVENT_SCHEMA)
 
 
-def _rate_step(t: str, value: str, limit: float, last: int, every: int):
+def _throttle(st: dict, now: int, every: int) -> bool:
+    if st["alerted"] is not None and now - st["alerted"] <= every:
+        return False
+    st["alerted"] = now
+    return True
+
+
+def rate_alerts_stream(stream: DataFrame, keys: Sequence[str], t: str, seq: str, value: str, limit: float = 1000 / MIN_FPS, last: int = RATE_FRAMES, every: int = ALERT_EVERY) -> DataFrame:
+    """(keys, t, median) when the median of the last frames is above the limit, throttled."""
+
     def begin(row: dict) -> dict:
         return {"recent": [], "alerted": None}
 
@@ -51,22 +60,21 @@ def _rate_step(t: str, value: str, limit: float, last: int, every: int):
         st["recent"] = [*st["recent"], float(row[value])][-last:]
         if len(st["recent"]) < last:
             return []
-        now, middle = int(row[t]), statistics.median(st["recent"])
-        due = st["alerted"] is None or now - st["alerted"] > every
-        if middle <= limit or not due:
-            return []
-        st["alerted"] = now
-        return [(now, middle)]
+        middle = statistics.median(st["recent"])
+        return [(int(row[t]), middle)] if middle > limit and _throttle(st, int(row[t]), every) else []
+
+    return keyed.run_stream(stream.select(*keys, t, seq, value), keys, [t, seq], begin, step, "t bigint, median_ms double")
 
-    return begin, step
 
+def rate_alerts_batch(df: DataFrame, keys: Sequence[str], t: str, seq: str, value: str, limit: float = 1000 / MIN_FPS, last: int = RATE_FRAMES, every: int = ALERT_EVERY) -> DataFrame:
+    """Batch twin: the sliding medians are computed in parallel, only slow frames are throttled in
+    order. `seq` numbers each session's rows from 1."""
+    slow = slow_frames(df.select(*keys, t, seq, value), keys, seq, value, limit, last).where("slow")
+
+    def step(st: dict, row: dict) -> list:
+        return [(int(row[t]), float(row["recent"]))] if _throttle(st, int(row[t]), every) else []
 
-def rate_alerts(df: DataFrame, keys: Sequence[str], t: str, seq: str, value: str, limit: float = 1000 / MIN_FPS, last: int = RATE_FRAMES, every: int = ALERT_EVERY) -> DataFrame:
-    """(keys, t, median) when the median of the last frames is above the limit, throttled. Works on
-    a batch or a streaming DataFrame."""
-    begin, step = _rate_step(t, value, limit, last, every)
-    run = keyed.run_stream if df.isStreaming else keyed.run_batch
-    return run(df.select(*keys, t, seq, value), keys, [t, seq], begin, step, "t bigint, median_ms double")
+    return keyed.run_batch(slow.select(*keys, t, seq, "recent"), keys, [t, seq], lambda row: {"alerted": None}, step, "t bigint, median_ms double")
 
 
 def repeat_confirm(df: DataFrame, keys: Sequence[str], seq: str, value: str, slot_len: int = 100_000) -> DataFrame:
