@@ -12,7 +12,7 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
@@ -226,15 +226,17 @@ def group_folds(df: DataFrame, group: str, k: int, limit: int = GREEDY_LIMIT) ->
 # ---- MLlib pipelines -------------------------------------------------------------------------
 
 
-def ridge_pipeline(features: Sequence[str], label: str, rows: int, alpha: float = 1.0) -> Pipeline:
-    """Median impute, standardise, ridge. MLlib's loss is divided by 2n, hence alpha / rows."""
+def ridge_fit(df: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0) -> PipelineModel:
+    """Median impute, standardise, ridge. MLlib halves and averages the squared loss and scales the
+    penalty by the label's deviation, hence alpha x deviation / rows."""
+    size = df.where(F.col(label).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.stddev_pop(label).alias("sd")).first()
     filled = [f"{f}_filled" for f in features]
     return Pipeline(stages=[
         Imputer(inputCols=list(features), outputCols=filled, strategy="median", relativeError=1e-4),
         VectorAssembler(inputCols=filled, outputCol="raw_vector"),
         StandardScaler(inputCol="raw_vector", outputCol="vector", withMean=True, withStd=True),
-        LinearRegression(featuresCol="vector", labelCol=label, regParam=alpha / rows, elasticNetParam=0.0, standardization=False, solver="normal"),
-    ])
+        LinearRegression(featuresCol="vector", labelCol=label, regParam=alpha * size["sd"] / size["n"], elasticNetParam=0.0, standardization=False, solver="normal"),
+    ]).fit(df)
 
 
 def gbt_pipeline(features: Sequence[str], label: str, iterations: int = GBT_ITERATIONS, seed: int = 0) -> Pipeline:
@@ -293,7 +295,7 @@ def isotonic_blocks(df: DataFrame, keys: Sequence[str], x: str, y: str, slot_row
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.select(*names).schema.fields)
     block_types = f"{types}, x_lo double, x_hi double, level double, weight double"
 
-    def pool(group, rows: pd.DataFrame) -> pd.DataFrame:
+    def pool(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.sort_values("x_lo")
         out = pd.DataFrame(_pool(r["x_lo"], r["x_hi"], r["level"], r["weight"]), columns=["x_lo", "x_hi", "level", "weight"])
         for i, n in enumerate(names):

@@ -144,7 +144,7 @@ def fixations(refs: DataFrame, keys: Sequence[str], t: str, x: str, y: str, vali
     names = list(keys)
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.select(*names).schema.fields)
 
-    def scan(group, rows: pd.DataFrame) -> pd.DataFrame:
+    def scan(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         hits = _fixations(rows.sort_values("t"), min_ms, disp, gap)
         out = pd.DataFrame(hits, columns=["start", "end"])
         for n, g in zip(names, group):

@@ -141,8 +141,7 @@ def alphas(spark, sf):
 @query("q_f10_pipeline_rows")
 def pipeline(spark, sf):
     d = regression(spark, sf)
-    model = M.ridge_pipeline(["qty", "disc"], "price", d.count()).fit(d)
-    return model.transform(d).groupBy("flag").agg(r6(F.avg("prediction"), "mean_prediction"), r6(F.avg("price"), "mean_price"))
+    return M.ridge_fit(d, ["qty", "disc"], "price").transform(d).groupBy("flag").agg(r6(F.avg("prediction"), "mean_prediction"), r6(F.avg("price"), "mean_price"))
 
 
 @query("q_e3_bca_rows")

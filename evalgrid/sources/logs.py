@@ -69,16 +69,16 @@ def read_event_logs(spark: SparkSession, folder: str, include: Sequence[str] = (
     return d.select(session.alias("session"), F.split_part("file", F.lit("_"), F.lit(1)).alias("participant"), F.col("seq").cast("bigint").alias("seq"), *LOG_TYPES, "cue_recorded")
 
 
-FRAME_STREAM = T.StructType.fromDDL(
+FRAME_STREAM = (
     "participant string, setup string, task string, video string, frame int, pts_raw_ms double, t_rel_ms double, epoch_ms double,"
     " detected int, px double, py double, tobii_x double, tobii_y double, tobii_dt_ms double"
 )
-REFERENCE_STREAM = T.StructType.fromDDL("participant string, task string, video string, t_ms bigint, tx double, ty double, tvalid int")
+REFERENCE_STREAM = "participant string, task string, video string, t_ms bigint, tx double, ty double, tvalid int"
 
 
-def read_streams(spark: SparkSession, folder: str, frames: T.StructType = FRAME_STREAM, refs: T.StructType = REFERENCE_STREAM) -> tuple[DataFrame, DataFrame]:
+def read_streams(spark: SparkSession, folder: str, frames: str | T.StructType = FRAME_STREAM, refs: str | T.StructType = REFERENCE_STREAM) -> tuple[DataFrame, DataFrame]:
     """(frames, reference samples) of a study folder, with detected filled and is_laptop derived."""
-    def csv(schema: T.StructType, glob: str) -> DataFrame:
+    def csv(schema: str | T.StructType, glob: str) -> DataFrame:
         return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("pathGlobFilter", glob).csv(folder)
 
     f = csv(frames, "P_*_frames.csv").fillna({"detected": 0})
