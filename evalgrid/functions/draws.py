@@ -6,6 +6,7 @@ or another SQL engine gives the same numbers.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,14 @@ def add_hash(df: DataFrame, seed: Column, rep: Column, slot: Column, out: str) -
     return df.withColumn(out, _fold(F.col(out)))
 
 
+def hash32_array(seed: int, rep: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """add_hash for arrays inside a task; every product stays below 2**63."""
+    x = (seed * SEED_STEP + rep * REP_STEP + (slot & MASK) * SLOT_STEP) & MASK
+    for _ in range(2):
+        x = (((x >> 16) ^ x) * MIX) & MASK
+    return (x >> 16) ^ x
+
+
 def unit_interval(h: Column) -> Column:
     """Hash to a uniform in (0, 1)."""
     return (h + 0.5) / float(MASK + 1)

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from evalgrid.functions.draws import md5_rank
 from evalgrid.functions.scores import rate
 from evalgrid.functions.text import norm_item
-from evalgrid.operators.sampling import sample_units
 from evalgrid.operators.skew import attach, top_per_key
 
 # Generic place words left out in the sensitivity table, cut-offs of the audit.
@@ -26,10 +25,9 @@ def clean_rating(c: Column) -> Column:
     return F.nullif(F.upper(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
 
 
-def audit_entries(ranked: DataFrame, unit: str, n_units: int, depth: int = 6, seed: int = 0) -> DataFrame:
-    """Top `depth` items of a hash sample of units, with their normalised form; empty ones drop out."""
-    chosen = sample_units(ranked, unit, n_units, seed)
-    top = ranked.join(chosen, unit, "left_semi").where(F.col("rank") <= depth)
+def audit_entries(ranked: DataFrame, depth: int = 6) -> DataFrame:
+    """Top `depth` items of the sampled units' lists, with their normalised form; empty ones drop out."""
+    top = ranked.where(F.col("rank") <= depth)
     return top.withColumn("item_norm", norm_item(F.col("item"))).where(F.col("item_norm") != "")
 
 

@@ -2,19 +2,21 @@
 
 Reduce to one row per unit first (cluster_means, paired_differences). A cell with at most `limit`
 units is resampled with replacement as is: its values form one short array, replicates are spread
-over tasks and every replicate mean is built by a partial aggregate. A larger cell switches to
+over tasks and each is drawn whole where it lies. A larger cell switches to
 Poisson weights, which need no unit index: equal values are counted first, because n equal rows
-carry a Poisson(n) weight together. Either way only (cell, replicate) sums are shuffled.
+carry a Poisson(n) weight together; only (cell, replicate) sums are shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.functions.draws import add_hash, add_poisson_weight, normal_cdf, normal_quantile, unit_interval
+from evalgrid.functions.draws import add_hash, add_poisson_weight, hash32_array, normal_cdf, normal_quantile, unit_interval
 from evalgrid.functions.zones import finite
 from evalgrid.operators.skew import attach
 from evalgrid.session import cut_lineage
@@ -23,6 +25,7 @@ REPS = 5000
 BCA_REPS = 10000
 LIMIT = 100_000
 TASKS = 32
+BLOCK = 2_000_000  # draws held at once in a task
 
 
 def replicate_sums(
@@ -45,28 +48,39 @@ def replicate_sums(
     sizes = clean.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     sized = attach(clean, sizes.where(F.col("_n") >= 2), cell, ["_u"], how="inner")
 
-    per_task = -(-reps // TASKS)
-    small = (
+    # a fixed number of partitions: sized by bytes, the few packed rows would all run in one task
+    tasks = max(TASKS, units.sparkSession.sparkContext.defaultParallelism)
+    per_task = -(-reps // tasks)
+    packed = (
         sized.where(F.col("_n") <= limit)
         .groupBy(*cell)
-        .agg(F.array_sort(F.collect_list(F.struct("_u", "_v"))).alias("_rows"), F.first("_n").alias("_n"), F.first("_seed").alias("_seed"))
-        .select(*cell, "_n", "_seed", F.transform("_rows", lambda r: r["_v"]).alias("_vals"), F.explode(F.sequence(F.lit(0), F.lit(TASKS - 1))).alias("_task"))
-        .repartition(*cell, "_task")
+        .agg(F.array_sort(F.collect_list(F.struct("_u", "_v"))).alias("_rows"), F.first("_seed").alias("_seed"))
+        .select(*cell, "_seed", F.transform("_rows", lambda r: r["_v"]).alias("_vals"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_task"))
         .where(F.col("_task") * per_task < reps)
-        .select(*cell, "_n", "_seed", "_vals", F.explode(F.sequence(F.col("_task") * per_task, F.least((F.col("_task") + 1) * per_task, F.lit(reps)) - 1)).alias("_rep"))
-        .select(*cell, "_n", "_seed", "_vals", "_rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_slot"))
-    )
-    small = add_hash(small, F.col("_seed"), F.col("_rep"), F.col("_slot"), "_h")
-    pick = F.pmod("_h", F.col("_n")).cast("int")
-    small = small.groupBy(*cell, "_rep").agg(
-        F.sum(F.get("_vals", pick)).alias("s"), F.count(F.lit(1)).cast("double").alias("w")
+        .repartition(tasks, *cell, "_task")
     )
+    kinds = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in cell)
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.to_dict("records"):
+                vals = np.asarray(row["_vals"], float)
+                own = np.arange(row["_task"] * per_task, min((row["_task"] + 1) * per_task, reps), dtype=np.int64)
+                slots = np.arange(len(vals), dtype=np.int64)
+                for some in np.array_split(own, max(1, len(own) * len(vals) // BLOCK)):
+                    picks = hash32_array(int(row["_seed"]), some[:, None], slots) % len(vals)
+                    out = pd.DataFrame({"_rep": some, "s": vals[picks].sum(axis=1), "w": float(len(vals))})
+                    for i, c in enumerate(cell):
+                        out.insert(i, c, row[c])
+                    yield out
+
+    small = packed.mapInPandas(resample, f"{kinds}, _rep bigint, s double, w double")
 
     tally = (
         sized.where(F.col("_n") > limit)
         .groupBy(*cell, "_v", "_seed")
         .agg(F.count(F.lit(1)).cast("double").alias("_c"), F.min("_u").alias("_u"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("_rep"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("_rep"))
     )
     tally = add_hash(tally, F.col("_seed"), F.col("_rep"), F.col("_u"), "_h").withColumn("_q", unit_interval(F.col("_h")))
     large = (

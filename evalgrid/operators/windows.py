@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -141,14 +142,24 @@ def fixations(refs: DataFrame, keys: Sequence[str], t: str, x: str, y: str, vali
     v = running(v, keys, "_slot", ["t"], lasts={"_before": "t"})
     v = v.withColumn("_cut", F.coalesce(F.col("t") - F.col("_before") > gap, F.lit(True)).cast("int"))
     v = running(v, keys, "_slot", ["t"], sums={"_cuts": "_cut"}).withColumn("run", F.col("_cuts") + F.col("_cut"))
-    names = list(keys)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in v.select(*names).schema.fields)
-
-    def scan(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        hits = _fixations(rows.sort_values("t"), min_ms, disp, gap)
-        out = pd.DataFrame(hits, columns=["start", "end"])
-        for n, g in zip(names, group):
-            out.insert(len(out.columns) - 2, n, g)
-        return out[[*names, "start", "end"]]
-
-    return v.select(*names, "run", "t", "x", "y").groupBy(*names, "run").applyInPandas(scan, f"{fields}, start double, end double")
+    run_key = [*keys, "run"]
+    fields = ", ".join(f"{k} {v.schema[k].dataType.simpleString()}" for k in keys)
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # the last run of a batch may go on in the next one
+        for b in chain(batches, [None]):
+            rows = held if b is None else b if held is None else pd.concat([held, b])
+            if rows is None or rows.empty:
+                continue
+            number = rows.groupby(run_key, sort=False).ngroup().to_numpy()
+            open_run = number == number[-1] if b is not None else np.zeros(len(rows), bool)
+            held, done, number = (rows[open_run] if b is not None else None), rows[~open_run], number[~open_run]
+            out = []
+            for at in np.split(np.arange(len(done)), np.flatnonzero(np.diff(number)) + 1) if len(done) else []:
+                run = done.iloc[at]
+                who = tuple(run.iloc[0][k] for k in keys)
+                out += [(*who, *f) for f in _fixations(run, min_ms, disp, gap)]
+            yield pd.DataFrame(out, columns=[*keys, "start", "end"])
+
+    runs = v.select(*run_key, "t", "x", "y").repartition(*run_key).sortWithinPartitions(*run_key, "t")
+    return runs.mapInPandas(scan, f"{fields}, start double, end double")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalgrid.operators import audit as A
-from evalgrid.operators.sampling import pending
+from evalgrid.operators.ranking import first_mentions
+from evalgrid.operators.sampling import pending, sample_units
 from evalgrid.operators.skew import attach, top_per_key
 from evalgrid.plans.classification import rounded
-from evalgrid.plans.ranking import _RANKED, _ranked
+from evalgrid.plans.ranking import _RANKED, _common
 from evalgrid.plans.registry import query
 from evalgrid.plans.roles import event_log, frame_stream, ranked_lists, reference_stream, sql, table
+from evalgrid.session import cut_lineage
 from evalgrid.plans.text import JACCARD_SQL, jaccard_ranking
 
 RATED = """
@@ -101,7 +103,10 @@ sh AS (SELECT 'U'||lpad(CAST(row_number() OVER (ORDER BY md5('0:'||unit||':'||it
 
 
 def _entries(spark, sf):
-    return A.audit_entries(_ranked(spark, sf), "unit", 50)
+    lists = _common(spark, sf)
+    chosen = lists.join(cut_lineage(sample_units(lists, "unit", 50)), "unit", "left_semi")  # rank the sample only
+    ranked = first_mentions(chosen, ["method", "unit"], "place", "category", ["item"])
+    return cut_lineage(A.audit_entries(ranked))  # read by sheet, codes and key
 
 
 @query("q_k1_sheet", sql(f"WITH {_AUDIT} SELECT * FROM sh", "rl", "rv"))

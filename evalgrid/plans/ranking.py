@@ -40,7 +40,7 @@ _MEANS = ", ".join(f"round(avg({'precision_' if c == 'precision' else c}),6) AS
 
 
 def _common(spark, sf):
-    lists = ranked_lists(spark, sf)
+    lists = cut_lineage(ranked_lists(spark, sf))  # stands for a stored output table; read three times
     return lists.join(R.common_units(lists), "unit", "left_semi")
 
 
