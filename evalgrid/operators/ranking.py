@@ -50,20 +50,48 @@ def group_of(category: Column, groups: Sequence[Sequence[int]]) -> Column:
     return F.when(category.isNotNull(), out)
 
 
+WORD = 62  # vocabulary entries per bit set
+
+
+def _bits(vocabulary: Sequence[int]) -> list[dict[int, int]]:
+    """Per BIGINT word: category -> its bit."""
+    return [{c: 1 << i for i, c in enumerate(vocabulary[at : at + WORD])} for at in range(0, len(vocabulary), WORD)]
+
+
+def _mask_of(category: Column, masks: dict[int, int]) -> Column:
+    known = {c: m for c, m in masks.items() if m}
+    if not known:
+        return F.lit(0).cast("bigint")
+    table = F.create_map(*[x for c, m in known.items() for x in (F.lit(c), F.lit(m).cast("bigint"))])
+    return F.when(category.isNotNull(), F.coalesce(F.try_element_at(table, category), F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+
+
 def judged(ranked: DataFrame, truth: DataFrame, unit: str, groups, vocabulary: Sequence[int], spread_by: Sequence[str]) -> DataFrame:
-    """Ranked items with status, lenient and single-source status, and the relevant set.
+    """Ranked items with status, lenient and single-source status; relevant and covered entries as
+    bit sets over the vocabulary, so that the metrics stay plain hash aggregates.
 
     `truth` has one row per unit: pos, neg (merged sources) and pos_l, neg_l (first source only).
     """
-    j = attach(ranked, truth, [unit], spread_by, how="inner")
+    words = _bits(list(vocabulary))
+
+    def union(w: dict[int, int]) -> Column:
+        return F.aggregate("pos", F.lit(0).cast("bigint"), lambda acc, p: acc.bitwiseOR(_mask_of(p, w)))
+
+    rel = [union(w).alias(f"rel{i}") for i, w in enumerate(words)]
+    j = attach(ranked, truth.select("*", *rel), [unit], spread_by, how="inner")
     c = F.col("category")
-    g = group_of(c, groups)
-    rel = F.array_intersect("pos", F.array(*[F.lit(v) for v in vocabulary]))
-    j = j.withColumn("relevant", rel).withColumn("group", g)
+    own, wide = [], []
+    for i, w in enumerate(words):
+        near = {k: bit for k, bit in w.items()}
+        for g in groups:
+            both = sum(w.get(x, 0) for x in g)
+            near.update({x: both for x in g})
+        own.append(_mask_of(c, w).bitwiseAND(F.col(f"rel{i}")).alias(f"own{i}"))
+        wide.append(_mask_of(c, near).bitwiseAND(F.col(f"rel{i}")).alias(f"cov{i}"))
+    keep = [x for x in j.columns if x not in ("pos", "neg", "pos_l", "neg_l")]
     return j.select(
-        "*", verdict(c, F.col("pos"), F.col("neg")).alias("status"), lenient(c, F.col("group"), F.col("pos")).alias("lenient_ok"),
-        verdict(c, F.col("pos_l"), F.col("neg_l")).alias("status_l"), F.array_intersect("relevant", F.col("group")).alias("covers"),
-        F.coalesce(F.array_contains("relevant", c), F.lit(False)).alias("is_relevant"),
+        *keep, *own, *wide, verdict(c, F.col("pos"), F.col("neg")).alias("status"), lenient(c, group_of(c, groups), F.col("pos")).alias("lenient_ok"),
+        verdict(c, F.col("pos_l"), F.col("neg_l")).alias("status_l"),
     )
 
 
@@ -82,21 +110,28 @@ def rank_metrics(items: DataFrame, keys: Sequence[str], carry: Sequence[str] = (
         return F.sum((flag & (F.col("rank") <= k)).cast("bigint"))
 
     s, sl = F.col("status"), F.col("status_l")
-    rel = F.first(F.size("relevant"))
+    words = range(sum(c.startswith("rel") for c in items.columns))
+
+    def reached(name: str, k: int) -> Column:
+        """Vocabulary entries in the union of the first k bit sets."""
+        sets = [F.bit_count(F.bit_or(F.when(F.col("rank") <= k, F.col(f"{name}{i}")))) for i in words]
+        return F.coalesce(sum(sets[1:], sets[0]), F.lit(0))
+
+    rel = reached("rel", K_MAX)
     rows = []
     for k in ks:
         right, wrong = n(s == "correct", k), n(s == "wrong", k)
         len_right, len_wrong = n(F.col("lenient_ok"), k), n((s == "wrong") & ~F.col("lenient_ok"), k)
         one_right, one_wrong = n(sl == "correct", k), n(sl == "wrong", k)
-        reach = F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("rank") <= k, F.col("covers"))))))
         rows.append(F.struct(
             F.lit(k).alias("k"), right.alias("correct"), wrong.alias("wrong"), rate(right, right + wrong).alias("precision"),
             rate(len_right, len_right + len_wrong).alias("precision_lenient"), ((right + wrong) / k).alias("verifiable"),
             rate(one_right, one_right + one_wrong).alias("precision_single"), ((one_right + one_wrong) / k).alias("verifiable_single"),
-            rate(n(F.col("is_relevant"), k), rel).alias("recall"), rate(reach, rel).alias("recall_lenient"),
+            rate(reached("own", k), rel).alias("recall"), rate(reached("cov", k), rel).alias("recall_lenient"),
             (right > 0).cast("double").alias("hit"), (len_right > 0).cast("double").alias("hit_lenient"),
         ))
-    g = items.groupBy(*keys).agg(F.array(*rows).alias("rows"), *[F.first(c).alias(c) for c in carry])
+    # carried columns depend on the unit: as grouping keys they keep the aggregate free of sorting
+    g = items.groupBy(*keys, *carry).agg(F.array(*rows).alias("rows"))
     return g.select(*keys, *carry, F.inline("rows"))
 
 

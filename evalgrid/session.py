@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,16 +33,25 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Only a local session (tests) without
+    one gets a temporary folder."""
+    sc = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
+    if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
+        named = tempfile.mkdtemp(prefix="evalgrid-")
+        sc.setCheckpointDir(named)
+    return named
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` with a reliable checkpoint, so that a lost executor costs one read.
+    """Write `df` once and go on from the written table.
 
-    The folder is the shared one the cluster names in spark.checkpoint.dir. Only where neither
-    that setting nor a checkpoint folder exists (tests) is a local one created.
+    Used where several later steps read one result. Computed in one pass (an eager checkpoint
+    computes it twice), columnar, with real sizes for the planner; a lost executor costs a read.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get(CHECKPOINT_KEY, None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="evalgrid-ckpt-"))
-    return df.checkpoint(eager=True)
+    path = f"{_shared_folder(df.sparkSession)}/evalgrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
