@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.draws import md5_rank
 from evalgrid.operators.ranking import K_MAX
-from evalgrid.operators.skew import top_per_key
+from evalgrid.operators.skew import attach, top_per_key
 
 BANK_LIMIT = 4096
 UNIT_SLICES = 64
@@ -70,7 +70,7 @@ def cosine_top_k(units: DataFrame, bank: DataFrame, k: int = K_MAX, bank_limit:
 
 def rescore(scores: DataFrame, neutral: DataFrame, k: int = K_MAX) -> DataFrame:
     """Score minus the item's score under a neutral prompt, then the k best per unit."""
-    j = scores.drop("rank").join(neutral.select("item", F.col("score").alias("_base")), "item")
+    j = attach(scores.drop("rank"), neutral.select("item", F.col("score").alias("_base")), ["item"], ["unit"], how="inner")
     return top_per_key(j.select("unit", "item", F.round(F.col("score") - F.col("_base"), 6).alias("score")), ["unit"], [F.desc("score"), F.col("item")], k)
 
 
@@ -88,7 +88,7 @@ def overlap_top_k(shown: DataFrame, bank_objects: DataFrame, cases: DataFrame, k
     """
     bank_objects = bank_objects.select("item", "object").distinct()
     pop = bank_popularity(bank_objects)
-    shared = shown.select("case_id", "object").distinct().join(bank_objects, "object").groupBy("case_id", "item").agg(F.count(F.lit(1)).alias("overlap"))
+    shared = attach(shown.select("case_id", "object").distinct(), bank_objects, ["object"], ["case_id"], how="inner").groupBy("case_id", "item").agg(F.count(F.lit(1)).alias("overlap"))
     shared = shared.join(pop, "item").select("case_id", "item", "overlap", "pop")
     popular = pop.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("pop"), "item"))).where(F.col("_r") <= k)
     fill = cases.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_r")).join(popular, "_r")
@@ -106,7 +106,7 @@ def jaccard_top_k(case_tokens: DataFrame, bank_tokens: DataFrame, cases: DataFra
     """
     size_c = case_tokens.groupBy("case_id").agg(F.count(F.lit(1)).alias("nc"))
     size_b = bank_tokens.groupBy("item", "text_no").agg(F.count(F.lit(1)).alias("nb"))
-    both = case_tokens.join(bank_tokens, "token").groupBy("case_id", "item", "text_no").agg(F.count(F.lit(1)).alias("common"))
+    both = attach(case_tokens, bank_tokens, ["token"], ["case_id"], how="inner").groupBy("case_id", "item", "text_no").agg(F.count(F.lit(1)).alias("common"))
     j = both.join(size_b, ["item", "text_no"]).join(size_c, "case_id")
     score = F.col("common") / F.greatest(F.col("nc") + F.col("nb") - F.col("common"), F.lit(1))
     best = j.groupBy("case_id", "item").agg(F.max(score).alias("score"))

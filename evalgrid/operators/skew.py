@@ -33,7 +33,8 @@ def attach(
     how: str = "left",
     fan: int = FAN,
 ) -> DataFrame:
-    """Join `dim` (one row per `on`) to `facts`; rows of one key are spread by `spread_by`."""
+    """Join a small `dim` (one or a few rows per `on`) to `facts`; the fact rows of one key are
+    spread over `fan` tasks by `spread_by`."""
     if how not in ("left", "inner"):
         raise ValueError("attach keeps the fact side: use 'left' or 'inner'")
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
