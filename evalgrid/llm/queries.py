@@ -4,24 +4,54 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evalgrid.llm import mixing, outliers
-from evalgrid.llm.common import documents
+from evalgrid.llm import langid, mixing, outliers, packing, quality, simhash, toxicity
+from evalgrid.llm.common import bucket_of, documents
 
 Build = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = bucket_of(F.col("doc_id"), 3) == 1
+    chain = toxicity.learn_chain(docs, labels, ~held_out)
+    scored = toxicity.toxicity(docs, chain, [F.col("doc_id"), held_out.alias("held_out")])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op6_shrunk_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    stats = quality.with_statistics(docs, [F.col("doc_id")])
+    model = quality.learn(stats, labels, bucket_of(F.col("doc_id"), 5) != 0)
+    scored = quality.score(stats.withColumn("held_out", bucket_of(F.col("doc_id"), 5) == 0), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(documents(spark, sf_dir))
 
 
+def op9_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Build]:
-    return {f.__name__: f for f in (op4_systematic_mix, op7_robust_outliers)}
+    return {f.__name__: f for f in (op1_covering_simhash, op2_crf_toxicity, op4_systematic_mix, op6_shrunk_discriminant, op7_robust_outliers, op9_tier_packing, op10_fused_language)}
 
 
 OP4_SQL = """
