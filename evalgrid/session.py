@@ -46,12 +46,17 @@ def _shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{_shared_folder(spark)}/evalgrid-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once and go on from the written table.
 
     Used where several later steps read one result. Computed in one pass (an eager checkpoint
     computes it twice), columnar, with real sizes for the planner; a lost executor costs a read.
     """
-    path = f"{_shared_folder(df.sparkSession)}/evalgrid-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
