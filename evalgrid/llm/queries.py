@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import langid, mixing, outliers, packing, quality, simhash, toxicity
+from evalgrid.llm import arc, hamming, langid, lm, mixing, outliers, packing, quality, simhash, toxicity
 from evalgrid.llm.common import bucket_of, documents
+from evalgrid.session import new_folder
 
 Build = Callable[[SparkSession, str], DataFrame]
 
@@ -26,10 +27,19 @@ def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), bucket_of(F.col("doc_id"), 10) == 0, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sampled(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = arc.archived_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), new_folder(spark))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_shrunk_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     stats = quality.with_statistics(docs, [F.col("doc_id")])
@@ -42,6 +52,12 @@ def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.judge(documents(spark, sf_dir))
 
 
+def op8_multi_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    codes = vectors.select(F.col("vec_id").alias("id"), hamming.sign_code("embedding").alias("code"))
+    return hamming.top_k(codes, F.coalesce(F.col("id") % 100 == 0, F.lit(False)), 10)
+
+
 def op9_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -51,7 +67,9 @@ def op10_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Build]:
-    return {f.__name__: f for f in (op1_covering_simhash, op2_crf_toxicity, op4_systematic_mix, op6_shrunk_discriminant, op7_robust_outliers, op9_tier_packing, op10_fused_language)}
+    own = [op1_covering_simhash, op2_crf_toxicity, op3_attention_lm, op4_systematic_mix, op5_arc_to_warc]
+    own += [op6_shrunk_discriminant, op7_robust_outliers, op8_multi_index_search, op9_tier_packing, op10_fused_language]
+    return {f.__name__: f for f in own}
 
 
 OP4_SQL = """
@@ -79,5 +97,22 @@ FROM placed JOIN draws USING (source_key) JOIN best USING (source_key, draw)
 """
 
 
+OP5_SQL = """
+WITH p AS (SELECT page_id, COALESCE(html, '') AS html, sha256(COALESCE(html, '')) AS payload_digest,
+                  CAST(octet_length(encode(COALESCE(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+o AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS original FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN original END AS refers_to FROM o
+"""
+
+OP8_SQL = """
+WITH c AS (SELECT vec_id, array_to_string(list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT q.vec_id AS query_id, r.vec_id AS id, CAST(hamming(q.bits, r.bits) AS INTEGER) AS distance FROM c q, c r WHERE q.vec_id % 100 = 0)
+SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM d) WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": OP4_SQL}
+    return {"op4_systematic_mix": OP4_SQL, "op5_arc_to_warc": OP5_SQL, "op8_multi_index_search": OP8_SQL}
