@@ -199,7 +199,7 @@ def write_arc(pages: DataFrame, path: str, per_file: int, version: Callable[[int
 
         yield from _strings(lines())
 
-    _write(pages.select("page_id", "url", "html").mapInArrow(run, "value string"), path, per_file, "\n")
+    _write(pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, "value string"), path, per_file, "\n")
 
 
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

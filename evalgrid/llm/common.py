@@ -42,5 +42,6 @@ def row_key(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*parts, nulls).alias("_k1"), F.xxhash64(F.lit("second"), nulls, *reversed(parts)).alias("_k2")]
 
 
-def with_row_key(df: DataFrame) -> DataFrame:
-    return df.select("*", *row_key(df))
+def keyed_rows(df: DataFrame) -> DataFrame:
+    """_row (the whole row, whatever its columns are called), _k1 and _k2."""
+    return df.select(F.struct("*").alias("_row"), *row_key(df))

@@ -91,14 +91,14 @@ def page_evidence(pages: DataFrame, names: list[str], logp: np.ndarray) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             htmls, hosts = batch.column(2).to_pylist(), [host_of(u) for u in batch.column(1).to_pylist()]
-            rows = [weight[trigrams(raw)].sum(axis=0) if raw.strip() else None for raw in map(visible, htmls)]
+            rows = [weight[trigrams(raw)].sum(axis=0) if names and raw.strip() else None for raw in map(visible, htmls)]
             said = [d if d in known or not d else "other" for d in map(declared, htmls)]
             read = [None if r is None else int(r.argmax()) for r in rows]
             like = [[0.0] * len(names) if r is None else r.tolist() for r in rows]
             cols = [batch.column(0), pa.array([h for h, _ in hosts]), pa.array([s for _, s in hosts]), pa.array(said, pa.string()), pa.array(like, pa.list_(pa.float64())), pa.array(read, pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, ["page_id", "host", "suffix", "said", "loglik", "read"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id bigint, host string, suffix string, said string, loglik array<double>, read int")
+    return pages.select(F.col("page_id").cast("bigint"), "url", "html").mapInArrow(run, "page_id bigint, host string, suffix string, said string, loglik array<double>, read int")
 
 
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
         return seen.select("page_id", none.cast("string").alias("lang"), none.cast("double").alias("confidence"), none.cast("string").alias("text_lang"), F.col("said").alias("declared"), "host", "suffix")
     seen, k = cut_lineage(seen), len(names)
     votes = F.array(*[F.sum(F.when(F.col("read") == i, 1.0).otherwise(0.0)) for i in range(k)])
-    total = seen.agg(votes.alias("v")).first()["v"] or [0.0] * k
+    total = [x or 0.0 for x in seen.agg(votes.alias("v")).first()["v"]]
     overall = (np.array(total) + 1) / (sum(total) + k)
     # P(declared | language), one more of every kind than seen
     kinds = ["", "other", *names]

@@ -201,7 +201,7 @@ def _text_scores(model: A.Model, ids: np.ndarray, sizes: np.ndarray, batch: int
 def score(docs: DataFrame, held_out: Column, tokenizer: str, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per document; rows where
     `held_out` holds teach nothing. `tokenizer`: path of a vocabulary file on every machine."""
-    docs = docs.select("doc_id", "text", held_out.alias("held_out"))
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text", held_out.alias("held_out"))
     train = docs.where(~F.col("held_out"))
     counts = cut_lineage(word_counts(train))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()

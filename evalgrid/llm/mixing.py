@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import null_last, row_key, word_count
+from evalgrid.llm.common import keyed_rows, null_last, row_key, word_count
 from evalgrid.session import cut_lineage
 
 WEIGHTS = [3, 1, 2]
@@ -88,7 +88,6 @@ def sampled(docs: DataFrame, keep: list[Column] | None = None, seed: int = 42, d
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed documents: each row as often as it is taken, all columns as they came. Copies of
     equal rows are summed and dealt out from one of them."""
-    keys = row_key(docs)
-    wanted = sampled(docs, keys).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
-    one = docs.select("*", *keys).join(wanted, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
-    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    wanted = sampled(docs, row_key(docs)).groupBy("_k1", "_k2").agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    one = keyed_rows(docs).join(wanted, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"])
+    return one.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy")).select("_row.*")

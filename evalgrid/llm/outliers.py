@@ -6,9 +6,9 @@ steps, each a partial aggregate of sums and products per group, with the half-sa
 off a histogram of distances, so a group of any size meets in no task.
 
 Defined results: a null or empty text has no words and fails the base rules; null language or
-source is a group of its own; groups below `MIN_GROUP` documents are judged together with the
-other small groups of their language, and with those of every language if that is still too few
-(the last such pool may be tiny: then its documents stay); ties at a limit count as inside.
+source is a group of its own; groups below `MIN_GROUP` documents are judged by the estimate of all
+documents of their language, and by that of the whole table if the language has fewer too; ties at
+a limit count as inside.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalgrid.llm.common import SPACES, null_last, row_key, words
+from evalgrid.llm.common import SPACES, keyed_rows, null_last, row_key, words
 from evalgrid.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
@@ -27,6 +27,7 @@ MIN_WORDS = 20
 MIN_GROUP = 60
 HALF = 0.75  # share of a group that the estimate concentrates on
 STEPS = 4
+SLICES = 16  # parts in which a group's rows meet its estimate
 # 0.75-quantile of the chi-squared distribution with 5 degrees of freedom: makes distances comparable.
 CHI_HALF = 6.6257
 # Squared distance beyond which a document is an outlier (about six standard deviations).
@@ -112,9 +113,9 @@ def _limit(binned: DataFrame, keys: list[str], share: float) -> DataFrame:
 def _start(sample: DataFrame) -> DataFrame:
     """Median and median absolute deviation of each statistic per group, as first estimate."""
     grid = 1024.0
-    long = sample.select("fit", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(NAMES)])).alias("s")).select("fit", "s.*")
+    long = sample.select("fit", "slice", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).alias("v")) for i, c in enumerate(NAMES)])).alias("s")).select("fit", "slice", "s.*")
     mid = _limit(long.select("fit", "f", F.round(F.col("v") * grid).cast("long").alias("bin")), ["fit", "f"], 0.5).select("fit", "f", (F.col("bin") / grid).alias("m"))
-    off = long.join(mid, ["fit", "f"]).select("fit", "f", F.round(F.abs(F.col("v") - F.col("m")) * grid).cast("long").alias("bin"))
+    off = long.join(_spread(mid), ["fit", "slice", "f"]).select("fit", "f", F.round(F.abs(F.col("v") - F.col("m")) * grid).cast("long").alias("bin"))
     mad = _limit(off, ["fit", "f"], 0.5).select("fit", "f", (1.4826 * F.col("bin") / grid).alias("d"))
     both = mid.join(mad, ["fit", "f"])
     pick = lambda c, i: F.max(F.when(F.col("f") == i, F.col(c)))
@@ -134,10 +135,16 @@ def _with_cholesky(estimates: DataFrame) -> DataFrame:
     return out.select("fit", *[f"m{i}" for i in range(p)], *[f"l{i}_{j}" for i in range(p) for j in range(i + 1)])
 
 
+def _spread(per_group: DataFrame) -> DataFrame:
+    """One row per group -> one per group and slice, so that a group of any share of the rows is
+    joined in SLICES parts."""
+    return per_group.withColumn("slice", F.explode(F.array(*[F.lit(i) for i in range(SLICES)])))
+
+
 def _distance(rows: DataFrame, factors: DataFrame) -> DataFrame:
     """Joins each row with its group's estimate and adds the squared Mahalanobis distance d2."""
     kept = rows.columns
-    out = rows.join(factors, "fit", "left")
+    out = rows.join(_spread(factors), ["fit", "slice"], "left")
     for i in range(len(NAMES)):
         rest = reduce(lambda a, b: a - b, [F.col(f"l{i}_{k}") * F.col(f"z{k}") for k in range(i)], F.col(NAMES[i]) - F.col(f"m{i}"))
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}_{i}"))
@@ -152,7 +159,7 @@ def _concentrate(sample: DataFrame, factors: DataFrame) -> DataFrame:
     """One concentration step: mean and covariance of the share of a group nearest to its estimate."""
     near = _distance(sample, factors).withColumn("bin", _bin())
     limit = _limit(near, ["fit"], HALF).withColumnRenamed("bin", "upto")
-    inside = near.join(limit, "fit").where(F.col("bin") <= F.col("upto"))
+    inside = near.join(_spread(limit), ["fit", "slice"]).where(F.col("bin") <= F.col("upto"))
     p, floor = len(NAMES), list(FEATURES.values())
     sums = [F.count(F.lit(1)).alias("n")] + [F.avg(c).alias(f"m{i}") for i, c in enumerate(NAMES)]
     sums += [F.covar_pop(NAMES[i], NAMES[j]).alias(f"v{i}_{j}") for i in range(p) for j in range(i + 1)]
@@ -162,13 +169,17 @@ def _concentrate(sample: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def _fit_groups(rows: DataFrame, min_group: int) -> DataFrame:
-    """Group -> the pool it is judged in: itself, the small groups of its language, or those of all."""
+    """For each group the estimate it is judged by (`fit`) and those that its rows feed (`feeds`): its
+    own, or if it is small that of its language, or if that is small too that of all documents."""
     sizes = rows.where(~F.col("base_failed")).groupBy("lang_key", "source_key").agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < min_group
-    own = F.concat_ws("\x00", F.lit("g"), "lang_key", "source_key")
-    in_lang = sizes.where(small).groupBy("lang_key").agg(F.sum("n").alias("n_lang"))
-    named = sizes.join(in_lang, "lang_key", "left").withColumn("fit", F.when(~small, own).when(F.col("n_lang") >= min_group, F.concat_ws("\x00", F.lit("l"), "lang_key")).otherwise(F.lit("all")))
-    return named.select("lang_key", "source_key", "fit")
+    own, lang, every = F.concat_ws("\x00", F.lit("g"), "lang_key", "source_key"), F.concat_ws("\x00", F.lit("l"), "lang_key"), F.lit("all")
+    in_lang = Window.partitionBy("lang_key")
+    sizes = sizes.withColumn("n_lang", F.sum("n").over(in_lang)).withColumn("smallest", F.min("n").over(in_lang))
+    large, spoken = F.col("n") >= min_group, F.col("n_lang") >= min_group
+    named = cut_lineage(sizes.withColumn("fit", F.when(large, own).when(spoken, lang).otherwise(every)))
+    pooled = not named.where(F.col("fit") == "all").isEmpty()
+    feeds = [F.when(large, own), F.when(spoken & (F.col("smallest") < min_group), lang), every if pooled else F.lit(None).cast("string")]
+    return named.select("lang_key", "source_key", "fit", F.array_compact(F.array(*feeds)).alias("feeds"))
 
 
 def outlier_verdicts(stats: DataFrame, min_group: int = MIN_GROUP, cutoff: float = CUTOFF) -> DataFrame:
@@ -177,17 +188,19 @@ def outlier_verdicts(stats: DataFrame, min_group: int = MIN_GROUP, cutoff: float
     `stats`: lang, source, the base statistics and base_failed, with any other columns, which pass
     through. Read several times: give a written table.
     """
-    mine = ["lang_key", "source_key", "fit", "d2", *NAMES]
+    mine = ["lang_key", "source_key", "fit", "feeds", "slice", "d2", *NAMES]
     kept = [c for c in stats.columns if c not in mine]
     rows = stats.select(*kept, null_last(F.col("lang")).alias("lang_key"), null_last(F.col("source")).alias("source_key"), *_transformed())
     rows = rows.join(_fit_groups(rows, min_group), ["lang_key", "source_key"], "left")
-    sample = cut_lineage(rows.where(~F.col("base_failed")).select("fit", *NAMES))
+    rows = rows.withColumn("slice", F.pmod(F.hash(*NAMES), F.lit(SLICES)))
+    sample = cut_lineage(rows.where(~F.col("base_failed")).select(F.explode("feeds").alias("fit"), "slice", *NAMES))
+    rows = rows.drop("feeds")
     factors = cut_lineage(_with_cholesky(_start(sample)))
     for _ in range(STEPS):
         factors = cut_lineage(_with_cholesky(_concentrate(sample, factors)))
     # Distances inside the nearest share are scaled to what a normal group would show there.
     scale = _limit(_distance(sample, factors).withColumn("bin", _bin()), ["fit"], HALF).select("fit", (CHI_HALF / F.exp((F.col("bin") + 1) / 64.0)).alias("scale"))
-    judged = _distance(rows, factors).join(cut_lineage(scale), "fit", "left")
+    judged = _distance(rows, factors).join(_spread(cut_lineage(scale)), ["fit", "slice"], "left")
     distance = F.when(~F.col("base_failed"), F.col("d2") * F.least(F.col("scale"), F.lit(1.0)))
     return judged.select(*kept, distance.alias("distance"), (~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))).alias("kept"))
 
@@ -204,4 +217,4 @@ def drop_outliers(docs: DataFrame) -> DataFrame:
     keys = row_key(docs)
     stats = cut_lineage(document_statistics(docs, [*keys, F.col("lang"), F.col("source")]))
     rejected = outlier_verdicts(stats).where(~F.col("kept")).select("_k1", "_k2").distinct()
-    return docs.select("*", *keys).join(rejected, ["_k1", "_k2"], "left_anti").select(*[docs[c] for c in docs.columns])
+    return keyed_rows(docs).join(rejected, ["_k1", "_k2"], "left_anti").select("_row.*")

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evalgrid.llm.tokens import encode_texts, slices, word_ids
 
@@ -160,4 +161,4 @@ def pack(docs: DataFrame, tokenizer: str, tiers: list[int] = TIERS, step_tokens:
         yield rows(list(wait.rest()))
 
     names = [c.split()[0] for c in SCHEMA.split(", ")] + ["ids"] * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from evalgrid.llm.common import row_key
+from evalgrid.llm.common import keyed_rows, row_key
 from evalgrid.llm.components import connected_components
 from evalgrid.session import cut_lineage
 
@@ -178,7 +178,6 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class: the one with the smallest id (a null id only if there is no
     other), all columns as they came."""
-    keys = row_key(docs)
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_k1", "_k2")
-    kept = classified(docs, [F.col("doc_id"), *keys]).groupBy("root").agg(F.min(rank).alias("r")).select("r._k1", "r._k2")
-    return docs.select("*", *keys).join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
+    kept = classified(docs, [F.col("doc_id"), *row_key(docs)]).groupBy("root").agg(F.min(rank).alias("r")).select("r._k1", "r._k2")
+    return keyed_rows(docs).join(kept, ["_k1", "_k2"]).dropDuplicates(["_k1", "_k2"]).select("_row.*")
