@@ -13,6 +13,7 @@ checks (autoBroadcastJoinThreshold at planning, adaptive execution at run time).
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,13 @@ def salt(cols: Sequence[str | Column], fan: int = FAN) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(fan)).cast("int")
 
 
+def join_on(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the key columns of `left` stay."""
+    named = right.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in right.columns])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on])
+    return left.join(named, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def attach(
     facts: DataFrame,
     dim: DataFrame,
@@ -32,14 +40,16 @@ def attach(
     spread_by: Sequence[str],
     how: str = "left",
     fan: int = FAN,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join a small `dim` (one or a few rows per `on`) to `facts`; the fact rows of one key are
-    spread over `fan` tasks by `spread_by`."""
+    spread over `fan` tasks by `spread_by`. Null keys meet nothing unless `null_safe`."""
     if how not in ("left", "inner"):
         raise ValueError("attach keeps the fact side: use 'left' or 'inner'")
     copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))))
     keyed = facts.withColumn("_salt", salt(spread_by, fan))
-    return keyed.join(copies, [*on, "_salt"], how).drop("_salt")
+    joined = join_on(keyed, copies, [*on, "_salt"], how) if null_safe else keyed.join(copies, [*on, "_salt"], how)
+    return joined.drop("_salt")
 
 
 def running(
@@ -58,6 +68,7 @@ def running(
     count: 1-based row number. sums / maxes: over the rows strictly before. lasts / nexts: last
     non-null value strictly before / first non-null value strictly after. Each mapping is
     {output column: input column}. A key is never sorted as a whole: the longest sort is one slot.
+    Null keys and null slots are keys and slots like any other, the null slot the first.
     """
     sums, maxes, lasts, nexts = (dict(m or {}) for m in (sums, maxes, lasts, nexts))
     cell = [*keys, slot]
@@ -74,7 +85,7 @@ def running(
     per_slot = df.groupBy(*cell).agg(*totals)
 
     back = Window.partitionBy(*keys).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc(slot)).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy(*keys).orderBy(F.desc_nulls_last(slot)).rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.sum("_n").over(back).alias("_c_n")]
     carried += [F.sum(f"_t_{o}").over(back).alias(f"_c_{o}") for o in sums]
     carried += [F.max(f"_t_{o}").over(back).alias(f"_c_{o}") for o in maxes]
@@ -100,7 +111,7 @@ def running(
         out.append(F.coalesce(F.last(c, ignorenulls=True).over(before), f"_c_{o}").alias(o))
     for o, c in nexts.items():
         out.append(F.coalesce(F.last(c, ignorenulls=True).over(after), f"_c_{o}").alias(o))
-    return df.join(carry, cell).select(*[F.col(c) for c in df.columns], *out)
+    return join_on(df, carry, cell).select(*[F.col(c) for c in df.columns], *out)
 
 
 def quantiles(
@@ -114,7 +125,8 @@ def quantiles(
 
     Equal values are counted first. The counts are laid over at most `cells` value bands per key,
     the bands holding the wanted ranks are found from their totals, and only values inside those
-    bands are ordered. Nulls and NaN are skipped; a key without values gives no row.
+    bands are ordered. Null and NaN values are skipped; a key without values gives no row; a null
+    key is a key.
     """
     whole = not keys
     if whole:
@@ -127,7 +139,7 @@ def quantiles(
     band = F.when(
         width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * cells), F.lit(cells - 1))
     ).otherwise(F.lit(0))
-    banded = attach(tally, span, keys, ["_v"], how="inner").select(
+    banded = attach(tally, span, keys, ["_v"], how="inner", null_safe=True).select(
         *keys, "_v", "_c", "_n", band.cast("int").alias("_band")
     )
     totals = banded.groupBy(*keys, "_band").agg(F.sum("_c").alias("_bc"), F.first("_n").alias("_n"))
@@ -151,9 +163,9 @@ def quantiles(
         .distinct()
     )
     in_band = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    kept = banded.join(ranks.select(*keys, "_band").distinct(), [*keys, "_band"], "left_semi")
+    kept = join_on(banded, ranks.select(*keys, "_band").distinct(), [*keys, "_band"])
     placed = kept.select(*keys, "_band", "_v", "_c", F.coalesce(F.sum("_c").over(in_band), F.lit(0)).alias("_cum"))
-    hit = placed.join(ranks, [*keys, "_band"]).where(
+    hit = join_on(placed, ranks, [*keys, "_band"]).where(
         (F.col("_rank") >= F.col("_before") + F.col("_cum"))
         & (F.col("_rank") < F.col("_before") + F.col("_cum") + F.col("_c"))
     )

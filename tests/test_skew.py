@@ -61,6 +61,15 @@ def test_attach_keeps_every_row_once(spark):
         K.attach(d, dim, ["key"], ["id"], how="full")
 
 
+def test_null_keys_and_slots_are_kept(spark):
+    rows = [("a", 0, 1, 1.0), ("a", 1, 2, 2.0), (None, 0, 1, 3.0), (None, None, 0, 4.0), ("a", 2, 3, 1e12), (None, 0, 2, None)]
+    d = spark.createDataFrame(rows, "key string, slot int, t int, v double")
+    got = {(r["key"], r["t"]): (r["n"], r["s"]) for r in K.running(d, ["key"], "slot", ["t"], count="n", sums={"s": "v"}).collect()}
+    assert got == {("a", 1): (1, 0), ("a", 2): (2, 1), ("a", 3): (3, 3), (None, 0): (1, 0), (None, 1): (2, 4), (None, 2): (3, 7)}
+    q = {r["key"]: r["m"] for r in K.quantiles(d, ["key"], "v", {"m": 0.5}).collect()}
+    assert q == {"a": 2.0, None: 3.5}
+
+
 def test_halo_covers_the_lookback(spark):
     d = spark.createDataFrame([("p", t) for t in range(0, 100, 7)], "key string, t int")
     h = K.haloed(d, ["key"], "t", 20, 15).collect()
