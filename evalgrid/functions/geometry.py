@@ -14,36 +14,38 @@ LID_RANGE = (-1.0, 2.0)
 Point = tuple[Column, Column]
 
 
-def _minus(a: Point, b: Point) -> Point:
-    return a[0] - b[0], a[1] - b[1]
+def eye_geometry(outer: Point, inner: Point, upper: Point, lower: Point, iris: Point) -> dict[str, Column]:
+    """Iris position within the eye, all as products over the squared corner distance.
 
+    With corner axis c = inner - outer, width w = |c| and a point p relative to the outer corner:
+    h = p.c / w^2 (0 at the outer corner, 1 at the inner), v = (c x p) / w^2 signed so that down the
+    image is positive for either eye, open = lid distance / w, and vlid = the same cross product of
+    the iris below the upper lid over that of the lower lid, within LID_RANGE; null when nearly shut.
+    """
 
-def _dot(a: Point, b: Point) -> Column:
-    return a[0] * b[0] + a[1] * b[1]
+    def rel(p: Point, q: Point) -> Point:
+        return p[0] - q[0], p[1] - q[1]
 
+    def dot(p: Point, q: Point) -> Column:
+        return p[0] * q[0] + p[1] * q[1]
 
-def _norm(a: Point) -> Column:
-    return F.sqrt(_dot(a, a))
+    c = rel(inner, outer)
+    w2 = F.greatest(dot(c, c), F.lit(TINY**2))
+    turn = F.when(c[0] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
 
+    def depth(p: Point) -> Column:
+        """Distance down the image from the corner axis, times the width."""
+        return turn * (c[0] * p[1] - c[1] * p[0])
 
-def eye_geometry(outer: Point, inner: Point, upper: Point, lower: Point, iris: Point) -> dict[str, Column]:
-    """Iris position within the eye, in pixels: h along the corner axis (0 outer, 1 inner), v below
-    it, vlid between the lids (null when nearly shut), open = lid distance over width."""
-    axis = _minus(inner, outer)
-    width = _norm(axis) + TINY
-    along = (axis[0] / width, axis[1] / width)
-    # the perpendicular that points down the image, whichever way the axis runs
-    side = F.when(along[0] < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
-    down = (-along[1] * side, along[0] * side)
-    offset, lids = _minus(iris, outer), _minus(lower, upper)
-    opening = _norm(lids) + TINY
-    depth = _dot(lids, down)
-    lid = F.least(F.greatest(F.try_divide(_dot(_minus(iris, upper), down), depth), F.lit(LID_RANGE[0])), F.lit(LID_RANGE[1]))
+    gap, width = rel(lower, upper), F.sqrt(w2)
+    opening = F.sqrt(dot(gap, gap) / w2)
+    part = F.try_divide(depth(rel(iris, upper)), depth(gap))
+    sighted = (opening >= SHUT) & (F.abs(depth(gap)) > FLAT * width)
     return {
-        "h": _dot(offset, along) / width,
-        "v": _dot(offset, down) / width,
-        "vlid": F.when((opening / width >= SHUT) & (F.abs(depth) > FLAT), lid),
-        "open": opening / width,
+        "h": dot(rel(iris, outer), c) / w2,
+        "v": depth(rel(iris, outer)) / w2,
+        "vlid": F.when(sighted, F.greatest(F.lit(LID_RANGE[0]), F.least(F.lit(LID_RANGE[1]), part))),
+        "open": opening,
         "width_px": width,
     }
 

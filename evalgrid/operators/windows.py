@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -110,24 +110,41 @@ def rate_report(slow: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return s.join(quantiles(slow, keys, value, {"median_ms": 0.5, "p95_ms": 0.95}), list(keys), "left")
 
 
-def _fixations(rows: pd.DataFrame, min_ms: float, disp: float, gap: float) -> list[tuple[float, float]]:
-    t, x, y = rows["t"].to_numpy(float), rows["x"].to_numpy(float), rows["y"].to_numpy(float)
-    found, start, n = [], 0, len(t)
-    while start < n:
-        end = int(np.searchsorted(t, t[start] + min_ms))
-        if end >= n:
-            break
-        box = [x[start : end + 1].min(), x[start : end + 1].max(), y[start : end + 1].min(), y[start : end + 1].max()]
-        if box[1] - box[0] + box[3] - box[2] > disp:
-            start += 1
-            continue
-        while end + 1 < n and t[end + 1] - t[end] < gap:
-            wider = [min(box[0], x[end + 1]), max(box[1], x[end + 1]), min(box[2], y[end + 1]), max(box[3], y[end + 1])]
-            if wider[1] - wider[0] + wider[3] - wider[2] > disp:
+def _reach(values: np.ndarray, limit: float) -> np.ndarray:
+    """For each sample the last one up to which the spread (range of x + range of y) stays within
+    the limit. It never moves back, so both ends of one window advance, with the window's extremes
+    kept in monotone queues."""
+    n = len(values)
+    series = np.c_[values, -values].T.tolist()  # the spread is the sum of these four maxima
+    queues = [deque() for _ in series]
+    out, end = np.empty(n, np.int64), -1
+    for start in range(n):
+        while end + 1 < n:
+            k = end + 1
+            top = sum(max(s[q[0]], s[k]) if q else s[k] for q, s in zip(queues, series))
+            if k > start and top > limit:
                 break
-            box, end = wider, end + 1
-        found.append((t[start], t[end]))
-        start = end + 1
+            for q, s in zip(queues, series):
+                while q and s[q[-1]] <= s[k]:
+                    q.pop()
+                q.append(k)
+            end = k
+        out[start] = end
+        for q in queues:
+            if q and q[0] == start:
+                q.popleft()
+    return out
+
+
+def _fixations(t: np.ndarray, xy: np.ndarray, min_ms: float, disp: float) -> list[tuple[float, float]]:
+    """Greedy fixations of one unbroken run: the first start whose reach lasts min_ms, then on from
+    behind it."""
+    reach = _reach(xy, disp)
+    lasting = np.flatnonzero(t[reach] - t >= min_ms)
+    found, at = [], 0
+    while (k := np.searchsorted(lasting, at)) < len(lasting):
+        found.append((t[lasting[k]], t[reach[lasting[k]]]))
+        at = reach[lasting[k]] + 1
     return found
 
 
@@ -146,20 +163,23 @@ def fixations(refs: DataFrame, keys: Sequence[str], t: str, x: str, y: str, vali
     fields = ", ".join(f"{k} {v.schema[k].dataType.simpleString()}" for k in keys)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None  # the last run of a batch may go on in the next one
-        for b in chain(batches, [None]):
-            rows = held if b is None else b if held is None else pd.concat([held, b])
-            if rows is None or rows.empty:
-                continue
-            number = rows.groupby(run_key, sort=False).ngroup().to_numpy()
-            open_run = number == number[-1] if b is not None else np.zeros(len(rows), bool)
-            held, done, number = (rows[open_run] if b is not None else None), rows[~open_run], number[~open_run]
+        open_parts: list[pd.DataFrame] = []  # of the run that the next batch may go on with
+
+        def closed() -> list[tuple]:
+            run = pd.concat(open_parts)
+            open_parts.clear()
+            who = tuple(run.iloc[0][k] for k in keys)
+            return [(*who, *f) for f in _fixations(run["t"].to_numpy(float), run[["x", "y"]].to_numpy(float), min_ms, disp)]
+
+        for b in batches:
             out = []
-            for at in np.split(np.arange(len(done)), np.flatnonzero(np.diff(number)) + 1) if len(done) else []:
-                run = done.iloc[at]
-                who = tuple(run.iloc[0][k] for k in keys)
-                out += [(*who, *f) for f in _fixations(run, min_ms, disp, gap)]
+            for _, part in b.groupby(run_key, sort=False, dropna=False):
+                if open_parts and not open_parts[-1][run_key].iloc[-1].equals(part[run_key].iloc[0]):
+                    out += closed()
+                open_parts.append(part)
             yield pd.DataFrame(out, columns=[*keys, "start", "end"])
+        if open_parts:
+            yield pd.DataFrame(closed(), columns=[*keys, "start", "end"])
 
     runs = v.select(*run_key, "t", "x", "y").repartition(*run_key).sortWithinPartitions(*run_key, "t")
     return runs.mapInPandas(scan, f"{fields}, start double, end double")
