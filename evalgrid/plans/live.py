@@ -6,31 +6,70 @@ from pyspark.sql import functions as F
 
 from evalgrid.operators.skew import running
 from evalgrid.plans.registry import query
-from evalgrid.plans.roles import DAY, HOUR, KEYS, event_log, sql, table
+from evalgrid.plans.roles import DAY, HOUR, event_log, sql, table
 from evalgrid.streaming import live as L
-from evalgrid.streaming.selection import Layout
 
-LAYOUT = Layout(items=("water", "tea", "book", "lamp", "radio"), zones=3, dwell=12 * 3600, pause=3600, scan_every=24 * 3600)
+STEP, WIDE, GAP = 6 * HOUR, 4, 36 * HOUR  # windows of a day every six hours, silent for a day and a half
 
+CHAIN = """
+nx AS (SELECT a.participant, a.t, min(b.t) AS nx FROM k a JOIN k b ON b.participant=a.participant AND b.t>=a.t+{gap} GROUP BY 1,2),
+ch AS (SELECT participant, min(t) AS t FROM k GROUP BY 1 UNION ALL SELECT ch.participant, nx.nx FROM ch JOIN nx ON nx.participant=ch.participant AND nx.t=ch.t)
+"""
 
-def _observed(spark, sf):
-    log = event_log(spark, sf)
-    return log.select("participant", "trial", F.floor(F.col("t_us") / 1_000_000).alias("t"), "seq", F.when(F.col("event") != "page", F.col("zone")).alias("zone"))
 
+def recursive(body: str, *views: str) -> str:
+    return sql(body, *views).replace("WITH ", "WITH RECURSIVE ", 1)
 
-@query("q_l1_dwell_rows")
+
+def _choices(spark, sf):
+    """Choices of a participant, numbered from 1."""
+    s = event_log(spark, sf).where("event = 'select'").select("participant", "zone", "seq", "t_us").withColumn("slot", F.floor(F.col("seq") / 100_000))
+    return running(s, ["participant"], "slot", ["seq"], count="n").drop("slot")
+
+
+CHOICES = "s AS (SELECT participant, zone, seq, t_us, row_number() OVER (PARTITION BY participant ORDER BY seq) AS n FROM ev WHERE event='select')"
+
+
+@query("q_l1_dwell", recursive(f"""
+WITH w AS (SELECT participant, (t_us//{STEP}-k+{WIDE})*{STEP} AS t, CASE WHEN event<>'page' THEN zone END AS zone FROM ev, range({WIDE}) r(k)),
+c AS (SELECT participant, t, count(*) AS n, count(*) FILTER (WHERE zone=0) AS z0, count(*) FILTER (WHERE zone=1) AS z1, count(*) FILTER (WHERE zone=2) AS z2 FROM w GROUP BY 1,2),
+k AS (SELECT participant, t, CASE WHEN z0=greatest(z0,z1,z2) THEN 0 WHEN z1=greatest(z0,z1,z2) THEN 1 ELSE 2 END AS zone FROM c WHERE n>=2 AND greatest(z0,z1,z2)>=0.6*n),
+{CHAIN.format(gap=GAP)} SELECT k.participant, k.t, k.zone FROM k JOIN ch ON ch.participant=k.participant AND ch.t=k.t""", "ev"))
 def dwell(spark, sf):
-    return L.selections_batch(_observed(spark, sf), KEYS, "t", "seq", "zone", LAYOUT)
+    seen = event_log(spark, sf).select("participant", F.timestamp_micros("t_us").alias("ts"), F.when(F.col("event") != "page", F.col("zone")).alias("zone"))
+    c = L.dwell_candidates(seen, ["participant"], "ts", "zone", 3, f"{STEP * WIDE // HOUR} hours", f"{STEP // HOUR} hours", 0.6, 2)
+    return L.refractory(c, ["participant"], "t", GAP, 7 * DAY)
 
 
-@query("q_l3_confirm_rows")
+@query("q_l3_confirm", sql(f"""
+WITH {CHOICES} SELECT participant, seq, CASE WHEN n%2=1 THEN 'ask' WHEN zone=0 THEN 'select' ELSE 'cancel' END AS step,
+ CASE WHEN n%2=1 THEN zone ELSE lag(zone) OVER (PARTITION BY participant ORDER BY n) END AS item FROM s""", "ev"))
 def confirm(spark, sf):
-    from dataclasses import replace
+    return L.two_step(_choices(spark, sf), ["participant"], "n", "zone").select("participant", "seq", "step", "item")
 
-    return L.selections_batch(_observed(spark, sf), KEYS, "t", "seq", "zone", replace(LAYOUT, guard="confirm", pattern="scan"))
 
+@query("q_l4_timer", sql(f"""
+WITH {CHOICES}, d AS (SELECT *, t_us-min(t_us) OVER (PARTITION BY participant) AS since FROM s),
+r AS (SELECT *, since//{DAY} AS turns FROM d)
+SELECT participant, seq, CAST(turns%3 AS INTEGER) AS page, turns>0 AND since-turns*{DAY}<{2*HOUR} AS locked,
+ coalesce(turns<>lag(turns) OVER (PARTITION BY participant ORDER BY n), false) AS cancelled FROM r""", "ev"))
+def timer(spark, sf):
+    return L.timed_pages(_choices(spark, sf), ["participant"], "t_us", "n", DAY, 3, 2 * HOUR).select("participant", "seq", "page", "locked", "cancelled")
 
-@query("q_l6_alert_rows")
+
+@query("q_l5_user", sql(f"""
+WITH {CHOICES}, r AS (SELECT *, coalesce(sum(CASE WHEN zone=2 THEN 1 ELSE 0 END) OVER (PARTITION BY participant ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS turns FROM s),
+i AS (SELECT *, (turns%3)*2+zone AS number FROM r)
+SELECT participant, seq, CAST((turns+(zone=2)::INT)%3 AS INTEGER) AS page, CASE WHEN zone=2 THEN 'page' WHEN number<5 THEN 'item' ELSE 'blank' END AS choice,
+ CASE WHEN zone<>2 AND number<5 THEN CAST(number AS INTEGER) END AS item FROM i""", "ev"))
+def user(spark, sf):
+    return L.user_pages(_choices(spark, sf), ["participant"], "n", "zone", 2, 2, 5).select("participant", "seq", "page", "choice", "item")
+
+
+@query("q_l6_alerts", recursive(f"""
+WITH s AS (SELECT participant, seq, t_us//1000 AS t, median(frame_ms) OVER (PARTITION BY participant ORDER BY seq ROWS BETWEEN 39 PRECEDING AND CURRENT ROW) AS med FROM ev),
+k AS (SELECT participant, t, arg_min(med, seq) AS median_ms FROM s WHERE seq>=40 AND med>40.0 GROUP BY 1,2),
+{CHAIN.format(gap=24*3600*1000+1)} SELECT k.participant, k.t, k.median_ms FROM k JOIN ch ON ch.participant=k.participant AND ch.t=k.t""", "ev"))
 def alerts(spark, sf):
     log = event_log(spark, sf).withColumn("t", F.floor(F.col("t_us") / 1000))
     return L.rate_alerts_batch(log, ["participant"], "t", "seq", "frame_ms", limit=40.0, every=24 * 3600 * 1000)
@@ -44,15 +83,7 @@ c AS (SELECT participant, run, min(n) AS first, count(*) AS len FROM r GROUP BY
 p AS (SELECT *, lag(len) OVER (PARTITION BY participant ORDER BY run) AS before FROM c)
 SELECT r.participant, seq, CASE WHEN (n-first)%2=1 THEN 'select' WHEN n=first AND coalesce(before%2=1,false) THEN 'disagreed' ELSE 'first of two' END AS verdict FROM r JOIN p ON p.participant=r.participant AND p.run=r.run""", "ev"))
 def repeat(spark, sf):
-    s = event_log(spark, sf).where("event = 'select'").select("participant", "zone", "seq").withColumn("slot", F.floor(F.col("seq") / 100_000))
-    s = running(s, ["participant"], "slot", ["seq"], count="n").drop("slot")
-    return L.repeat_confirm(s, ["participant"], "n", "zone").select("participant", "seq", "verdict")
-
-
-@query("q_l4_pages", sql(f"""
-SELECT participant, trial, CAST(floor((max(t_us)-min(t_us))/{6*HOUR}) AS BIGINT) AS pages FROM ev GROUP BY 1,2""", "ev"))
-def pages(spark, sf):
-    return L.auto_pages(event_log(spark, sf), KEYS, "t_us", 6 * HOUR)
+    return L.repeat_confirm(_choices(spark, sf), ["participant"], "n", "zone").select("participant", "seq", "verdict")
 
 
 @query("q_l7_trials", sql("""

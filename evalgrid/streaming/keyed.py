@@ -1,7 +1,7 @@
-"""Run a keyed step function over a batch (sorted partitions) or a stream (value state).
+"""Run a keyed step function over a stream, with a small value state per key.
 
-A step is (state, row) -> list of output tuples. In batch each partition is sorted by key and
-order and read in Arrow batches with one key's state in memory, so no key is ever collected.
+A step is (state, row) -> list of output tuples. Batch twins do without: see operators.chain and
+operators.skew.
 """
 
 from __future__ import annotations
@@ -22,26 +22,6 @@ def _ddl(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
-def run_batch(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: Start, step: Step, fields: str) -> DataFrame:
-    """Apply the step to every row of each key in order."""
-    keys = list(keys)
-    schema = StructType.fromDDL(f"{_ddl(df, keys)}, {fields}")
-    names = schema.names
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = state = None
-        for b in batches:
-            out = []
-            for row in b.astype(object).where(b.notna(), None).to_dict("records"):
-                k = tuple(row[c] for c in keys)
-                if k != key:
-                    key, state = k, start(row)
-                out += [(*k, *r) for r in step(state, row)]
-            yield pd.DataFrame(out, columns=names)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
-
-
 class StepProcessor(StatefulProcessor):
     """The same step on a stream: the key's state is one JSON value, rows are taken in event order
     within a micro-batch."""

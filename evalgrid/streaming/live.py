@@ -12,42 +12,91 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from evalgrid.functions.scores import same_item
-from evalgrid.operators.skew import running
+from evalgrid.operators.chain import jump_chain
+from evalgrid.operators.skew import attach, running
 from evalgrid.operators.windows import MIN_FPS, RATE_FRAMES, slow_frames
 from evalgrid.streaming import keyed
-from evalgrid.streaming.selection import EVENT_SCHEMA, Layout, advance, start
 
 # Fixed value: least time between two slowness alerts, in ms.
 ALERT_EVERY = 4000
 
 
-def _selection(layout: Layout, t: str, zone: str):
-    def begin(row: dict) -> dict:
-        return start(int(row[t]))
+def dwell_candidates(df: DataFrame, keys: Sequence[str], ts: str, zone: str, zones: int, dwell: str, step: str, min_share: float = 0.6, min_frames: int = 1, delay: str = "10 minutes") -> DataFrame:
+    """(keys, t, zone): sliding windows in which one zone fills enough of all frames, unseen ones
+    counted; `t` is the window's end in microseconds. Ties go to the lower zone; windows with fewer
+    than `min_frames` frames are not observed well enough. The same on a stream and on a table."""
+    if df.isStreaming:
+        df = df.withWatermark(ts, delay)
+    votes = [F.count_if(F.col(zone) == z).alias(f"_z{z}") for z in range(zones)]
+    g = df.groupBy(F.window(ts, dwell, step), *keys).agg(F.count(F.lit(1)).alias("_n"), *votes)
+    best = F.array_max(F.array(*[F.struct(F.col(f"_z{z}").alias("n"), F.lit(-z).alias("low")) for z in range(zones)]))
+    g = g.where(F.col("_n") >= min_frames).select(*keys, F.unix_micros("window.end").alias("t"), "_n", best.alias("_b"))
+    return g.where(F.col("_b.n") >= min_share * F.col("_n")).select(*keys, "t", (-F.col("_b.low")).alias("zone"))
 
-    def step(st: dict, row: dict) -> list:
-        z = row[zone]
-        return advance(layout, st, int(row[t]), None if z is None else int(z))
 
-    return begin, step
+def refractory(candidates: DataFrame, keys: Sequence[str], t: str, gap: int, slot_len: int) -> DataFrame:
+    """Candidates that count when each one silences its key for `gap`: the first, then always the
+    first at least `gap` later. One candidate per key and time."""
+    return jump_chain(candidates, keys, t, F.col(t) + gap, slot_len)
 
 
-def selections_batch(df: DataFrame, keys: Sequence[str], t: str, seq: str, zone: str, layout: Layout) -> DataFrame:
-    """Dwell selection (detector, repeat and two-step confirm, page turning) on a stored log."""
-    begin, step = _selection(layout, t, zone)
-    return keyed.run_batch(df.select(*keys, t, seq, zone), keys, [t, seq], begin, step, EVENT_SCHEMA)
+def refractory_stream(candidates: DataFrame, keys: Sequence[str], t: str, zone: str, gap: int) -> DataFrame:
+    """The stream twin: the state is when the key's silence ends."""
 
+    def step(st: dict, row: dict) -> list:
+        if st["until"] is not None and row[t] < st["until"]:
+            return []
+        st["until"] = int(row[t]) + gap
+        return [(int(row[t]), int(row[zone]))]
 
-def selections_stream(stream: DataFrame, keys: Sequence[str], t: str, seq: str, zone: str, layout: Layout) -> DataFrame:
-    begin, step = _selection(layout, t, zone)
-    return keyed.run_stream(stream.select(*keys, t, seq, zone), keys, [t, seq], begin, step, EVENT_SCHEMA)
+    return keyed.run_stream(candidates.select(*keys, t, zone), keys, [t], lambda row: {"until": None}, step, "t bigint, zone int")
 
 
-def _throttle(st: dict, now: int, every: int) -> bool:
-    if st["alerted"] is not None and now - st["alerted"] <= every:
-        return False
-    st["alerted"] = now
-    return True
+def two_step(df: DataFrame, keys: Sequence[str], seq: str, zone: str, yes: int = 0, slot_len: int = 100_000) -> DataFrame:
+    """Adds `step` and `item`: odd choices of a key ask about their own zone, the even one after it
+    answers - zone `yes` selects what was asked about, any other cancels it. `seq` numbers each key's
+    rows from 1, so what was asked about is the value one row back."""
+    d = running(df.withColumn("_slot", F.floor(F.col(seq) / slot_len)), keys, "_slot", [seq], lasts={"_asked": zone})
+    answer = F.col(seq) % 2 == 0
+    step = F.when(~answer, "ask").when(F.col(zone) == yes, "select").otherwise("cancel")
+    return d.select(*df.columns, step.alias("step"), F.when(answer, F.col("_asked")).otherwise(F.col(zone)).alias("item"))
+
+
+def two_step_stream(stream: DataFrame, keys: Sequence[str], seq: str, zone: str, yes: int = 0) -> DataFrame:
+    """The stream twin: the state is the zone asked about."""
+
+    def step(st: dict, row: dict) -> list:
+        z, asked = int(row[zone]), st["asked"]
+        st["asked"] = z if asked is None else None
+        return [(int(row[seq]), z, "ask", z) if asked is None else (int(row[seq]), z, "select" if z == yes else "cancel", asked)]
+
+    return keyed.run_stream(stream.select(*keys, seq, zone), keys, [seq], lambda row: {"asked": None}, step, "seq bigint, zone int, step string, item int")
+
+
+def timed_pages(df: DataFrame, keys: Sequence[str], t: str, seq: str, every: int, pages: int, pause: int, slot_len: int = 100_000) -> DataFrame:
+    """Adds what a timer that turns the page every `every` makes of each row of a session, counted
+    from its first row: `page`, `locked` (within `pause` of a turn) and `cancelled` (a turn since the
+    row before, which ends what was half chosen). `seq` numbers each key's rows from 1."""
+    began = df.groupBy(*keys).agg(F.min(t).alias("_t0"))
+    d = attach(df, began, keys, [seq], null_safe=True)
+    since = F.col(t) - F.col("_t0")
+    d = d.withColumn("_turns", F.floor(since / every)).withColumn("_slot", F.floor(F.col(seq) / slot_len))
+    d = running(d, keys, "_slot", [seq], lasts={"_before": "_turns"})
+    locked = (F.col("_turns") > 0) & (since - F.col("_turns") * every < pause)
+    return d.select(*df.columns, (F.col("_turns") % pages).cast("int").alias("page"), locked.alias("locked"), F.coalesce(F.col("_turns") != F.col("_before"), F.lit(False)).alias("cancelled"))
+
+
+def user_pages(df: DataFrame, keys: Sequence[str], seq: str, zone: str, turn: int, per_page: int, items: int, slot_len: int = 100_000) -> DataFrame:
+    """Adds what a choice means where zone `turn` turns the page and the others hold items: `page`
+    (after the choice), `choice` (page, item or blank) and `item` (its number, null unless an item).
+    A turn ends what was half chosen; slots behind the last item are blank and mean nothing."""
+    pages = max(1, -(-items // per_page))
+    d = df.withColumn("_turn", (F.col(zone) == turn).cast("int")).withColumn("_slot", F.floor(F.col(seq) / slot_len))
+    d = running(d, keys, "_slot", [seq], sums={"_turns": "_turn"})
+    number = (F.col("_turns") % pages) * per_page + F.col(zone) - (F.col(zone) > turn).cast("int")
+    choice = F.when(F.col("_turn") == 1, "page").when(number < items, "item").otherwise("blank")
+    page = ((F.col("_turns") + F.col("_turn")) % pages).cast("int")
+    return d.select(*df.columns, page.alias("page"), choice.alias("choice"), F.when(choice == "item", number.cast("int")).alias("item"))
 
 
 def rate_alerts_stream(stream: DataFrame, keys: Sequence[str], t: str, seq: str, value: str, limit: float = 1000 / MIN_FPS, last: int = RATE_FRAMES, every: int = ALERT_EVERY) -> DataFrame:
@@ -60,21 +109,21 @@ def rate_alerts_stream(stream: DataFrame, keys: Sequence[str], t: str, seq: str,
         st["recent"] = [*st["recent"], float(row[value])][-last:]
         if len(st["recent"]) < last:
             return []
-        middle = statistics.median(st["recent"])
-        return [(int(row[t]), middle)] if middle > limit and _throttle(st, int(row[t]), every) else []
+        middle, now = statistics.median(st["recent"]), int(row[t])
+        if middle <= limit or (st["alerted"] is not None and now - st["alerted"] <= every):
+            return []
+        st["alerted"] = now
+        return [(now, middle)]
 
     return keyed.run_stream(stream.select(*keys, t, seq, value), keys, [t, seq], begin, step, "t bigint, median_ms double")
 
 
 def rate_alerts_batch(df: DataFrame, keys: Sequence[str], t: str, seq: str, value: str, limit: float = 1000 / MIN_FPS, last: int = RATE_FRAMES, every: int = ALERT_EVERY) -> DataFrame:
-    """Batch twin: the sliding medians are computed in parallel, only slow frames are throttled in
-    order. `seq` numbers each session's rows from 1."""
+    """Batch twin: the sliding medians are computed in parallel, and the alerts are the greedy chain
+    of the slow frames. `seq` numbers each session's rows from 1."""
     slow = slow_frames(df.select(*keys, t, seq, value), keys, seq, value, limit, last).where("slow")
-
-    def step(st: dict, row: dict) -> list:
-        return [(int(row[t]), float(row["recent"]))] if _throttle(st, int(row[t]), every) else []
-
-    return keyed.run_batch(slow.select(*keys, t, seq, "recent"), keys, [t, seq], lambda row: {"alerted": None}, step, "t bigint, median_ms double")
+    slow = slow.groupBy(*keys, F.col(t).cast("bigint").alias("t")).agg(F.min_by("recent", seq).alias("median_ms"))
+    return jump_chain(slow, keys, "t", F.col("t") + every + 1, 1000 * every)
 
 
 def repeat_confirm(df: DataFrame, keys: Sequence[str], seq: str, value: str, slot_len: int = 100_000) -> DataFrame:
@@ -95,11 +144,6 @@ def repeat_confirm(df: DataFrame, keys: Sequence[str], seq: str, value: str, slo
     return d.select(*df.columns, verdict.alias("verdict"))
 
 
-def auto_pages(df: DataFrame, keys: Sequence[str], t: str, every: int) -> DataFrame:
-    """Pages an unattended timer turns within each session: one per full period of event time."""
-    return df.groupBy(*keys).agg(F.floor((F.max(t) - F.min(t)) / every).alias("pages"))
-
-
 class PageTimer(StatefulProcessor):
     """Turns a page every `every` ms of event time by an event-time timer, without any input."""
 

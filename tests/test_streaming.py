@@ -1,76 +1,9 @@
 import random
-from dataclasses import replace
 
-import pytest
 from pyspark.sql import functions as F
 
+from evalgrid.operators.chain import jump_chain
 from evalgrid.streaming import live as L
-from evalgrid.streaming.selection import Layout, advance, start
-
-BASE = Layout(items=tuple("abcdefg"), zones=3, guard="none", pattern="direct")
-
-
-def trace(layout, parts, step=33, t0=0):
-    """parts: (ms, zone) pieces of staring; returns the events."""
-    st, t, out = start(t0), t0, []
-    for ms, zone in parts:
-        end = t + ms
-        while t < end:
-            out += advance(layout, st, t, zone)
-            t += step
-    return out
-
-
-def names(events):
-    return [e[1] for e in events if e[1] != "dwell"]
-
-
-def test_staring_selects_once_per_dwell_and_pause():
-    ev = trace(BASE, [(3000, 0)])
-    assert names(ev) == ["select"] * 3 and {e[3] for e in ev if e[1] == "select"} == {"a"}
-    times = [e[0] for e in ev if e[1] == "select"]
-    assert all(b - a >= 900 for a, b in zip(times, times[1:]))
-    assert names(trace(BASE, [(300, 0)])) == []
-
-
-def test_unseen_frames_count_against_a_zone():
-    lost = [(33, 0), (33, None)] * 30  # half of all frames: below the share of 0.6
-    assert names(trace(BASE, lost)) == []
-    mostly = [(99, 0), (33, None)] * 10
-    assert names(trace(BASE, mostly)) == ["select"]
-
-
-def test_repeat_guard():
-    two = replace(BASE, guard="double")
-    ev = trace(two, [(1000, 0), (1000, 0)])
-    assert [(e[1], e[5]) for e in ev if e[1] != "dwell"] == [("reject", "first of two"), ("select", "double")]
-    ev = trace(two, [(950, 0), (950, 1), (950, 1)])
-    assert [(e[1], e[5], e[3]) for e in ev if e[1] != "dwell"] == [("reject", "first of two", "a"), ("reject", "disagreed", "b"), ("select", "double", "b")]
-
-
-def test_confirm_keeps_the_item_of_the_first_step():
-    ask = replace(BASE, guard="confirm", zones=2, pattern="scan")
-    ev = trace(ask, [(950, 1), (950, 0)])
-    assert [(e[1], e[3]) for e in ev if e[1] != "dwell"] == [("reject", "b"), ("confirm_yes", "b"), ("select", "b")]
-    ev = trace(ask, [(950, 1), (950, 1)])
-    assert names(ev) == ["reject", "confirm_no", "reject"]
-
-
-def test_user_pages_and_blank_slots():
-    ev = trace(BASE, [(950, 2), (950, 0)])
-    assert [(e[1], e[3], e[4]) for e in ev if e[1] != "dwell"] == [("page", None, 1), ("select", "c", 1)]
-    ev = trace(replace(BASE, items=("a",)), [(950, 1)])
-    assert [e[1] for e in ev] == ["dwell"]
-    ev = trace(replace(BASE, next_first=True), [(950, 0), (950, 1)])
-    assert [(e[1], e[3]) for e in ev if e[1] != "dwell"] == [("page", None), ("select", "c")]
-
-
-def test_turning_pages_cancel_a_dwell_in_progress():
-    scan = replace(BASE, pattern="scan", scan_every=3000, guard="double")
-    ev = trace(scan, [(2700, None), (1500, 0)])
-    assert [e[5] for e in ev if e[1] == "page"] == ["auto"] and ev[0][0] >= 3000
-    first = next(e for e in ev if e[1] == "reject")
-    assert first[3] == "d" and first[0] >= 3000 + 400 + 500
 
 
 def sessions(spark, n=4):
@@ -105,13 +38,76 @@ def key(df):
     return sorted(map(str, df.collect()))
 
 
-@pytest.mark.parametrize("guard,pattern", [("double", "direct"), ("confirm", "scan")])
-def test_selection_stream_equals_batch(spark, tmp_path, guard, pattern):
-    d, lay = sessions(spark), replace(BASE, guard=guard, pattern=pattern)
-    batch = L.selections_batch(d, ["session"], "t", "seq", "zone", lay)
-    out = L.selections_stream(stream_of(spark, d, tmp_path, "t"), ["session"], "t", "seq", "zone", lay)
-    got = drain(spark, out, tmp_path, f"sel_{guard}")
-    assert batch.count() > 20 and key(got) == key(batch.select(got.columns))
+def chosen(spark):
+    rnd = random.Random(9)
+    rows = [(s, i + 1, i * 500 + s, rnd.randrange(3)) for s in range(3) for i in range(60)]
+    return spark.createDataFrame([*rows, *[(None, i + 1, i * 500, i % 3) for i in range(20)]], "session int, seq bigint, t bigint, zone int")
+
+
+def test_greedy_chain_equals_a_walk(spark):
+    rnd = random.Random(4)
+    rows = sorted({(s, rnd.randrange(4000)) for s in (1, 2, None) for _ in range(150 if s else 7)}, key=str)
+    want = set()
+    for s in (1, 2, None):
+        free = -1
+        for t in sorted(t for k, t in rows if k == s):
+            if t >= free:
+                want.add((s, t))
+                free = t + 100 + t % 7
+    d = spark.createDataFrame([*rows, (1, None)], "k int, t bigint").withColumn("more", F.col("t") * 2)
+    for slot in (50, 10_000):
+        got = jump_chain(d, ["k"], "t", F.col("t") + 100 + F.col("t") % 7, slot)
+        assert {(r["k"], r["t"]) for r in got.collect()} == want and got.columns == d.columns
+    assert jump_chain(d.limit(0), ["k"], "t", F.col("t") + 1, 9).count() == 0
+
+
+def test_dwell_on_a_stream_equals_batch(spark, tmp_path):
+    d = sessions(spark).withColumn("ts", F.timestamp_millis(F.col("t") + DAY_MS)).select("session", "t", "ts", "zone")
+    def find(x):
+        return L.dwell_candidates(x, ["session"], "ts", "zone", 3, "500 milliseconds", "100 milliseconds", 0.6, 10, "1 second")
+
+    got = drain(spark, find(stream_of(spark, d, tmp_path, "t")), tmp_path, "dwell")
+    batch = find(d)
+    closed = got.agg(F.max("t")).first()[0]
+    assert got.count() > 50 and key(got) == key(batch.where(F.col("t") <= closed))
+    frames = [r for r in d.where("session = 0").collect()]
+    for r in batch.where("session = 0").collect():
+        end = r["t"] // 1000 - DAY_MS
+        seen = [f["zone"] for f in frames if end - 500 <= f["t"] < end]
+        assert seen.count(r["zone"]) >= 0.6 * len(seen) and r["zone"] == max(range(3), key=lambda z: (seen.count(z), -z))
+    kept = L.refractory(batch, ["session"], "t", 900_000, 10**7)
+    fed = stream_of(spark, batch, tmp_path / "again", "t")
+    assert key(drain(spark, L.refractory_stream(fed, ["session"], "t", "zone", 900_000), tmp_path, "quiet")) == key(kept)
+    assert batch.count() > kept.count() > 10
+
+
+def test_two_step_on_a_stream_equals_batch(spark, tmp_path):
+    d = chosen(spark)
+    for slot in (7, 100_000):
+        batch = L.two_step(d, ["session"], "seq", "zone", slot_len=slot).select("session", "seq", "zone", "step", "item")
+        assert batch.where("session IS NULL").count() == 20
+    got = drain(spark, L.two_step_stream(stream_of(spark, d.where("session IS NOT NULL"), tmp_path, "seq"), ["session"], "seq", "zone"), tmp_path, "ask")
+    assert key(got) == key(batch.where("session IS NOT NULL")) and {r["step"] for r in got.collect()} == {"ask", "select", "cancel"}
+
+
+def test_timed_and_user_pages(spark):
+    d = chosen(spark)
+    rows = {(r["session"], r["seq"]): r for r in L.timed_pages(d, ["session"], "t", "seq", 3000, 3, 600, slot_len=11).collect()}
+    assert len(rows) == 200
+    for (s, n), r in rows.items():
+        since = (n - 1) * 500
+        assert r["page"] == since // 3000 % 3 and r["locked"] == (since >= 3000 and since % 3000 < 600) and r["cancelled"] == (n > 1 and since // 3000 != (since - 500) // 3000)
+    got = {(r["session"], r["seq"]): r for r in L.user_pages(d, ["session"], "seq", "zone", 1, 2, 5, slot_len=13).collect()}
+    for s in (0, 1, 2, None):
+        page = 0
+        for n in range(1, 61 if s is not None else 21):
+            r = got[s, n]
+            if r["zone"] == 1:
+                page = (page + 1) % 3
+                assert (r["choice"], r["page"], r["item"]) == ("page", page, None)
+            else:
+                item = page * 2 + (r["zone"] == 2)
+                assert (r["choice"], r["page"], r["item"]) == (("item", page, item) if item < 5 else ("blank", page, None))
 
 
 def test_rate_alerts_stream_equals_batch(spark, tmp_path):
