@@ -17,25 +17,51 @@ CACHE = 400_000
 
 
 class WordIds:
-    """Ids of words by a tokenizer file, with a bounded cache (cleared when full)."""
+    """Ids of words by a tokenizer file, with a bounded cache: when it is full, the words met since
+    the last time are kept and the others forgotten.
+
+    Unknown words are encoded many at a time as one text, with a null character between them whose
+    id shows where one ends; words that hold one, or spell a special token, are encoded alone.
+    """
 
     def __init__(self, path: str, prefix: str = ""):
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
+        self.alone = ["\x00", *[t.content for t in self.encoder.get_added_tokens_decoder().values()]]
         self.prefix = prefix
+        one, three = self._ids(prefix + "a"), self._ids(prefix + "a \x00 a")
+        self.between = three[len(one) : len(three) - len(one)]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4")
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = list(dict.fromkeys(w for w in words if w not in self.cache))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.encoder.encode_batch([self.prefix + w for w in part], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.cache[w] for w in words]
+            self.older, self.cache = self.cache, {}
+        cache, prefix = self.cache, self.prefix
+        new = list(dict.fromkeys(w for w in words if w not in cache))
+        if self.older:
+            cache.update((w, x) for w in new if (x := self.older.get(w)) is not None)
+            new = [w for w in new if w not in cache]
+        odd = [w for w in new if any(t in w for t in self.alone)]
+        plain = [w for w in new if not any(t in w for t in self.alone)] if odd else new
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            ids = self._ids(prefix + " \x00 ".join(part))
+            ends = np.r_[np.flatnonzero(ids == self.between[-1]), len(ids) + len(self.between) - 1]
+            if len(ends) != len(part):
+                raise ValueError("the separator did not show once between words")
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends.tolist()):
+                cache[w] = raw[4 * start : 4 * (end - len(self.between) + 1)]
+                start = end + 1
+        for w in odd:
+            cache[w] = self._ids(prefix + w).tobytes()
+        return [cache[w] for w in words]
 
 
 @lru_cache(maxsize=4)
