@@ -6,6 +6,8 @@ or another SQL engine gives the same numbers.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,17 +46,28 @@ def add_hash(df: DataFrame, seed: Column, rep: Column, slot: Column, out: str) -
     return df.withColumn(out, _fold(F.col(out)))
 
 
-def hash32_array(seed: int, rep: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """add_hash for arrays inside a task; every product stays below 2**63."""
-    x = (seed * SEED_STEP + rep * REP_STEP + (slot & MASK) * SLOT_STEP) & MASK
-    for _ in range(2):
-        x = (((x >> 16) ^ x) * MIX) & MASK
-    return (x >> 16) ^ x
+def poisson_thresholds() -> list[int]:
+    """Hash values from which a Poisson(1) variate is at least 1, 2, ..: all that 32 bits can tell."""
+    out, p, cum, k = [], math.exp(-1), 0.0, 0
+    while (at := math.ceil((cum := cum + p) * (MASK + 1))) <= MASK:
+        out.append(at)
+        k += 1
+        p /= k
+    return out
 
 
-def unit_interval(h: Column) -> Column:
-    """Hash to a uniform in (0, 1)."""
-    return (h + 0.5) / float(MASK + 1)
+def poisson_weights(seed: int, rep: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    """Poisson(1) weights for arrays inside a task: the hash of add_hash, in wrapping 32 bits, against
+    poisson_thresholds."""
+    low = lambda x: (x & MASK).astype(np.uint32)
+    x = low(np.asarray(seed * SEED_STEP + rep * REP_STEP)) + low(slot) * np.uint32(SLOT_STEP)
+    for _ in range(2):
+        x = ((x >> np.uint32(16)) ^ x) * np.uint32(MIX)
+    x = (x >> np.uint32(16)) ^ x
+    w = np.zeros(x.shape, np.float64)
+    for at in poisson_thresholds():
+        w += x >= np.uint32(at)
+    return w
 
 
 def md5_rank(seed: int | str, *parts: Column) -> Column:
@@ -92,22 +105,3 @@ def normal_quantile(p: Column) -> Column:
         .when(p > 1 - ACKLAM_SPLIT, -tail(1 - p))
         .otherwise(middle)
     )
-
-
-def add_poisson_weight(df: DataFrame, count: str, u: str, out: str) -> DataFrame:
-    """Poisson(count) variate from one uniform: how often `count` equal rows are drawn together.
-
-    One row uses the distribution itself; more rows use the Cornish-Fisher expansion, whose
-    first three moments agree.
-    """
-    p, cum, one = 0.36787944117144233, 0.0, F.lit(12.0)
-    steps = []
-    for k in range(12):
-        cum += p
-        steps.append((k, cum))
-        p /= k + 1
-    for k, upto in reversed(steps):
-        one = F.when(F.col(u) < upto, F.lit(float(k))).otherwise(one)
-    c, z = F.col(count), F.col("_z")
-    many = F.greatest(F.lit(0.0), F.round(c + F.sqrt(c) * z + (z * z - 1) / 6))
-    return df.withColumn("_z", normal_quantile(F.col(u))).withColumn(out, F.when(c == 1, one).otherwise(many)).drop("_z")

@@ -1,10 +1,9 @@
 """Resampling inference: bootstrap intervals of a mean over units, clusters, pairs and strata.
 
-Reduce to one row per unit first (cluster_means, paired_differences). A cell with at most `limit`
-units is resampled with replacement as is: its values form one short array, replicates are spread
-over tasks and each is drawn whole where it lies. A larger cell switches to
-Poisson weights, which need no unit index: equal values are counted first, because n equal rows
-carry a Poisson(n) weight together; only (cell, replicate) sums are shuffled.
+Reduce to one row per unit first (cluster_means, paired_differences). Every unit gets a Poisson(1)
+weight in every replicate, by inverting the distribution on a hash of (seed, replicate, unit): the
+same method at every size, without unit numbers, and the same weights however rows are partitioned.
+Tasks multiply values with weights as matrices and only sums per (cell, replicates) are shuffled.
 """
 
 from __future__ import annotations
@@ -16,79 +15,63 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.functions.draws import add_hash, add_poisson_weight, hash32_array, normal_cdf, normal_quantile, unit_interval
+from evalgrid.functions.draws import normal_cdf, normal_quantile, poisson_weights
 from evalgrid.functions.zones import finite
-from evalgrid.operators.skew import attach
 from evalgrid.session import cut_lineage
 
 REPS = 5000
 BCA_REPS = 10000
-LIMIT = 100_000
-TASKS = 32
-BLOCK = 2_000_000  # draws held at once in a task
+DRAWS = 2_000_000  # weights held at once in a task
+HELD = 64  # cells whose sums a task holds before it hands them on
+BLOCK = 500  # replicates in one row of sums
 
 
-def replicate_sums(
-    units: DataFrame,
-    cell: Sequence[str],
-    unit: str,
-    value: str,
-    reps: int = REPS,
-    seed: int | Column = 0,
-    limit: int = LIMIT,
-) -> DataFrame:
-    """(cell, _rep, s, w): sum and weight of each bootstrap replicate; cells with < 2 units give none.
-
-    `unit` is an integer identifier, unique within the cell (hash other keys with xxhash64).
-    """
+def replicate_sums(units: DataFrame, cell: Sequence[str], unit: str, value: str, reps: int = REPS, seed: int | Column = 0) -> DataFrame:
+    """(cell, _rep, s, w, n): weighted sum, weight and number of units of each bootstrap replicate;
+    cells with < 2 units give none. `unit` is an integer identifier, unique within the cell (hash
+    other keys with xxhash64)."""
     seed = F.lit(seed) if isinstance(seed, int) else seed
     v = F.col(value).cast("double")
-    clean = units.select(*cell, F.col(unit).alias("_u"), v.alias("_v"), seed.cast("bigint").alias("_seed"))
+    cell = list(cell)
+    clean = units.select(*cell, F.col(unit).cast("bigint").alias("_u"), v.alias("_v"), seed.cast("bigint").alias("_seed"))
     clean = clean.where(finite(F.col("_v")))
-    sizes = clean.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
-    sized = attach(clean, sizes.where(F.col("_n") >= 2), cell, ["_u"], how="inner")
-
-    # a fixed number of partitions: sized by bytes, the few packed rows would all run in one task
-    tasks = max(TASKS, units.sparkSession.sparkContext.defaultParallelism)
-    per_task = -(-reps // tasks)
-    packed = (
-        sized.where(F.col("_n") <= limit)
-        .groupBy(*cell)
-        .agg(F.array_sort(F.collect_list(F.struct("_u", "_v"))).alias("_rows"), F.first("_seed").alias("_seed"))
-        .select(*cell, "_seed", F.transform("_rows", lambda r: r["_v"]).alias("_vals"), F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("_task"))
-        .where(F.col("_task") * per_task < reps)
-        .repartition(tasks, *cell, "_task")
-    )
-    kinds = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in cell)
+    kinds = ", ".join(f"`{c}` {clean.schema[c].dataType.simpleString()}" for c in cell)
+    fields = f"{kinds}, _block int, n bigint, s array<double>, w array<double>"
+    every = np.arange(reps, dtype=np.int64)
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[tuple, list] = {}
+
+        def handed_on() -> pd.DataFrame:
+            rows = [(*c, at // BLOCK, n, s[at : at + BLOCK], w[at : at + BLOCK]) for c, n, s, w in held.values() for at in range(0, reps, BLOCK)]
+            held.clear()
+            return pd.DataFrame(rows, columns=[*cell, "_block", "n", "s", "w"])
 
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for row in b.to_dict("records"):
-                vals = np.asarray(row["_vals"], float)
-                own = np.arange(row["_task"] * per_task, min((row["_task"] + 1) * per_task, reps), dtype=np.int64)
-                slots = np.arange(len(vals), dtype=np.int64)
-                for some in np.array_split(own, max(1, len(own) * len(vals) // BLOCK)):
-                    picks = hash32_array(int(row["_seed"]), some[:, None], slots) % len(vals)
-                    out = pd.DataFrame({"_rep": some, "s": vals[picks].sum(axis=1), "w": float(len(vals))})
-                    for i, c in enumerate(cell):
-                        out.insert(i, c, row[c])
-                    yield out
-
-    small = packed.mapInPandas(resample, f"{kinds}, _rep bigint, s double, w double")
-
-    tally = (
-        sized.where(F.col("_n") > limit)
-        .groupBy(*cell, "_v", "_seed")
-        .agg(F.count(F.lit(1)).cast("double").alias("_c"), F.min("_u").alias("_u"))
-        .select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(reps - 1).cast("bigint"))).alias("_rep"))
-    )
-    tally = add_hash(tally, F.col("_seed"), F.col("_rep"), F.col("_u"), "_h").withColumn("_q", unit_interval(F.col("_h")))
-    large = (
-        add_poisson_weight(tally, "_c", "_q", "_w")
-        .groupBy(*cell, "_rep")
-        .agg(F.sum(F.col("_w") * F.col("_v")).alias("s"), F.sum("_w").alias("w"))
-    )
-    return small.unionByName(large)
+            for key, part in b.groupby(cell, sort=False, dropna=False):
+                if key not in held:
+                    held[key] = [part[cell].astype(object).where(part[cell].notna(), None).iloc[0].tolist(), 0, np.zeros(reps), np.zeros(reps)]
+                mine, u, x = held[key], part["_u"].to_numpy(np.int64), part["_v"].to_numpy(float)
+                mine[1] += len(x)
+                for some in np.array_split(np.arange(len(x)), max(1, len(x) * reps // DRAWS)):
+                    w = poisson_weights(int(part["_seed"].iloc[0]), every[None, :], u[some, None])
+                    mine[2] += x[some] @ w
+                    mine[3] += w.sum(axis=0)
+                if len(held) >= HELD:
+                    yield handed_on()
+        if held:
+            yield handed_on()
+
+    def total(parts: pd.DataFrame) -> pd.DataFrame:
+        one = parts.iloc[:1].copy()
+        one["n"] = parts["n"].sum()
+        for c in ("s", "w"):
+            one[c] = [np.sum(np.stack(parts[c].to_list()), axis=0)]
+        return one
+
+    sums = clean.mapInPandas(weigh, fields).groupBy(*cell, "_block").applyInPandas(total, fields).where("n >= 2")
+    each = sums.select(*cell, "n", (F.col("_block") * BLOCK).alias("_at"), F.posexplode(F.arrays_zip("s", "w")).alias("_i", "_p"))
+    return each.select(*cell, (F.col("_at") + F.col("_i")).cast("bigint").alias("_rep"), "_p.s", "_p.w", "n")
 
 
 def bootstrap_ci(
@@ -98,7 +81,6 @@ def bootstrap_ci(
     value: str,
     reps: int = REPS,
     seed: int = 0,
-    limit: int = LIMIT,
     level: float = 0.95,
 ) -> DataFrame:
     """(cell, n, estimate, ci_lo, ci_hi) of the mean over units; a null interval below two units."""
@@ -110,7 +92,7 @@ def bootstrap_ci(
     units = cut_lineage(units.select(*cell, unit, F.col(value).cast("double").alias(value)).where(finite(F.col(value).cast("double"))))
     est = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("estimate"))
     tail = (1 - level) / 2
-    means = replicate_sums(units, cell, unit, value, reps, seed, limit)
+    means = replicate_sums(units, cell, unit, value, reps, seed)
     ends = means.groupBy(*cell).agg(
         F.percentile(F.try_divide("s", "w"), F.array(F.lit(tail), F.lit(1 - tail))).alias("_p")
     )
@@ -139,11 +121,11 @@ def paired_differences(long: DataFrame, pairs: DataFrame, unit: str, by: Sequenc
 
 
 def stratified_ci(units: DataFrame, cell: Sequence[str], stratum: str, unit: str, value: str, reps: int = REPS, seed: int = 0) -> DataFrame:
-    """Resample units within each stratum, then pool: strata keep their sizes in every replicate."""
+    """Resample units within each stratum, then pool: strata keep their shares in every replicate."""
     units = cut_lineage(units.select(*cell, stratum, unit, F.col(value).cast("double").alias(value)).where(finite(F.col(value).cast("double"))))
     own_seed = F.lit(seed) + F.pmod(F.xxhash64(F.col(stratum)), F.lit(1_000_003))
     sums = replicate_sums(units, [*cell, stratum], unit, value, reps, own_seed)
-    pooled = sums.groupBy(*cell, "_rep").agg((F.sum("s") / F.sum("w")).alias("m"))
+    pooled = sums.groupBy(*cell, "_rep").agg((F.sum(F.col("n") * F.try_divide("s", "w")) / F.sum(F.when(F.col("w") > 0, F.col("n")))).alias("m"))
     ends = pooled.groupBy(*cell).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
     est = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(value).cast("double")).alias("estimate"))
     return est.join(ends, list(cell), "left").select(

@@ -17,7 +17,7 @@ from evalgrid.session import cut_lineage
 METHODS = ["line", "price", "qty"]
 VOCABULARY = [0, 1, 2, 3, 4, 5]  # "hammer" is no vocabulary entry
 GROUP_IDS = [[CATEGORIES.index(n) for n in g] for g in GROUPS]
-ROW_REPS = 500
+ROW_REPS = 5000
 
 _RANKED = """
 cu AS (SELECT unit FROM (SELECT DISTINCT method, unit FROM rl) GROUP BY unit HAVING count(*)=3),

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalgrid.functions.draws import poisson_thresholds
+
 from evalgrid.operators.skew import running
 
 HOUR = 3_600_000_000
@@ -214,15 +216,16 @@ def sql(body: str, *views: str) -> str:
 
 
 def bootstrap_sql(units: str, cell: str, reps: int, seed: int = 0) -> str:
-    """CTEs b_est and b_ci over a CTE `units` with columns `cell`, unit, v (finite)."""
+    """CTEs b_est, b_mean (replicate means) and b_ci over a CTE `units` with columns `cell`, unit (an
+    integer), v (finite): Poisson(1) weights by hash, as functions.draws.poisson_weights."""
+    weight = " + ".join(f"(x>={at})::INT" for at in poisson_thresholds())
     return f"""
-b_idx AS (SELECT {cell}, v, row_number() OVER (PARTITION BY {cell} ORDER BY unit)-1 AS i,
-          count(*) OVER (PARTITION BY {cell}) AS n FROM {units}),
 b_est AS (SELECT {cell}, count(*) AS n, avg(v) AS est FROM {units} GROUP BY {cell}),
-b_x0 AS (SELECT {cell}, n, rep, slot, ({seed}*374761393 + rep*668265263 + slot*1640531527) & 4294967295 AS x
-         FROM (SELECT {cell}, n, rep, unnest(range(n)) AS slot FROM b_est, range({reps}) r(rep) WHERE n>=2)),
-b_x1 AS (SELECT {cell}, n, rep, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x0),
-b_x2 AS (SELECT {cell}, n, rep, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x1),
-b_x3 AS (SELECT {cell}, rep, xor(x>>16, x) % n AS i FROM b_x2),
-b_mean AS (SELECT {cell}, rep, avg(v) AS m FROM b_x3 JOIN b_idx USING ({cell}, i) GROUP BY {cell}, rep),
+b_x0 AS (SELECT {cell}, v, rep, ({seed}*374761393 + rep*668265263 + (unit & 4294967295)*1640531527) & 4294967295 AS x
+         FROM {units} JOIN (SELECT {cell} FROM b_est WHERE n>=2) USING ({cell}), range({reps}) r(rep)),
+b_x1 AS (SELECT {cell}, v, rep, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x0),
+b_x2 AS (SELECT {cell}, v, rep, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x1),
+b_x3 AS (SELECT {cell}, v, rep, xor(x>>16, x) AS x FROM b_x2),
+b_w AS (SELECT {cell}, v, rep, {weight} AS w FROM b_x3),
+b_mean AS (SELECT {cell}, rep, sum(v*w)/sum(w) AS m FROM b_w GROUP BY {cell}, rep HAVING sum(w)>0),
 b_ci AS (SELECT {cell}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM b_mean GROUP BY {cell})"""

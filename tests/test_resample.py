@@ -1,8 +1,11 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evalgrid.functions.draws import add_hash, poisson_thresholds, poisson_weights
 from evalgrid.operators import resample as R
 
 
@@ -25,18 +28,34 @@ def test_missing_values_are_dropped(spark):
     assert r["n"] == 3 and r["estimate"] == 2.0
 
 
-def test_width_matches_theory_on_both_paths(spark):
+def test_width_matches_theory_at_every_size(spark):
     rnd = random.Random(7)
-    d = units(spark, {"x": [rnd.gauss(5, 2) for _ in range(400)], "rate": [float(rnd.random() < 0.3) for _ in range(400)]})
-    exact = {r["cell"]: r for r in R.bootstrap_ci(d, ["cell"], "unit", "v", 2000).collect()}
-    poisson = {r["cell"]: r for r in R.bootstrap_ci(d, ["cell"], "unit", "v", 2000, limit=10).collect()}
-    for cell in ("x", "rate"):
-        sd = d.where(F.col("cell") == cell).agg(F.stddev("v")).first()[0]
-        want = 2 * 1.96 * sd / 20
-        for r in (exact[cell], poisson[cell]):
-            assert r["ci_hi"] - r["ci_lo"] == pytest.approx(want, rel=0.12)
+    for n in (400, 4000):
+        d = units(spark, {"x": [rnd.gauss(5, 2) for _ in range(n)], "rate": [float(rnd.random() < 0.3) for _ in range(n)]})
+        for r in R.bootstrap_ci(d, ["cell"], "unit", "v", 2000).collect():
+            sd = d.where(F.col("cell") == r["cell"]).agg(F.stddev("v")).first()[0]
+            assert r["ci_hi"] - r["ci_lo"] == pytest.approx(2 * 1.96 * sd / n**0.5, rel=0.12)
             assert r["ci_lo"] < r["estimate"] < r["ci_hi"]
-        assert poisson[cell]["ci_lo"] == pytest.approx(exact[cell]["ci_lo"], abs=0.15 * want)
+
+
+def test_replicates_do_not_depend_on_partitioning_or_cells_held(spark, monkeypatch):
+    rnd = random.Random(3)
+    d = units(spark, {c: [rnd.gauss(0, 1) for _ in range(30)] for c in "abcdefgh"}).union(units(spark, {None: [1, 2, 3]}))
+    plain = {(r["cell"], r["_rep"]): (r["s"], r["w"], r["n"]) for r in R.replicate_sums(d, ["cell"], "unit", "v", 700).collect()}
+    assert len(plain) == 9 * 700 and not [n for n in dir(R) if "LIMIT" in n]
+    monkeypatch.setattr(R, "HELD", 2)
+    for parts in (1, 7):
+        got = {(r["cell"], r["_rep"]): (r["s"], r["w"], r["n"]) for r in R.replicate_sums(d.repartition(parts), ["cell"], "unit", "v", 700).collect()}
+        assert got.keys() == plain.keys() and all(g == pytest.approx(plain[k]) for k, g in got.items())
+
+
+def test_weights_are_poisson_and_those_of_the_sql_hash(spark):
+    w = poisson_weights(5, np.arange(2000)[None], np.arange(-100, 100)[:, None])
+    share = np.bincount(w.astype(int).ravel()) / w.size
+    assert share[:4] == pytest.approx([math.exp(-1), math.exp(-1), math.exp(-1) / 2, math.exp(-1) / 6], abs=2e-3)
+    h = add_hash(spark.range(50).withColumn("u", F.col("id") - 9), F.lit(5), F.col("id"), F.col("u"), "h").collect()
+    for r in h:
+        assert poisson_weights(5, np.array([r["id"]]), np.array([r["u"]]))[0] == sum(r["h"] >= t for t in poisson_thresholds())
 
 
 def test_coverage(spark):
