@@ -84,6 +84,26 @@ def human_metrics(rated: DataFrame, unit: str, ks: Sequence[int] = AUDIT_KS) ->
     )
 
 
+def join_raters(raters: Sequence[DataFrame], key: str, columns: Sequence[str]) -> DataFrame:
+    """One row per pair (first rater, another) and item that both rated: pair ("1 vs i"), key, and
+    each column once per side with suffixes _1 and _2. Raters are tables of their own."""
+    first = raters[0].select(key, *[F.col(c).alias(f"{c}_1") for c in columns])
+    out = None
+    for i, other in enumerate(raters[1:], start=2):
+        pair = first.join(other.select(key, *[F.col(c).alias(f"{c}_2") for c in columns]), key).withColumn("pair", F.lit(f"1 vs {i}"))
+        out = pair if out is None else out.unionByName(pair)
+    if out is None:
+        raise ValueError("two raters at least")
+    return out.select("pair", key, *[f"{c}_{s}" for c in columns for s in (1, 2)])
+
+
+def rater_agreement(raters: Sequence[DataFrame], key: str, columns: Sequence[str]) -> DataFrame:
+    """(pair, column, n, raw_agreement, kappa) of the first rater with each other one."""
+    both = join_raters(raters, key, columns)
+    long = both.select("pair", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"{c}_1").alias("x"), F.col(f"{c}_2").alias("y")) for c in columns])))
+    return cohens_kappa(long, ["pair", "column"], "x", "y")
+
+
 def cohens_kappa(pairs: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Raw agreement and kappa over pairs without nulls; null kappa where chance agreement is 1.
 

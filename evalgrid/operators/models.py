@@ -7,7 +7,6 @@ the data. Only p x p matrices are solved in Python, spread over tasks by fold.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.scores import corr_verdict, correlation, snr_verdict
 from evalgrid.functions.zones import NO_ZONE, strip_zone
-from evalgrid.operators.skew import attach, quantiles, running
+from evalgrid.operators.skew import attach, quantiles, ranked, running
 from evalgrid.session import cut_lineage
 
 # Smallest usable slope, held-out rows a mapping choice needs, knots of a mapping,
@@ -30,7 +29,6 @@ MIN_HELD_OUT = 20
 KNOTS = 24
 ALPHAS = [10.0 ** e for e in np.linspace(-3, 3, 13)]
 GBT_ITERATIONS, GBT_STEP, GBT_DEPTH = 300, 0.05, 5
-GREEDY_LIMIT = 100_000
 
 
 # ---- line fits and signal checks -------------------------------------------------------------
@@ -196,31 +194,17 @@ def alpha_search(df: DataFrame, fold: str, features: Sequence[str], target: str,
     return s.groupBy("alpha").agg((F.sum("sse") / F.sum("n")).alias("mse"))
 
 
-def group_folds(df: DataFrame, group: str, k: int, limit: int = GREEDY_LIMIT) -> DataFrame:
+def group_folds(df: DataFrame, group: str, k: int) -> DataFrame:
     """(group, fold): no group on both sides, folds balanced by rows, at most min(k, groups).
 
-    The largest group goes to the lightest fold. With more than `limit` groups only those above a
-    tenth of a fold (at most 10 k) are placed that way, the rest by hash.
+    Groups are dealt in snake order of their size (largest first, ties by name): 0, 1, .., k - 1,
+    k - 1, .., 0 and so on, from their place in one distributed ranking. A null group is a group.
     """
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    spark = df.sparkSession
-    n_groups = sizes.limit(limit + 1).count()
-    heavy = sizes
-    if n_groups > limit:
-        total = sizes.agg(F.sum("n")).first()[0]
-        heavy = sizes.where(F.col("n") > total / (10 * k))
-    k = min(k, n_groups)
-    load = [(0, f) for f in range(k)]
-    heapq.heapify(load)
-    placed = []
-    for r in heavy.orderBy(F.desc("n"), group).collect():  # at most max(limit, 10 k) rows
-        n, f = heapq.heappop(load)
-        placed.append((r[group], f))
-        heapq.heappush(load, (n + r["n"], f))
-    kind = sizes.schema[group].dataType.simpleString()
-    fixed = spark.createDataFrame(placed, f"{group} {kind}, _f int")
-    by_hash = F.pmod(F.xxhash64(group), F.lit(k)).cast("int")
-    return sizes.select(group).join(fixed, group, "left").select(group, F.coalesce("_f", by_hash).alias("fold"))
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ranked(sizes, [F.desc("_n"), F.col(group)], "_place")
+    k = min(k, max(1, placed.count()))
+    at, lap = (F.col("_place") - 1) % k, F.floor((F.col("_place") - 1) / k)
+    return placed.select(group, F.when(lap % 2 == 0, at).otherwise(k - 1 - at).cast("int").alias("fold"))
 
 
 # ---- MLlib pipelines -------------------------------------------------------------------------

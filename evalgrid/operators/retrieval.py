@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,7 @@ from evalgrid.functions.draws import md5_rank
 from evalgrid.operators.ranking import K_MAX
 from evalgrid.operators.skew import attach, top_per_key
 
-BANK_LIMIT = 4096
-UNIT_SLICES = 64
+TILE_BYTES = 8 << 20  # of vectors on either side of a tile
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
@@ -31,41 +30,28 @@ def _best(units: pd.Series, ids: pd.Series, bank: np.ndarray, bank_ids: np.ndarr
     })
 
 
-def cosine_top_k(units: DataFrame, bank: DataFrame, k: int = K_MAX, bank_limit: int = BANK_LIMIT) -> DataFrame:
-    """(unit, item, score, rank): the k bank items of highest cosine per unit, ties by item id.
+def cosine_top_k(units: DataFrame, bank: DataFrame, k: int | None = K_MAX, tile_bytes: int = TILE_BYTES) -> DataFrame:
+    """(unit, item, score, rank): the k bank items of highest cosine per unit (all of them if k is
+    None), ties by item id. Columns: unit BIGINT, vec ARRAY<DOUBLE> and item BIGINT, vec.
 
-    Columns: unit BIGINT, vec ARRAY<DOUBLE> and item BIGINT, vec. A bank of at most `bank_limit`
-    rows (counted first) is shipped to the tasks and each Arrow batch is scored by one matrix
-    product; only k rows per unit leave the task. A larger bank is cut into blocks: unit slices
-    meet bank blocks in bounded tiles, and the k best per tile are merged.
+    The bank is cut into blocks and the units into slices of about `tile_bytes`; every slice meets
+    every block in one tile, which is one matrix product, and the k best per tile are merged.
     """
     schema = "unit bigint, item bigint, score double"
-    size = bank.limit(bank_limit + 1).count()
-    if size <= bank_limit:
-        rows = bank.select("item", "vec").toPandas()  # at most bank_limit rows
-        held = bank.sparkSession.sparkContext.broadcast((_unit_rows(np.stack(rows["vec"].to_numpy()).astype(float)), rows["item"].to_numpy()))
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            vecs, ids = held.value
-            for b in batches:
-                if len(b):
-                    yield _best(b["vec"], b["unit"], vecs, ids, k)
-
-        scored = units.select("unit", "vec").mapInPandas(score, schema)
-    else:
-        n = bank.count()
-        blocks = -(-n // bank_limit)
-        tile = [F.pmod(F.xxhash64("unit"), F.lit(UNIT_SLICES)).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b")]
-        left = units.select("unit", "vec", *tile)
-        right = bank.select("item", F.col("vec").alias("vec"), F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(UNIT_SLICES - 1))).alias("_s"))
-
-        def tile_scores(u: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if u.empty or b.empty:
-                return pd.DataFrame({"unit": [], "item": [], "score": []})
-            return _best(u["vec"], u["unit"], _unit_rows(np.stack(b["vec"].to_numpy()).astype(float)), b["item"].to_numpy(), k)
-
-        scored = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(tile_scores, schema)
-    return top_per_key(scored, ["unit"], [F.desc("score"), F.col("item")], k)
+    size = bank.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+    per_tile = max(1, tile_bytes // (8 * max(1, size["d"] or 1)))
+    blocks, slices = max(1, -(-size["n"] // per_tile)), max(1, -(-units.count() // per_tile))
+    keep = max(1, size["n"]) if k is None else k
+    left = units.select("unit", "vec", F.pmod(F.xxhash64("unit"), F.lit(slices)).alias("_s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    right = bank.select("item", "vec", F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_s"))
+
+    def tile_scores(u: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if u.empty or b.empty:
+            return pd.DataFrame({"unit": [], "item": [], "score": []})
+        return _best(u["vec"], u["unit"], _unit_rows(np.stack(b["vec"].to_numpy()).astype(float)), b["item"].to_numpy(), keep)
+
+    scored = left.groupBy("_s", "_b").cogroup(right.groupBy("_s", "_b")).applyInPandas(tile_scores, schema)
+    return top_per_key(scored, ["unit"], [F.desc("score"), F.col("item")], keep)
 
 
 def rescore(scores: DataFrame, neutral: DataFrame, k: int = K_MAX) -> DataFrame:

@@ -18,6 +18,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalgrid.session import cut_lineage
+
 FAN = 16
 
 
@@ -186,6 +188,19 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def ranked(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
+    """Number all rows from 1 in `order`, which must tell rows apart. Rows are dealt by range and
+    each range is counted, so no task sorts more than its range and one sees only the counts."""
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.join(before, "_part").withColumn(out, F.col("_before") + inner).drop("_part", "_before")
+
+
 def haloed(df: DataFrame, keys: Sequence[str], t: str, slot_len: int, lookback: int, slot: str = "slot") -> DataFrame:
     """Copy each row into every slot whose rows may look back on it; `_own` marks the original.
 

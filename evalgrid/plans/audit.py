@@ -41,6 +41,26 @@ def rating_scan(spark, sf):
     return ratings(spark, sf).select("item_uid", "scene", "D", "E")
 
 
+_RATERS = """a AS (SELECT item_uid, D, E FROM rt WHERE item_uid%5<>1),
+b AS (SELECT item_uid, D2 AS D, E2 AS E FROM r2 WHERE item_uid%7<>2), c AS (SELECT item_uid, D, CASE WHEN item_uid%4=0 THEN 'N' ELSE E END AS E FROM rt WHERE item_uid%3<>0),
+pr AS (SELECT '1 vs 2' AS pair, a.D AS d1, b.D AS d2, a.E AS e1, b.E AS e2 FROM a JOIN b USING (item_uid) UNION ALL SELECT '1 vs 3', a.D, c.D, a.E, c.E FROM a JOIN c USING (item_uid)),
+lg AS (SELECT pair, 'D' AS "column", d1 AS x, d2 AS y FROM pr UNION ALL SELECT pair, 'E', e1, e2 FROM pr),
+ok AS (SELECT * FROM lg WHERE x IS NOT NULL AND y IS NOT NULL),
+po AS (SELECT pair, "column", count(*) AS n, count(*) FILTER (WHERE x=y)/count(*) AS po FROM ok GROUP BY 1,2),
+mx AS (SELECT pair, "column", x AS label, count(*) AS k FROM ok GROUP BY 1,2,3), my AS (SELECT pair, "column", y AS label, count(*) AS k FROM ok GROUP BY 1,2,3),
+pe AS (SELECT pair, "column", sum(CAST(mx.k AS DOUBLE)*my.k) AS s FROM mx JOIN my USING (pair, "column", label) GROUP BY 1,2)"""
+
+
+@query("q_c13_raters", f"""WITH {RATED}, {_RATERS}
+SELECT pair, "column", n, round(po,6) AS raw_agreement, round(CASE WHEN coalesce(s,0)/(CAST(n AS DOUBLE)*n)<1 THEN (po-coalesce(s,0)/(CAST(n AS DOUBLE)*n))/(1-coalesce(s,0)/(CAST(n AS DOUBLE)*n)) END,6) AS kappa FROM po LEFT JOIN pe USING (pair, "column")""")
+def raters(spark, sf):
+    r, i = ratings(spark, sf), F.col("item_uid")
+    first = r.where(i % 5 != 1).select("item_uid", "D", "E")
+    second = r.where(i % 7 != 2).select("item_uid", F.col("D2").alias("D"), F.col("E2").alias("E"))
+    third = r.where(i % 3 != 0).select("item_uid", "D", F.when(i % 4 == 0, "N").otherwise(F.col("E")).alias("E"))
+    return rounded(A.rater_agreement([first, second, third], "item_uid", ["D", "E"]), "raw_agreement", "kappa")
+
+
 def _key(spark, sf):
     k = ratings(spark, sf).select("item_uid", "method", "scene")
     return top_per_key(k, ["method", "scene"], [F.col("item_uid")], 6)

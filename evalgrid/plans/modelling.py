@@ -97,7 +97,10 @@ def ablation(spark, sf):
     return rounded(a.join(full, "feature_set").withColumn("gap_to_all", F.col("zone_accuracy") - F.col("_full")).drop("_full"), "rmse", "zone_accuracy", "gap_to_all")
 
 
-@query("q_f2_folds_rows")
+@query("q_f2_folds", f"""WITH {_RG},
+g AS (SELECT grp, count(*) AS n FROM rg GROUP BY 1), p AS (SELECT n, row_number() OVER (ORDER BY n DESC, grp)-1 AS p FROM g),
+f AS (SELECT n, CASE WHEN (p//5)%2=0 THEN p%5 ELSE 4-p%5 END AS fold FROM p)
+SELECT CAST(fold AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n, count(*) AS groups FROM f GROUP BY 1""")
 def folds(spark, sf):
     d = regression(spark, sf)
     return d.join(M.group_folds(d, "grp", 5), "grp").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("grp").alias("groups"))

@@ -262,19 +262,19 @@ def _units(spark, sf):
 
 
 @query("q_j3_cosine_topk", sql(f"""WITH {_COS},
-r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, item) AS rank FROM cs) SELECT unit, CAST(item AS BIGINT) AS item, score, rank FROM r WHERE rank<=3"""))
+r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, item) AS rank FROM cs) SELECT unit, CAST(item AS BIGINT) AS item, score, rank FROM r WHERE rank<=12"""))
 def cosine(spark, sf):
-    top = cosine_top_k(_units(spark, sf), label_bank(spark, sf), k=3)
+    top = cosine_top_k(_units(spark, sf), label_bank(spark, sf))
     return top.select("unit", "item", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("q_j5_rescore", sql(f"""WITH {_COS},
 nb AS (SELECT item, avg(score) AS base FROM cs GROUP BY 1),
 s AS (SELECT unit, cs.item, round(score-base,6) AS score FROM cs JOIN nb USING (item)),
-r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, item) AS rank FROM s) SELECT unit, CAST(item AS BIGINT) AS item, score, rank FROM r WHERE rank<=3"""))
+r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, item) AS rank FROM s) SELECT unit, CAST(item AS BIGINT) AS item, score, rank FROM r WHERE rank<=12"""))
 def pmi(spark, sf):
     bank = label_bank(spark, sf)
-    scores = cosine_top_k(_units(spark, sf), bank, k=10)
+    scores = cosine_top_k(_units(spark, sf), bank, k=None)
     neutral = scores.groupBy("item").agg(F.avg("score").alias("score"))
-    top = rescore(scores, neutral, k=3)
+    top = rescore(scores, neutral)
     return top.select("unit", "item", "score", F.col("rank").cast("bigint").alias("rank"))

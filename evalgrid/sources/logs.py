@@ -18,7 +18,6 @@ LOG_TYPES = {
 }
 LOG_DEFAULTS = {"condition_guard": "none", "condition_calib": "free", "site": "S?"}
 LOG_GLOB = "*_study_*.csv"
-MAX_HEADERS = 64
 
 
 def _lines(spark: SparkSession, folder: str, glob: str, include: Sequence[str]) -> DataFrame:
@@ -43,26 +42,16 @@ def read_event_logs(spark: SparkSession, folder: str, include: Sequence[str] = (
     lines = _lines(spark, folder, glob, include)
     names = F.split("value", ",")
     is_header = F.array_contains(names, "t_ms") & F.array_contains(names, "event")
-    heads = lines.where(is_header).groupBy("file").agg(F.min("value").alias("header"))
-    kinds = [r["header"] for r in heads.select("header").distinct().limit(MAX_HEADERS + 1).collect()]  # a handful of generations
-    if not kinds:
+    heads = lines.where(is_header).groupBy("file").agg(F.split(F.trim(F.min("value")), ",").alias("names"))
+    width = heads.agg(F.max(F.size("names"))).first()[0]
+    if width is None:
         raise FileNotFoundError(f"no session log in {folder} matches {list(include) or glob}")
-    if len(kinds) > MAX_HEADERS:
-        raise ValueError(f"more than {MAX_HEADERS} different headers in {folder}")
     body = attach(lines.where(~is_header & (F.trim("value") != "")), heads, ["file"], ["line"], how="inner")
-    parts = []
-    for h in sorted(kinds):
-        cols = h.strip().split(",")
-        schema = ", ".join(f"`{c}` {LOG_TYPES.get(c, 'string')}" for c in cols)
-        rows = body.where(F.col("header") == h).select("file", "block_start", "line", F.from_csv("value", schema).alias("r"))
-        keep = [c for c in cols if c in LOG_TYPES]
-        parts.append(rows.select("file", "block_start", "line", *[F.col(f"r.{c}").alias(c) for c in keep], F.lit("cue_zone" in cols).alias("cue_recorded")))
-    d = parts[0]
-    for p in parts[1:]:
-        d = d.unionByName(p, allowMissingColumns=True)
-    for c, t in LOG_TYPES.items():
-        if c not in d.columns:
-            d = d.withColumn(c, F.lit(None).cast(t))
+    # one parse for every generation: values by place, then each column from the place its file gives it
+    values = F.from_csv("value", ", ".join(f"v{i} string" for i in range(width)))
+    rows = body.select("file", "block_start", "line", "names", values.alias("r")).withColumn("r", F.array(*[F.col(f"r.v{i}") for i in range(width)]))
+    own = [F.get("r", (F.array_position("names", c) - 1).cast("int")).try_cast(t).alias(c) for c, t in LOG_TYPES.items()]
+    d = rows.select("file", "block_start", "line", *own, F.array_contains("names", "cue_zone").alias("cue_recorded"))
     d = d.fillna(LOG_DEFAULTS)
     d = running(d, ["file"], "block_start", ["line"], count="seq")
     session = F.regexp_replace("file", r"\.csv$", "")

@@ -94,15 +94,15 @@ def test_leave_one_out_popularity_against_brute_force(spark):
         assert mine[u] == sorted(names, key=lambda c: (-score[c], names[c]))[:6]
 
 
-@pytest.mark.parametrize("limit", [100, 7])
-def test_cosine_top_k_on_both_paths(spark, limit):
+@pytest.mark.parametrize("tile", [8 << 20, 7 * 64])
+def test_cosine_top_k_in_tiles_of_any_size(spark, tile):
     rng = np.random.default_rng(3)
     u, b = rng.normal(size=(40, 8)), rng.normal(size=(30, 8))
     units = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "unit bigint, vec array<double>")
     bank = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(b)], "item bigint, vec array<double>")
     sims = np.round((u / np.linalg.norm(u, axis=1, keepdims=True)) @ (b / np.linalg.norm(b, axis=1, keepdims=True)).T, 6)
     got = {}
-    for r in RT.cosine_top_k(units, bank, 5, bank_limit=limit).orderBy("unit", "rank").collect():
+    for r in RT.cosine_top_k(units, bank, 5, tile).orderBy("unit", "rank").collect():
         got.setdefault(r["unit"], []).append(r["item"])
     assert got == {i: sorted(range(30), key=lambda j: (-row[j], j))[:5] for i, row in enumerate(sims)}
 
@@ -189,3 +189,16 @@ def test_majority_ties_go_to_the_smallest_zone(spark):
     d = spark.createDataFrame(rows, "grid string, subject string, zt int")
     m = {r["subject"]: (r["majority_zone"], r["acc"]) for r in C.leave_one_out_majority(d, ["grid"], "subject").collect()}
     assert m == {"a": (2, 0.0), "b": (2, 0.0), "c": (0, 0.0)}
+
+
+def test_raters_meet_item_by_item(spark):
+    cols = "item_uid int, D string, E string"
+    a = spark.createDataFrame([(1, "Y", "Y"), (2, "N", None), (3, "Y", "N"), (4, "Y", "Y")], cols)
+    b = spark.createDataFrame([(1, "Y", "N"), (2, "N", "Y"), (9, "Y", "Y")], cols)
+    c = spark.createDataFrame([(3, "N", "N"), (4, "Y", None)], cols)
+    got = AU.join_raters([a, b, c], "item_uid", ["D", "E"]).collect()
+    assert sorted((r["pair"], r["item_uid"], r["D_1"], r["D_2"]) for r in got) == [("1 vs 2", 1, "Y", "Y"), ("1 vs 2", 2, "N", "N"), ("1 vs 3", 3, "Y", "N"), ("1 vs 3", 4, "Y", "Y")]
+    k = {(r["pair"], r["column"]): (r["n"], r["raw_agreement"], r["kappa"]) for r in AU.rater_agreement([a, b, c], "item_uid", ["D", "E"]).collect()}
+    assert k["1 vs 2", "D"] == (2, 1.0, 1.0) and k["1 vs 3", "D"][:2] == (2, 0.5) and k["1 vs 2", "E"][:2] == (1, 0.0)
+    with pytest.raises(ValueError):
+        AU.join_raters([a], "item_uid", ["D"])
