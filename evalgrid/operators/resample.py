@@ -121,10 +121,10 @@ def paired_differences(long: DataFrame, pairs: DataFrame, unit: str, by: Sequenc
 
 
 def stratified_ci(units: DataFrame, cell: Sequence[str], stratum: str, unit: str, value: str, reps: int = REPS, seed: int = 0) -> DataFrame:
-    """Resample units within each stratum, then pool: strata keep their shares in every replicate."""
+    """Resample units within each stratum, then pool: strata keep their shares in every replicate.
+    `unit` is unique over the strata of a cell, so that their draws are independent."""
     units = cut_lineage(units.select(*cell, stratum, unit, F.col(value).cast("double").alias(value)).where(finite(F.col(value).cast("double"))))
-    own_seed = F.lit(seed) + F.pmod(F.xxhash64(F.col(stratum)), F.lit(1_000_003))
-    sums = replicate_sums(units, [*cell, stratum], unit, value, reps, own_seed)
+    sums = replicate_sums(units, [*cell, stratum], unit, value, reps, seed)
     pooled = sums.groupBy(*cell, "_rep").agg((F.sum(F.col("n") * F.try_divide("s", "w")) / F.sum(F.when(F.col("w") > 0, F.col("n")))).alias("m"))
     ends = pooled.groupBy(*cell).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
     est = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(value).cast("double")).alias("estimate"))

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from evalgrid.functions.scores import correlation
 from evalgrid.operators import classify as C
 from evalgrid.operators import models as M
-from evalgrid.operators.resample import bca_ci
+from evalgrid.operators.resample import BCA_REPS, bca_ci
 from evalgrid.plans.classification import r6, rounded
 from evalgrid.plans.registry import query
-from evalgrid.plans.roles import predictions, table
+from evalgrid.plans.roles import bca_sql, predictions, sql, table
 
 PRICE_CAP = 100000.0
 
@@ -147,7 +147,12 @@ def pipeline(spark, sf):
     return M.ridge_fit(d, ["qty", "disc"], "price").transform(d).groupBy("flag").agg(r6(F.avg("prediction"), "mean_prediction"), r6(F.avg("price"), "mean_price"))
 
 
-@query("q_e3_bca_rows")
+_PER = "units AS (SELECT grid, subject AS unit, avg(CASE WHEN zt=zp THEN 1e0 ELSE 0e0 END) AS v FROM pz GROUP BY grid, subject)"
+
+
+@query("q_e3_bca", sql(f"""WITH {_PER},
+{bca_sql('units', 'grid', BCA_REPS)}
+SELECT grid, n, round(est,6) AS estimate, round(ci_lo,6) AS ci_lo, round(ci_hi,6) AS ci_hi FROM c_bca""", "pz"))
 def bca(spark, sf):
     per = C.group_accuracy(C.zone_answers(predictions(spark, sf)), ["grid"], "subject")
     return rounded(bca_ci(per, ["grid"], "subject", "acc"), "estimate", "ci_lo", "ci_hi")

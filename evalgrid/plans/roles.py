@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.functions.draws import poisson_thresholds
+from evalgrid.functions.draws import ACKLAM_A, ACKLAM_B, ACKLAM_C, ACKLAM_D, ACKLAM_SPLIT, ERFC, poisson_thresholds
 
 from evalgrid.operators.skew import running
 
@@ -221,7 +221,7 @@ def bootstrap_sql(units: str, cell: str, reps: int, seed: int = 0) -> str:
     weight = " + ".join(f"(x>={at})::INT" for at in poisson_thresholds())
     return f"""
 b_est AS (SELECT {cell}, count(*) AS n, avg(v) AS est FROM {units} GROUP BY {cell}),
-b_x0 AS (SELECT {cell}, v, rep, ({seed}*374761393 + rep*668265263 + (unit & 4294967295)*1640531527) & 4294967295 AS x
+b_x0 AS (SELECT {cell}, v, rep, ({seed * 374761393}::BIGINT + rep*668265263 + (unit & 4294967295)*1640531527) & 4294967295 AS x
          FROM {units} JOIN (SELECT {cell} FROM b_est WHERE n>=2) USING ({cell}), range({reps}) r(rep)),
 b_x1 AS (SELECT {cell}, v, rep, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x0),
 b_x2 AS (SELECT {cell}, v, rep, (xor(x>>16, x)*73244475) & 4294967295 AS x FROM b_x1),
@@ -229,3 +229,39 @@ b_x3 AS (SELECT {cell}, v, rep, xor(x>>16, x) AS x FROM b_x2),
 b_w AS (SELECT {cell}, v, rep, {weight} AS w FROM b_x3),
 b_mean AS (SELECT {cell}, rep, sum(v*w)/sum(w) AS m FROM b_w GROUP BY {cell}, rep HAVING sum(w)>0),
 b_ci AS (SELECT {cell}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi FROM b_mean GROUP BY {cell})"""
+
+
+def _poly_sql(x: str, coef: list[float]) -> str:
+    out = repr(coef[0])
+    for c in coef[1:]:
+        out = f"({out}*{x}+({c!r}))"
+    return out
+
+
+def _quantile_sql(p: str) -> str:
+    """functions.draws.normal_quantile of a column or number `p`."""
+    q, r = f"({p}-0.5e0)", f"(({p}-0.5e0)*({p}-0.5e0))"
+    tail = lambda u: f"({_poly_sql(f'sqrt(-2e0*ln({u}))', ACKLAM_C)}/{_poly_sql(f'sqrt(-2e0*ln({u}))', ACKLAM_D)})"
+    return (
+        f"CASE WHEN {p}<=0 OR {p}>=1 THEN NULL WHEN {p}<{ACKLAM_SPLIT} THEN {tail(p)} WHEN {p}>1-{ACKLAM_SPLIT} THEN -{tail(f'(1e0-{p})')} "
+        f"ELSE {q}*{_poly_sql(r, ACKLAM_A)}/{_poly_sql(r, ACKLAM_B)} END"
+    )
+
+
+def bca_sql(units: str, cell: str, reps: int) -> str:
+    """CTEs of bootstrap_sql and c_bca (cell, n, est, ci_lo, ci_hi): bias-corrected accelerated ends."""
+    ends = []
+    for name, p in (("lo", 0.025), ("hi", 0.975)):
+        ends.append(f"""
+c_{name}1 AS (SELECT *, z0+({_quantile_sql(f'{p}e0')}) AS z FROM c_q),
+c_{name}2 AS (SELECT *, z0+z/(1e0-a*z) AS y, 1e0/(1e0+0.5e0*(abs(z0+z/(1e0-a*z))/sqrt(2e0))) AS t FROM c_{name}1),
+c_{name}3 AS (SELECT *, t*exp(-(abs(y)/sqrt(2e0))*(abs(y)/sqrt(2e0))+{_poly_sql('t', ERFC)}) AS tl FROM c_{name}2),
+c_{name}4 AS (SELECT *, CASE WHEN y>=0 THEN 1e0-tl/2 ELSE tl/2 END AS s FROM c_{name}3),
+c_{name}5 AS (SELECT *, (CASE WHEN isfinite(s) AND s>=0 AND s<=1 THEN s ELSE {p}e0 END)*(len(ms)-1) AS pos FROM c_{name}4),
+c_{name} AS (SELECT {cell}, CASE WHEN abs(mx-mn)<=1e-8+1e-5*abs(mn) THEN mn WHEN n>=2 THEN
+  ms[CAST(floor(pos) AS INT)+1]+(ms[CAST(ceil(pos) AS INT)+1]-ms[CAST(floor(pos) AS INT)+1])*(pos-floor(pos)) END AS ci_{name} FROM c_{name}5)""")
+    return f"""{bootstrap_sql(units, cell, reps)},
+c_s AS (SELECT {cell}, b_est.n, est, min(v) AS mn, max(v) AS mx, avg((v-est)*(v-est)) AS m2, avg((v-est)*(v-est)*(v-est)) AS m3 FROM {units} JOIN b_est USING ({cell}) GROUP BY {cell}, b_est.n, est),
+c_m AS (SELECT {cell}, list(m ORDER BY m) AS ms, (count(*) FILTER (WHERE m<est)+count(*) FILTER (WHERE m<=est))/(2e0*count(*)) AS share FROM b_mean JOIN b_est USING ({cell}) GROUP BY {cell}),
+c_q AS (SELECT *, {_quantile_sql('share')} AS z0, CASE WHEN m2>0 THEN m3/pow(m2,1.5e0) END/(6e0*sqrt(n)) AS a FROM c_s LEFT JOIN c_m USING ({cell})),{ends[0]},{ends[1]},
+c_bca AS (SELECT {cell}, n, est, ci_lo, ci_hi FROM c_q JOIN c_lo USING ({cell}) JOIN c_hi USING ({cell}))"""

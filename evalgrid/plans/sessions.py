@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions.scores import hypothesis_verdict, same_item
 from evalgrid.operators import trials as T
 from evalgrid.operators.claims import as_claims, check
+from evalgrid.operators.resample import stratified_ci
 from evalgrid.operators.skew import attach
 from evalgrid.plans.classification import r6, rounded
 from evalgrid.plans.registry import query
@@ -171,6 +172,18 @@ def cluster_ci(spark, sf):
     return rounded(T.clustered_accuracy(e, ["calib"], "participant", "correct", REPS), "estimate", "ci_lo", "ci_hi")
 
 
+@query("q_e9_stratified", sql(f"""WITH {_REACH},
+units AS (SELECT calib, site, participant AS unit, avg(CASE WHEN correct THEN 1e0 ELSE 0e0 END) AS v FROM sel GROUP BY 1,2,3),
+{bootstrap_sql('units', 'calib, site', REPS, 7)},
+sx AS (SELECT calib, rep, sum(b_est.n*m)/sum(b_est.n) AS m FROM b_mean JOIN b_est USING (calib, site) GROUP BY 1,2),
+ci AS (SELECT calib, quantile_cont(m,0.025) AS ci_lo, quantile_cont(m,0.975) AS ci_hi FROM sx GROUP BY 1)
+SELECT calib, e.n, round(e.est,6) AS estimate, round(ci_lo,6) AS ci_lo, round(ci_hi,6) AS ci_hi FROM (SELECT calib, count(*) AS n, avg(v) AS est FROM units GROUP BY 1) e LEFT JOIN ci USING (calib)""", "ev"))
+def stratified(spark, sf):
+    e, _ = _facts(spark, sf)
+    per = e.groupBy("calib", "site", "participant").agg(F.avg(F.col("correct").cast("double")).alias("v"))
+    return rounded(stratified_ci(per, ["calib"], "site", "participant", "v", REPS, 7), "estimate", "ci_lo", "ci_hi")
+
+
 @query("q_e7_verdict", sql(f"""WITH {_E1}
 SELECT CASE calib WHEN 'free' THEN 'H1a' ELSE 'H1b' END AS hypothesis, round(estimate,6) AS estimate, round(ci_lo,6) AS ci_lo, ci_lo>=0.75e0 AS supported, ci_lo>=0.15e0 AS above_low_bar FROM po LEFT JOIN b_ci USING (calib)""", "ev"))
 def verdicts(spark, sf):
