@@ -206,7 +206,7 @@ def resume(spark, sf):
 
 @query("q_c10_grid", sql("""
 SELECT s.site, p.pattern, g.guard, c.calib, count(ev.participant) AS n FROM (SELECT DISTINCT site FROM ev) s CROSS JOIN (VALUES ('direct'),('scan')) p(pattern) CROSS JOIN (VALUES ('none'),('double')) g(guard)
- CROSS JOIN (VALUES ('free'),('calibrated')) c(calib) LEFT JOIN ev ON ev.site=s.site AND ev.pattern=p.pattern AND ev.guard=g.guard AND ev.calib=c.calib AND event='trial_end' AND cue_item=0 GROUP BY 1,2,3,4""", "ev"))
+ CROSS JOIN (VALUES ('free'),('calibrated')) c(calib) LEFT JOIN ev ON ev.site=s.site AND ev.pattern=p.pattern AND ev.guard=g.guard AND ev.calib=c.calib AND event='trial_end' GROUP BY 1,2,3,4""", "ev"))
 def grid(spark, sf):
     log = event_log(spark, sf)
 
@@ -214,5 +214,5 @@ def grid(spark, sf):
         return F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
 
     cells = log.select("site").distinct().select("*", axis("pattern", ["direct", "scan"])).select("*", axis("guard", ["none", "double"])).select("*", axis("calib", ["free", "calibrated"]))
-    n = log.where("event = 'trial_end' AND cue_item = 0").groupBy("site", "pattern", "guard", "calib").agg(F.count(F.lit(1)).alias("n"))
+    n = log.where("event = 'trial_end'").groupBy("site", "pattern", "guard", "calib").agg(F.count(F.lit(1)).alias("n"))
     return cells.join(n, ["site", "pattern", "guard", "calib"], "left").fillna({"n": 0})
