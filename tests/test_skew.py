@@ -70,6 +70,17 @@ def test_null_keys_and_slots_are_kept(spark):
     assert q == {"a": 2.0, None: 3.5}
 
 
+def test_quantiles_do_not_mind_outliers_or_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    cells = {"far": [1e12, -1e15, *rng.normal(size=900)], "ties": [1.0] * 500 + [2.0] * 3, "few": [5.0, 7.0], "big": list(rng.integers(0, 50, 700).astype(float))}
+    d = spark.createDataFrame([(k, float(v)) for k, vs in cells.items() for v in vs], "key string, v double")
+    for n in (2, 64):
+        for r in K.quantiles(d, ["key"], "v", {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}, n).collect():
+            assert np.allclose([r["a"], r["b"], r["c"], r["d"]], np.quantile(cells[r["key"]], [0, 0.37, 0.5, 1]), rtol=1e-12)
+
+
 def test_halo_covers_the_lookback(spark):
     d = spark.createDataFrame([("p", t) for t in range(0, 100, 7)], "key string, t int")
     h = K.haloed(d, ["key"], "t", 20, 15).collect()
