@@ -62,7 +62,8 @@ def _flips(width: int, r: int) -> list[int]:
 def _probes(queries: DataFrame, m: int, width: int, r: int) -> DataFrame:
     """(qcode, bound, j, value): the values at distance r in each segment."""
     at = queries.select("qcode", "bound", F.explode(F.array(*[F.lit(j) for j in range(m)])).alias("j"))
-    flips = F.array(*[F.lit(x).cast("long") for x in _flips(width, r)])
+    # one literal that the optimizer folds into an array, not thousands of expressions
+    flips = F.split(F.lit(",".join(map(str, _flips(width, r)))), ",").cast("array<bigint>")
     at = at.select("qcode", "bound", "j", _segment(F.col("qcode"), F.col("j"), width).alias("own"), F.explode(flips).alias("flip"))
     return at.select("qcode", "bound", "j", F.col("own").bitwiseXOR(F.col("flip")).alias("value"))
 
@@ -98,7 +99,8 @@ def top_k(codes: DataFrame, is_query: Column, k: int, segments: int | None = Non
         probes = _probes(active, m, width, r)
         a, b = F.col("qcode"), F.col("code")
         near = F.bit_count(a.bitwiseXOR(b))
-        met = probes.join(index, ["j", "value"]).where((near <= F.col("bound")) & _first_met(a, b, F.col("j"), m, width, r))
+        # the planner does not see how many probes a query has, and would broadcast them
+        met = probes.hint("merge").join(index, ["j", "value"]).where((near <= F.col("bound")) & _first_met(a, b, F.col("j"), m, width, r))
         found = met.select("qcode", near.alias("distance"), F.explode("ids").alias("e")).select("qcode", "distance", "e.id")
         state = cut_lineage(_best(found if state is None else state.unionByName(found), k).drop("rank"))
         reach = state.groupBy("qcode").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("bound"))
