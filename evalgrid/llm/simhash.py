@@ -143,7 +143,8 @@ def fingerprint_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     for level, masks in enumerate(_mask_levels()):
         filed = _filed(rows, masks)
         counts = filed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = cut_lineage(filed.join(counts, ["t", "key"]))
+        # sizes after the explode are not what the planner thinks: no broadcast here
+        shared = cut_lineage(filed.join(counts.hint("merge"), ["t", "key"]))
         last = level == LEVELS - 1
         small = shared if last else shared.where(F.col("n") <= bucket)
         sorted_ = small.select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key")

@@ -13,8 +13,8 @@ Learning, from labelled documents only:
 Scoring runs the same forward-backward over whole texts: windows overlap by `MARGIN` tokens on
 either side and every token's marginal is read where it has context on both sides.
 
-The training sample is bounded: the `TRAIN_DOCS` labelled documents with the smallest hash of their
-id (a documented limit of the classifier, not of what is scored).
+The training sample is bounded: labelled documents are thinned by a hash of their id to about
+`TRAIN_DOCS` (a documented limit of the classifier, not of what is scored).
 
 Defined results: null or empty texts and texts without letters have no tokens and get the score of
 no evidence; without both classes in the training rows every score is 0; labels that are null are
@@ -245,11 +245,12 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, learn: Column, limit: int = TRAIN_DOCS) -> DataFrame:
-    """text and label of the sample: at most `limit` labelled documents that `learn` (over doc_id)
-    allows, by the smallest hash of the id."""
+    """text and label of the sample: the labelled documents that `learn` (over doc_id) allows, thinned
+    by a hash of the id to about `limit` where there are more."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & learn)
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    share = limit / max(1, known.count())
+    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
     return docs.select("doc_id", "text").join(known, "doc_id").select("text", (F.col("label") > 0).cast("int").alias("label"))
 
 
