@@ -18,7 +18,7 @@ CLASSES, SINGLE = GROUPS * IN_GROUP, 192  # of the classes, how many hold one fr
 ROWS, SHARED = 4096, 256  # input rows of frequent tokens; rows that the others share
 CLUSTERS = 64
 WIDTH, HEADS = 16, 2
-WINDOW, STRIDE = 32, 24  # tokens that a window sees, and that it alone scores
+WINDOW, STRIDE = 16, 13  # tokens that a window sees, and that it alone scores
 LEARNED = ["emb", "wq", "wk", "wv", "w1", "w2", "rel"]
 
 
@@ -98,6 +98,12 @@ class Model:
         f32 = lambda x: np.ascontiguousarray(x, np.float32)
         return cls(v, f32(np.log(total)), f32(direct), near, np.log10(v.within)[None], {k: f32(w) for k, w in weights.items()})
 
+    def folded(self) -> Model:
+        """The same model for scoring, with queries, keys and values worked out for every input row."""
+        w = self.weights
+        rows = {f"rows_{m}": w["emb"] @ w[f"w{m}"] for m in "qkv"}
+        return Model(self.vocabulary, self.group, self.direct, self.cluster, self.within, w | rows)
+
     def with_clusters(self, counts: np.ndarray) -> None:
         """counts: (cluster of the current token, id of the next), smoothed by the share over all."""
         v, out = self.vocabulary, np.empty(counts.shape, np.float32)
@@ -115,11 +121,15 @@ def attend(w: dict[str, np.ndarray], rows: np.ndarray):
     """Attention output (windows, places, WIDTH) and what the gradients need. Scores stay small, so
     they go through exp as they are; a column of ones beside the values sums them up."""
     n, dk = len(rows), WIDTH // HEADS
-    e = w["emb"][rows].reshape(-1, WIDTH)
+    e = None if "rows_q" in w else w["emb"][rows].reshape(-1, WIDTH)
     split = lambda x: x.reshape(n, WINDOW, HEADS, dk).transpose(0, 2, 1, 3)
-    q, k = split(e @ w["wq"]), split(e @ w["wk"])
+    if "rows_q" in w:
+        flat = rows.ravel()
+        q, k, values = (split(w[m][flat]) for m in ("rows_q", "rows_k", "rows_v"))
+    else:
+        q, k, values = (split(e @ w[m]) for m in ("wq", "wk", "wv"))
     v = np.ones((n, HEADS, WINDOW, dk + 1), np.float32)
-    v[..., :dk] = split(e @ w["wv"])
+    v[..., :dk] = values
     s = np.matmul(q, k.transpose(0, 1, 3, 2))
     s += w["rel"][:, _BACK] + _AHEAD
     np.exp(s, out=s)
@@ -134,6 +144,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def _share(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The target's part of a softmax whose logits need no shift: smoothed log shares and a little."""
+    e = np.exp(np.minimum(z, 60.0, out=z), out=z)
+    return e[np.arange(len(e)), target] / e.sum(axis=1)
+
+
 def _by_group(target: np.ndarray):
     """(group, positions of the targets in it) for the groups that occur."""
     order = np.argsort(target // IN_GROUP, kind="stable")
@@ -146,9 +162,9 @@ def class_log10(model: Model, rows: np.ndarray, places: np.ndarray, target: np.n
     group, and of the class within the group."""
     w = model.weights
     o, now = attend(w, rows)[0][places], rows[places]
-    p = _softmax(model.group[now] + o @ w["w1"])[np.arange(len(now)), target // IN_GROUP]
+    p = _share(model.group[now] + o @ w["w1"], target // IN_GROUP)
     for g, at in _by_group(target):
-        p[at] *= _softmax(model.direct[g][now[at]] + o[at] @ w["w2"][g])[np.arange(len(at)), target[at] % IN_GROUP]
+        p[at] *= _share(model.direct[g][now[at]] + o[at] @ w["w2"][g], target[at] % IN_GROUP)
     return np.log10(np.maximum(p, np.float32(1e-30)))
 
 
@@ -193,7 +209,7 @@ class Trainer:
         self.model, self.rate, self.rng = model, np.float32(rate), np.random.default_rng(seed)
         self.m, self.v, self.step = {}, {}, 0
 
-    def run(self, rows: np.ndarray, places: np.ndarray, target: np.ndarray, batch: int = 16) -> None:
+    def run(self, rows: np.ndarray, places: np.ndarray, target: np.ndarray, batch: int = 32) -> None:
         """One pass over the windows. target: the class at every place, read where places holds."""
         order = self.rng.permutation(len(rows))
         for at in range(0, len(order), batch):

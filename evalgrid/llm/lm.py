@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.llm import attention as A
-from evalgrid.llm.tokens import encode_texts, ranges, slices, word_ids
+from evalgrid.llm.tokens import encode_words, ranges, slices, word_ids, words_of
 from evalgrid.session import cut_lineage
 
-FREQUENT, LONGEST = 1 << 17, 64  # words that every task holds, and the bytes of the longest of them
-RATE = 24
+FREQUENT, LONGEST = 1 << 18, 64  # words that every task holds, and the bytes of the longest of them
+RATE = 64
 ROUNDS = [0.01, 0.004]  # learning rate of each round
 TASK_WINDOWS = 4096  # windows that a training task should have at least, where there are as many
 END = 50256
@@ -41,10 +41,7 @@ SIZE = 50257  # ids of the vocabulary
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All lower-cased words of the texts in a row, and where each text's begin and end."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    flat, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
-    full = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    return flat.filter(pa.array(full)), np.r_[0, np.cumsum(full)][ends]
+    return words_of(pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, ""))))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +49,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 0):
             seen = pc.value_counts(_words(part.column(0))[0])
             yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["word", "n"])
+    pa.default_memory_pool().release_unused()  # the worker lives on into later stages
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -59,12 +57,24 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def tokenised(docs: DataFrame, tokenizer: str, frequent: dict[str, int]) -> DataFrame:
+def frequent_from(counts: DataFrame, most: int) -> int:
+    """The lowest count from which there are at most `most` words, to an eighth of an octave: read off
+    a histogram of counts, so that no task ranks words."""
+    bins = counts.groupBy(F.floor(8 * F.log2("n")).cast("int").alias("b")).agg(F.count(F.lit(1)).alias("w"), F.min("n").alias("n"))
+    seen, found = 0, 1 << 62
+    for r in bins.orderBy(F.desc("b")).collect():
+        seen += r["w"]
+        if seen > most:
+            break
+        found = r["n"]
+    return found
+
+
+def tokenised(docs: DataFrame, tokenizer: str, words: pa.Array, n: np.ndarray) -> DataFrame:
     """row (a number that is fixed by writing the result), doc_id, held_out, n_words, known and logs
-    (of frequent words: how many, and the sum of log10(c + 0.1)), rare (the other words), ids (16-bit,
-    with the end)."""
-    words = pa.array(list(frequent), pa.string())
-    logs = np.log10(np.fromiter(frequent.values(), float, len(frequent)) + 0.1)
+    (of the frequent `words`, which occur `n` times: how many, and the sum of log10(n + 0.1)), rare
+    (the other words), ids (16-bit, with the end)."""
+    logs = np.log10(n + 0.1)
     schema = "row bigint, doc_id bigint, held_out boolean, n_words bigint, known bigint, logs double, rare array<string>, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,12 +89,13 @@ def tokenised(docs: DataFrame, tokenizer: str, frequent: dict[str, int]) -> Data
                 known = np.r_[0, np.cumsum(hit)]
                 rare_ends = np.r_[0, np.cumsum(~hit)][ends].astype(np.int32)
                 rare = pa.ListArray.from_arrays(pa.array(rare_ends), flat.filter(pa.array(~hit)))
-                ids, counts = encode_texts(coder, pc.ascii_lower(pc.fill_null(part.column(2), "")), END)
+                ids, counts = encode_words(coder, flat, ends, END)
                 raw = [x.tobytes() for x in np.split(ids.astype("<u2"), np.cumsum(counts)[:-1])]
                 n = part.num_rows
                 cols = [pa.array(np.arange(made, made + n)), part.column(0), part.column(1), pa.array(np.diff(ends)), pa.array(known[ends[1:]] - known[ends[:-1]]), pa.array(gain[ends[1:]] - gain[ends[:-1]]), rare, pa.array(raw, pa.binary())]
                 made += n
                 yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in schema.split(", ")])
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
@@ -185,9 +196,9 @@ def average_round(sample: DataFrame, model: A.Model, rate: float, number: int) -
         at += size
 
 
-def _text_scores(model: A.Model, ids: np.ndarray, sizes: np.ndarray, batch: int = 64) -> np.ndarray:
+def _text_scores(model: A.Model, ids: np.ndarray, sizes: np.ndarray, batch: int = 512) -> np.ndarray:
     """log10 probability of each text."""
-    v = model.vocabulary
+    v, model = model.vocabulary, model.folded()
     x, index, own = A.windows(v.row[ids], sizes, v.start)
     gain = np.zeros(len(ids))
     for at in range(0, len(x), batch):
@@ -207,8 +218,8 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, frequent: int = FRE
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_train = train.select("doc_id").count()
     n, v = total["n"] + n_train, total["v"] + (n_train > 0)
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(frequent).toArrow()
-    tokens = cut_lineage(tokenised(docs, tokenizer, dict(zip(top.column("word").to_pylist(), top.column("n").to_pylist()))))
+    top = counts.where((F.octet_length("word") <= LONGEST) & (F.col("n") >= frequent_from(counts, frequent))).select("word", "n").toArrow()
+    tokens = cut_lineage(tokenised(docs, tokenizer, top.column("word").combine_chunks(), top.column("n").to_numpy()))
     model = learn(tokens.where(~F.col("held_out")))
 
     rare = tokens.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")

@@ -28,7 +28,7 @@ def op2_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(documents(spark, sf_dir), bucket_of(F.col("doc_id"), 10) == 0, public_tokenizers.path("byte_bpe_50k.json"))
+    return lm.score(documents(spark, sf_dir), bucket_of(F.col("doc_id"), 10) == 0, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op4_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

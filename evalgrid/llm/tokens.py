@@ -6,6 +6,7 @@ vocabularies looks across, so the ids of a text are those of its words in a row.
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,22 +14,35 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 400_000
+CACHE = 250_000  # words a worker remembers; fewer where spelling a word anew is cheap
+CACHE_CHEAP = 80_000
 
 
 class WordIds:
-    """Ids of words by a tokenizer file, with a bounded cache: when it is full, the words met since
-    the last time are kept and the others forgotten.
+    """Ids of words by a vocabulary file (of tokenizers, or ranks of tiktoken), with a bounded cache:
+    when it is full, the words met since the last time are kept and the others forgotten.
 
     Unknown words are encoded many at a time as one text, with a null character between them whose
     id shows where one ends; words that hold one, or spell a special token, are encoded alone.
     """
 
     def __init__(self, path: str, prefix: str = ""):
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
-        self.alone = ["\x00", *[t.content for t in self.encoder.get_added_tokens_decoder().values()]]
+        self.alone, cheap = ["\x00"], path.endswith(".tiktoken")
+        self.most = CACHE_CHEAP if cheap else CACHE
+        if cheap:
+            import public_tokenizers
+            import tiktoken
+
+            with open(path, "rb") as f:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            encoder = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.spell = encoder.encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            encoder = Tokenizer.from_file(path)
+            self.alone += [t.content for t in encoder.get_added_tokens_decoder().values()]
+            self.spell = lambda text: encoder.encode(text, add_special_tokens=False).ids
         self.prefix = prefix
         one, three = self._ids(prefix + "a"), self._ids(prefix + "a \x00 a")
         self.between = three[len(one) : len(three) - len(one)]
@@ -36,11 +50,11 @@ class WordIds:
         self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.encoder.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.spell(text), "<u4")
 
     def encode(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word."""
-        if len(self.cache) > CACHE:
+        if len(self.cache) > self.most:
             self.older, self.cache = self.cache, {}
         cache, prefix = self.cache, self.prefix
         new = list(dict.fromkeys(w for w in words if w not in cache))
@@ -80,12 +94,18 @@ def encode_texts(coder: WordIds, texts: pa.Array, end: int | None) -> tuple[np.n
     """All ids of the texts in a row, with `end` after each text if given, and the count per text.
     Null texts are empty."""
     split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
-    lists = split.offsets.to_numpy()
-    flat = split.flatten()
-    flat = flat.filter(pc.greater(pc.binary_length(flat), 0)) if (blank := pc.equal(pc.binary_length(flat), 0)).true_count else flat
-    if blank.true_count:
-        kept = np.r_[0, np.cumsum(~blank.to_numpy(zero_copy_only=False))]
-        lists = kept[lists - lists[0]]
+    return encode_words(coder, *words_of(split), end)
+
+
+def words_of(split: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The non-empty words of lists in a row, and where each list's begin and end."""
+    flat, ends = split.flatten(), split.offsets.to_numpy() - split.offsets[0].as_py()
+    full = pc.greater(pc.binary_length(flat), 0)
+    return flat.filter(full), np.r_[0, np.cumsum(full.to_numpy(zero_copy_only=False))][ends]
+
+
+def encode_words(coder: WordIds, flat: pa.Array, lists: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """encode_texts for texts that are cut into words already."""
     coded = flat.dictionary_encode()
     got = coder.encode(coded.dictionary.to_pylist())
     size = np.array([len(b) // 4 for b in got], np.int64)
@@ -101,7 +121,7 @@ def encode_texts(coder: WordIds, texts: pa.Array, end: int | None) -> tuple[np.n
     return ids, counts
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `most` bytes; a longer text is alone."""
     size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
     at = 0

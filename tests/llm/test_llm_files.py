@@ -44,6 +44,12 @@ def test_special_strings_and_a_full_cache(monkeypatch):
         assert coder.encode(batch) == [np.array(plain.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in batch]
 
 
+def test_both_libraries_spell_words_alike():
+    words = ["the", "naïve", "x'sy", "a\xa0b", "12345", "漢字🎉", "a\x00b", "###", "ÉTÉ", "\u2003"]
+    a, b = (tokens.WordIds(public_tokenizers.path(f"byte_bpe_50k.{kind}"), " ").encode(words) for kind in ("json", "tiktoken"))
+    assert a == b and all(a)
+
+
 def check_pieces(rows, docs):
     plain = Tokenizer.from_file(WORDS)
     ids = {k: np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for k, t in docs.items()}
