@@ -17,8 +17,8 @@ GROUPS, IN_GROUP = 16, 16  # groups of classes, and classes in each
 CLASSES, SINGLE = GROUPS * IN_GROUP, 192  # of the classes, how many hold one frequent token alone
 ROWS, SHARED = 4096, 256  # input rows of frequent tokens; rows that the others share
 CLUSTERS = 64
-WIDTH, HEADS = 16, 2
-WINDOW, STRIDE = 16, 13  # tokens that a window sees, and that it alone scores
+WIDTH, HEADS = 16, 1
+WINDOW, STRIDE = 16, 14  # tokens that a window sees, and that it alone scores
 LEARNED = ["emb", "wq", "wk", "wv", "w1", "w2", "rel"]
 
 
@@ -42,7 +42,7 @@ class Vocabulary:
         mass = np.cumsum(n[order[SINGLE:]] + 0.1)
         own[order[SINGLE:]] = SINGLE + np.minimum((mass / mass[-1] * (CLASSES - SINGLE)).astype(np.int64), CLASSES - SINGLE - 1)
         within = (n + 0.05) / np.bincount(own, n + 0.05, minlength=CLASSES)[own]
-        return cls(row, own, within, ROWS + SHARED)
+        return cls(row.astype(np.int32), own.astype(np.int32), within, ROWS + SHARED)
 
     @property
     def rows(self) -> int:
@@ -89,8 +89,8 @@ class Model:
         rng = np.random.default_rng(7)
         eye = lambda: np.eye(WIDTH) + rng.normal(0, 0.1, (WIDTH, WIDTH))
         rel = np.zeros((HEADS, WINDOW))
-        for h in range(HEADS - 1):  # heads start out looking 1, 2, .. tokens back; the last at all
-            rel[h, h + 1] = 4.0
+        for h in range(HEADS):  # heads start out looking 1, 2, .. tokens back more than elsewhere
+            rel[h, h + 1] = 2.0
         weights = {"emb": emb, "wq": 0.1 * eye(), "wk": 0.1 * eye(), "wv": eye(), "w1": np.zeros((WIDTH, GROUPS)), "w2": np.zeros((GROUPS, WIDTH, IN_GROUP)), "rel": rel}
         split = p.reshape(len(p), GROUPS, IN_GROUP)
         total = split.sum(axis=2)
@@ -152,8 +152,9 @@ def _share(z: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def _by_group(target: np.ndarray):
     """(group, positions of the targets in it) for the groups that occur."""
-    order = np.argsort(target // IN_GROUP, kind="stable")
-    ends = np.searchsorted((target // IN_GROUP)[order], np.arange(GROUPS + 1))
+    group = (target // IN_GROUP).astype(np.int16)  # 16 bits are sorted by counting
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
     return [(g, order[ends[g] : ends[g + 1]]) for g in range(GROUPS) if ends[g] < ends[g + 1]]
 
 
@@ -235,7 +236,8 @@ def windows(rows: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray
     text = np.repeat(np.arange(len(sizes)), count)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     first = (np.cumsum(sizes) - sizes)[text]
-    place = nth[:, None] * STRIDE + np.arange(WINDOW)[None]
+    nth, first, sizes = nth.astype(np.int32), first.astype(np.int32), sizes.astype(np.int32)
+    place = nth[:, None] * np.int32(STRIDE) + np.arange(WINDOW, dtype=np.int32)[None]
     live = place < sizes[text][:, None]
     index = first[:, None] + np.where(live, place, 0)
     before = np.where(place > 0, rows[np.maximum(index - 1, 0)], start)
