@@ -118,8 +118,8 @@ _AHEAD = np.triu(np.full((WINDOW, WINDOW), -1e4, np.float32), 1)
 
 
 def attend(w: dict[str, np.ndarray], rows: np.ndarray):
-    """Attention output (windows, places, WIDTH) and what the gradients need. Scores stay small, so
-    they go through exp as they are; a column of ones beside the values sums them up."""
+    """Attention output (windows, places, WIDTH) and what the gradients need. Scores are shifted by the
+    greatest of their row before exp; a column of ones beside the values sums them up."""
     n, dk = len(rows), WIDTH // HEADS
     e = None if "rows_q" in w else w["emb"][rows].reshape(-1, WIDTH)
     split = lambda x: x.reshape(n, WINDOW, HEADS, dk).transpose(0, 2, 1, 3)
@@ -132,6 +132,7 @@ def attend(w: dict[str, np.ndarray], rows: np.ndarray):
     v[..., :dk] = values
     s = np.matmul(q, k.transpose(0, 1, 3, 2))
     s += w["rel"][:, _BACK] + _AHEAD
+    s -= s.max(axis=-1, keepdims=True)
     np.exp(s, out=s)
     o = np.matmul(s, v)
     total = o[..., dk:]
@@ -210,7 +211,7 @@ class Trainer:
         self.model, self.rate, self.rng = model, np.float32(rate), np.random.default_rng(seed)
         self.m, self.v, self.step = {}, {}, 0
 
-    def run(self, rows: np.ndarray, places: np.ndarray, target: np.ndarray, batch: int = 32) -> None:
+    def run(self, rows: np.ndarray, places: np.ndarray, target: np.ndarray, batch: int = 128) -> None:
         """One pass over the windows. target: the class at every place, read where places holds."""
         order = self.rng.permutation(len(rows))
         for at in range(0, len(order), batch):

@@ -6,9 +6,8 @@ from them, keeps its rarer words, and writes its subword ids. Rarer words are jo
 by word; none of them can be a hot key. Everything after that reads the written ids: counts for the
 model's tables over all training tokens, training, and scoring.
 
-Training: one window of `RATE` of every training text, by a checksum of its ids; each round, every
-task runs Adam from the same weights over its own windows, and the weights are averaged by windows
-with a distributed sum. Scoring: overlapping windows, each token scored once.
+Training: every window of every training text; each round, every task runs Adam from the same weights
+over its own windows, and the weights are averaged by windows with a distributed sum. Scoring: overlapping windows, each token scored once.
 
 Defined results: null text is empty and has one token, the end; without training rows counts are
 zero, base probabilities are uniform over the end alone and the model is the uniform one; equal rows
@@ -17,7 +16,6 @@ each get a row.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +26,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.llm import attention as A
-from evalgrid.llm.tokens import encode_words, ranges, slices, word_ids, words_of
+from evalgrid.llm.tokens import encode_words, slices, word_ids, words_of
 from evalgrid.session import cut_lineage
 
 FREQUENT, LONGEST = 1 << 18, 64  # words that every task holds, and the bytes of the longest of them
-RATE = 64
 ROUNDS = [0.01, 0.004]  # learning rate of each round
 TASK_WINDOWS = 4096  # windows that a training task should have at least, where there are as many
 END = 50256
@@ -152,48 +149,43 @@ def learn(train: DataFrame) -> A.Model:
     counts = _histogram(train, A.CLUSTERS * SIZE, lambda ids, sizes: near[_before(v, ids, sizes)] * SIZE + ids)
     model.with_clusters(counts.reshape(A.CLUSTERS, SIZE))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, upto, ids, sizes in _texts(batch, 0):
-                sums = [zlib.crc32(x) for x in batch.column(0).slice(at, upto - at).to_pylist()]
-                x, index, own = A.windows(v.row[ids], sizes, v.start)
-                per_text = np.maximum(1, -(-(sizes - (A.WINDOW - A.STRIDE)) // A.STRIDE)) * (sizes > 0)
-                kept = np.flatnonzero((np.repeat(sums, per_text) + ranges(per_text)) % RATE == 0)
-                cols = [x[kept].astype("<i4"), v.cls[ids[index[kept]]].astype("<i4"), own[kept].astype("<i4")]
-                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in c], pa.binary()) for c in cols], ["x", "y", "own"])
-
-    sample = cut_lineage(train.select("ids").mapInArrow(pick, "x binary, y binary, own binary"))
-    sample = sample.coalesce(max(1, sample.count() // TASK_WINDOWS))
+    # each task trains over its own windows, so there are no more tasks than give each enough of them
+    size = (F.octet_length("ids") / 2).cast("bigint")
+    total = train.agg(F.coalesce(F.sum(F.greatest(F.lit(1), F.ceil((size - (A.WINDOW - A.STRIDE)) / A.STRIDE))), F.lit(0)).alias("n")).first()["n"]
+    texts = train.select("ids").coalesce(max(1, total // TASK_WINDOWS))
     for number, rate in enumerate(ROUNDS):
-        average_round(sample, model, rate, number)
+        average_round(texts, model, rate, number)
     return model
 
 
-def average_round(sample: DataFrame, model: A.Model, rate: float, number: int) -> None:
-    """One round of training in every task from the model's weights, which become the average."""
+def average_round(texts: DataFrame, model: A.Model, rate: float, number: int) -> int:
+    """One round of training in every task from the model's weights, which become the average; over
+    all windows of all texts (ids). Returns how many windows that were."""
+    v = model.vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = A.Model(model.vocabulary, model.group, model.direct, model.cluster, model.within, dict(model.weights))
         trainer, seen = A.Trainer(own, rate, number), 0
         for batch in batches:
-            if batch.num_rows:
-                x, y, places = (np.frombuffer(b"".join(c.to_pylist()), "<i4").reshape(-1, A.WINDOW) for c in batch.columns)
-                trainer.run(x, places.astype(bool), y)
-                seen += batch.num_rows
+            for _, _, ids, sizes in _texts(batch, 0):
+                x, index, places = A.windows(v.row[ids], sizes, v.start)
+                trainer.run(x, places, v.cls[ids[index]])
+                seen += len(x)
         flat = np.concatenate([own.weights[k].ravel() for k in A.LEARNED]).astype(np.float64) * seen
         flat = np.r_[seen, flat] if seen else np.zeros(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["place", "value"])
 
-    got = sample.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+    got = texts.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
     if not got.num_rows:
-        return
+        return 0
     flat = np.zeros(got.num_rows)
     flat[got.column("place").to_numpy()] = got.column("value").to_numpy()
-    flat, at = flat[1:] / flat[0], 0
+    seen, flat, at = int(flat[0]), flat[1:] / flat[0], 0
     for k in A.LEARNED:
         size = model.weights[k].size
         model.weights[k] = flat[at : at + size].reshape(model.weights[k].shape).astype(np.float32)
         at += size
+    return seen
 
 
 def _text_scores(model: A.Model, ids: np.ndarray, sizes: np.ndarray, batch: int = 512) -> np.ndarray:

@@ -191,6 +191,23 @@ def test_windows_score_each_token_once_with_context():
         assert x[w, t] == (9999 if i in first else i - 1)
 
 
+def test_language_model_trains_on_every_window(spark):
+    sizes = np.array([3, 16, 40, 90])
+    texts = [np.arange(n, dtype="<u2").tobytes() for n in sizes]
+    train = spark.createDataFrame([(bytearray(x),) for x in texts], "ids binary")
+    model = lm.learn(train)
+    assert np.abs(model.weights["w1"]).max() > 0  # short texts teach, too
+    x, _, own = A.windows(np.arange(sizes.sum()), sizes, 9999)
+    assert lm.average_round(train, model, 0.01, 0) == len(x) and own.sum() == sizes.sum()
+
+
+def test_attention_holds_at_large_scores():
+    model, rng = small_model(), np.random.default_rng(8)
+    model.weights["wq"] = model.weights["wq"] * np.float32(1e4)
+    out = A.attend(model.weights, rng.integers(0, 40, (3, A.WINDOW)))[0]
+    assert np.isfinite(out).all()
+
+
 def test_language_model_base_by_count_and_score_beats_it(spark):
     docs = many_docs(spark, 700).union(awkward_docs(spark))
     rows = docs.collect()
