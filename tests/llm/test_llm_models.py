@@ -201,6 +201,13 @@ def test_language_model_trains_on_every_window(spark):
     assert lm.average_round(train, model, 0.01, 0) == len(x) and own.sum() == sizes.sum()
 
 
+def test_later_windows_look_back_at_least_eight_tokens():
+    assert A.HEADS >= 2
+    x, index, own = A.windows(np.arange(100), np.array([100]), 9999)
+    seen = {index[w, t]: t + 1 for w, t in zip(*np.nonzero(own))}  # places up to the one that predicts
+    assert all(n > min(8, i) for i, n in seen.items()) and np.mean(list(seen.values())) > 16
+
+
 def test_attention_holds_at_large_scores():
     model, rng = small_model(), np.random.default_rng(8)
     model.weights["wq"] = model.weights["wq"] * np.float32(1e4)
