@@ -13,6 +13,7 @@ from evalgrid.plans.registry import query
 from evalgrid.plans.roles import bca_sql, predictions, sql, table
 
 PRICE_CAP = 100000.0
+GBT_FOLDS = 10
 
 
 def regression(spark, sf):
@@ -116,9 +117,9 @@ def ridge(spark, sf):
 
 @query("q_f4_gbt_rows")
 def gbt(spark, sf):
-    d = regression(spark, sf).join(M.group_folds(regression(spark, sf), "grp", 2), "grp")
+    d = regression(spark, sf).join(M.group_folds(regression(spark, sf), "grp", GBT_FOLDS), "grp")
     d = d.withColumn("qty", F.when(F.col("disc") < 0.09, F.col("qty")))  # some features are missing
-    p = M.gbt_folds(d.select("grp", "fold", "qty", "tax", "price"), "fold", [0, 1], ["qty", "tax"], "price", iterations=5)
+    p = M.gbt_folds(d.select("grp", "fold", "qty", "disc", "tax", "price"), "fold", range(GBT_FOLDS), ["qty", "disc", "tax"], "price")
     e = F.col("price") - F.col("prediction")
     return rounded(p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")), "rmse")
 

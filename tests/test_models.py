@@ -162,3 +162,18 @@ def test_boosted_trees_use_missing_values(spark):
     p = M.gbt_folds(d, "fold", [0, 1], ["x"], "y", iterations=20)
     assert p.count() == 200
     assert p.where("fold = 0").agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 5.1
+
+
+def test_registered_boosted_trees_do_the_whole_job(spark, monkeypatch):
+    """All iterations, ten grouped folds and three features reach the operator."""
+    from evalgrid.plans import modelling as P
+
+    seen = {}
+
+    def fit(df, fold, folds, features, label, iterations=M.GBT_ITERATIONS):
+        seen.update(folds=list(folds), features=list(features), iterations=iterations, dealt=df.select(fold).distinct().count())
+        return df.withColumn("prediction", df[label])
+
+    monkeypatch.setattr(M, "gbt_folds", fit)
+    P.gbt(spark, "/root/testdata/sf0.001")
+    assert seen == {"folds": list(range(10)), "features": ["qty", "disc", "tax"], "iterations": 300, "dealt": 10}
