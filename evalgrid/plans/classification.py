@@ -9,7 +9,7 @@ from evalgrid.functions.zones import NO_ZONE, from_pixels, strip_zone, threshold
 from evalgrid.operators import classify as C
 from evalgrid.operators.resample import bootstrap_ci
 from evalgrid.operators.skew import quantiles
-from evalgrid.plans.registry import query
+from evalgrid.plans.registry import REGISTRY, query
 from evalgrid.plans.roles import DAY, bootstrap_sql, predictions, sql
 
 
@@ -226,6 +226,15 @@ def kshot(spark, sf):
     return rounded(C.calibration_curve(p, "subject", "event_id", "day", KSHOT_GRIDS), "acc_mean", "acc_min", "acc_max")
 
 
+ALL_KSHOT_GRIDS = [*KSHOT_GRIDS, ("3x3", 3, 3), ("4x4", 4, 4)]
+
+
+@query("q_d16_kshot_grids", REGISTRY["q_d16_kshot"].sql.replace("grid IN ('1x3','2x2')", "grid IN ('1x3','2x2','3x3','4x4')"))
+def kshot_grids(spark, sf):
+    p = predictions(spark, sf).withColumn("day", F.floor(F.col("t_us") / DAY))
+    return rounded(C.calibration_curve(p, "subject", "event_id", "day", ALL_KSHOT_GRIDS), "acc_mean", "acc_min", "acc_max")
+
+
 @query("q_d36_corner", sql("""
 WITH pts AS (SELECT px, py, gx, gy, screen_w_mm/1e3 AS w FROM pr WHERE px IS NOT NULL),
 d AS (SELECT w, [ (SELECT min(sqrt(pow(gx+5e-2*i-(px+5e-2*j),2)+pow(gy+3e-2*i-(py+4e-2*j),2))) FROM range(4) t(j)) FOR i IN range(4)] AS ds FROM pts),

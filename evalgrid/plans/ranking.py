@@ -10,7 +10,7 @@ from evalgrid.operators import ranking as R
 from evalgrid.operators.resample import bootstrap_ci, paired_differences
 from evalgrid.operators.retrieval import cosine_top_k, rescore
 from evalgrid.plans.classification import rounded
-from evalgrid.plans.registry import query
+from evalgrid.plans.registry import REGISTRY, query
 from evalgrid.plans.roles import CATEGORIES, GROUPS, bootstrap_sql, predictions, ranked_lists, sql, table, unit_truth
 from evalgrid.session import cut_lineage
 
@@ -186,10 +186,19 @@ s AS (SELECT rv.unit, t.category, name, n-CASE WHEN m.unit IS NULL THEN 0 ELSE 1
 r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, name) AS rank FROM s)
 SELECT unit, category, score, rank FROM r WHERE rank<=3""", "rv"))
 def loo_popular(spark, sf):
+    return _loo_popular(spark, sf, 3)
+
+
+@query("q_j1_loo_popular_12", REGISTRY["q_j1_loo_popular"].sql.replace("rank<=3", "rank<=12"))
+def loo_popular_12(spark, sf):
+    return _loo_popular(spark, sf, R.K_MAX)
+
+
+def _loo_popular(spark, sf, k):
     rv = unit_truth(spark, sf)
     members = rv.select("unit", F.explode(F.array_intersect("pos", F.array(*[F.lit(v) for v in VOCABULARY]))).alias("category"))
     names = spark.createDataFrame([(i, CATEGORIES[i]) for i in VOCABULARY], "category int, name string")
-    out = R.loo_popularity(members, rv, names, k=3)
+    out = R.loo_popularity(members, rv, names, k=k)
     return out.select("unit", "category", "score", F.col("rank").cast("bigint").alias("rank"))
 
 

@@ -202,3 +202,12 @@ def test_raters_meet_item_by_item(spark):
     assert k["1 vs 2", "D"] == (2, 1.0, 1.0) and k["1 vs 3", "D"][:2] == (2, 0.5) and k["1 vs 2", "E"][:2] == (1, 0.0)
     with pytest.raises(ValueError):
         AU.join_raters([a], "item_uid", ["D"])
+
+
+def test_whole_result_groups_are_registered(spark):
+    """All four calibration grids, and every place of the popularity list."""
+    from evalgrid.plans import load_all
+
+    reg, sf = load_all(), "/root/testdata/sf0.001"
+    assert {r["grid"] for r in reg["q_d16_kshot_grids"].build(spark, sf).select("grid").distinct().collect()} == {"1x3", "2x2", "3x3", "4x4"}
+    assert {r["rank"] for r in reg["q_j1_loo_popular_12"].build(spark, sf).select("rank").distinct().collect()} == set(range(1, 7))  # six names
