@@ -9,7 +9,7 @@ from evalgrid.operators import align as A
 from evalgrid.operators import windows as W
 from evalgrid.operators.skew import running
 from evalgrid.plans.classification import r6, rounded
-from evalgrid.plans.registry import query
+from evalgrid.plans.registry import REGISTRY, query
 from evalgrid.plans.roles import DAY, HOUR, base, frame_stream, reference_stream, sql
 
 EPOCH_MS = 1704067200000
@@ -62,8 +62,8 @@ scan AS (SELECT participant, lag, avg(r) AS r, count(*) AS streams FROM c WHERE
 best AS (SELECT participant, max(r) AS r_at_best, max(CASE WHEN lag=0 THEN r END) AS r_at_zero, arg_max(lag, (round(r,9), -lag)) AS best_lag FROM scan GROUP BY 1)"""
 
 
-def _scan(spark, sf):
-    return A.lag_scan(_frames(spark, sf), _refs(spark, sf), "participant", ["participant", "video"], "t_us", "px", "tx", LAGS, DAY, min_samples=3)
+def _scan(spark, sf, lags=LAGS, min_samples=3):
+    return A.lag_scan(_frames(spark, sf), _refs(spark, sf), "participant", ["participant", "video"], "t_us", "px", "tx", lags, DAY, min_samples=min_samples)
 
 
 @query("q_d13_lag_scan", sql(f"WITH {_SCAN} SELECT participant, lag, round(r,6) AS r, streams FROM scan", "fr", "rs"))
@@ -75,7 +75,11 @@ def lag_scan(spark, sf):
 s AS (SELECT CASE WHEN participant%2=0 THEN 'Laptop' ELSE 'PC' END AS setup, best_lag FROM best)
 SELECT setup, round(quantile_cont(best_lag,0.5),6) AS setup_lag, count(*) AS participants FROM s GROUP BY 1""", "fr", "rs"))
 def setup_lag(spark, sf):
-    best = A.best_lag(_scan(spark, sf), "participant").withColumn("setup", F.when(F.col("participant") % 2 == 0, "Laptop").otherwise("PC"))
+    return _setup_lag(_scan(spark, sf))
+
+
+def _setup_lag(scan):
+    best = A.best_lag(scan, "participant").withColumn("setup", F.when(F.col("participant") % 2 == 0, "Laptop").otherwise("PC"))
     return rounded(A.lag_per_setup(best, "setup"), "setup_lag")
 
 
@@ -89,6 +93,32 @@ def resynced(spark, sf):
     return A.resync(f, "setup", "t_us", lags, "event_id").select("event_id", F.round("t_us", 0).alias("t_synced"))
 
 
+# the scan of the reference: 161 evenly spaced lags over the same span, 100 samples a stream
+LAG_STEP = 24 * HOUR // 160
+FINE_LAGS = [i * LAG_STEP for i in range(-80, 81)]
+
+
+def _fine_sql(name):
+    text = REGISTRY[name].sql
+    for old, new in ((f"l.h*{HOUR}", f"l.h*{LAG_STEP}"), ("range(-12,13,3)", "range(-80,81)"), ("n>=3 AND m>=3", "n>=100 AND m>=100")):
+        text = text.replace(old, new)
+    return text
+
+
+def _fine_scan(spark, sf):
+    return _scan(spark, sf, FINE_LAGS, 100)
+
+
+@query("q_d13_lag_scan_161", _fine_sql("q_d13_lag_scan"))
+def lag_scan_161(spark, sf):
+    return rounded(_fine_scan(spark, sf), "r")
+
+
+@query("q_d14_setup_lag_161", _fine_sql("q_d14_setup_lag"))
+def setup_lag_161(spark, sf):
+    return _setup_lag(_fine_scan(spark, sf))
+
+
 LENGTHS, DISPS, RATE = [5 * DAY, 10 * DAY], [0.2, 0.4], 0.4 / DAY
 _WIN = f"""{_STREAMS},
 st AS (SELECT participant, min(t_us) AS t0 FROM rf GROUP BY 1),

@@ -149,3 +149,26 @@ def test_time_median_uses_a_time_range(spark):
     want = {t: float(np.median([v for s, v in pts if t - 180 <= s <= t])) for t, _ in pts}
     for slot in (200, 5000):
         assert {r["t"]: r["smooth"] for r in W.time_median(d, ["who"], "t", "v", 180, slot).collect()} == want
+
+
+def test_registered_scan_reads_161_lags():
+    from evalgrid.plans import alignment as P
+    from evalgrid.plans import load_all
+
+    assert len(P.FINE_LAGS) == 161 and {b - a for a, b in zip(P.FINE_LAGS, P.FINE_LAGS[1:])} == {P.LAG_STEP} and 0 in P.FINE_LAGS
+    for name in ("q_d13_lag_scan_161", "q_d14_setup_lag_161"):
+        text = load_all()[name].sql
+        assert "range(-80,81)" in text and "n>=100 AND m>=100" in text and f"l.h*{P.HOUR}" not in text
+
+
+def test_161_lags_match_sql_on_small_streams(spark):
+    """The given tables have no stream of 100 samples, so the same scan is compared from 3 on."""
+    from check import compare, duck
+
+    from evalgrid.plans import alignment as P
+    from evalgrid.plans.registry import Query
+
+    text = P._fine_sql("q_d13_lag_scan").replace("n>=100 AND m>=100", "n>=3 AND m>=3")
+    q = Query("fine", lambda s, sf: P.rounded(P._scan(s, sf, P.FINE_LAGS, 3), "r"), text)
+    result = compare(spark, duck("sf0.001"), "fine", q, "sf0.001")[0]
+    assert result.startswith("ok") and "EMPTY" not in result, result
