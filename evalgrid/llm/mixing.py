@@ -30,7 +30,9 @@ DRAWS = 32
 def source_targets(sizes: DataFrame) -> DataFrame:
     """Adds `target` to one row per source (source_key, source_size): shares by weight, none above
     MOST times its size. Sources are limited once by level = size limit / weight, in that order, so
-    one running sum finds the sources that stop and the common level of the others."""
+    one running sum finds the sources that stop and the common level of the others.
+
+    All sources meet in one task: meant for up to 10^6 distinct sources (more: not measured)."""
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     place = F.row_number().over(Window.orderBy("source_key"))
     w = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in WEIGHTS]), (place - 1) % len(WEIGHTS) + 1))
