@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import arc, hamming, langid, lm, mixing, outliers, packing, quality, simhash, toxicity
-from evalgrid.llm.common import bucket_of, documents
+from evalgrid.llm import arc, decontaminate, hamming, langid, lm, mixing, outliers, packing, periodic, quality, simhash, toxicity, whitening
+from evalgrid.llm.common import bucket_of, documents, words
 from evalgrid.session import new_folder
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -66,9 +66,45 @@ def op10_fused_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
 
 
+def _planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where the crc32 of the id ends in 0, the words from a place on repeat their first
+    few. A null id plants nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    planted = F.coalesce(h % 10 == 0, F.lit(False))
+    cut = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), planted.alias("planted"), F.when(planted, words(F.col("text"))).alias("w"))
+    n, rest = F.size("w"), F.size("w") - F.col("a")
+    cut = cut.select("doc_id", "text", "w", "g", "planted", (F.col("g") % n).alias("a"))
+    cut = cut.select("doc_id", "text", "w", "planted", "a", (1 + F.floor(rest / (3 + F.col("g") % 8))).alias("p"))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    stretched = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("w", (place(i) + 1).cast("int")))
+    return cut.select("doc_id", F.when(F.col("planted") & (n > 0), F.array_join(stretched, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.find_runs(_planted_periods(documents(spark, sf_dir)), [F.col("doc_id")])
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["period"])))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    cut = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("m"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("m")["length"], F.col("m")["period"]
+    start = (-F.col("m")["col2"]).alias("start")
+    return cut.select("doc_id", "n_runs", start, length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), [F.col("doc_id")])
+    named = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), named, (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "embedding", [F.col("vec_id")])
+
+
 def queries() -> dict[str, Build]:
     own = [op1_covering_simhash, op2_crf_toxicity, op3_attention_lm, op4_systematic_mix, op5_arc_to_warc]
     own += [op6_shrunk_discriminant, op7_robust_outliers, op8_multi_index_search, op9_tier_packing, op10_fused_language]
+    own += [op11_periodic_runs, op12_prefix_decontamination, op13_exact_whitening]
     return {f.__name__: f for f in own}
 
 
@@ -114,5 +150,21 @@ SELECT query_id, id, distance, CAST(rank AS INTEGER) AS rank FROM (
 """
 
 
+OP12_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT COALESCE(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(list_slice(w, i, i + 9), ' ') AS win
+            FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+places AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE len(w) > 0),
+found AS (SELECT r, i, size, item FROM (SELECT r, i, size, array_to_string(list_slice(w, i, i + size - 1), ' ') AS win FROM places, (SELECT DISTINCT size FROM windows) WHERE i + size - 1 <= len(w))
+          JOIN windows USING (size, win)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS place FROM found) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n_hit, 0) AS n_hit, COALESCE(n_items, 0) AS n_items,
+       sha256(COALESCE(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_systematic_mix": OP4_SQL, "op5_arc_to_warc": OP5_SQL, "op8_multi_index_search": OP8_SQL}
+    return {"op4_systematic_mix": OP4_SQL, "op5_arc_to_warc": OP5_SQL, "op8_multi_index_search": OP8_SQL, "op12_prefix_decontamination": OP12_SQL}

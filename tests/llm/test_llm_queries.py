@@ -20,7 +20,7 @@ from evalgrid.llm import queries as Q  # noqa: E402
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in Q.queries()) == list(range(1, 14))
     assert set(Q.oracle_sql()) <= set(Q.queries())
 
 
