@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +23,11 @@ from evalgrid.operators.skew import attach, quantiles, ranked, running
 from evalgrid.session import cut_lineage
 
 # Smallest usable slope, held-out rows a mapping choice needs, knots of a mapping,
-# penalties searched, boosted-tree settings.
+# penalties searched.
 MIN_SLOPE = 1e-3
 MIN_HELD_OUT = 20
 KNOTS = 24
 ALPHAS = [10.0 ** e for e in np.linspace(-3, 3, 13)]
-GBT_ITERATIONS, GBT_STEP, GBT_DEPTH = 300, 0.05, 5
 
 
 # ---- line fits and signal checks -------------------------------------------------------------
@@ -223,31 +222,6 @@ def ridge_fit(df: DataFrame, features: Sequence[str], label: str, alpha: float =
     ]).fit(df)
 
 
-def gbt_pipeline(features: Sequence[str], label: str, iterations: int = GBT_ITERATIONS, seed: int = 0) -> Pipeline:
-    """Boosted trees on median-filled features plus a missing flag each: MLlib takes no NaN. Depth-
-    limited, so numbers are comparable with a leaf-limited learner, not equal."""
-    filled, flags = [f"{f}_filled" for f in features], [f"{f}_missing" for f in features]
-    return Pipeline(stages=[
-        Imputer(inputCols=list(features), outputCols=filled, strategy="median"),
-        VectorAssembler(inputCols=[*filled, *flags], outputCol="vector"),
-        GBTRegressor(featuresCol="vector", labelCol=label, maxIter=iterations, stepSize=GBT_STEP, maxDepth=GBT_DEPTH, seed=seed),
-    ])
-
-
-def with_missing_flags(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    return df.select("*", *[F.col(f).isNull().cast("double").alias(f"{f}_missing") for f in features])
-
-
-def gbt_folds(df: DataFrame, fold: str, folds: Sequence[int], features: Sequence[str], label: str, iterations: int = GBT_ITERATIONS) -> DataFrame:
-    """Out-of-fold predictions: one distributed fit per fold (a handful), rows chosen by predicate."""
-    d = with_missing_flags(df, features)
-    parts = [gbt_pipeline(features, label, iterations).fit(d.where(F.col(fold) != f)).transform(d.where(F.col(fold) == f)) for f in folds]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*df.columns, "prediction")
-
-
 # ---- monotone calibration --------------------------------------------------------------------
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalgrid.functions.scores import correlation
+from evalgrid.operators import boosting as B
 from evalgrid.operators import classify as C
 from evalgrid.operators import models as M
 from evalgrid.operators.resample import BCA_REPS, bca_ci
@@ -117,9 +118,10 @@ def ridge(spark, sf):
 
 @query("q_f4_gbt_rows")
 def gbt(spark, sf):
-    d = regression(spark, sf).join(M.group_folds(regression(spark, sf), "grp", GBT_FOLDS), "grp")
+    d = regression(spark, sf)
+    d = d.join(M.group_folds(d, "grp", GBT_FOLDS), "grp")
     d = d.withColumn("qty", F.when(F.col("disc") < 0.09, F.col("qty")))  # some features are missing
-    p = M.gbt_folds(d.select("grp", "fold", "qty", "disc", "tax", "price"), "fold", range(GBT_FOLDS), ["qty", "disc", "tax"], "price")
+    p = B.cross_predictions(d.select("grp", "fold", "qty", "disc", "tax", "price"), "fold", ["qty", "disc", "tax"], "price")
     e = F.col("price") - F.col("prediction")
     return rounded(p.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(e * e)).alias("rmse")), "rmse")
 

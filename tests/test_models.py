@@ -155,25 +155,17 @@ def test_ridge_pipeline_matches_closed_form_and_reloads(spark, tmp_path):
     assert again.transform(d).agg(F.sum("prediction")).first()[0] == pytest.approx(model.transform(d).agg(F.sum("prediction")).first()[0])
 
 
-def test_boosted_trees_use_missing_values(spark):
-    rnd = random.Random(5)
-    data = [(i % 2, float(i), None if i % 4 == 0 else rnd.random(), 5.0 if i % 4 == 0 else 0.0) for i in range(200)]
-    d = spark.createDataFrame(data, "fold int, id double, x double, y double")
-    p = M.gbt_folds(d, "fold", [0, 1], ["x"], "y", iterations=20)
-    assert p.count() == 200
-    assert p.where("fold = 0").agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 5.1
-
-
 def test_registered_boosted_trees_do_the_whole_job(spark, monkeypatch):
     """All iterations, ten grouped folds and three features reach the operator."""
+    from evalgrid.operators import boosting as B
     from evalgrid.plans import modelling as P
 
     seen = {}
 
-    def fit(df, fold, folds, features, label, iterations=M.GBT_ITERATIONS):
-        seen.update(folds=list(folds), features=list(features), iterations=iterations, dealt=df.select(fold).distinct().count())
+    def fit(df, fold, features, label, rules=B.Rules()):
+        seen.update(features=list(features), iterations=rules.iterations, dealt=df.select(fold).distinct().count())
         return df.withColumn("prediction", df[label])
 
-    monkeypatch.setattr(M, "gbt_folds", fit)
+    monkeypatch.setattr(B, "cross_predictions", fit)
     P.gbt(spark, "/root/testdata/sf0.001")
-    assert seen == {"folds": list(range(10)), "features": ["qty", "disc", "tax"], "iterations": 300, "dealt": 10}
+    assert seen == {"features": ["qty", "disc", "tax"], "iterations": 300, "dealt": 10}
