@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from evalgrid.functions.scores import correlation
 from evalgrid.operators.skew import attach, quantiles, running
 from evalgrid.session import cut_lineage
 
@@ -75,16 +78,81 @@ def interpolate(points: DataFrame, refs: DataFrame, keys: Sequence[str], t: str,
     return n.select(*points.columns, est.alias(out))
 
 
+def _packed_around(homes: DataFrame, refs: DataFrame, keys: Sequence[str], t: str, value: str, slot_len: int, halo: int) -> DataFrame:
+    """(keys, _slot, samples) for every slot of `homes`: the reference's (t, value) in the slots up to
+    `halo` before and after it, and the next sample beyond them on each side, where there is one."""
+    slots = refs.withColumn("_slot", F.floor(F.col(t) / slot_len)).groupBy(*keys, "_slot").agg(F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(value).alias("v")))).alias("s"))
+    slots = cut_lineage(slots)
+    near = slots.select(*keys, F.explode(F.sequence(F.col("_slot") - halo, F.col("_slot") + halo)).alias("_slot"), "s")
+    near = near.join(homes, [*keys, "_slot"], "left_semi").groupBy(*keys, "_slot").agg(F.flatten(F.collect_list("s")).alias("s"))
+    ends = slots.select(*keys, "_slot", F.element_at("s", 1).alias("_first"), F.element_at("s", -1).alias("_last"), F.lit(False).alias("_home"))
+    none = F.lit(None).cast(ends.schema["_first"].dataType)
+    both = ends.unionByName(homes.select(*keys, "_slot", none.alias("_first"), none.alias("_last"), F.lit(True).alias("_home")))
+    by = Window.partitionBy(*keys).orderBy("_slot")
+    before = F.last("_last", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, -halo - 1))
+    after = F.first("_first", ignorenulls=True).over(by.rangeBetween(halo + 1, Window.unboundedFollowing))
+    edges = both.withColumn("_before", before).withColumn("_after", after).where("_home").select(*keys, "_slot", "_before", "_after")
+    samples = F.concat(F.array("_before"), F.coalesce("s", F.array().cast(near.schema["s"].dataType)), F.array("_after"))
+    return edges.join(near, [*keys, "_slot"], "left").select(*keys, "_slot", F.array_compact(samples).alias("samples"))
+
+
+def lag_moments(points: DataFrame, refs: DataFrame, keys: Sequence[str], t: str, signal: str, value: str, lags: Sequence[int], slot_len: int) -> DataFrame:
+    """(keys, lag, n, mx, my, xx, yy, xy): per slot of a stream, the number, the means and the centred
+    sums of products of `signal` and the reference at t + lag. The shuffle carries points and samples
+    once; a task holds a slot of points, the samples around it and one number per lag."""
+    shift, chunk, names = np.array(lags, np.int64), 2048, list(keys)
+    halo = -(-max(abs(int(lag)) for lag in lags) // slot_len)
+    p = points.select(*keys, F.floor(F.col(t) / slot_len).alias("_slot"), F.col(t).cast("bigint").alias("_t"), F.col(signal).cast("double").alias("_x"))
+    r = refs.select(*keys, F.col(t).cast("bigint").alias("_t"), F.col(value).cast("double").alias("_v"))
+    packed = _packed_around(p.select(*keys, "_slot").distinct(), r, keys, "_t", "_v", slot_len, halo)
+    own = {f.name: f.dataType for f in p.select(*keys).schema.fields}
+
+    def moments(key: tuple, frames: pa.Table, around: pa.Table) -> pa.Table:
+        x, at = frames["_x"].to_numpy(), frames["_t"].to_numpy()
+        s = around["samples"].combine_chunks().flatten() if around.num_rows else None
+        if s is None or not len(x) or not len(s):
+            return pa.Table.from_pylist([], schema)
+        ts, vs = s.field("t").to_numpy(), s.field("v").to_numpy()
+        order = np.argsort(ts, kind="stable")
+        origin, ts, vs = ts.min(), (ts - ts.min())[order], vs[order]
+        n, mx = len(x), float(x.mean())
+        total, yy, xy = np.zeros(len(shift)), np.zeros(len(shift)), np.zeros(len(shift))
+        pivot = float(vs.mean())
+        for a in range(0, n, chunk):
+            y = np.interp((at[a : a + chunk, None] - origin + shift).astype(float), ts, vs) - pivot
+            total += y.sum(axis=0)
+            yy += (y * y).sum(axis=0)
+            xy += (x[a : a + chunk] - mx) @ y
+        my, full = total / n, len(shift)
+        same = [pa.array([k.as_py()] * full, schema.field(i).type) for i, k in enumerate(key[: len(names)])]
+        rows = [np.array(lags, np.int64), np.full(full, n), np.full(full, mx), my + pivot, np.full(full, float(((x - mx) ** 2).sum())), np.maximum(yy - n * my * my, 0.0), xy]
+        return pa.Table.from_arrays([*same, *[pa.array(c) for c in rows]], schema=schema)
+
+    kind = StructType([*[StructField(k, own[k]) for k in names], StructField("lag", LongType()), StructField("n", LongType()), *[StructField(c, DoubleType()) for c in ("mx", "my", "xx", "yy", "xy")]])
+    schema = to_arrow_schema(kind)
+    cells = [*names, "_slot"]
+    return p.groupBy(*cells).cogroup(packed.groupBy(*cells)).applyInArrow(moments, kind)
+
+
 def lag_scan(points: DataFrame, refs: DataFrame, who: str, keys: Sequence[str], t: str, signal: str, value: str, lags: Sequence[int], slot_len: int, min_samples: int = 100) -> DataFrame:
-    """Correlation of `signal` with the reference at t + lag, per stream, then averaged over the
-    streams of each `who`: (who, lag, r, streams). Streams with few samples on a side are skipped."""
-    size = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np")).join(refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr")), list(keys))
-    size = size.where((F.col("_np") >= min_samples) & (F.col("_nr") >= min_samples)).select(*keys)
-    usable = attach(points.select(*keys, t, signal), size, keys, [t], how="inner")
-    shifted = usable.select(*keys, signal, F.explode(F.array(*[F.lit(lag) for lag in lags])).alias("lag"), F.col(t).alias("_t0"))
-    shifted = shifted.withColumn(t, F.col("_t0") + F.col("lag")).drop("_t0")
-    at = interpolate(shifted, refs.select(*keys, t, value), keys, t, slot_len, value)
-    per = at.groupBy(*keys, "lag").agg(correlation(signal, "ref").alias("r")).where(F.col("r").isNotNull())
+    """Correlation of `signal` with the reference at t + lag (linear between samples, held beyond the
+    ends), per stream, then averaged over the streams of each `who`: (who, lag, r, streams).
+
+    Streams with fewer than `min_samples` points or reference times are skipped, as are missing
+    signals and values and null keys; reference values at one time count as their mean; a stream that
+    does not vary has no correlation.
+    """
+    keys = list(keys)
+    p = points.select(*keys, t, signal).where(F.col(signal).isNotNull() & F.col(t).isNotNull())
+    r = refs.where(F.col(value).isNotNull() & F.col(t).isNotNull()).groupBy(*keys, t).agg(F.avg(value).alias(value))
+    size = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("_np")).join(r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nr")), keys)
+    size = cut_lineage(size.where((F.col("_np") >= min_samples) & (F.col("_nr") >= min_samples)).select(*keys))
+    m = lag_moments(p.join(size, keys, "left_semi"), r.join(size, keys, "left_semi"), keys, t, signal, value, lags, slot_len)
+    n = F.sum("n")
+    joined = lambda own, a, b: F.sum(own) + F.sum(F.col("n") * F.col(a) * F.col(b)) - F.sum(F.col("n") * F.col(a)) * F.sum(F.col("n") * F.col(b)) / n
+    per = m.groupBy(*keys, "lag").agg(n.alias("n"), joined("xx", "mx", "mx").alias("xx"), joined("yy", "my", "my").alias("yy"), joined("xy", "mx", "my").alias("xy"))
+    varies = (F.col("xx") > 1e-12 * F.col("n")) & (F.col("yy") > 1e-12 * F.col("n"))
+    per = per.where(varies).withColumn("r", F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
     return per.groupBy(who, "lag").agg(F.avg("r").alias("r"), F.count(F.lit(1)).alias("streams"))
 
 

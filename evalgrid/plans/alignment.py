@@ -9,7 +9,7 @@ from evalgrid.operators import align as A
 from evalgrid.operators import windows as W
 from evalgrid.operators.skew import running
 from evalgrid.plans.classification import r6, rounded
-from evalgrid.plans.registry import REGISTRY, query
+from evalgrid.plans.registry import query
 from evalgrid.plans.roles import DAY, HOUR, base, frame_stream, reference_stream, sql
 
 EPOCH_MS = 1704067200000
@@ -50,73 +50,53 @@ def nearest_within(spark, sf):
     return n.select("event_id", "participant", "tx")
 
 
-LAGS = [h * HOUR for h in range(-12, 13, 3)]
+# 161 evenly spaced lags over a day, 100 samples a stream; a stream is a group of users
+LAG_STEP = 24 * HOUR // 160
+LAGS = [i * LAG_STEP for i in range(-80, 81)]
+STREAMS, MIN_SAMPLES = 15, 100
 _SCAN = f"""{_STREAMS},
-ok AS (SELECT participant, video FROM (SELECT participant, video, count(*) n FROM fm GROUP BY 1,2) a JOIN (SELECT participant, video, count(*) m FROM rf GROUP BY 1,2) r USING (participant, video) WHERE n>=3 AND m>=3),
-sh AS (SELECT f.participant, f.video, f.px, l.h*{HOUR} AS lag, f.t_us+l.h*{HOUR} AS t FROM fm f JOIN ok USING (participant, video), (SELECT unnest(range(-12,13,3)) h) l),
-p AS (SELECT sh.*, rf.t_us AS pt, rf.tx AS pv FROM sh ASOF LEFT JOIN rf ON sh.participant=rf.participant AND sh.video=rf.video AND sh.t>=rf.t_us),
-n AS (SELECT p.*, rf.t_us AS nt, rf.tx AS nv FROM p ASOF LEFT JOIN rf ON p.participant=rf.participant AND p.video=rf.video AND p.t<rf.t_us),
-i AS (SELECT participant, video, lag, px, CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL THEN pv ELSE pv+(nv-pv)*(CAST(t-pt AS DOUBLE)/(nt-pt)) END AS ref FROM n),
-c AS (SELECT participant, video, lag, CASE WHEN stddev_pop(ref)>0 AND stddev_pop(px)>0 THEN corr(px,ref) END AS r FROM i GROUP BY 1,2,3),
-scan AS (SELECT participant, lag, avg(r) AS r, count(*) AS streams FROM c WHERE r IS NOT NULL GROUP BY 1,2),
-best AS (SELECT participant, max(r) AS r_at_best, max(CASE WHEN lag=0 THEN r END) AS r_at_zero, arg_max(lag, (round(r,9), -lag)) AS best_lag FROM scan GROUP BY 1)"""
+fp AS (SELECT participant%{STREAMS} AS stream, event_id, t_us, px FROM fm), rp AS (SELECT participant%{STREAMS} AS stream, t_us, avg(tx) AS tx FROM rf WHERE tx IS NOT NULL GROUP BY 1,2),
+ok AS (SELECT stream FROM (SELECT stream, count(px) n FROM fp GROUP BY 1) a JOIN (SELECT stream, count(*) m FROM rp GROUP BY 1) r USING (stream) WHERE n>={MIN_SAMPLES} AND m>={MIN_SAMPLES}),
+sh AS (SELECT f.stream, f.px, l.h*{LAG_STEP} AS lag, f.t_us+l.h*{LAG_STEP} AS t FROM fp f JOIN ok USING (stream), (SELECT unnest(range(-80,81)) h) l WHERE f.px IS NOT NULL),
+p AS (SELECT sh.*, rp.t_us AS pt, rp.tx AS pv FROM sh ASOF LEFT JOIN rp ON sh.stream=rp.stream AND sh.t>=rp.t_us),
+n AS (SELECT p.*, rp.t_us AS nt, rp.tx AS nv FROM p ASOF LEFT JOIN rp ON p.stream=rp.stream AND p.t<rp.t_us),
+i AS (SELECT stream, lag, px, CASE WHEN pt IS NULL THEN nv WHEN nt IS NULL THEN pv ELSE pv+(nv-pv)*(CAST(t-pt AS DOUBLE)/(nt-pt)) END AS ref FROM n),
+scan AS (SELECT stream, lag, CAST(avg(r) AS DOUBLE) AS r, count(*) AS streams FROM (SELECT stream, lag, CASE WHEN stddev_pop(ref)>0 AND stddev_pop(px)>0 THEN corr(px,ref) END AS r FROM i GROUP BY 1,2) WHERE r IS NOT NULL GROUP BY 1,2),
+best AS (SELECT stream, max(r) AS r_at_best, max(CASE WHEN lag=0 THEN r END) AS r_at_zero, arg_max(lag, (round(r,9), -lag)) AS best_lag FROM scan GROUP BY 1)"""
 
 
-def _scan(spark, sf, lags=LAGS, min_samples=3):
-    return A.lag_scan(_frames(spark, sf), _refs(spark, sf), "participant", ["participant", "video"], "t_us", "px", "tx", lags, DAY, min_samples=min_samples)
+def _scan(spark, sf):
+    stream = (F.col("participant") % STREAMS).alias("stream")
+    return A.lag_scan(_frames(spark, sf).select(stream, "t_us", "px"), _refs(spark, sf).select(stream, "t_us", "tx"), "stream", ["stream"], "t_us", "px", "tx", LAGS, DAY, MIN_SAMPLES)
 
 
-@query("q_d13_lag_scan", sql(f"WITH {_SCAN} SELECT participant, lag, round(r,6) AS r, streams FROM scan", "fr", "rs"))
+@query("q_d13_lag_scan", sql(f"WITH {_SCAN} SELECT stream, lag, round(r,6) AS r, streams FROM scan", "fr", "rs"))
 def lag_scan(spark, sf):
     return rounded(_scan(spark, sf), "r")
 
 
+def _setup(of):
+    return F.when(F.col(of) % 2 == 0, "Laptop").otherwise("PC").alias("setup")
+
+
+def _setup_lags(spark, sf):
+    return A.lag_per_setup(A.best_lag(_scan(spark, sf), "stream").select("*", _setup("stream")), "setup")
+
+
 @query("q_d14_setup_lag", sql(f"""WITH {_SCAN},
-s AS (SELECT CASE WHEN participant%2=0 THEN 'Laptop' ELSE 'PC' END AS setup, best_lag FROM best)
+s AS (SELECT CASE WHEN stream%2=0 THEN 'Laptop' ELSE 'PC' END AS setup, best_lag FROM best)
 SELECT setup, round(quantile_cont(best_lag,0.5),6) AS setup_lag, count(*) AS participants FROM s GROUP BY 1""", "fr", "rs"))
 def setup_lag(spark, sf):
-    return _setup_lag(_scan(spark, sf))
-
-
-def _setup_lag(scan):
-    best = A.best_lag(scan, "participant").withColumn("setup", F.when(F.col("participant") % 2 == 0, "Laptop").otherwise("PC"))
-    return rounded(A.lag_per_setup(best, "setup"), "setup_lag")
+    return rounded(_setup_lags(spark, sf), "setup_lag")
 
 
 @query("q_d14_resync", sql(f"""WITH {_SCAN},
-s AS (SELECT CASE WHEN participant%2=0 THEN 'Laptop' ELSE 'PC' END AS setup, quantile_cont(best_lag,0.5) AS lag FROM best GROUP BY 1)
-SELECT event_id, round(t_us+lag,0) AS t_synced FROM fm JOIN s ON s.setup=CASE WHEN participant%2=0 THEN 'Laptop' ELSE 'PC' END""", "fr", "rs"))
+s AS (SELECT CASE WHEN stream%2=0 THEN 'Laptop' ELSE 'PC' END AS setup, quantile_cont(best_lag,0.5) AS lag FROM best GROUP BY 1)
+SELECT event_id, round(t_us+lag,0) AS t_synced FROM fp JOIN s ON s.setup=CASE WHEN stream%2=0 THEN 'Laptop' ELSE 'PC' END""", "fr", "rs"))
 def resynced(spark, sf):
-    best = A.best_lag(_scan(spark, sf), "participant").withColumn("setup", F.when(F.col("participant") % 2 == 0, "Laptop").otherwise("PC"))
-    f = _frames(spark, sf).withColumn("setup", F.when(F.col("participant") % 2 == 0, "Laptop").otherwise("PC"))
-    lags = A.lag_per_setup(best, "setup").select("setup", F.col("setup_lag").alias("lag"))
-    return A.resync(f, "setup", "t_us", lags, "event_id").select("event_id", F.round("t_us", 0).alias("t_synced"))
-
-
-# the scan of the reference: 161 evenly spaced lags over the same span, 100 samples a stream
-LAG_STEP = 24 * HOUR // 160
-FINE_LAGS = [i * LAG_STEP for i in range(-80, 81)]
-
-
-def _fine_sql(name):
-    text = REGISTRY[name].sql
-    for old, new in ((f"l.h*{HOUR}", f"l.h*{LAG_STEP}"), ("range(-12,13,3)", "range(-80,81)"), ("n>=3 AND m>=3", "n>=100 AND m>=100")):
-        text = text.replace(old, new)
-    return text
-
-
-def _fine_scan(spark, sf):
-    return _scan(spark, sf, FINE_LAGS, 100)
-
-
-@query("q_d13_lag_scan_161", _fine_sql("q_d13_lag_scan"))
-def lag_scan_161(spark, sf):
-    return rounded(_fine_scan(spark, sf), "r")
-
-
-@query("q_d14_setup_lag_161", _fine_sql("q_d14_setup_lag"))
-def setup_lag_161(spark, sf):
-    return _setup_lag(_fine_scan(spark, sf))
+    f = _frames(spark, sf).withColumn("stream", F.col("participant") % STREAMS).select("*", _setup("stream"))
+    lags = _setup_lags(spark, sf).select("setup", F.col("setup_lag").alias("lag"))
+    return A.resync(f.join(lags, "setup", "left_semi"), "setup", "t_us", lags, "event_id").select("event_id", F.round("t_us", 0).alias("t_synced"))
 
 
 LENGTHS, DISPS, RATE = [5 * DAY, 10 * DAY], [0.2, 0.4], 0.4 / DAY
