@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrid.functions.zones import NO_ZONE, grid_list, zone_of
-from evalgrid.operators.skew import attach, haloed, quantiles, running
+from evalgrid.operators.chain import jump_chain
+from evalgrid.operators.skew import attach, haloed, join_on, quantiles, running
+from evalgrid.session import cut_lineage
 
 # Share of valid samples, share of frames, smoothing span, live-rate window,
 # frame-rate floor, largest gap inside a fixation.
@@ -121,8 +123,8 @@ def _reach(values: np.ndarray, limit: float) -> np.ndarray:
     for start in range(n):
         while end + 1 < n:
             k = end + 1
-            top = sum(max(s[q[0]], s[k]) if q else s[k] for q, s in zip(queues, series))
-            if k > start and top > limit:
+            x1, y1, x0, y0 = (max(s[q[0]], s[k]) if q else s[k] for q, s in zip(queues, series))
+            if k > start and (x1 + x0) + (y1 + y0) > limit:
                 break
             for q, s in zip(queues, series):
                 while q and s[q[-1]] <= s[k]:
@@ -136,50 +138,102 @@ def _reach(values: np.ndarray, limit: float) -> np.ndarray:
     return out
 
 
-def _fixations(t: np.ndarray, xy: np.ndarray, min_ms: float, disp: float) -> list[tuple[float, float]]:
-    """Greedy fixations of one unbroken run: the first start whose reach lasts min_ms, then on from
-    behind it."""
-    reach = _reach(xy, disp)
-    lasting = np.flatnonzero(t[reach] - t >= min_ms)
-    found, at = [], 0
-    while (k := np.searchsorted(lasting, at)) < len(lasting):
-        found.append((t[lasting[k]], t[reach[lasting[k]]]))
-        at = reach[lasting[k]] + 1
-    return found
+_BOX = ["_x0", "_x1", "_y0", "_y1"]  # smallest and largest x and y since a start
+
+
+def _boxes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Smallest and largest x and y up to each sample."""
+    return np.c_[np.minimum.accumulate(x), np.maximum.accumulate(x), np.minimum.accumulate(y), np.maximum.accumulate(y)]
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.c_[np.minimum(a[:, 0], b[:, 0]), np.maximum(a[:, 1], b[:, 1]), np.minimum(a[:, 2], b[:, 2]), np.maximum(a[:, 3], b[:, 3])]
+
+
+def _spread(box: np.ndarray) -> np.ndarray:
+    return (box[:, 1] - box[:, 0]) + (box[:, 3] - box[:, 2])
+
+
+def reaches(v: DataFrame, run: Sequence[str], disp: float) -> DataFrame:
+    """For each sample of `v` (run keys, _slot, place, t, x, y) the place and time of the last sample of
+    its run up to which range of x + range of y stay within `disp`: (run keys, place, t, end, end_t).
+
+    A slot is searched by itself, with monotone queues. Starts that reach its last sample are carried,
+    as a box of four numbers, to the run's next slot, whose boxes from its first sample only grow, so
+    the end is found by bisection; this is repeated while some start is carried on. No task holds more
+    than a slot and the starts carried into it, and the rounds are the slots of the longest stillness.
+    """
+    run = list(run)
+    slots = v.select(*run, "_slot").distinct()
+    by = Window.partitionBy(*run).orderBy("_slot")
+    slots = cut_lineage(slots.select(*run, "_slot", F.row_number().over(by).alias("_part")))  # slots of a run without holes
+    v = cut_lineage(join_on(v, slots, [*run, "_slot"]).drop("_slot"))
+    fields = ", ".join(f"{k} {v.schema[k].dataType.simpleString()}" for k in run)
+    out = f"{fields}, place bigint, t bigint, end bigint, end_t bigint, _part int, {', '.join(f'{c} double' for c in _BOX)}, _open boolean"
+    names = [*run, "place", "t", "end", "end_t", "_part", *_BOX, "_open"]
+
+    def own(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        r = rows.sort_values("place").reset_index(drop=True)
+        reach = _reach(r[["x", "y"]].to_numpy(float), disp)
+        last = len(r) - 1
+        back = _boxes(r["x"].to_numpy(float)[::-1], r["y"].to_numpy(float)[::-1])[::-1]  # from each sample to the slot's end
+        r["end"], r["end_t"], r["_open"] = r["place"].to_numpy()[reach], r["t"].to_numpy()[reach], reach == last
+        r[_BOX] = back
+        return r[names]
+
+    def onward(key: tuple, starts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(starts):
+            return pd.DataFrame(columns=names)
+        starts = starts.assign(_part=starts["_part"] + 1, _open=False)
+        if not len(rows):  # the run is over: what was reached stays
+            return starts[names]
+        r = rows.sort_values("place")
+        boxes, place, t = _boxes(r["x"].to_numpy(float), r["y"].to_numpy(float)), r["place"].to_numpy(), r["t"].to_numpy()
+        had = starts[_BOX].to_numpy(float)
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(r))  # number of samples within
+        while (low < high).any():
+            mid = (low + high) // 2
+            fits = _spread(_joined(had, boxes[np.minimum(mid, len(r) - 1)])) <= disp
+            more = (low < high) & fits
+            low, high = np.where(more, mid + 1, low), np.where((low < high) & ~fits, mid, high)
+        some = low > 0
+        at = np.maximum(low - 1, 0)
+        starts["end"] = np.where(some, place[at], starts["end"])
+        starts["end_t"] = np.where(some, t[at], starts["end_t"])
+        starts["_open"] = low == len(r)
+        starts[_BOX] = _joined(had, boxes[at])
+        return starts[names]
+
+    found = cut_lineage(v.groupBy(*run, "_part").applyInPandas(own, out))
+    done, todo = [found.where("NOT _open")], found.where("_open")
+    while not todo.isEmpty():
+        asked = todo.withColumn("_key", F.col("_part") + 1)
+        met = asked.groupBy(*run, "_key").cogroup(join_on(v, asked.select(*run, F.col("_key").alias("_part")).distinct(), [*run, "_part"]).withColumn("_key", F.col("_part")).groupBy(*run, "_key"))
+        found = cut_lineage(met.applyInPandas(onward, out))
+        done.append(found.where("NOT _open"))
+        todo = found.where("_open")
+    every = done[0]
+    for d in done[1:]:
+        every = every.union(d)
+    return every.select(*run, "place", "t", "end", "end_t")
 
 
 def fixations(refs: DataFrame, keys: Sequence[str], t: str, x: str, y: str, valid: str, min_ms: float, disp: float, slot_len: int, gap: float = FIXATION_GAP_MS) -> DataFrame:
-    """Dispersion-threshold fixations (start, end) of valid samples.
+    """Dispersion-threshold fixations (keys, start, end) of valid samples, times as whole numbers.
 
-    No fixation can span a gap longer than `gap`, so each unbroken run of samples is searched on
-    its own: the greedy scan sees one run, never a whole participant.
+    No fixation spans a gap longer than `gap`. In each unbroken run the first sample whose reach lasts
+    `min_ms` opens a fixation, the next one is looked for behind its end. Reaches are found slot by slot
+    and the greedy choice by doubling steps, so no task holds a run. Samples at one time are taken in
+    order of x and y; null keys are a key.
     """
-    v = refs.where((F.col(valid) == 1) & F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(t).alias("t"), F.col(x).alias("x"), F.col(y).alias("y"))
+    keys = list(keys)
+    v = refs.where((F.col(valid) == 1) & F.col(t).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull())
+    v = v.select(*keys, F.col(t).cast("bigint").alias("t"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     v = v.withColumn("_slot", F.floor(F.col("t") / slot_len))
-    v = running(v, keys, "_slot", ["t"], lasts={"_before": "t"})
-    v = v.withColumn("_cut", F.coalesce(F.col("t") - F.col("_before") > gap, F.lit(True)).cast("int"))
-    v = running(v, keys, "_slot", ["t"], sums={"_cuts": "_cut"}).withColumn("run", F.col("_cuts") + F.col("_cut"))
-    run_key = [*keys, "run"]
-    fields = ", ".join(f"{k} {v.schema[k].dataType.simpleString()}" for k in keys)
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_parts: list[pd.DataFrame] = []  # of the run that the next batch may go on with
-
-        def closed() -> list[tuple]:
-            run = pd.concat(open_parts)
-            open_parts.clear()
-            who = tuple(run.iloc[0][k] for k in keys)
-            return [(*who, *f) for f in _fixations(run["t"].to_numpy(float), run[["x", "y"]].to_numpy(float), min_ms, disp)]
-
-        for b in batches:
-            out = []
-            for _, part in b.groupby(run_key, sort=False, dropna=False):
-                if open_parts and not open_parts[-1][run_key].iloc[-1].equals(part[run_key].iloc[0]):
-                    out += closed()
-                open_parts.append(part)
-            yield pd.DataFrame(out, columns=[*keys, "start", "end"])
-        if open_parts:
-            yield pd.DataFrame(closed(), columns=[*keys, "start", "end"])
-
-    runs = v.select(*run_key, "t", "x", "y").repartition(*run_key).sortWithinPartitions(*run_key, "t")
-    return runs.mapInPandas(scan, f"{fields}, start double, end double")
+    v = running(v, keys, "_slot", ["t", "x", "y"], count="place", lasts={"_before": "t"})
+    v = v.withColumn("place", F.col("place").cast("bigint")).withColumn("_cut", F.coalesce(F.col("t") - F.col("_before") > gap, F.lit(True)).cast("int"))
+    v = running(v, keys, "_slot", ["place"], sums={"_cuts": "_cut"}).withColumn("_run", (F.col("_cuts") + F.col("_cut")).cast("bigint"))
+    run = [*keys, "_run"]
+    lasting = reaches(v.select(*run, "_slot", "place", "t", "x", "y"), run, disp).where(F.col("end_t") - F.col("t") >= min_ms)
+    picked = jump_chain(lasting, run, "place", F.col("end") + 1, 1 << 16)
+    return picked.select(*keys, F.col("t").cast("double").alias("start"), F.col("end_t").cast("double").alias("end"))

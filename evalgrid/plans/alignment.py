@@ -234,6 +234,16 @@ def rate(spark, sf):
     return f.select("participant", "video", "frames", r6(F.col("fps"), "fps"), r6(readings_per_dwell(F.col("fps"), F.lit(500.0)), "readings"), (F.col("fps") < W.MIN_FPS).alias("below_floor"))
 
 
-@query("q_g5_fixation_rows")
+@query("q_g5_fixation_rows", sql(f"""WITH {_STREAMS},
+v AS (SELECT participant, t_us AS t, tx AS x, ty AS y, row_number() OVER (PARTITION BY participant ORDER BY t_us, tx, ty) AS k FROM rf WHERE tvalid=1 AND tx IS NOT NULL AND ty IS NOT NULL),
+c AS (SELECT *, CASE WHEN t-lag(t) OVER (PARTITION BY participant ORDER BY k) <= {3*DAY} THEN 0 ELSE 1 END AS cut FROM v),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY participant ORDER BY k) AS run FROM c),
+w AS (SELECT a.participant, a.run, a.k, a.t, b.k AS bk, b.t AS bt, (max(b.x) OVER f - min(b.x) OVER f) + (max(b.y) OVER f - min(b.y) OVER f) AS spread
+  FROM r a JOIN r b ON a.participant=b.participant AND a.run=b.run AND b.k>=a.k WINDOW f AS (PARTITION BY a.participant, a.k ORDER BY b.k)),
+e AS (SELECT participant, run, k, any_value(t) AS t, max(bk) AS ek, max(bt) AS et FROM w WHERE spread<=8e-1 GROUP BY 1,2,3),
+l AS (SELECT * FROM e WHERE et-t>={12*HOUR}),
+g AS (SELECT participant, run, min(k) AS k FROM l GROUP BY 1,2
+  UNION ALL SELECT g.participant, g.run, (SELECT min(n.k) FROM l n WHERE n.participant=g.participant AND n.run=g.run AND n.k>h.ek) FROM g JOIN l h USING (participant, run, k) WHERE g.k IS NOT NULL)
+SELECT participant, CAST(t AS DOUBLE) AS start, CAST(et AS DOUBLE) AS "end" FROM g JOIN l USING (participant, run, k)""", "fr", "rs").replace("WITH ", "WITH RECURSIVE ", 1))
 def fixation_rows(spark, sf):
-    return W.fixations(_refs(spark, sf), ["participant"], "t_us", "tx", "ty", "tvalid", 12 * HOUR, 0.8, DAY, gap=3 * DAY)
+    return W.fixations(_refs(spark, sf), ["participant"], "t_us", "tx", "ty", "tvalid", 12 * HOUR, 0.8, 10 * DAY, gap=3 * DAY)

@@ -143,6 +143,38 @@ def test_fixations(spark, slot):
     assert sorted((r["start"], r["end"]) for r in got.collect()) == [(0.0, 200.0), (400.0, 560.0)]
 
 
+@pytest.mark.parametrize("slot", [60, 700])
+def test_fixations_match_a_greedy_walk(spark, slot):
+    """Long and short rests over many slots, equal times, gaps, null keys."""
+    rnd, rows = random.Random(slot), []
+    for who in ("a", "b", None):
+        t, x, y = 0, 0.5, 0.5
+        for _ in range(260):
+            t += rnd.choice([0, 8, 8, 8, 16, 40]) if rnd.random() < 0.99 else 300
+            if rnd.random() < 0.03:
+                x, y = rnd.random(), rnd.random()
+            rows.append((who, t, round(x + rnd.uniform(-0.01, 0.01), 3), round(y + rnd.uniform(-0.01, 0.01), 3), int(rnd.random() < 0.99)))
+    want = []
+    for who in ("a", "b", None):
+        s = sorted((t, x, y) for w, t, x, y, ok in rows if w == who and ok)
+        i = 0
+        while i < len(s):
+            j = i
+            while j + 1 < len(s) and s[j + 1][0] - s[j][0] <= 50:
+                box = s[i : j + 2]
+                if (max(p[1] for p in box) - min(p[1] for p in box)) + (max(p[2] for p in box) - min(p[2] for p in box)) > 0.04:
+                    break
+                j += 1
+            if s[j][0] - s[i][0] >= 100:
+                want.append((who, float(s[i][0]), float(s[j][0])))
+                i = j
+            i += 1
+    d = spark.createDataFrame(rows, "who string, t bigint, x double, y double, ok int").repartition(5)
+    got = [(r["who"], r["start"], r["end"]) for r in W.fixations(d, ["who"], "t", "x", "y", "ok", 100, 0.04, slot).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 20
+    assert W.fixations(d.limit(0), ["who"], "t", "x", "y", "ok", 100, 0.04, slot).count() == 0
+
+
 def test_time_median_uses_a_time_range(spark):
     pts = [(0, 1.0), (100, 5.0), (170, 2.0), (300, 9.0), (301, 9.5)]
     d = spark.createDataFrame([("p", t, v) for t, v in pts], "who string, t bigint, v double")
