@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.scores import corr_verdict, correlation, snr_verdict
 from evalgrid.functions.zones import NO_ZONE, strip_zone
-from evalgrid.operators.skew import attach, quantiles, ranked, running
+from evalgrid.operators.skew import attach, join_on, quantiles, ranked, running
 from evalgrid.session import cut_lineage
 
 # Smallest usable slope, held-out rows a mapping choice needs, knots of a mapping,
@@ -61,14 +61,14 @@ def signal_to_noise(df: DataFrame, keys: Sequence[str], target: str, value: str)
     return j.withColumn("snr_verdict", snr_verdict(F.col("snr"))).withColumn("r_verdict", corr_verdict(F.col("r")))
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, bands: int = 1024) -> DataFrame:
-    """Rank of each distinct value (ties share the mean rank): counted per value, placed by bands."""
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str, bands: int = 64) -> DataFrame:
+    """Rank of each distinct value (ties share the mean rank): counted per value, placed by bands with
+    about as many values each, however far some values lie from the others. Null keys are a key."""
+    keys = list(keys)
     tally = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    span = tally.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    t = attach(tally, span, keys, [value], how="inner")
-    width = F.col("_hi") - F.col("_lo")
-    t = t.withColumn("_slot", F.when(width > 0, F.floor((F.col(value) - F.col("_lo")) / width * bands)).otherwise(F.lit(0)))
-    t = running(t, keys, "_slot", [value], sums={"_before": "_c"})
+    edges = tally.groupBy(*keys).agg(F.percentile_approx(value, [i / bands for i in range(1, bands)], 1000).alias("_edges"))
+    t = join_on(tally, edges, keys).withColumn("_slot", F.size(F.filter("_edges", lambda e: e <= F.col(value))))
+    t = running(t.drop("_edges"), keys, "_slot", [value], sums={"_before": "_c"})
     return t.select(*keys, value, (F.col("_before") + (F.col("_c") + 1) / 2).alias(out))
 
 
@@ -238,30 +238,42 @@ def _pool(x_lo, x_hi, y, w) -> list[list[float]]:
 
 
 def isotonic_blocks(df: DataFrame, keys: Sequence[str], x: str, y: str, slot_rows: int = 50_000) -> DataFrame:
-    """Monotone least-squares fit per key as blocks (x_lo, x_hi, level, weight).
+    """Monotone least-squares fit per key as blocks (keys, x_lo, x_hi, level, weight).
 
-    Equal x are averaged in an aggregate, a key's x range is pooled in slots of about `slot_rows`
-    points, and only the pooled blocks meet per key; pooling them again gives the exact fit.
+    Equal x are averaged in an aggregate. Points are numbered per key (running counts over bands of
+    about equal size), and every `slot_rows` of them are pooled by one task. The blocks that are left
+    are numbered and pooled again, with slots moved by half a slot each time, until two rounds in a row
+    pool nothing: no two neighbours fall any more, which is the exact fit, whatever was pooled first.
+    No task holds more than a slot, also where the points rise already. Null keys are a key.
     """
-    pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("x")).agg(F.avg(y).alias("y"), F.count(F.lit(1)).cast("double").alias("w"))
-    span = pts.groupBy(*keys).agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.ceil(F.count(F.lit(1)) / slot_rows).alias("_k"))
-    p = attach(pts, span, keys, ["x"], how="inner")
-    width = F.col("_hi") - F.col("_lo")
-    slot = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / width * F.col("_k")), F.col("_k") - 1)).otherwise(F.lit(0))
-    p = p.select(*keys, slot.cast("int").alias("_slot"), F.col("x").alias("x_lo"), F.col("x").alias("x_hi"), F.col("y").alias("level"), F.col("w").alias("weight"))
-    names = list(keys)
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.select(*names).schema.fields)
-    block_types = f"{types}, x_lo double, x_hi double, level double, weight double"
+    names, cells = list(keys), 64
+    value = F.col(x).cast("double")
+    pts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*names, value.alias("x_lo")).agg(F.avg(y).alias("level"), F.count(F.lit(1)).cast("double").alias("weight"))
+    edges = pts.groupBy(*names).agg(F.percentile_approx("x_lo", [i / cells for i in range(1, cells)], 1000).alias("_edges"))
+    banded = join_on(pts, edges, names)
+    blocks = cut_lineage(banded.select(*names, F.size(F.filter("_edges", lambda e: e <= F.col("x_lo"))).alias("_band"), "x_lo", F.col("x_lo").alias("x_hi"), "level", "weight"))
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in blocks.schema.fields)
+    columns = blocks.columns
 
     def pool(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         r = rows.sort_values("x_lo")
         out = pd.DataFrame(_pool(r["x_lo"], r["x_hi"], r["level"], r["weight"]), columns=["x_lo", "x_hi", "level", "weight"])
+        out["_band"] = r["_band"].to_numpy()[np.searchsorted(r["x_lo"].to_numpy(), out["x_lo"].to_numpy())]
         for i, n in enumerate(names):
-            out.insert(i, n, group[i])
-        return out
-
-    first = p.groupBy(*names, "_slot").applyInPandas(pool, block_types)
-    return first.groupBy(*names).applyInPandas(pool, block_types)
+            out[n] = group[i]
+        return out[columns]
+
+    n, still, half = blocks.count(), 0, 0
+    while n and still < 2:
+        numbered = running(blocks, names, "_band", ["x_lo"], count="_i")
+        numbered = cut_lineage(numbered.withColumn("_slot", F.floor((F.col("_i") + half) / slot_rows)))
+        one = numbered.agg(F.max("_i")).first()[0] + half < slot_rows  # every key in one slot: nothing is left for a second round
+        blocks = cut_lineage(numbered.groupBy(*names, "_slot").applyInPandas(pool, types))
+        left = blocks.count()
+        still, n, half = (still + 1 if left == n else 0), left, (slot_rows // 2 if half == 0 else 0)
+        if one:
+            break
+    return blocks.drop("_band")
 
 
 def _below(x: Column, knots_x: Column) -> Column:

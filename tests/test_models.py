@@ -104,7 +104,7 @@ def pava(x, y):
     return [a for a, _ in order], [max(min(np.mean(ys[i:j + 1]) for j in range(k, n)) for i in range(k + 1)) for k in range(n)]
 
 
-@pytest.mark.parametrize("slot_rows", [5, 1000])
+@pytest.mark.parametrize("slot_rows", [4, 5, 17, 1000])
 def test_isotonic_in_slots_is_exact(spark, slot_rows):
     rnd = random.Random(9)
     x = [rnd.random() for _ in range(60)]
@@ -117,6 +117,27 @@ def test_isotonic_in_slots_is_exact(spark, slot_rows):
         assert level == pytest.approx(w)
 
 
+def test_isotonic_slots_on_rising_and_falling_keys(spark):
+    """A rising key keeps all its points, a falling one is one block, a null key is a key."""
+    rows = [("up", float(i), float(i)) for i in range(40)] + [("down", float(i), -float(i)) for i in range(40)] + [(None, 1.0, 2.0), (None, 1.0, 4.0)]
+    rows += [("late", float(i), float(i)) for i in range(40)] + [("late", 40.0, -1000.0), ("far", 0.0, 1.0), ("far", 1e12, 0.0)]
+    d = spark.createDataFrame(rows, "s string, x double, y double")
+    got = {}
+    for r in M.isotonic_blocks(d, ["s"], "x", "y", 4).collect():
+        got.setdefault(r["s"], []).append((r["x_lo"], r["x_hi"], round(r["level"], 9), r["weight"]))
+    assert sorted(got["up"]) == [(float(i), float(i), float(i), 1.0) for i in range(40)]
+    assert got["down"] == [(0.0, 39.0, -19.5, 40.0)] and got[None] == [(1.0, 1.0, 3.0, 2.0)] and got["far"] == [(0.0, 1e12, 0.5, 2.0)]
+    assert got["late"] == [(0.0, 40.0, round((780 - 1000) / 41, 9), 41.0)]
+    assert M.isotonic_blocks(d.limit(0), ["s"], "x", "y").count() == 0
+
+
+def test_ranks_with_a_far_outlier(spark):
+    rows = [("k", float(v)) for v in range(500)] + [("k", 1e12), ("k", 7.0), (None, 3.0)]
+    d = spark.createDataFrame(rows, "k string, x double")
+    got = {(r["k"], r["x"]): r["r"] for r in M.average_ranks(d, ["k"], "x", "r").collect()}
+    assert got["k", 6.0] == 7.0 and got["k", 7.0] == 8.5 and got["k", 8.0] == 10.0 and got["k", 1e12] == 502.0 and got[None, 3.0] == 1.0
+
+
 def test_interpolation_clamps(spark):
     d = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.25, 0.5, 0.75, 1.0, 5.0, None)], "x double")
     d = d.withColumn("kx", F.array(F.lit(0.0), F.lit(0.5), F.lit(1.0))).withColumn("ky", F.array(F.lit(0.1), F.lit(0.2), F.lit(0.9)))
