@@ -30,8 +30,11 @@ from evalgrid.session import cut_lineage
 BUCKETS = 1 << 14
 TEMPER = 0.15
 SUFFIX_WEIGHT, HOST_WEIGHT = 20.0, 5.0
-_HIDDEN = re.compile(rb"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z#0-9]{1,12};")
-_DECLARED = re.compile(rb"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})\b|<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([a-z]{2,3})\b")
+_HIDDEN = re.compile(rb"<(script|style|noscript|template)\b")
+_ENTITY = re.compile(rb"(?i)&[a-z#0-9]{1,12};")
+_TOLD = re.compile(rb"<(html|meta)\b")
+_LANG = re.compile(rb"\blang\s*+=\s*+[\"']?+\s*+([a-z]{2,3})\b")
+_CONTENT = re.compile(rb"content\s*+=\s*+[\"']?+\s*+([a-z]{2,3})\b")
 _HOST = re.compile(r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)")
 
 
@@ -43,12 +46,45 @@ def trigrams(raw: bytes) -> np.ndarray:
 
 
 def visible(html: str | None) -> bytes:
-    return _HIDDEN.sub(b" ", (html or "").encode())
+    """The text outside tags, comments and hidden elements, in one pass; what is not closed goes on to
+    the end of the page."""
+    raw = (html or "").encode()
+    low, out, at, end = raw.lower(), [], 0, len(raw)
+
+    def behind(mark: bytes, start: int) -> int:
+        found = low.find(mark, start)
+        return end if found < 0 else found + len(mark)
+
+    while at < end:
+        tag = low.find(b"<", at)
+        out.append(raw[at : tag if tag >= 0 else end])
+        if tag < 0:
+            break
+        if low.startswith(b"<!--", tag):
+            at = behind(b"-->", tag + 4)
+        elif hidden := _HIDDEN.match(low, tag):
+            at = behind(b">", behind(b"</" + hidden[1], hidden.end()))
+        else:
+            at = behind(b">", tag)
+    return _ENTITY.sub(b" ", b" ".join(out))
 
 
 def declared(html: str | None) -> str:
-    m = _DECLARED.search((html or "").encode())
-    return (m[1] or m[2]).decode().lower() if m else ""
+    """The first language that an html or meta tag names, looked for inside each tag by itself."""
+    low, at = (html or "").encode().lower(), 0
+    while tag := _TOLD.search(low, at):
+        at = low.find(b">", tag.end())
+        inside = low[tag.end() : at if at >= 0 else len(low)]
+        if tag[1] == b"html":
+            m = _LANG.search(inside)
+        else:
+            said = inside.find(b"content-language")
+            m = _CONTENT.search(inside, said + 16) if said >= 0 else None
+        if m:
+            return m[1].decode()
+        if at < 0:
+            break
+    return ""
 
 
 def host_of(url: str | None) -> tuple[str, str]:

@@ -266,3 +266,59 @@ def test_languages_of_pages(spark):
     assert by[201]["host"] == "" and by[202]["lang"] == "en" and by[0]["declared"] == "other"
     assert {r["lang"] for r in langid.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), docs.limit(0)).collect()} == {None}
     assert langid.identify(spark.createDataFrame([], "page_id bigint, url string, html string"), docs).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<meta content-language ", "<script ", "<!-- a ", "<html ", "<html lang=", "<meta content-language content= ", "< ", "&a", "<html lang" + " " * 50])
+def test_page_scanners_stay_linear_on_unclosed_tags(page):
+    import time
+
+    page = page * ((1 << 20) // len(page))
+    began = time.thread_time()
+    assert isinstance(langid.visible(page), bytes) and langid.declared(page) in ("", "con")
+    assert time.thread_time() - began < 1.0
+
+
+def test_page_scanners_read_as_stated():
+    seen = lambda page: b" ".join(langid.visible(page).split())
+    assert seen("a<b>c</b><SCRIPT x>no</SCRIPT >d<!-- no > no -->e&amp;f<style>no</style>g") == b"a c d e f g"
+    assert seen("a <script>never closed <p>b") == b"a" and seen("a <!-- b <p> c") == b"a" and seen("a <b c") == b"a" and seen(None) == b""
+    said = langid.declared
+    assert said('<HTML class=x LANG = "De-AT"><html lang=fr>') == "de" and said("<html><meta http-equiv='Content-Language' content='fr'>") == "fr"
+    assert said("<meta content='es' http-equiv=content-language>") == "" and said("<html xlang=de data='>' lang=fr") == "" and said("<p lang=de>") == "" and said(None) == ""
+
+
+def test_languages_match_a_plain_fusion(spark):
+    """Every page's posterior, from counts in dictionaries."""
+    docs = many_docs(spark, 200)
+    pages, rng = [], np.random.default_rng(3)
+    for i, r in enumerate(docs.where("doc_id < 90").collect()):
+        words_ = " ".join(r["text"].split()[: rng.integers(0, 12)])
+        said = ["", "de", "en", "xx"][rng.integers(4)]
+        pages.append((i, f"http://h{rng.integers(4)}.{['com', 'de'][rng.integers(2)]}/{i}", f"<html lang={said}>{words_}"))
+    pages += [(None, None, None), (500, "http://h1.com/", ""), (500, "http://h1.com/", "")]
+    got = langid.identify(spark.createDataFrame(pages, "page_id bigint, url string, html string"), docs).collect()
+    names, logp = langid.learn_texts(docs)
+    k, votes, rows = len(names), {}, []
+    told = [dict.fromkeys(("", "other", *names), 1.0) for _ in names]
+    for page_id, url, html in pages:
+        host, suffix = langid.host_of(url)
+        text, said = langid.visible(html), langid.declared(html)
+        said = said if said in names or not said else "other"
+        like = [sum(logp[n][g] for g in langid.trigrams(text)) if text.strip() else 0.0 for n in range(k)]
+        read = int(np.argmax(like)) if text.strip() else None
+        rows.append((page_id, host, suffix, said, like, read))
+        if read is not None:
+            told[read][said] += 1
+            for key in ("all", ("s", suffix), ("h", suffix, host)):
+                votes.setdefault(key, [0.0] * k)[read] += 1
+    want = []
+    for page_id, host, suffix, said, like, read in rows:
+        less = [float(read == n) for n in range(k)]
+        base = [(v + 1) / (sum(votes["all"]) + k) for v in votes["all"]]
+        for key, weight in ((("s", suffix), langid.SUFFIX_WEIGHT), (("h", suffix, host), langid.HOST_WEIGHT)):
+            own = [v - o for v, o in zip(votes.get(key, [0.0] * k), less)]
+            base = [(v + weight * b) / (sum(own) + weight) for v, b in zip(own, base)]
+        post = [langid.TEMPER * like[n] + np.log(base[n]) + np.log(told[n][said] / sum(told[n].values())) for n in range(k)]
+        p = np.exp(np.array(post) - max(post))
+        want.append((page_id, names[int(p.argmax())], round(float(p.max() / p.sum()), 9)))
+    assert sorted(((r["page_id"], r["lang"], round(r["confidence"], 9)) for r in got), key=str) == sorted(want, key=str)
