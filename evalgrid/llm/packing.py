@@ -32,6 +32,7 @@ from evalgrid.llm.tokens import encode_texts, slices, word_ids
 TIERS = [4096, 2048, 1024, 512, 256]
 END = 2
 STEP_TOKENS = 8 * 4096
+SLICE = 8 << 20  # bytes of text that are encoded at once
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_id bigint"
 Piece = tuple[int, int, int]  # length, document, start
 
@@ -146,7 +147,7 @@ def pack(docs: DataFrame, tokenizer: str, tiers: list[int] = TIERS, step_tokens:
             return pa.RecordBatch.from_arrays(cols, names)
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 ids, counts = encode_texts(coder, part.column(1), END)
                 for doc_id, own in zip(part.column(0).to_pylist(), np.split(ids, np.cumsum(counts)[:-1])):
                     held[n_docs] = doc_id, own

@@ -7,6 +7,7 @@ vocabularies looks across, so the ids of a text are those of its words in a row.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 250_000  # words a worker remembers; fewer where spelling a word anew is cheap
+CACHE = 400_000  # words a worker remembers; fewer where spelling a word anew is cheap
 CACHE_CHEAP = 80_000
 
 
@@ -43,6 +44,7 @@ class WordIds:
             encoder = Tokenizer.from_file(path)
             self.alone += [t.content for t in encoder.get_added_tokens_decoder().values()]
             self.spell = lambda text: encoder.encode(text, add_special_tokens=False).ids
+        self.lone = re.compile("|".join(map(re.escape, self.alone)))
         self.prefix = prefix
         one, three = self._ids(prefix + "a"), self._ids(prefix + "a \x00 a")
         self.between = three[len(one) : len(three) - len(one)]
@@ -61,8 +63,10 @@ class WordIds:
         if self.older:
             cache.update((w, x) for w in new if (x := self.older.get(w)) is not None)
             new = [w for w in new if w not in cache]
-        odd = [w for w in new if any(t in w for t in self.alone)]
-        plain = [w for w in new if not any(t in w for t in self.alone)] if odd else new
+        odd, plain = [], new
+        if self.lone.search("\n".join(new)):  # words hold no white space, so nothing is found across them
+            odd = [w for w in new if self.lone.search(w)]
+            plain = [w for w in new if not self.lone.search(w)]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             ids = self._ids(prefix + " \x00 ".join(part))
