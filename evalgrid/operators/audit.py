@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions.draws import md5_rank
 from evalgrid.functions.scores import rate
 from evalgrid.functions.text import norm_item
-from evalgrid.operators.skew import attach, top_per_key
+from evalgrid.operators.skew import top_per_key
 
 # Generic place words left out in the sensitivity table, cut-offs of the audit.
 GENERIC = [
@@ -59,9 +59,9 @@ def unblind(key: DataFrame, codes: DataFrame) -> DataFrame:
     return j.withColumn("method", known)
 
 
-def rated_items(key: DataFrame, ratings: DataFrame, spread_by: Sequence[str]) -> DataFrame:
+def rated_items(key: DataFrame, ratings: DataFrame) -> DataFrame:
     """Key rows with their ratings: in_photo = D is Y, useful = both are Y."""
-    j = attach(key, ratings.select("item_uid", "D", "E"), ["item_uid"], spread_by)
+    j = key.join(ratings.select("item_uid", "D", "E"), "item_uid", "left")
     yes_d, yes_e = (F.coalesce(F.col(c) == "Y", F.lit(False)) for c in ("D", "E"))
     return j.withColumn("in_photo", yes_d).withColumn("useful", yes_d & yes_e)
 

@@ -208,7 +208,7 @@ def calibration_curve(df: DataFrame, subject: str, row_id: str, day: str, grids,
     data = [subject, row_id, "px", "py", "gx", "gy"]
 
     def hits(rows: DataFrame, on: list[str], cond: Column) -> DataFrame:
-        j = attach(rows, fits, on, [row_id], how="inner").where(cond)
+        j = rows.join(fits, on).where(cond)
         j = j.withColumn("qx", F.col("a_x") * F.col("px") + F.col("b_x")).withColumn("qy", F.col("a_y") * F.col("py") + F.col("b_y"))
         ok = [
             F.sum(((zone_of("qx", "qy", r, c) == zone_of("gx", "gy", r, c)) & (zone_of("gx", "gy", r, c) != NO_ZONE)).cast("bigint")).alias(g)

@@ -66,7 +66,7 @@ def _mask_of(category: Column, masks: dict[int, int]) -> Column:
     return F.when(category.isNotNull(), F.coalesce(F.try_element_at(table, category), F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
 
 
-def judged(ranked: DataFrame, truth: DataFrame, unit: str, groups, vocabulary: Sequence[int], spread_by: Sequence[str]) -> DataFrame:
+def judged(ranked: DataFrame, truth: DataFrame, unit: str, groups, vocabulary: Sequence[int]) -> DataFrame:
     """Ranked items with status, lenient and single-source status; relevant and covered entries as
     bit sets over the vocabulary, so that the metrics stay plain hash aggregates.
 
@@ -78,7 +78,7 @@ def judged(ranked: DataFrame, truth: DataFrame, unit: str, groups, vocabulary: S
         return F.aggregate("pos", F.lit(0).cast("bigint"), lambda acc, p: acc.bitwiseOR(_mask_of(p, w)))
 
     rel = [union(w).alias(f"rel{i}") for i, w in enumerate(words)]
-    j = attach(ranked, truth.select("*", *rel), [unit], spread_by, how="inner")
+    j = ranked.join(truth.select("*", *rel), unit)
     c = F.col("category")
     own, wide = [], []
     for i, w in enumerate(words):
@@ -148,9 +148,9 @@ def method_summary(metrics: DataFrame, lengths: DataFrame, keys: Sequence[str],
     return m.join(ln, list(keys)).join(sec, list(keys))
 
 
-def gold_rank(ranked: DataFrame, gold: DataFrame, keys: Sequence[str], unit: str, spread_by: Sequence[str]) -> DataFrame:
+def gold_rank(ranked: DataFrame, gold: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
     """Rank of the gold entry per list (null if absent) with top-1 / 3 / 5 flags."""
-    j = attach(ranked, gold, [unit], spread_by, how="inner")
+    j = ranked.join(gold, unit)
     rest = [c for c in gold.columns if c not in (unit, "gold")]
     g = j.groupBy(*keys).agg(F.min(F.when(F.col("category") == F.col("gold"), F.col("rank"))).alias("rank"), *[F.first(c).alias(c) for c in rest])
     tops = [F.coalesce(F.col("rank") <= n, F.lit(False)).cast("double").alias(f"top{n}") for n in (1, 3, 5)]

@@ -62,16 +62,11 @@ def replicate_sums(units: DataFrame, cell: Sequence[str], unit: str, value: str,
         if held:
             yield handed_on()
 
-    def total(parts: pd.DataFrame) -> pd.DataFrame:
-        one = parts.iloc[:1].copy()
-        one["n"] = parts["n"].sum()
-        for c in ("s", "w"):
-            one[c] = [np.sum(np.stack(parts[c].to_list()), axis=0)]
-        return one
-
-    sums = clean.mapInPandas(weigh, fields).groupBy(*cell, "_block").applyInPandas(total, fields).where("n >= 2")
-    each = sums.select(*cell, "n", (F.col("_block") * BLOCK).alias("_at"), F.posexplode(F.arrays_zip("s", "w")).alias("_i", "_p"))
-    return each.select(*cell, (F.col("_at") + F.col("_i")).cast("bigint").alias("_rep"), "_p.s", "_p.w", "n")
+    # the tasks' parts are added up number by number, in their own tasks first: no group holds them all
+    parts = clean.mapInPandas(weigh, fields)
+    each = parts.select(*cell, "n", (F.col("_block") * BLOCK).alias("_at"), F.posexplode(F.arrays_zip("s", "w")).alias("_i", "_p"))
+    sums = each.groupBy(*cell, (F.col("_at") + F.col("_i")).cast("bigint").alias("_rep")).agg(F.sum("_p.s").alias("s"), F.sum("_p.w").alias("w"), F.sum("n").alias("n"))
+    return sums.where("n >= 2")
 
 
 def bootstrap_ci(

@@ -76,7 +76,8 @@ def overlap_top_k(shown: DataFrame, bank_objects: DataFrame, cases: DataFrame, k
     pop = bank_popularity(bank_objects)
     shared = attach(shown.select("case_id", "object").distinct(), bank_objects, ["object"], ["case_id"], how="inner").groupBy("case_id", "item").agg(F.count(F.lit(1)).alias("overlap"))
     shared = shared.join(pop, "item").select("case_id", "item", "overlap", "pop")
-    popular = pop.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("pop"), "item"))).where(F.col("_r") <= k)
+    first = [F.desc("pop"), F.col("item")]
+    popular = pop.orderBy(*first).limit(k).withColumn("_r", F.row_number().over(Window.orderBy(*first)))  # k rows
     fill = cases.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_r")).join(popular, "_r")
     both = shared.unionByName(fill.select("case_id", "item", F.lit(0).cast("bigint").alias("overlap"), "pop"))
     one = both.groupBy("case_id", "item").agg(F.max("overlap").alias("overlap"), F.first("pop").alias("pop"))
@@ -96,7 +97,7 @@ def jaccard_top_k(case_tokens: DataFrame, bank_tokens: DataFrame, cases: DataFra
     j = both.join(size_b, ["item", "text_no"]).join(size_c, "case_id")
     score = F.col("common") / F.greatest(F.col("nc") + F.col("nb") - F.col("common"), F.lit(1))
     best = j.groupBy("case_id", "item").agg(F.max(score).alias("score"))
-    lowest = items.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("item"))).where(F.col("_r") <= k)
+    lowest = items.orderBy("item").limit(k).withColumn("_r", F.row_number().over(Window.orderBy("item")))  # k rows
     fill = cases.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_r")).join(lowest, "_r").select("case_id", "item", F.lit(0.0).alias("score"))
     one = best.unionByName(fill).groupBy("case_id", "item").agg(F.max("score").alias("score"))
     return top_per_key(one, ["case_id"], [F.desc("score"), F.col("item")], k)

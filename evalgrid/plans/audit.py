@@ -24,7 +24,7 @@ r2 AS (SELECT *, CASE WHEN n_chars%7=0 THEN CASE D WHEN 'Y' THEN 'N' WHEN 'N' TH
 
 def ratings(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
-    r = attach(d, table(spark, sf, "labels"), ["doc_id"], ["doc_id"], how="inner")
+    r = d.join(table(spark, sf, "labels"), "doc_id")
     n = F.col("n_chars")
     d_raw = F.when(n % 11 == 0, "  ").when(F.col("quality") == 1, " y ").otherwise("n")
     e_raw = F.when(n % 13 == 0, "").when(F.col("toxic") == 0, "Y ").otherwise("n ")
@@ -76,7 +76,7 @@ _KEYED = _KEYED.replace("ky LEFT JOIN rt USING (item_uid)", "ky LEFT JOIN (SELEC
 @query("q_d20_human_at_k", f"""WITH {RATED}, {_KEYED}
 SELECT method, k, count(*) AS scenes, round(avg(hp),6) AS human_precision, round(avg(us),6) AS useful, round(avg(hh),6) AS human_hit, round(avg(uh),6) AS useful_hit FROM hm GROUP BY 1,2""")
 def human_at_k(spark, sf):
-    m = A.human_metrics(A.rated_items(_key(spark, sf), ratings(spark, sf), ["item_uid"]), "scene")
+    m = A.human_metrics(A.rated_items(_key(spark, sf), ratings(spark, sf)), "scene")
     names = ["human_precision", "useful", "human_hit", "useful_hit"]
     return rounded(m.groupBy("method", "k").agg(F.count(F.lit(1)).alias("scenes"), *[F.avg(c).alias(c) for c in names]), *names)
 
@@ -111,7 +111,7 @@ def vs_labels(spark, sf):
     status = F.when(F.col("n_chars") % 3 == 0, "correct").when(F.col("n_chars") % 3 == 1, "wrong").otherwise("unverifiable")
     auto = A.first_status(d.select(F.col("source").alias("scene"), F.col("lang").alias("method"), key.alias("k"), status.alias("status"), "doc_id"), ["scene", "method", "k"], "doc_id")
     r = ratings(spark, sf).withColumn("doc_id", F.col("item_uid")).withColumn("k", key)
-    rated = A.rated_items(r.select("item_uid", "method", "scene", "k"), r, ["item_uid"])
+    rated = A.rated_items(r.select("item_uid", "method", "scene", "k"), r)
     j = attach(rated, auto, ["scene", "method", "k"], ["item_uid"])
     return rounded(A.labels_vs_human(j), "agreement", "unverifiable_in_photo", "unverifiable_useful")
 

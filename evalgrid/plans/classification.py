@@ -9,7 +9,7 @@ from evalgrid.functions.zones import NO_ZONE, from_pixels, strip_zone, threshold
 from evalgrid.operators import classify as C
 from evalgrid.operators.resample import bootstrap_ci
 from evalgrid.operators.skew import quantiles
-from evalgrid.plans.registry import REGISTRY, query
+from evalgrid.plans.registry import query
 from evalgrid.plans.roles import DAY, bootstrap_sql, predictions, sql
 
 
@@ -198,7 +198,7 @@ def icc(spark, sf):
     return rounded(C.shared_error(_errors(spark, sf), ["subject", "day"]), "icc", "naive_share", "rows_per_group", "rmse_row", "rmse_group_mean")
 
 
-KSHOT_GRIDS = [("1x3", 1, 3), ("2x2", 2, 2)]
+KSHOT_GRIDS = [("1x3", 1, 3), ("2x2", 2, 2), ("3x3", 3, 3), ("4x4", 4, 4)]
 
 
 @query("q_d16_kshot", sql("""
@@ -216,7 +216,7 @@ s AS (SELECT f.subject, f.scheme, f.draw, f.k, ax*px+bx qx, ay*py+by_ qy, gx, gy
   WHERE (f.scheme='random' AND NOT EXISTS (SELECT 1 FROM cal c WHERE c.subject=f.subject AND c.scheme=f.scheme AND c.draw=f.draw AND c.k=f.k AND c.event_id=d0.event_id))
      OR (f.scheme='first session' AND day<>first)),
 z AS (SELECT subject, scheme, draw, k, grid, CASE WHEN qx IS NULL THEN -1 ELSE least(greatest(floor(qy*rows_),0),rows_-1)*cols_+least(greatest(floor(qx*cols_),0),cols_-1) END zp,
-  least(greatest(floor(gy*rows_),0),rows_-1)*cols_+least(greatest(floor(gx*cols_),0),cols_-1) zt FROM s, grids WHERE grid IN ('1x3','2x2')),
+  least(greatest(floor(gy*rows_),0),rows_-1)*cols_+least(greatest(floor(gx*cols_),0),cols_-1) zt FROM s, grids WHERE grid IN ('1x3','2x2','3x3','4x4')),
 a AS (SELECT scheme, grid, k, subject, draw, avg(CASE WHEN zp=zt THEN 1e0 ELSE 0e0 END) acc FROM z GROUP BY 1,2,3,4,5),
 p AS (SELECT scheme, grid, k, subject, avg(acc) acc FROM a GROUP BY 1,2,3,4)
 SELECT scheme, grid, k, round(avg(acc),6) AS acc_mean, round(min(acc),6) AS acc_min, round(max(acc),6) AS acc_max, count(*) AS subjects FROM p GROUP BY 1,2,3
@@ -226,15 +226,6 @@ def kshot(spark, sf):
     return rounded(C.calibration_curve(p, "subject", "event_id", "day", KSHOT_GRIDS), "acc_mean", "acc_min", "acc_max")
 
 
-ALL_KSHOT_GRIDS = [*KSHOT_GRIDS, ("3x3", 3, 3), ("4x4", 4, 4)]
-
-
-@query("q_d16_kshot_grids", REGISTRY["q_d16_kshot"].sql.replace("grid IN ('1x3','2x2')", "grid IN ('1x3','2x2','3x3','4x4')"))
-def kshot_grids(spark, sf):
-    p = predictions(spark, sf).withColumn("day", F.floor(F.col("t_us") / DAY))
-    return rounded(C.calibration_curve(p, "subject", "event_id", "day", ALL_KSHOT_GRIDS), "acc_mean", "acc_min", "acc_max")
-
-
 @query("q_d36_corner", sql("""
 WITH pts AS (SELECT px, py, gx, gy, screen_w_mm/1e3 AS w FROM pr WHERE px IS NOT NULL),
 d AS (SELECT w, [ (SELECT min(sqrt(pow(gx+5e-2*i-(px+5e-2*j),2)+pow(gy+3e-2*i-(py+4e-2*j),2))) FROM range(4) t(j)) FOR i IN range(4)] AS ds FROM pts),

@@ -10,7 +10,7 @@ from evalgrid.operators import ranking as R
 from evalgrid.operators.resample import bootstrap_ci, paired_differences
 from evalgrid.operators.retrieval import cosine_top_k, rescore
 from evalgrid.plans.classification import rounded
-from evalgrid.plans.registry import REGISTRY, query
+from evalgrid.plans.registry import query
 from evalgrid.plans.roles import CATEGORIES, GROUPS, bootstrap_sql, predictions, ranked_lists, sql, table, unit_truth
 from evalgrid.session import cut_lineage
 
@@ -44,16 +44,16 @@ def _common(spark, sf):
     return lists.join(R.common_units(lists), "unit", "left_semi")
 
 
-def _ranked(spark, sf):
-    return R.first_mentions(_common(spark, sf), ["method", "unit"], "place", "category", ["item"])
+def _ranked(spark, sf, lists=None):
+    return R.first_mentions(_common(spark, sf) if lists is None else lists, ["method", "unit"], "place", "category", ["item"])
 
 
-def _items(spark, sf):
-    return R.judged(_ranked(spark, sf), unit_truth(spark, sf), "unit", GROUP_IDS, VOCABULARY, ["method", "rank"])
+def _items(spark, sf, lists=None):
+    return R.judged(_ranked(spark, sf, lists), unit_truth(spark, sf), "unit", GROUP_IDS, VOCABULARY)
 
 
-def _metrics(spark, sf):
-    return cut_lineage(R.rank_metrics(_items(spark, sf), ["method", "unit"], ["room", "seconds"]))
+def _metrics(spark, sf, lists=None):
+    return cut_lineage(R.rank_metrics(_items(spark, sf, lists), ["method", "unit"], ["room", "seconds"]))
 
 
 @query("q_d18_rank_at_k", sql(f"""WITH {_RANKED}
@@ -70,7 +70,8 @@ sc AS (SELECT method, quantile_cont(seconds,0.5) AS s FROM (SELECT DISTINCT meth
 SELECT me.method, k, count(*) AS units, round(sum(correct)/sum(correct+wrong),6) AS pooled_precision, {_MEANS}, count(precision_) AS precision_n, count(recall) AS recall_n,
  round(any_value(mean_items),6) AS mean_items, any_value(short_lists) AS short_lists, round(any_value(s),6) AS median_seconds FROM me JOIN ln ON ln.method=me.method JOIN sc ON sc.method=me.method GROUP BY 1,2""", "rl", "rv"))
 def summary(spark, sf):
-    s = R.method_summary(_metrics(spark, sf), R.list_lengths(_common(spark, sf), ["method", "unit"], "category"), ["method"], "unit")
+    lists = _common(spark, sf)
+    s = R.method_summary(_metrics(spark, sf, lists), R.list_lengths(lists, ["method", "unit"], "category"), ["method"], "unit")
     return rounded(s, "pooled_precision", *R.METRICS, "mean_items", "median_seconds")
 
 
@@ -148,7 +149,7 @@ def _gold(spark, sf):
         F.col("o_orderkey").alias("unit"), (c % 7).cast("int").alias("gold"), F.col("o_orderstatus").alias("condition"),
         ((c % 7 != (c + 3) % 7) & (F.col("o_orderpriority") != "5-LOW")).alias("recoverable"), F.col("o_orderpriority").alias("room"),
     )
-    return R.gold_rank(_ranked(spark, sf), gold, ["method", "unit"], "unit", ["method", "rank"])
+    return R.gold_rank(_ranked(spark, sf), gold, ["method", "unit"], "unit")
 
 
 @query("q_d21_topn", sql(f"""WITH {_RANKED}, {_GOLD}
@@ -184,21 +185,12 @@ nm AS (SELECT * FROM (VALUES (0,'anvil'),(1,'bolt'),(2,'gear'),(3,'plate'),(4,'r
 tot AS (SELECT nm.category, name, count(unit) AS n FROM nm LEFT JOIN mem USING (category) GROUP BY 1,2),
 s AS (SELECT rv.unit, t.category, name, n-CASE WHEN m.unit IS NULL THEN 0 ELSE 1 END AS score FROM rv CROSS JOIN tot t LEFT JOIN mem m ON m.unit=rv.unit AND m.category=t.category),
 r AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, name) AS rank FROM s)
-SELECT unit, category, score, rank FROM r WHERE rank<=3""", "rv"))
+SELECT unit, category, score, rank FROM r WHERE rank<=12""", "rv"))
 def loo_popular(spark, sf):
-    return _loo_popular(spark, sf, 3)
-
-
-@query("q_j1_loo_popular_12", REGISTRY["q_j1_loo_popular"].sql.replace("rank<=3", "rank<=12"))
-def loo_popular_12(spark, sf):
-    return _loo_popular(spark, sf, R.K_MAX)
-
-
-def _loo_popular(spark, sf, k):
     rv = unit_truth(spark, sf)
     members = rv.select("unit", F.explode(F.array_intersect("pos", F.array(*[F.lit(v) for v in VOCABULARY]))).alias("category"))
     names = spark.createDataFrame([(i, CATEGORIES[i]) for i in VOCABULARY], "category int, name string")
-    out = R.loo_popularity(members, rv, names, k=k)
+    out = R.loo_popularity(members, rv, names)
     return out.select("unit", "category", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -214,7 +206,7 @@ def rank_curve(spark, sf):
     units = lists.select("unit").distinct()
     present = unit_truth(spark, sf).join(units, "unit", "left_semi").select("unit", F.explode(F.array_intersect("pos", F.array(*[F.lit(v) for v in VOCABULARY]))).alias("category"))
     names = spark.createDataFrame([(i, CATEGORIES[i]) for i in VOCABULARY], "category int, name string")
-    c = R.rank_curve(_ranked(spark, sf), present, R.popularity_order(present, names), METHODS)
+    c = R.rank_curve(_ranked(spark, sf, lists), present, R.popularity_order(present, names), METHODS)
     tops = [F.avg((F.col("rank") <= k).cast("double")).alias(f"top{k}") for k in R.KS]
     g = c.groupBy("method", "category", F.col("fixed_rank").cast("bigint").alias("fixed_rank")).agg(F.count(F.lit(1)).alias("n"), *tops, F.count_if(F.col("rank") == R.NEVER).alias("never"))
     return rounded(g, "top3", "top6", "top12")

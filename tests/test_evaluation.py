@@ -53,7 +53,7 @@ def test_oracle_rankings(spark):
     lists = spark.createDataFrame([(m, u, p, str(c), c) for m, u, p, c in rows], "method string, unit int, place int, item string, category int")
     lists = lists.where("NOT (method = 'anti' AND category = unit)")
     gold = spark.createDataFrame([(u, u) for u in range(4)], "unit int, gold int")
-    g = R.gold_rank(R.first_mentions(lists, ["method", "unit"], "place", "category", ["item"]), gold, ["method", "unit"], "unit", ["method", "rank"])
+    g = R.gold_rank(R.first_mentions(lists, ["method", "unit"], "place", "category", ["item"]), gold, ["method", "unit"], "unit")
     top = {r["method"]: (r["a"], r["b"]) for r in g.groupBy("method").agg(F.avg("top1").alias("a"), F.avg("top3").alias("b")).collect()}
     assert top == {"oracle": (1.0, 1.0), "anti": (0.0, 0.0), "third": (0.0, 1.0)}
 
@@ -64,13 +64,13 @@ def test_repeats_close_up_and_metrics(spark):
     assert [(r["rank"], r["item"]) for r in ranked.orderBy("rank").collect()] == [(1, "cup"), (2, "??"), (3, "??"), (4, "bed"), (5, "desk")]
     assert R.list_lengths(lists, ["method", "unit"], "category").first()["n_items"] == 5
     truth = spark.createDataFrame([(1, [5, 9], [7], [5], [])], "unit int, pos array<int>, neg array<int>, pos_l array<int>, neg_l array<int>")
-    items = R.judged(ranked, truth, "unit", [[8, 9]], [5, 7, 8, 9], ["rank"])
+    items = R.judged(ranked, truth, "unit", [[8, 9]], [5, 7, 8, 9])
     m = {r["k"]: r for r in R.rank_metrics(items, ["method", "unit"]).collect()}
     assert (m[3]["precision"], m[3]["verifiable"], m[3]["recall"], m[3]["hit"]) == (1.0, pytest.approx(1 / 3), 0.5, 1.0)
     assert (m[6]["precision"], m[6]["precision_lenient"], m[6]["recall"], m[6]["recall_lenient"]) == (0.5, pytest.approx(2 / 3), 0.5, 1.0)
     assert m[6]["precision_single"] == 1.0
     empty = spark.createDataFrame([(1, [99], [], [], [])], "unit int, pos array<int>, neg array<int>, pos_l array<int>, neg_l array<int>")
-    e = R.rank_metrics(R.judged(ranked, empty, "unit", [], [5], ["rank"]), ["method", "unit"]).first()
+    e = R.rank_metrics(R.judged(ranked, empty, "unit", [], [5]), ["method", "unit"]).first()
     assert e["precision"] is None and e["recall"] is None and e["hit"] == 0.0
 
 
@@ -209,5 +209,5 @@ def test_whole_result_groups_are_registered(spark):
     from evalgrid.plans import load_all
 
     reg, sf = load_all(), "/root/testdata/sf0.001"
-    assert {r["grid"] for r in reg["q_d16_kshot_grids"].build(spark, sf).select("grid").distinct().collect()} == {"1x3", "2x2", "3x3", "4x4"}
-    assert {r["rank"] for r in reg["q_j1_loo_popular_12"].build(spark, sf).select("rank").distinct().collect()} == set(range(1, 7))  # six names
+    assert {r["grid"] for r in reg["q_d16_kshot"].build(spark, sf).select("grid").distinct().collect()} == {"1x3", "2x2", "3x3", "4x4"}
+    assert {r["rank"] for r in reg["q_j1_loo_popular"].build(spark, sf).select("rank").distinct().collect()} == set(range(1, 7))  # six names

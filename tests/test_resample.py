@@ -94,3 +94,23 @@ def test_strata_keep_their_sizes(spark):
     free = R.bootstrap_ci(d, ["cell"], "unit", "v", 300).first()
     assert s["ci_hi"] - s["ci_lo"] < 0.01 < free["ci_hi"] - free["ci_lo"]  # no between-site variance
     assert s["ci_lo"] <= s["estimate"] <= s["ci_hi"]
+
+
+def test_thousands_of_parts_of_one_cell_are_added_number_by_number(spark, monkeypatch):
+    """Every batch of two rows hands a part on; nothing gathers a cell's parts in a Python group."""
+    monkeypatch.setattr(R, "HELD", 1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    d = spark.createDataFrame([("hot", i, float(i % 17)) for i in range(6000)] + [("cold", i, 1.0) for i in range(3)], "cell string, u bigint, v double").repartition(8)
+    spark.conf.set(key, "2")
+    try:
+        sums = R.replicate_sums(d, ["cell"], "u", "v", reps=20)
+        assert "InPandas" not in sums._jdf.queryExecution().executedPlan().toString().replace("MapInPandas", "")
+        got = {(r["cell"], r["_rep"]): (r["s"], r["w"], r["n"]) for r in sums.collect()}
+    finally:
+        spark.conf.set(key, before)
+    w = R.poisson_weights(0, np.arange(20)[None, :], np.arange(6000)[:, None])
+    x = np.arange(6000) % 17
+    assert len(got) == 40
+    for rep in range(20):
+        assert got["hot", rep] == (float(x @ w[:, rep]), float(w[:, rep].sum()), 6000)
