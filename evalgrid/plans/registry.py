@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["classification", "alignment", "sessions", "ranking", "text", "audit", "modelling", "live", "geometry"]
+MODULES = ["classification", "alignment", "sessions", "ranking", "text", "audit", "modelling", "live", "geometry", "files"]
 
 
 @dataclass(frozen=True)
