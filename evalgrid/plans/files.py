@@ -58,7 +58,7 @@ def tolerant_jsonl(spark, sf):
 
 
 @query("q_a5_sensor_samples", """
-WITH s AS (SELECT user_id%20 AS who, event_id/2e3 AS tt, CAST(round_even(event_id/2e0,0) AS BIGINT) AS t_ms, CASE WHEN event_id%5>0 AND event_id%7>0 THEN value/500 END AS l, CASE WHEN event_id%3>0 THEN value/400 END AS r FROM events),
+WITH s AS (SELECT user_id%20 AS who, event_id/3e3 AS tt, CAST(round(event_id/3e0) AS BIGINT) AS t_ms, CASE WHEN event_id%5>0 AND event_id%7>0 THEN value/500 END AS l, CASE WHEN event_id%3>0 THEN value/400 END AS r FROM events),
 m AS (SELECT who, t_ms, tt, CASE WHEN l IS NULL THEN r WHEN r IS NULL THEN l ELSE (l+r)/2 END AS x FROM s),
 f AS (SELECT who, t_ms, arg_min(coalesce(x,-1), tt) AS x FROM m GROUP BY 1,2)
 SELECT who, t_ms, round(nullif(x,-1),9) AS tx, round(nullif(x,-1)/2,9) AS ty, CASE WHEN x=-1 THEN 0 ELSE 1 END AS tvalid FROM f""")
@@ -70,7 +70,7 @@ def sensor_samples(spark, sf):
         return F.array(x, x / 2)
 
     e = _events(spark, sf).select(
-        (F.col("user_id") % 20).alias("who"), (i / 2000).alias("true_time"), F.when(i % 7 > 0, point(500)).alias("left_gaze_point_on_display_area"), point(400).alias("right_gaze_point_on_display_area"),
+        (F.col("user_id") % 20).alias("who"), (i / 3000).alias("true_time"), F.when(i % 7 > 0, point(500)).alias("left_gaze_point_on_display_area"), point(400).alias("right_gaze_point_on_display_area"),
         (i % 5 > 0).cast("int").alias("left_pupil_validity"), (i % 3 > 0).cast("int").alias("right_pupil_validity"))
     e.write.json(folder)
     raw = spark.read.schema(T.StructType([T.StructField("who", T.LongType()), *jsonl.SENSOR_SCHEMA.fields])).json(folder)
