@@ -94,7 +94,8 @@ def phrase_items(text: Column) -> Column:
     Split at punctuation, function words and -ing verbs (not -ing nouns); leading determiners,
     numbers and plain adjectives go; phrases of more than four words are dropped.
     """
-    breaks = r"[,;.:!?\n]|\b(?:" + "|".join(BREAK_WORDS) + r")\b|\b(?!(?:" + "|".join(ING_NOUNS) + r")\b)[a-z]+ing\b"
+    edge = r"(?:(?<![\p{L}\p{N}_])(?=[\p{L}\p{N}_])|(?<=[\p{L}\p{N}_])(?![\p{L}\p{N}_]))"  # also beside accented letters
+    breaks = rf"[,;.:!?\n]|{edge}(?:{'|'.join(BREAK_WORDS)}){edge}|{edge}(?!(?:{'|'.join(ING_NOUNS)}){edge})[a-z]+ing{edge}"
     lead = "^(?:(?:" + "|".join(LEAD_WORDS) + r"|\d+)\s+)+"
     parts = F.transform(F.split(F.lower(text), breaks), lambda p: strip(F.regexp_replace(strip(F.regexp_replace(p, r"[^a-z\s-]", " ")), lead, "")))
     stop = F.array(*[F.lit(w) for w in PHRASE_STOP])

@@ -15,12 +15,6 @@ from evalgrid.plans.registry import query
 from evalgrid.plans.roles import sql, table, unit_truth
 
 
-def ascii_only(c):
-    """The phrase queries run on the ASCII part of a text: word boundaries in accented text differ
-    between regular expression engines."""
-    return F.regexp_replace(c, r"[^\x00-\x7F]", " ")
-
-
 @query("q_b7_canon", r"""
 SELECT p_partkey, lower(trim(replace(regexp_replace(replace(p_name,' ','_')||'_('||p_type||')','_?\(.*?\)','','g'),'_',' '))) AS name FROM part""")
 def canon(spark, sf):
@@ -84,8 +78,12 @@ def _protected(c: str) -> str:
     return rf"regexp_replace({c},'{_PROTECT}','\1~','g')"
 
 
+# RE2 knows only ASCII word boundaries: letters and digits beyond ASCII become Z, which lower-cased text
+# does not hold and which the clean-up of a phrase drops as it drops them
+_WORDY = r"regexp_replace(regexp_replace(lower(text),'[^\x00-\x7F\p{L}\p{N}]',' ','g'),'[^\x00-\x7F]','Z','g')"
+
 _PHRASES = rf"""
-WITH c AS (SELECT conv_id, turn, {_protected("lower(regexp_replace(text,'[^\\x00-\\x7F]',' ','g'))")} AS t FROM conversations),
+WITH c AS (SELECT conv_id, turn, {_protected(_WORDY)} AS t FROM conversations),
 s AS (SELECT conv_id, turn, string_split_regex(t, '[,;.:!?\n]|\b(?:{"|".join(X.BREAK_WORDS)})\b|\b[a-z]+ing\b') AS parts FROM c),
 u AS (SELECT conv_id, turn, unnest(parts) AS p, generate_subscripts(parts,1) AS i FROM s),
 k AS (SELECT conv_id, turn, i, trim(regexp_replace(trim(regexp_replace(replace(p,'~','g'),'[^a-z\s-]',' ','g'),E' \t\r\n'), '^(?:(?:{"|".join(X.LEAD_WORDS)}|\d+)\s+)+',''),E' \t\r\n') AS ph FROM u),
@@ -97,7 +95,7 @@ SELECT c.conv_id, c.turn, coalesce(items,'') AS items FROM c LEFT JOIN g USING (
 
 @query("q_b11_phrases", _PHRASES)
 def phrases(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.phrase_items(ascii_only(F.col("text"))), "|").alias("items"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.array_join(X.phrase_items(F.col("text")), "|").alias("items"))
 
 
 @query("q_b12_list", r"""

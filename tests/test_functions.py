@@ -102,3 +102,13 @@ def test_head_angles_and_centre(spark):
     a = G.head_angles([[F.lit(v) for v in row] for row in m])
     assert list(one(spark, a["yaw"], a["pitch"], a["roll"])) == pytest.approx([math.degrees(v) for v in (yaw, pitch, roll)])
     assert one(spark, G.centred(F.array(F.lit(0.4), F.lit(0.6)), F.lit(0.45)))[0] == pytest.approx(0.55)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a lamp éand chair", ["lamp  and chair"]),  # no word of its own, so no split
+    ("caféin table on wall", ["caf in table", "wall"]),
+    ("niño eating cake", ["ni o", "cake"]),
+    ("über under bed", ["ber", "bed"]),
+])
+def test_phrases_beside_accented_letters(spark, text, want):
+    assert one(spark, X.phrase_items(F.lit(text)))[0] == want
