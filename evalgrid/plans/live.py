@@ -105,3 +105,32 @@ SELECT DISTINCT user_id, event_type, epoch_us(ts)//{DAY} AS day FROM events""")
 def dedupe(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_type", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / DAY).alias("day"))
     return L.first_seen(e, "ts", ["user_id", "event_type", "day"])
+
+
+# Repeat guard behind a page timer (turns and pauses) and behind pages that the user turns.
+GUARD = """e AS (SELECT *, sum(ended::INT) OVER (PARTITION BY participant ORDER BY n) AS part FROM g),
+m AS (SELECT *, row_number() OVER (PARTITION BY participant, part ORDER BY n) AS nth FROM e WHERE counts),
+f AS (SELECT *, CASE WHEN zone IS DISTINCT FROM lag(zone) OVER (PARTITION BY participant, part ORDER BY nth) THEN 1 ELSE 0 END AS nw FROM m),
+q AS (SELECT *, sum(nw) OVER (PARTITION BY participant, part ORDER BY nth) AS run FROM f),
+c AS (SELECT participant, part, run, min(nth) AS first, count(*) AS len FROM q GROUP BY 1,2,3),
+p AS (SELECT *, lag(len) OVER (PARTITION BY participant, part ORDER BY run) AS before FROM c)
+SELECT q.participant, seq, page, CASE WHEN (nth-first)%2=1 THEN 'select' WHEN nth=first AND coalesce(before%2=1,false) THEN 'disagreed' ELSE 'first of two' END AS verdict
+FROM q JOIN p ON p.participant=q.participant AND p.part=q.part AND p.run=q.run"""
+
+
+@query("q_l4_guarded_timer", sql(f"""
+WITH {CHOICES}, d AS (SELECT *, t_us-min(t_us) OVER (PARTITION BY participant) AS since FROM s), r AS (SELECT *, since//{DAY} AS turns FROM d),
+g AS (SELECT *, CAST(turns%3 AS INTEGER) AS page, NOT (turns>0 AND since-turns*{DAY}<{2*HOUR}) AS counts, coalesce(turns<>lag(turns) OVER (PARTITION BY participant ORDER BY n), false) AS ended FROM r),
+{GUARD}""", "ev"))
+def guarded_timer(spark, sf):
+    d = L.timed_pages(_choices(spark, sf), ["participant"], "t_us", "n", DAY, 3, 2 * HOUR)
+    return L.repeat_within(d, ["participant"], "n", "zone", F.col("cancelled"), ~F.col("locked")).select("participant", "seq", "page", "verdict")
+
+
+@query("q_l5_guarded_user", sql(f"""
+WITH {CHOICES}, r AS (SELECT *, coalesce(sum(CASE WHEN zone=2 THEN 1 ELSE 0 END) OVER (PARTITION BY participant ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS turns FROM s),
+g AS (SELECT *, CAST((turns+(zone=2)::INT)%3 AS INTEGER) AS page, zone=2 AS ended, zone<>2 AND (turns%3)*2+zone<5 AS counts FROM r),
+{GUARD}""", "ev"))
+def guarded_user(spark, sf):
+    d = L.user_pages(_choices(spark, sf), ["participant"], "n", "zone", 2, 2, 5)
+    return L.repeat_within(d, ["participant"], "n", "zone", F.col("choice") == "page", F.col("choice") == "item").select("participant", "seq", "page", "verdict")

@@ -6,14 +6,14 @@ import statistics
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import StructType
 
 from evalgrid.functions.scores import same_item
 from evalgrid.operators.chain import jump_chain
-from evalgrid.operators.skew import attach, running
+from evalgrid.operators.skew import attach, join_on, running
 from evalgrid.operators.windows import MIN_FPS, RATE_FRAMES, slow_frames
 from evalgrid.streaming import keyed
 
@@ -21,17 +21,19 @@ from evalgrid.streaming import keyed
 ALERT_EVERY = 4000
 
 
-def dwell_candidates(df: DataFrame, keys: Sequence[str], ts: str, zone: str, zones: int, dwell: str, step: str, min_share: float = 0.6, min_frames: int = 1, delay: str = "10 minutes") -> DataFrame:
+def dwell_candidates(df: DataFrame, keys: Sequence[str], ts: str, zone: str, zones: int, dwell: str, step: str, min_share: float = 0.6, min_frames: int = 1, delay: str = "10 minutes", closed_at: str | None = None) -> DataFrame:
     """(keys, t, zone): sliding windows in which one zone fills enough of all frames, unseen ones
     counted; `t` is the window's end in microseconds. Ties go to the lower zone; windows with fewer
-    than `min_frames` frames are not observed well enough. The same on a stream and on a table."""
+    than `min_frames` frames are not observed well enough. The same on a stream and on a table;
+    `closed_at` adds the window's event time, which the next stateful step of a stream needs."""
     if df.isStreaming:
         df = df.withWatermark(ts, delay)
     votes = [F.count_if(F.col(zone) == z).alias(f"_z{z}") for z in range(zones)]
     g = df.groupBy(F.window(ts, dwell, step), *keys).agg(F.count(F.lit(1)).alias("_n"), *votes)
     best = F.array_max(F.array(*[F.struct(F.col(f"_z{z}").alias("n"), F.lit(-z).alias("low")) for z in range(zones)]))
-    g = g.where(F.col("_n") >= min_frames).select(*keys, F.unix_micros("window.end").alias("t"), "_n", best.alias("_b"))
-    return g.where(F.col("_b.n") >= min_share * F.col("_n")).select(*keys, "t", (-F.col("_b.low")).alias("zone"))
+    closed = [F.window_time("window").alias(closed_at)] if closed_at else []
+    g = g.where(F.col("_n") >= min_frames).select(*keys, F.unix_micros("window.end").alias("t"), "_n", best.alias("_b"), *closed)
+    return g.where(F.col("_b.n") >= min_share * F.col("_n")).select(*keys, "t", (-F.col("_b.low")).alias("zone"), *([closed_at] if closed_at else []))
 
 
 def refractory(candidates: DataFrame, keys: Sequence[str], t: str, gap: int, slot_len: int) -> DataFrame:
@@ -130,20 +132,31 @@ def repeat_confirm(df: DataFrame, keys: Sequence[str], seq: str, value: str, slo
     """Verdict of each value under "same value twice in a row": select, first of two, disagreed.
 
     Batch twin without state: in a run of equal values every second one selects; a run's first
-    value disagrees if the run before it ended half way. `seq` numbers each key's rows from 1.
+    value disagrees if the run before it ended half way. `seq` numbers each key's rows from 1; a null
+    equals nothing, null keys are keys.
     """
-    d = df.withColumn("_slot", F.floor(F.col(seq) / slot_len))
-    d = running(d, keys, "_slot", [seq], lasts={"_prev": value})
-    d = d.withColumn("_new", F.coalesce(F.col("_prev") != F.col(value), F.lit(True)).cast("int"))
+    d = df.withColumn("_slot", F.floor(F.col(seq) / slot_len)).withColumn("_v", F.struct(F.col(value).alias("v")))
+    d = running(d, keys, "_slot", [seq], lasts={"_prev": "_v"})
+    d = d.withColumn("_new", F.coalesce(F.col("_prev.v") != F.col(value), F.lit(True)).cast("int"))
     d = running(d, keys, "_slot", [seq], sums={"_runs": "_new"}).withColumn("_run", F.col("_runs") + F.col("_new"))
     runs = d.groupBy(*keys, "_run").agg(F.min(seq).alias("_first"), F.count(F.lit(1)).alias("_n"))
     before = runs.select(*keys, (F.col("_run") + 1).alias("_run"), (F.col("_n") % 2 == 1).alias("_open"))
-    d = d.join(runs.join(before, [*keys, "_run"], "left"), [*keys, "_run"])
+    d = join_on(d, join_on(runs, before, [*keys, "_run"], "left"), [*keys, "_run"])
     place = F.col(seq) - F.col("_first")
     verdict = F.when(place % 2 == 1, "select").when((place == 0) & F.coalesce("_open", F.lit(False)), "disagreed").otherwise("first of two")
     return d.select(*df.columns, verdict.alias("verdict"))
 
 
+def repeat_within(df: DataFrame, keys: Sequence[str], seq: str, value: str, ended: Column, counts: Column, slot_len: int = 100_000) -> DataFrame:
+    """`repeat_confirm` where a row whose `ended` holds first ends what was half chosen, as a page
+    turn does, and only rows whose `counts` holds are choices (the others are left out). `seq` numbers
+    each key's rows from 1."""
+    d = df.withColumn("_slot", F.floor(F.col(seq) / slot_len)).withColumn("_end", F.coalesce(ended, F.lit(False)).cast("int"))
+    d = running(d, keys, "_slot", [seq], sums={"_ends": "_end"}).withColumn("_part", F.col("_ends") + F.col("_end"))
+    d = running(d.where(counts), [*keys, "_part"], "_slot", [seq], count="_nth")
+    return repeat_confirm(d.drop("_slot"), [*keys, "_part"], "_nth", value, slot_len).select(*df.columns, "verdict")
+
+
 class PageTimer(StatefulProcessor):
     """Turns a page every `every` ms of event time by an event-time timer, without any input."""
 

@@ -3,7 +3,9 @@ import random
 from pyspark.sql import functions as F
 
 from evalgrid.operators.chain import jump_chain
+from evalgrid.operators.skew import running
 from evalgrid.streaming import live as L
+from evalgrid.streaming import steps as S
 
 
 def sessions(spark, n=4):
@@ -176,3 +178,103 @@ def test_windows_and_dedupe_on_a_stream(spark, tmp_path):
     assert key(got) == key(batch.where(F.col("w_start") <= closed)) and got.count() >= 6
     once = drain(spark, L.first_seen(src, "ts", ["session", "t_ms"], "1 day"), tmp_path, "once")
     assert once.count() == 72
+
+
+def shuffled(spark, d, tmp_path, late=4000):
+    """Rows of `d` (t in ms) as a stream that delivers them out of order, up to `late` ms behind,
+    over five micro-batches, with a far row of another session that lets all others out."""
+    rnd = random.Random(3)
+    rows = [(*r, r["t"] + rnd.randrange(late)) for r in d.collect()]
+    far = (99, 1, max(r[2] for r in rows) + 10**8, 0, max(r[-1] for r in rows) + 1)
+    x = spark.createDataFrame([*rows, far], f"{', '.join(f'{n} {t}' for n, t in d.dtypes)}, arrival bigint")
+    x = stream_of(spark, x.withColumn("ts", F.timestamp_millis(F.col("t") + DAY_MS)), tmp_path, "arrival", 5)
+    return x.drop("arrival")
+
+
+def some_choices(spark):
+    """Choices with gaps, repeats and unknown zones; (session, seq, t, zone)."""
+    rnd, rows = random.Random(12), []
+    for s in range(4):
+        t, zone = s * 17, 0
+        for i in range(120):
+            t += rnd.choice([200, 500, 900])
+            zone = zone if rnd.random() < 0.4 else rnd.choice([0, 1, 2, None])
+            rows.append((s, i + 1, t, zone))
+    return spark.createDataFrame(rows, "session int, seq bigint, t bigint, zone int")
+
+
+def run_ordered(spark, d, tmp_path, name, stages, fields):
+    out = S.ordered(shuffled(spark, d, tmp_path), ["session"], "ts", ["seq"], stages, fields, "5 seconds")
+    return drain(spark, out, tmp_path, name).where("session < 99")
+
+
+def test_repeat_guard_on_a_shuffled_stream_equals_batch(spark, tmp_path):
+    d = some_choices(spark)
+    got = run_ordered(spark, d, tmp_path, "rep", [S.repeat_confirm("zone")], "seq bigint, zone int, verdict string")
+    batch = L.repeat_confirm(d, ["session"], "seq", "zone", 13).select(got.columns)
+    assert key(got) == key(batch) and {r["verdict"] for r in got.collect()} == {"select", "disagreed", "first of two"}
+    nobody = L.repeat_confirm(d.withColumn("session", F.lit(None).cast("int")).where("seq = 1 AND t < 1000").limit(1), ["session"], "seq", "zone")
+    assert nobody.count() == 1
+
+
+def test_timer_locks_and_cancels_on_a_shuffled_stream(spark, tmp_path):
+    d = some_choices(spark)
+    pages = S.timed_pages("t", 3000, 3, 600)
+    got = run_ordered(spark, d, tmp_path, "tp", [pages], "seq bigint, page int, locked boolean, cancelled boolean")
+    assert key(got) == key(L.timed_pages(d, ["session"], "t", "seq", 3000, 3, 600).select(got.columns))
+    chain = [pages, S.flag("free", lambda r: not r["locked"]), S.repeat_confirm("zone", "cancelled", "free")]
+    both = run_ordered(spark, d, tmp_path / "both", "tpr", chain, "seq bigint, page int, zone int, verdict string")
+    batch = L.timed_pages(d, ["session"], "t", "seq", 3000, 3, 600)
+    batch = L.repeat_within(batch, ["session"], "seq", "zone", F.col("cancelled"), ~F.col("locked"), 11).select(both.columns)
+    assert key(both) == key(batch) and 0 < both.count() < d.count()
+    alone = L.repeat_confirm(d, ["session"], "seq", "zone").where("verdict = 'select'").count()
+    assert 0 < both.where("verdict = 'select'").count() < alone  # turns end what was half chosen
+
+
+def test_user_pages_on_a_shuffled_stream_equal_batch(spark, tmp_path):
+    d = some_choices(spark)
+    pages = S.user_pages("zone", 1, 2, 5)
+    got = run_ordered(spark, d, tmp_path, "up", [pages], "seq bigint, page int, choice string, item int")
+    batch = L.user_pages(d, ["session"], "seq", "zone", 1, 2, 5)
+    assert key(got) == key(batch.select(got.columns))
+    chain = [pages, S.flag("turned", lambda r: r["choice"] == "page"), S.flag("named", lambda r: r["choice"] == "item"), S.repeat_confirm("zone", "turned", "named")]
+    both = run_ordered(spark, d, tmp_path / "both", "upr", chain, "seq bigint, item int, verdict string")
+    want = L.repeat_within(batch, ["session"], "seq", "zone", F.col("choice") == "page", F.col("choice") == "item", 17)
+    assert key(both) == key(want.select(both.columns)) and both.count() > 50
+
+
+def test_silence_then_two_steps_on_a_shuffled_stream(spark, tmp_path):
+    d = some_choices(spark)
+    chain = [S.refractory("t", 800), S.two_step("zone")]
+    got = run_ordered(spark, d, tmp_path, "quiet2", chain, "seq bigint, zone int, step string, asked int")
+    want = []
+    for s in range(4):
+        free, asked = -1, None
+        for r in d.where(F.col("session") == s).orderBy("seq").collect():
+            if r["t"] < free:
+                continue
+            free = r["t"] + 800
+            step = "ask" if asked is None else "select" if r["zone"] == 0 else "cancel"
+            want.append((s, r["seq"], r["zone"], step, r["zone"] if asked is None else asked[0]))
+            asked = (r["zone"],) if asked is None else None
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_dwell_windows_feed_the_chain_in_one_stream(spark, tmp_path):
+    d = sessions(spark).select("session", "seq", "t", "zone")
+    def find(x):
+        return L.dwell_candidates(x, ["session"], "ts", "zone", 3, "500 milliseconds", "100 milliseconds", 0.6, 10, "5 seconds", closed_at="closed")
+
+    chain = [S.refractory("t", 900_000), S.repeat_confirm("zone")]
+    out = S.ordered(find(shuffled(spark, d, tmp_path)), ["session"], "closed", ["t"], chain, "t bigint, zone int, verdict string", None)
+    got = drain(spark, out, tmp_path, "whole").where("session < 99")
+    kept = L.refractory(find(d.withColumn("ts", F.timestamp_millis(F.col("t") + DAY_MS))).drop("closed"), ["session"], "t", 900_000, 10**7)
+    batch = L.repeat_confirm(running(kept.withColumn("_s", F.floor(F.col("t") / 10**7)), ["session"], "_s", ["t"], count="n"), ["session"], "n", "zone")
+    assert key(got) == key(batch.select(got.columns)) and got.count() > 10
+
+
+def test_rows_behind_the_watermark_are_dropped(spark, tmp_path):
+    rows = [(1, 1, 50_000, 0, 0), (2, 1, 90_000, 0, 1), (1, 2, 10_000, 1, 2), (1, 3, 95_000, 2, 2), (1, 4, None, 2, 2), (2, 2, 10**7, 0, 3)]
+    d = spark.createDataFrame(rows, "session int, seq bigint, t bigint, zone int, arrival bigint").withColumn("ts", F.timestamp_millis(F.col("t") + DAY_MS))
+    out = S.ordered(stream_of(spark, d, tmp_path, "arrival", 4).drop("arrival"), ["session"], "ts", ["seq"], [], "seq bigint", "5 seconds")
+    assert {tuple(r) for r in drain(spark, out, tmp_path, "late").collect()} == {(1, 1), (2, 1), (1, 3)}
