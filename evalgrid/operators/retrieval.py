@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalgrid.functions.draws import md5_rank
 from evalgrid.operators.ranking import K_MAX
 from evalgrid.operators.skew import attach, top_per_key
+from evalgrid.session import cut_lineage
 
+Score = Callable[[Column, Column], Column]
+Hope = Callable[[Column, Column], Column]
 TILE_BYTES = 8 << 20  # of vectors on either side of a tile
 
 
@@ -66,20 +69,80 @@ def bank_popularity(bank_objects: DataFrame) -> DataFrame:
     return bank_objects.join(freq, "object").groupBy("item").agg(F.sum("_f").alias("pop"))
 
 
+def _verified(pairs: DataFrame, case_sets: DataFrame, bank_sets: DataFrame) -> DataFrame:
+    both = pairs.join(case_sets, "case_id").join(bank_sets, ["item", "part"])
+    return both.withColumn("common", F.size(F.array_intersect("_mine", "_theirs")).cast("bigint")).drop("_mine", "_theirs")
+
+
+def set_top_k(case_tokens: DataFrame, bank_tokens: DataFrame, bank: DataFrame, score: Score, short: Sequence[Column], hope: Hope, k: int, first: DataFrame | None = None) -> DataFrame:
+    """(case_id, item, s, rank): the k items of highest `score` per case among those that share a
+    token with it, by their best part, ties by item; exact, without meeting on frequent tokens.
+
+    Tokens (case_id, token) and (item, part, token) are distinct, null tokens meet nothing; `bank` has
+    a row per part with what the score needs. `score(common, nc)` is a struct that grows with
+    `common` and may read the bank's columns; `short` orders the bank so that among items sharing one token the likeliest come first;
+    `hope(rest, nc)` is the score of the best part there could be.
+
+    1. Each case meets the k likeliest items of each of its tokens (and `first`); the k-th best of
+       these is a bound under which nothing can win.
+    2. Tokens are ordered by rarity. If the first shared token is the p-th of the case and the q-th of
+       a part, they share at most the smaller rest. Only pairs whose rest can reach the bound meet, and
+       a case's frequent tokens, behind which nothing can win, are not looked up at all.
+    """
+    bank_tokens = bank_tokens.where("token IS NOT NULL")
+    often = bank_tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_f"))
+    rare = [F.col("_f"), F.col("token")]
+    index = bank_tokens.join(often, "token").join(bank, ["item", "part"])
+    index = index.withColumn("_q", F.row_number().over(Window.partitionBy("item", "part").orderBy(*rare)) - 1)
+    index = cut_lineage(index.withColumn("nb", F.count(F.lit(1)).over(Window.partitionBy("item", "part"))).drop("_f"))
+    whole = case_tokens.groupBy("case_id").agg(F.count(F.lit(1)).alias("nc"), F.collect_set("token").alias("_mine"))
+    case_sets = cut_lineage(whole)
+    bank_sets = index.groupBy("item", "part", "nb", *[c for c in bank.columns if c not in ("item", "part")]).agg(F.collect_set("token").alias("_theirs"))
+    probes = case_tokens.join(often, "token").join(case_sets.select("case_id", "nc"), "case_id")
+    of_case = Window.partitionBy("case_id")
+    probes = cut_lineage(probes.select("case_id", "token", "nc", (F.count(F.lit(1)).over(of_case) - F.row_number().over(of_case.orderBy(*rare)) + 1).alias("_rest")))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        s = _verified(pairs, case_sets, bank_sets).withColumn("s", score(F.col("common"), F.col("nc")))
+        return s.groupBy("case_id", "item").agg(F.max("s").alias("s"))
+
+    likely = top_per_key(index, ["token", "item"], short, 1, "_r").drop("_r")
+    likely = top_per_key(likely, ["token"], short, k).select("token", "item", "part")
+    found = probes.join(likely, "token").select("case_id", "item", "part")
+    found = cut_lineage((found if first is None else found.unionByName(first)).distinct())
+    order = [F.desc("s"), F.col("item")]
+    bound = top_per_key(best(found), ["case_id"], order, k).where(F.col("rank") == k).select("case_id", F.col("s").alias("_s"), F.col("item").alias("_i"))
+    bound = cut_lineage(bound)
+
+    asked = probes.join(bound, "case_id", "left").where(F.col("_s").isNull() | (hope(F.col("_rest"), F.col("nc")) >= F.col("_s")))
+    reach = score(F.least(F.col("_rest"), F.col("nb") - F.col("_q")), F.col("nc"))
+    wins = F.col("_s").isNull() | (reach > F.col("_s")) | ((reach == F.col("_s")) & (F.col("item") <= F.col("_i")))
+    more = asked.join(index, "token").where(wins).select("case_id", "item", "part")
+    return top_per_key(best(more.unionByName(found).distinct()), ["case_id"], order, k)
+
+
+def _first_rows(rows: DataFrame, order: Sequence[Column], cases: DataFrame, k: int) -> DataFrame:
+    """The first k of `rows`, for every case."""
+    numbered = rows.orderBy(*order).limit(k).withColumn("_r", F.row_number().over(Window.orderBy(*order)))  # k rows
+    return cases.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_r")).join(numbered, "_r").drop("_r")
+
+
 def overlap_top_k(shown: DataFrame, bank_objects: DataFrame, cases: DataFrame, k: int = 10) -> DataFrame:
     """Bank items by (-shared objects, -popularity, id), k per case.
 
-    Shared objects come from an inverted index on the object; items that share nothing can only
-    be the k most popular ones, which are added to every case.
+    Items that share objects come from `set_top_k`; items that share nothing can only be the k most
+    popular ones, which are added to every case.
     """
     bank_objects = bank_objects.select("item", "object").distinct()
-    pop = bank_popularity(bank_objects)
-    shared = attach(shown.select("case_id", "object").distinct(), bank_objects, ["object"], ["case_id"], how="inner").groupBy("case_id", "item").agg(F.count(F.lit(1)).alias("overlap"))
-    shared = shared.join(pop, "item").select("case_id", "item", "overlap", "pop")
+    pop = cut_lineage(bank_popularity(bank_objects))
     first = [F.desc("pop"), F.col("item")]
-    popular = pop.orderBy(*first).limit(k).withColumn("_r", F.row_number().over(Window.orderBy(*first)))  # k rows
-    fill = cases.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_r")).join(popular, "_r")
-    both = shared.unionByName(fill.select("case_id", "item", F.lit(0).cast("bigint").alias("overlap"), "pop"))
+    popular = _first_rows(pop, first, cases.distinct(), k)
+    shared = set_top_k(
+        shown.select("case_id", F.col("object").alias("token")).distinct(), bank_objects.select("item", F.lit(0).alias("part"), F.col("object").alias("token")),
+        pop.select("item", F.lit(0).alias("part"), "pop"), lambda common, nc: F.struct(common.cast("bigint").alias("overlap"), F.col("pop").alias("pop")), first,
+        lambda rest, nc: F.struct(rest.cast("bigint").alias("overlap"), F.lit((1 << 63) - 1).cast("bigint").alias("pop")), k,
+    )
+    both = shared.select("case_id", "item", "s.overlap", "s.pop").unionByName(popular.select("case_id", "item", F.lit(0).cast("bigint").alias("overlap"), "pop"))
     one = both.groupBy("case_id", "item").agg(F.max("overlap").alias("overlap"), F.first("pop").alias("pop"))
     return top_per_key(one, ["case_id"], [F.desc("overlap"), F.desc("pop"), F.col("item")], k)
 
@@ -87,19 +150,22 @@ def overlap_top_k(shown: DataFrame, bank_objects: DataFrame, cases: DataFrame, k
 def jaccard_top_k(case_tokens: DataFrame, bank_tokens: DataFrame, cases: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """Bank items by the best token Jaccard over their texts, ties by id, k per case.
 
-    case_tokens (case_id, token) and bank_tokens (item, text_no, token) are distinct. Shared
-    tokens are counted through the inverted index; an item that shares none scores 0, so only
-    the k lowest ids can fill a list.
+    case_tokens (case_id, token) and bank_tokens (item, text_no, token) are distinct. Items that
+    share tokens come from `set_top_k`; an item that shares none scores 0, so only the k lowest ids
+    can fill a list.
     """
-    size_c = case_tokens.groupBy("case_id").agg(F.count(F.lit(1)).alias("nc"))
-    size_b = bank_tokens.groupBy("item", "text_no").agg(F.count(F.lit(1)).alias("nb"))
-    both = attach(case_tokens, bank_tokens, ["token"], ["case_id"], how="inner").groupBy("case_id", "item", "text_no").agg(F.count(F.lit(1)).alias("common"))
-    j = both.join(size_b, ["item", "text_no"]).join(size_c, "case_id")
-    score = F.col("common") / F.greatest(F.col("nc") + F.col("nb") - F.col("common"), F.lit(1))
-    best = j.groupBy("case_id", "item").agg(F.max(score).alias("score"))
-    lowest = items.orderBy("item").limit(k).withColumn("_r", F.row_number().over(Window.orderBy("item")))  # k rows
-    fill = cases.select("case_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("_r")).join(lowest, "_r").select("case_id", "item", F.lit(0.0).alias("score"))
-    one = best.unionByName(fill).groupBy("case_id", "item").agg(F.max("score").alias("score"))
+    bank_tokens = bank_tokens.select("item", F.col("text_no").alias("part"), "token")
+
+    def ratio(common: Column, nc: Column, nb: Column) -> Column:
+        return F.struct((common / F.greatest(nc + nb - common, F.lit(1))).alias("score"))
+
+    shared = set_top_k(
+        case_tokens, bank_tokens, bank_tokens.select("item", "part").distinct(), lambda common, nc: ratio(common, nc, F.col("nb")),
+        [F.col("nb"), F.col("item"), F.col("part")], lambda rest, nc: ratio(rest, nc, rest), k,
+    )
+    fill = _first_rows(items.select("item"), [F.col("item")], cases.distinct(), k).withColumn("score", F.lit(0.0))
+    both = shared.select("case_id", "item", "s.score").unionByName(fill.select("case_id", "item", "score"))
+    one = both.groupBy("case_id", "item").agg(F.max("score").alias("score"))
     return top_per_key(one, ["case_id"], [F.desc("score"), F.col("item")], k)
 
 

@@ -1,6 +1,7 @@
 """Known answers for trials, ranking, retrieval, matching, audit and claims."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,6 +123,38 @@ def test_overlap_and_jaccard_fill_up(spark):
     assert [(r["case_id"], r["item"], r["score"]) for r in j.orderBy("case_id", "rank").collect()] == [(1, 1, 1.0), (1, 0, 0.5), (1, 2, 0.0), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 0.0)]
 
 
+def test_set_top_k_equals_brute_force_and_skips_frequent_tokens(spark):
+    rnd = random.Random(21)
+    # every set holds the same frequent word; the others follow a skewed distribution; parts repeat
+    def some():
+        return sorted({"the", *[f"w{int(40 * rnd.random() ** 2)}" for _ in range(rnd.randrange(0, 7))]} if rnd.random() < 0.9 else {f"only{rnd.randrange(9)}"})
+
+    mine = {i: some() for i in range(60)} | {60: [], 61: ["nowhere"]}
+    bank = {(i, n): some() for i in range(80) for n in range(1 + i % 3)}
+    cases = spark.createDataFrame([(i,) for i in mine], "case_id int")
+    items = spark.createDataFrame([(i,) for i in range(80)], "item int")
+    ct = spark.createDataFrame([(i, w) for i, ws in mine.items() for w in ws], "case_id int, token string")
+    bt = spark.createDataFrame([(i, n, w) for (i, n), ws in bank.items() for w in ws], "item int, text_no int, token string")
+    for k in (1, 6, 100):
+        got = {}
+        for r in RT.jaccard_top_k(ct, bt, cases, items, k).orderBy("case_id", "rank").collect():
+            got.setdefault(r["case_id"], []).append((r["item"], r["score"]))
+        for c, ws in mine.items():
+            score = {i: max(len({*ws} & {*bank[i, n]}) / max(1, len({*ws} | {*bank[i, n]})) for n in range(1 + i % 3)) for i in range(80)}
+            assert got[c] == sorted(score.items(), key=lambda x: (-x[1], x[0]))[:k]
+    flat = {i: bank[i, 0] for i in range(80)}
+    bo = spark.createDataFrame([(i, w) for i, ws in flat.items() for w in ws], "item int, object string")
+    often = Counter(w for ws in flat.values() for w in ws)
+    pop = {i: sum(often[w] - 1 for w in ws) for i, ws in flat.items()}
+    for k in (1, 6, 100):
+        got = {}
+        for r in RT.overlap_top_k(ct.withColumnRenamed("token", "object"), bo, cases, k).orderBy("case_id", "rank").collect():
+            got.setdefault(r["case_id"], []).append((r["item"], r["overlap"]))
+        for c, ws in mine.items():
+            score = {i: len({*ws} & {*flat[i]}) for i in range(80)}
+            assert got[c] == sorted(score.items(), key=lambda x: (-x[1], -pop[x[0]], x[0]))[:k]
+
+
 def test_noise_cases(spark):
     bank = spark.createDataFrame([(1, ["cup", "tea"], ["bed", "tea"], ["cup", "tea"]), (2, ["cup"], ["bed"], ["lamp"])], "id int, objects array<string>, wrong_pool array<string>, screen_pool array<string>")
     got = {r["case_id"]: r for r in RT.noise_cases(bank).collect()}
