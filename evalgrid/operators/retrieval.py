@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions.draws import md5_rank
 from evalgrid.operators.ranking import K_MAX
-from evalgrid.operators.skew import attach, top_per_key
+from evalgrid.operators.skew import attach, ranked, top_per_key
 from evalgrid.session import cut_lineage
 
 Score = Callable[[Column, Column], Column]
@@ -170,24 +170,33 @@ def jaccard_top_k(case_tokens: DataFrame, bank_tokens: DataFrame, cases: DataFra
 
 
 CONDITIONS = ["clean", "partial", "wrong_label", "wrong_pick"]
+POOLS = ["wrong", "screen"]
 
 
-def noise_cases(bank: DataFrame, seed: int = 0) -> DataFrame:
+def noise_cases(bank: DataFrame, pools: DataFrame, keys: Sequence[str], name: str, seed: int = 0) -> DataFrame:
     """Four cases per bank row: clean, first object only, last object swapped with one from the
-    wrong pool or the first-screen pool. The replacement is a hash pick among pool members not
-    already present; an empty choice leaves the objects as they are.
+    room's wrong pool or first-screen pool. The replacement is a hash pick among pool members not
+    already present; an empty choice leaves the objects as they are. Rows of unknown rooms give none.
 
-    bank: id, objects ARRAY<STRING>, wrong_pool, screen_pool ARRAY<STRING> (one row per id).
+    bank: id, objects ARRAY<STRING> and `keys` (one row per id); pools as from `error_pools`. The
+    n-th free member is found by its place: places of present objects that lie before it are counted
+    in, so no row carries a pool.
     """
-    c = bank.select("*", F.explode(F.array(*[F.lit(x) for x in CONDITIONS])).alias("condition"))
-    pool = F.when(F.col("condition") == "wrong_label", F.col("wrong_pool")).when(F.col("condition") == "wrong_pick", F.col("screen_pool"))
-    c = c.withColumn("_free", F.array_sort(F.array_except(pool, F.col("objects"))))
-    pick = F.conv(F.substring(md5_rank(seed, F.col("id"), F.col("condition")), 1, 8), 16, 10).cast("bigint") % F.greatest(F.size("_free"), F.lit(1))
-    last = F.size("objects") - 1
-    swapped = F.col("condition").isin("wrong_label", "wrong_pick") & (F.size("_free") > 0)
+    size = pools.groupBy(*keys).agg(*[F.count_if(F.col("pool") == p).alias(f"_{p}") for p in POOLS])
+    known = attach(bank, size, keys, ["id"], how="inner")
+    present = known.select("id", *keys, F.explode(F.array_distinct("objects")).alias(name)).join(pools, [*keys, name])
+    present = present.groupBy("id", "pool").agg(F.sort_array(F.collect_list("place")).alias("_taken"))  # at most the row's objects
+    c = known.select("*", F.explode(F.array(*[F.lit(x) for x in CONDITIONS])).alias("condition"))
+    c = c.withColumn("pool", F.when(F.col("condition") == "wrong_label", POOLS[0]).when(F.col("condition") == "wrong_pick", POOLS[1]))
+    c = c.join(present, ["id", "pool"], "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<bigint>")))
+    free = F.when(F.col("pool") == POOLS[0], F.col(f"_{POOLS[0]}")).otherwise(F.col(f"_{POOLS[1]}")) - F.size("_taken")
+    pick = F.conv(F.substring(md5_rank(seed, F.col("id"), F.col("condition")), 1, 8), 16, 10).cast("bigint") % F.greatest(free, F.lit(1))
+    c = c.withColumn("place", F.when(F.col("pool").isNotNull() & (free > 0), F.aggregate("_taken", pick, lambda at, p: at + (p <= at).cast("bigint"))))
+    c = c.join(pools.withColumnRenamed(name, "_new"), [*keys, "pool", "place"], "left")
+    last, swapped = F.size("objects") - 1, F.col("place").isNotNull()
     shown = (
         F.when(F.col("condition") == "partial", F.slice("objects", 1, 1))
-        .when(swapped, F.transform("objects", lambda o, i: F.when(i == last, F.get("_free", pick.cast("int"))).otherwise(o)))
+        .when(swapped, F.transform("objects", lambda o, i: F.when(i == last, F.col("_new")).otherwise(o)))
         .otherwise(F.col("objects"))
     )
     recoverable = F.col("condition").isin("clean", "partial") | (F.size("objects") > 1)
@@ -198,10 +207,22 @@ def noise_cases(bank: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def error_pools(items: DataFrame, keys: Sequence[str], name: str, fallback: Sequence[str]) -> DataFrame:
-    """Per room: distinct item names judged wrong, and those on the first screen (rank <= 3).
-    An empty wrong pool takes the fallback list, an empty screen pool the wrong pool."""
+    """(keys, pool, place, name): per room the distinct item names judged wrong (pool `wrong`) and
+    those on the first screen, rank <= 3 (pool `screen`), numbered from 0 by name. An empty wrong pool
+    takes the fallback names, an empty screen pool the wrong pool. Items without a name are in no pool.
+    Names are numbered over ranges, so no task or row holds a room."""
     d = items.select(*keys, name, (F.col("status") == "wrong").alias("w"), (F.col("rank") <= 3).alias("s"))
-    d = d.groupBy(*keys, name).agg(F.max("w").alias("w"), F.max("s").alias("s"))  # one row per distinct name
-    p = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("w"), F.col(name)))).alias("wrong_pool"), F.sort_array(F.collect_list(F.when(F.col("s"), F.col(name)))).alias("screen_pool"))
-    wrong = F.when(F.size("wrong_pool") > 0, F.col("wrong_pool")).otherwise(F.array(*[F.lit(f) for f in fallback]))
-    return p.withColumn("wrong_pool", wrong).withColumn("screen_pool", F.when(F.size("screen_pool") > 0, F.col("screen_pool")).otherwise(F.col("wrong_pool")))
+    d = cut_lineage(d.groupBy(*keys, name).agg(F.max("w").alias("w"), F.max("s").alias("s")))  # one row per distinct name
+    named = F.col(name).isNotNull()
+    rooms = d.groupBy(*keys).agg(*[F.coalesce(F.bool_or(F.col(c) & named), F.lit(False)).alias(f"_any_{c}") for c in "ws"])
+
+    def kinds(wrong: Column, screen: Column) -> Column:
+        return F.explode(F.array_compact(F.array(F.when(wrong, POOLS[0]), F.when(screen, POOLS[1])))).alias("pool")
+
+    own = attach(d.where(named), rooms, keys, [name], null_safe=True)
+    own = own.select(*keys, name, kinds(F.col("w"), F.col("s") | (F.col("w") & ~F.col("_any_s"))))
+    spare = rooms.where("NOT _any_w").select("*", F.explode(F.array(*[F.lit(f) for f in dict.fromkeys(fallback)])).alias(name))
+    both = own.unionByName(spare.select(*keys, name, kinds(F.lit(True), ~F.col("_any_s"))))
+    numbered = cut_lineage(ranked(both, [*[F.col(k) for k in keys], F.col("pool"), F.col(name)], "_n"))
+    start = numbered.groupBy(*keys, "pool").agg(F.min("_n").alias("_first"))
+    return attach(numbered, start, [*keys, "pool"], [name], null_safe=True).select(*keys, "pool", (F.col("_n") - F.col("_first")).cast("bigint").alias("place"), name)

@@ -197,9 +197,10 @@ def _pools(spark, sf):
     return error_pools(_items(spark, sf), ["room"], "item", FALLBACK)
 
 
-@query("q_j8_pools", sql(f"WITH {_POOLS} SELECT room, array_to_string(wrong_pool,',') AS wrong_pool, array_to_string(screen_pool,',') AS screen_pool FROM p1", "rl", "rv"))
+@query("q_j8_pools", sql(f"""WITH {_POOLS}, n AS (SELECT room, 'wrong' AS pool, unnest(wrong_pool) AS item FROM p1 UNION ALL SELECT room, 'screen', unnest(screen_pool) FROM p1)
+SELECT room, pool, row_number() OVER (PARTITION BY room, pool ORDER BY item)-1 AS place, item FROM n""", "rl", "rv"))
 def pools(spark, sf):
-    return _pools(spark, sf).select("room", F.array_join("wrong_pool", ",").alias("wrong_pool"), F.array_join("screen_pool", ",").alias("screen_pool"))
+    return _pools(spark, sf)
 
 
 ROOMS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -220,7 +221,7 @@ def noise(spark, sf):
         F.when(F.col("c_custkey") % 3 == 0, F.array(name)).otherwise(F.array(F.split_part("p_name", F.lit(" "), F.lit(2)), name)).alias("objects"),
         F.get(F.array(*[F.lit(r) for r in ROOMS]), (F.col("c_custkey") % 5).cast("int")).alias("room"),
     )
-    cases = noise_cases(bank.join(_pools(spark, sf), "room"))
+    cases = noise_cases(bank, _pools(spark, sf), ["room"], "item")
     return cases.select("case_id", F.array_join("objects_shown", "|").alias("objects_shown"), "swapped_index", "recoverable")
 
 

@@ -1,5 +1,6 @@
 """Known answers for trials, ranking, retrieval, matching, audit and claims."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -156,14 +157,43 @@ def test_set_top_k_equals_brute_force_and_skips_frequent_tokens(spark):
 
 
 def test_noise_cases(spark):
-    bank = spark.createDataFrame([(1, ["cup", "tea"], ["bed", "tea"], ["cup", "tea"]), (2, ["cup"], ["bed"], ["lamp"])], "id int, objects array<string>, wrong_pool array<string>, screen_pool array<string>")
-    got = {r["case_id"]: r for r in RT.noise_cases(bank).collect()}
+    bank = spark.createDataFrame([(1, ["cup", "tea"], "a"), (2, ["cup"], "b"), (3, ["x"], "nowhere"), (4, ["x"], None)], "id int, objects array<string>, room string")
+    rows = [("a", "wrong", 0, "bed"), ("a", "wrong", 1, "tea"), ("a", "screen", 0, "cup"), ("a", "screen", 1, "tea"), ("b", "wrong", 0, "bed"), ("b", "screen", 0, "lamp")]
+    pools = spark.createDataFrame(rows, "room string, pool string, place bigint, item string")
+    got = {r["case_id"]: r for r in RT.noise_cases(bank, pools, ["room"], "item").collect()}
     assert len(got) == 8 and got["1:clean"]["objects_shown"] == ["cup", "tea"] and got["1:partial"]["objects_shown"] == ["cup"]
     assert got["1:wrong_label"]["objects_shown"] == ["cup", "bed"] and got["1:wrong_label"]["swapped_index"] == 1
     assert got["1:wrong_pick"]["objects_shown"] == ["cup", "tea"] and got["1:wrong_pick"]["swapped_index"] is None
     assert got["2:wrong_pick"]["objects_shown"] == ["lamp"] and not got["2:wrong_pick"]["recoverable"] and got["2:partial"]["recoverable"]
 
 
+def test_error_pools_and_picks_equal_arrays(spark):
+    rnd = random.Random(5)
+    items = [(room, rnd.choice([None, *[f"n{i}" for i in range(12)]]), rnd.choice(["wrong", "correct", None]), rnd.randrange(1, 9)) for room in "abc" for _ in range(25)]
+    items += [("d", "only", "correct", 7), ("e", "w", "wrong", 8), ("f", "s", "correct", 1), ("g", None, "wrong", 1)]
+    d = spark.createDataFrame(items, "room string, item string, status string, rank int")
+    want = {}
+    for room in "abcdefg":
+        wrong = sorted({n for r, n, s, _ in items if r == room and n and s == "wrong"}) or ["bed", "stove"]
+        want[room] = (wrong, sorted({n for r, n, _, k in items if r == room and n and k <= 3}) or wrong)
+    pools = RT.error_pools(d, ["room"], "item", ["stove", "bed"])
+    got = {(r["room"], r["pool"], r["place"]): r["item"] for r in pools.collect()}
+    assert got == {(room, p, i): n for room, both in want.items() for p, names in zip(RT.POOLS, both) for i, n in enumerate(names)}
+    bank = [(i, [f"n{rnd.randrange(12)}" for _ in range(rnd.randrange(1, 6))], "abcdefg"[i % 7]) for i in range(70)]
+    cases = RT.noise_cases(spark.createDataFrame(bank, "id int, objects array<string>, room string"), pools, ["room"], "item").collect()
+    by_id = {i: (objects, room) for i, objects, room in bank}
+    assert len(cases) == 280
+    for r in cases:
+        objects, room = by_id[r["id"]]
+        if r["condition"] in ("clean", "partial"):
+            continue
+        free = sorted({*want[room][r["condition"] == "wrong_pick"]} - {*objects})
+        at = int(hashlib.md5(f"0:{r['id']}:{r['condition']}".encode()).hexdigest()[:8], 16) % max(1, len(free))
+        assert r["objects_shown"] == ([*objects[:-1], free[at]] if free else objects)
+        assert r["swapped_index"] == (len(objects) - 1 if free else None)
+    assert RT.error_pools(d.limit(0), ["room"], "item", ["bed"]).count() == 0
+
+
 def test_category_matching(spark):
     cats = spark.createDataFrame([(1, "pillow", []), (2, "coffee_table", []), (3, "table", ["desk"]), (4, "desk", []), (5, "glass_(drink_container)", []), (6, "chest_of_drawers", []), (7, "box", []), (8, "sofa", ["Table"])], "id int, name string, synonyms array<string>")
     ali = spark.createDataFrame([("couch", "sofa"), ("bin", "trash")], "surface string, name string")
