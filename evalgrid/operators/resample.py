@@ -97,6 +97,15 @@ def bootstrap_ci(
     return out.drop("_all") if whole else out
 
 
+def metric_intervals(units: DataFrame, cell: Sequence[str], unit: str, metrics: Sequence[str], reps: int = REPS, seed: int = 0) -> DataFrame:
+    """(cell, <metric>_lo and <metric>_hi per metric): intervals of several means over the same units,
+    to be joined to a result table. All metrics share a unit's weights."""
+    long = units.select(*cell, unit, F.inline(F.array(*[F.struct(F.lit(m).alias("_metric"), F.col(m).cast("double").alias("_v")) for m in metrics])))
+    ci = bootstrap_ci(long, [*cell, "_metric"], unit, "_v", reps, seed)
+    ends = [F.max(F.when(F.col("_metric") == m, F.col(f"ci_{e}"))).alias(f"{m}_{e}") for m in metrics for e in ("lo", "hi")]
+    return ci.groupBy(*cell).agg(*ends)
+
+
 def cluster_means(rows: DataFrame, cell: Sequence[str], cluster: str, value: str, out: str = "value") -> DataFrame:
     """One unweighted mean per cluster: the unit of a cluster bootstrap."""
     return rows.groupBy(*cell, cluster).agg(F.avg(F.col(value).cast("double")).alias(out))

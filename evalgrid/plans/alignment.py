@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from evalgrid.functions.scores import readings_per_dwell
 from evalgrid.operators import align as A
 from evalgrid.operators import windows as W
+from evalgrid.operators.resample import REPS, metric_intervals
 from evalgrid.operators.skew import running
 from evalgrid.plans.classification import r6, rounded
 from evalgrid.plans.registry import query
-from evalgrid.plans.roles import DAY, HOUR, base, frame_stream, reference_stream, sql
+from evalgrid.plans.roles import DAY, HOUR, base, bootstrap_sql, frame_stream, reference_stream, sql
+from evalgrid.session import cut_lineage
 
 EPOCH_MS = 1704067200000
 
@@ -145,8 +147,11 @@ zz AS (SELECT *, least(greatest(floor(gy*rows_),0),rows_-1)*cols_+least(greatest
   least(greatest(floor(dy*rows_),0),rows_-1)*cols_+least(greatest(floor(dx*cols_),0),cols_-1) AS z3 FROM j),
 m AS (SELECT dwell,disp,participant,grid,answered,'single' AS method, answered AND z1=zt AS ok FROM zz UNION ALL SELECT dwell,disp,participant,grid,answered,'mean', answered AND z2=zt FROM zz
  UNION ALL SELECT dwell,disp,participant,grid,answered,'median', answered AND z3=zt FROM zz UNION ALL SELECT dwell,disp,participant,grid,answered,'vote', answered AND (CASE WHEN alone THEN z ELSE z2 END)=zt FROM zz),
-pp AS (SELECT dwell,disp,grid,method,participant, avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END) AS acc, count(*) AS n, sum(CASE WHEN answered THEN 1 ELSE 0 END) AS a FROM m GROUP BY 1,2,3,4,5)
-SELECT dwell, disp, grid, method, round(avg(acc),6) AS acc, round(min(acc),6) AS worst, round(max(acc),6) AS best, CAST(sum(n) AS BIGINT) AS windows, round(sum(a)/sum(n),6) AS answered_frac FROM pp GROUP BY 1,2,3,4
+pp AS (SELECT dwell,disp,grid,method,participant, avg(CASE WHEN ok THEN 1e0 ELSE 0e0 END) AS acc, count(*) AS n, sum(CASE WHEN answered THEN 1 ELSE 0 END) AS a FROM m GROUP BY 1,2,3,4,5),
+units AS (SELECT dwell, disp, grid, method, participant AS unit, acc AS v FROM pp),
+{bootstrap_sql('units', 'dwell, disp, grid, method', REPS)},
+su AS (SELECT dwell, disp, grid, method, round(avg(acc),6) AS acc, round(min(acc),6) AS worst, round(max(acc),6) AS best, CAST(sum(n) AS BIGINT) AS windows, round(sum(a)/sum(n),6) AS answered_frac FROM pp GROUP BY 1,2,3,4)
+SELECT su.*, round(ci_lo,6) AS acc_lo, round(ci_hi,6) AS acc_hi FROM su LEFT JOIN b_ci ON b_ci.dwell=su.dwell AND b_ci.disp=su.disp AND b_ci.grid=su.grid AND b_ci.method=su.method
 """, "fr", "rs", "grids"))
 def answers(spark, sf):
     fps = A.frame_rate(_frames(spark, sf), ["participant"], "t_us", DAY).select("participant", "fps")
@@ -155,10 +160,12 @@ def answers(spark, sf):
     per = a.groupBy("dwell", "disp", "grid", "method", "participant").agg(
         F.avg(F.col("ok").cast("double")).alias("acc"), F.count(F.lit(1)).alias("n"), F.sum(F.col("answered").cast("bigint")).alias("a")
     )
+    per = cut_lineage(per)
+    ci = metric_intervals(per, ["dwell", "disp", "grid", "method"], "participant", ["acc"], REPS)
     out = per.groupBy("dwell", "disp", "grid", "method").agg(
         F.avg("acc").alias("acc"), F.min("acc").alias("worst"), F.max("acc").alias("best"), F.sum("n").alias("windows"), (F.sum("a") / F.sum("n")).alias("answered_frac")
     )
-    return rounded(out, "acc", "worst", "best", "answered_frac")
+    return rounded(out.join(ci, ["dwell", "disp", "grid", "method"], "left"), "acc", "worst", "best", "answered_frac", "acc_lo", "acc_hi")
 
 
 def _numbered(spark, sf):

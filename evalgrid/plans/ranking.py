@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions.scores import extended_labels
 from evalgrid.functions.text import norm_item
 from evalgrid.operators import ranking as R
-from evalgrid.operators.resample import bootstrap_ci, paired_differences
+from evalgrid.operators.resample import bootstrap_ci, metric_intervals, paired_differences
 from evalgrid.operators.retrieval import cosine_top_k, rescore
 from evalgrid.plans.classification import rounded
 from evalgrid.plans.registry import query
@@ -152,12 +152,21 @@ def _gold(spark, sf):
     return R.gold_rank(_ranked(spark, sf), gold, ["method", "unit"], "unit")
 
 
-@query("q_d21_topn", sql(f"""WITH {_RANKED}, {_GOLD}
-SELECT method, condition, count(*) AS n, count(rank) AS found, round(avg(rank),6) AS mean_rank, round(avg(top1),6) AS top1, round(avg(top3),6) AS top3, round(avg(top5),6) AS top5 FROM gt GROUP BY 1,2""", "rl", "rv"))
+TOPS = ["top1", "top3", "top5"]
+
+
+@query("q_d21_topn", sql(f"""WITH {_RANKED}, {_GOLD},
+units AS (SELECT method, condition, unit, metric, v FROM gt UNPIVOT (v FOR metric IN (top1, top3, top5))),
+{bootstrap_sql('units', 'method, condition, metric', ROW_REPS)},
+ci AS (SELECT method, condition, {', '.join(f"round(max(CASE WHEN metric='{m}' THEN ci_{e} END),6) AS {m}_{e}" for m in TOPS for e in ('lo', 'hi'))} FROM b_ci GROUP BY 1,2),
+su AS (SELECT method, condition, count(*) AS n, count(rank) AS found, round(avg(rank),6) AS mean_rank, round(avg(top1),6) AS top1, round(avg(top3),6) AS top3, round(avg(top5),6) AS top5 FROM gt GROUP BY 1,2)
+SELECT su.*, {', '.join(f'{m}_{e}' for m in TOPS for e in ('lo', 'hi'))} FROM su LEFT JOIN ci ON ci.method=su.method AND ci.condition=su.condition""", "rl", "rv"))
 def topn(spark, sf):
-    g = _gold(spark, sf).groupBy("method", "condition").agg(
+    per = cut_lineage(_gold(spark, sf).select("method", "condition", "unit", "rank", *TOPS))
+    g = per.groupBy("method", "condition").agg(
         F.count(F.lit(1)).alias("n"), F.count("rank").alias("found"), F.avg("rank").alias("mean_rank"), *[F.avg(f"top{i}").alias(f"top{i}") for i in (1, 3, 5)])
-    return rounded(g, "mean_rank", "top1", "top3", "top5")
+    ci = metric_intervals(per, ["method", "condition"], "unit", TOPS, ROW_REPS)
+    return rounded(g.join(ci, ["method", "condition"], "left"), "mean_rank", *TOPS, *[f"{m}_{e}" for m in TOPS for e in ("lo", "hi")])
 
 
 @query("q_d22_grouping_sets", sql(f"""WITH {_RANKED}, {_GOLD}
