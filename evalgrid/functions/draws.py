@@ -56,18 +56,29 @@ def poisson_thresholds() -> list[int]:
     return out
 
 
-def poisson_weights(seed: int, rep: np.ndarray, slot: np.ndarray) -> np.ndarray:
+def weights_room(shape: tuple[int, ...]) -> list[np.ndarray]:
+    """What poisson_weights works in: taken once where it is called often, as new memory costs more."""
+    return [np.empty(shape, kind) for kind in (np.uint32, np.uint32, np.uint8, bool, np.float64)]
+
+
+def poisson_weights(seed: int, rep: np.ndarray, slot: np.ndarray, room: list[np.ndarray] | None = None) -> np.ndarray:
     """Poisson(1) weights for arrays inside a task: the hash of add_hash, in wrapping 32 bits, against
-    poisson_thresholds."""
+    poisson_thresholds up to the greatest hash. With `room` the result lies there."""
     low = lambda x: (x & MASK).astype(np.uint32)
-    x = low(np.asarray(seed * SEED_STEP + rep * REP_STEP)) + low(slot) * np.uint32(SLOT_STEP)
+    base, slot = np.atleast_1d(low(np.asarray(seed * SEED_STEP + rep * REP_STEP))), low(np.asarray(slot)) * np.uint32(SLOT_STEP)
+    x, y, w, more, out = room or weights_room(np.broadcast_shapes(base.shape, slot.shape))
+    np.add(base, slot, out=x)
     for _ in range(2):
-        x = ((x >> np.uint32(16)) ^ x) * np.uint32(MIX)
-    x = (x >> np.uint32(16)) ^ x
-    w = np.zeros(x.shape, np.float64)
+        np.bitwise_xor(np.right_shift(x, np.uint32(16), out=y), x, out=x)
+        np.multiply(x, np.uint32(MIX), out=x)
+    np.bitwise_xor(np.right_shift(x, np.uint32(16), out=y), x, out=x)
+    w[...], top = 0, int(x.max(initial=0))
     for at in poisson_thresholds():
-        w += x >= np.uint32(at)
-    return w
+        if at > top:
+            break
+        np.add(w, np.greater_equal(x, np.uint32(at), out=more).view(np.uint8), out=w)
+    out[...] = w
+    return out
 
 
 def md5_rank(seed: int | str, *parts: Column) -> Column:

@@ -3,7 +3,9 @@
 Reduce to one row per unit first (cluster_means, paired_differences). Every unit gets a Poisson(1)
 weight in every replicate, by inverting the distribution on a hash of (seed, replicate, unit): the
 same method at every size, without unit numbers, and the same weights however rows are partitioned.
-Tasks multiply values with weights as matrices and only sums per (cell, replicates) are shuffled.
+A unit's weights depend on nothing else, so they are drawn once for all cells that it is in: rows are
+dealt and sorted by unit, tasks multiply values with weights as matrices, and only sums per (cell,
+replicates) are shuffled.
 """
 
 from __future__ import annotations
@@ -15,17 +17,72 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalgrid.functions.draws import normal_cdf, normal_quantile, poisson_weights
+from evalgrid.functions.draws import normal_cdf, normal_quantile, poisson_weights, weights_room
 from evalgrid.functions.zones import finite
 from evalgrid.session import cut_lineage
 
 REPS = 5000
 BCA_REPS = 10000
-DRAWS = 2_000_000  # weights held at once in a task
-HELD = 64  # cells whose sums a task holds before it hands them on
+DRAWS = 160_000  # weights held at once in a task: few, so that they stay in the processor's cache
+HELD = 2_500_000  # sums that a task holds before it hands them on
 BLOCK = 500  # replicates in one row of sums
 
 
+def weighted_sums(batches: Iterator[pd.DataFrame], cell: list[str], reps: int, most: int) -> Iterator[pd.DataFrame]:
+    """Within a task: (cell, _block, n, s, w), the sums of BLOCK replicates as arrays. The rows (cell,
+    _u, _v, _seed) come best in the order of their units; a unit's weights serve all its cells in a batch.
+    About `most` cells are held at once."""
+    held: dict[tuple, list] = {}
+    every, step = np.arange(reps, dtype=np.int64)[None, :], max(1, DRAWS // reps)
+    room, sums = weights_room((step, reps)), np.empty((0, reps))
+
+    def handed_on() -> pd.DataFrame:
+        rows = [(*c, at // BLOCK, n, s[at : at + BLOCK], w[at : at + BLOCK]) for c, (n, s, w) in held.items() for at in range(0, reps, BLOCK)]
+        held.clear()
+        return pd.DataFrame(rows, columns=[*cell, "_block", "n", "s", "w"])
+
+    for b in batches:
+        number = b.groupby(cell, sort=False, dropna=False).ngroup().to_numpy()
+        first = np.unique(number, return_index=True)[1]
+        named = [tuple(c) for c in b[cell].astype(object).where(b[cell].notna(), None).iloc[first].to_numpy().tolist()]
+        unit, value, seeds = b["_u"].to_numpy(np.int64), b["_v"].to_numpy(float), b["_seed"].to_numpy()
+        for seed in np.unique(seeds):
+            for low in range(0, len(named), most):
+                rows = np.flatnonzero((seeds == seed) & (number >= low) & (number < low + most))
+                rows = rows[np.argsort(unit[rows], kind="stable")]
+                units, start = np.unique(unit[rows], return_index=True)
+                ends = np.r_[start, len(rows)]
+                for at in range(0, len(units), step):
+                    drawn = units[at : at + step]
+                    some = rows[ends[at] : ends[at + len(drawn)]]
+                    here, c = np.unique(number[some], return_inverse=True)
+                    place = c, np.searchsorted(drawn, unit[some])
+                    x = np.zeros((2, len(here), len(drawn)))
+                    np.add.at(x[0], place, value[some])
+                    np.add.at(x[1], place, 1.0)
+                    weights = poisson_weights(int(seed), every, drawn[:, None], [r[: len(drawn)] for r in room])
+                    if len(sums) < 2 * len(here):
+                        sums = np.empty((2 * len(here), reps))
+                    s, w = np.matmul(x.reshape(-1, len(drawn)), weights, out=sums[: 2 * len(here)]).reshape(2, len(here), reps)
+                    for i, n in enumerate(np.bincount(c)):
+                        mine = held.setdefault(named[here[i]], [0, np.zeros(reps), np.zeros(reps)])
+                        mine[0] += int(n)
+                        mine[1] += s[i]
+                        mine[2] += w[i]
+                if len(held) >= most:
+                    yield handed_on()
+    if held:
+        yield handed_on()
+
+
+def _by_unit(units: DataFrame, cell: Sequence[str], unit: str, value: str) -> DataFrame:
+    """The finite values, written once in the order of their units: they are read several times and not
+    computed again from what they came from."""
+    v = F.col(value).cast("double")
+    rows = units.select(*cell, unit, v.alias(value)).where(finite(v))
+    return cut_lineage(rows.repartition(unit).sortWithinPartitions(unit))
+
+
 def replicate_sums(units: DataFrame, cell: Sequence[str], unit: str, value: str, reps: int = REPS, seed: int | Column = 0) -> DataFrame:
     """(cell, _rep, s, w, n): weighted sum, weight and number of units of each bootstrap replicate;
     cells with < 2 units give none. `unit` is an integer identifier, unique within the cell (hash
@@ -37,33 +94,10 @@ def replicate_sums(units: DataFrame, cell: Sequence[str], unit: str, value: str,
     clean = clean.where(finite(F.col("_v")))
     kinds = ", ".join(f"`{c}` {clean.schema[c].dataType.simpleString()}" for c in cell)
     fields = f"{kinds}, _block int, n bigint, s array<double>, w array<double>"
-    every = np.arange(reps, dtype=np.int64)
-
-    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, list] = {}
-
-        def handed_on() -> pd.DataFrame:
-            rows = [(*c, at // BLOCK, n, s[at : at + BLOCK], w[at : at + BLOCK]) for c, n, s, w in held.values() for at in range(0, reps, BLOCK)]
-            held.clear()
-            return pd.DataFrame(rows, columns=[*cell, "_block", "n", "s", "w"])
-
-        for b in batches:
-            for key, part in b.groupby(cell, sort=False, dropna=False):
-                if key not in held:
-                    held[key] = [part[cell].astype(object).where(part[cell].notna(), None).iloc[0].tolist(), 0, np.zeros(reps), np.zeros(reps)]
-                mine, u, x = held[key], part["_u"].to_numpy(np.int64), part["_v"].to_numpy(float)
-                mine[1] += len(x)
-                for some in np.array_split(np.arange(len(x)), max(1, len(x) * reps // DRAWS)):
-                    w = poisson_weights(int(part["_seed"].iloc[0]), every[None, :], u[some, None])
-                    mine[2] += x[some] @ w
-                    mine[3] += w.sum(axis=0)
-                if len(held) >= HELD:
-                    yield handed_on()
-        if held:
-            yield handed_on()
 
     # the tasks' parts are added up number by number, in their own tasks first: no group holds them all
-    parts = clean.mapInPandas(weigh, fields)
+    most = max(1, HELD // reps)
+    parts = clean.mapInPandas(lambda batches: weighted_sums(batches, cell, reps, most), fields)
     each = parts.select(*cell, "n", (F.col("_block") * BLOCK).alias("_at"), F.posexplode(F.arrays_zip("s", "w")).alias("_i", "_p"))
     sums = each.groupBy(*cell, (F.col("_at") + F.col("_i")).cast("bigint").alias("_rep")).agg(F.sum("_p.s").alias("s"), F.sum("_p.w").alias("w"), F.sum("n").alias("n"))
     return sums.where("n >= 2")
@@ -83,8 +117,7 @@ def bootstrap_ci(
     whole = not cell
     if whole:
         units, cell = units.withColumn("_all", F.lit(0)), ["_all"]
-    # the units are read several times: write them once instead of recomputing what they came from
-    units = cut_lineage(units.select(*cell, unit, F.col(value).cast("double").alias(value)).where(finite(F.col(value).cast("double"))))
+    units = _by_unit(units, cell, unit, value)
     est = units.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("estimate"))
     tail = (1 - level) / 2
     means = replicate_sums(units, cell, unit, value, reps, seed)
@@ -127,7 +160,7 @@ def paired_differences(long: DataFrame, pairs: DataFrame, unit: str, by: Sequenc
 def stratified_ci(units: DataFrame, cell: Sequence[str], stratum: str, unit: str, value: str, reps: int = REPS, seed: int = 0) -> DataFrame:
     """Resample units within each stratum, then pool: strata keep their shares in every replicate.
     `unit` is unique over the strata of a cell, so that their draws are independent."""
-    units = cut_lineage(units.select(*cell, stratum, unit, F.col(value).cast("double").alias(value)).where(finite(F.col(value).cast("double"))))
+    units = _by_unit(units, [*cell, stratum], unit, value)
     sums = replicate_sums(units, [*cell, stratum], unit, value, reps, seed)
     pooled = sums.groupBy(*cell, "_rep").agg((F.sum(F.col("n") * F.try_divide("s", "w")) / F.sum(F.when(F.col("w") > 0, F.col("n")))).alias("m"))
     ends = pooled.groupBy(*cell).agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("_p"))
@@ -144,7 +177,7 @@ def bca_ci(units: DataFrame, cell: Sequence[str], unit: str, value: str, reps: i
     degenerate (v, v); where the correction is undefined the plain percentiles are used.
     """
     v = F.col(value).cast("double")
-    units = cut_lineage(units.select(*cell, unit, v.alias(value)).where(finite(v)))
+    units = _by_unit(units, cell, unit, value)
     est = units.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("estimate"), F.skewness(v).alias("_skew"), F.min(v).alias("_min"), F.max(v).alias("_max")
     )

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,3 +115,17 @@ def test_thousands_of_parts_of_one_cell_are_added_number_by_number(spark, monkey
     assert len(got) == 40
     for rep in range(20):
         assert got["hot", rep] == (float(x @ w[:, rep]), float(w[:, rep].sum()), 6000)
+
+
+def test_a_unit_is_drawn_once_for_all_its_cells(spark, monkeypatch):
+    """Units come in the order of their names after being written, and a task draws for each once."""
+    drawn, draw = [], R.poisson_weights
+    monkeypatch.setattr(R, "poisson_weights", lambda seed, rep, slot, room: drawn.append(slot.size) or draw(seed, rep, slot, room))
+    rows = pd.DataFrame([(c, u, float(u % 5), 0) for u in range(100) for c in "abcdefghi"], columns=["cell", "_u", "_v", "_seed"])
+    parts = pd.concat(R.weighted_sums(iter([rows]), ["cell"], 300, 1000))
+    assert sum(drawn) == 100 and sorted(parts["cell"].unique()) == list("abcdefghi") and set(parts["n"]) == {100}
+    w = draw(0, np.arange(300)[None, :], np.arange(100)[:, None])
+    assert np.allclose(np.concatenate(parts[parts["cell"] == "c"].sort_values("_block")["s"].to_list()), (np.arange(100) % 5) @ w)
+    d = spark.createDataFrame([(c, u, 1.0) for c in "abc" for u in range(200)], "cell string, unit int, v double").repartition(7)
+    written = R._by_unit(d, ["cell"], "unit", "v").select("unit", F.input_file_name().alias("file")).distinct()
+    assert written.count() == 200
