@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evalgrid.operators import audit as A
-from evalgrid.operators.ranking import first_mentions
+from evalgrid.operators.ranking import common_units, first_mentions
 from evalgrid.operators.sampling import pending, sample_units
 from evalgrid.operators.skew import attach, top_per_key
 from evalgrid.plans.classification import rounded
-from evalgrid.plans.ranking import _RANKED, _common
+from evalgrid.plans.ranking import _RANKED
 from evalgrid.plans.registry import query
 from evalgrid.plans.roles import event_log, frame_stream, ranked_lists, reference_stream, sql, table
 from evalgrid.session import cut_lineage
@@ -123,9 +123,9 @@ sh AS (SELECT 'U'||lpad(CAST(row_number() OVER (ORDER BY md5('0:'||unit||':'||it
 
 
 def _entries(spark, sf):
-    lists = _common(spark, sf)
-    chosen = lists.join(cut_lineage(sample_units(lists, "unit", 50)), "unit", "left_semi")  # rank the sample only
-    ranked = first_mentions(chosen, ["method", "unit"], "place", "category", ["item"])
+    lists = ranked_lists(spark, sf)  # not written: the first two passes read few columns, the last keeps the sample only
+    units = cut_lineage(sample_units(common_units(lists), "unit", 50))
+    ranked = first_mentions(lists.join(units, "unit", "left_semi"), ["unit", "method"], "place", "category", ["item"])
     return cut_lineage(A.audit_entries(ranked))  # read by sheet, codes and key
 
 
