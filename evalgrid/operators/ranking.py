@@ -19,21 +19,20 @@ NEVER = 999
 def common_units(outputs: DataFrame, unit: str = "unit", method: str = "method") -> DataFrame:
     """Units every method covered."""
     pairs = outputs.select(unit, method).distinct()
-    total = pairs.select(method).distinct().agg(F.count(F.lit(1))).scalar()
+    total = outputs.select(method).distinct().agg(F.count(F.lit(1))).scalar()
     return pairs.groupBy(unit).agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") == total).select(unit)
 
 
 def first_mentions(lists: DataFrame, keys: Sequence[str], place: str, category: str, carry: Sequence[str], k: int = K_MAX) -> DataFrame:
     """The first k entries of each list after dropping repeats of a category; later ranks close up.
 
-    Items without a category are all kept. Repeats collapse in a partial aggregate, and the rank
-    filter lets Spark prune each map task to k rows per list, so a very long list stays harmless.
+    Items without a category are all kept. One pass over the lists: both rank filters let Spark prune
+    early, to k rows per list and category and to k rows per list, so a very long list stays harmless.
+    Put the key first that the lists are dealt by: rows are then sorted by it first.
     """
-    entry = [place, *carry]
-    named = lists.where(F.col(category).isNotNull()).groupBy(*keys, category).agg(F.min_by(F.struct(*entry), place).alias("e"))
-    named = named.select(*keys, category, *[F.col(f"e.{c}").alias(c) for c in entry])
-    other = lists.where(F.col(category).isNull()).select(*keys, category, *entry)
-    return top_per_key(named.unionByName(other), keys, [F.col(place)], k)
+    near = top_per_key(lists.select(*keys, category, place, *carry), [*keys, category], [F.col(place)], k, rank="_nth")
+    once = near.where(F.col(category).isNull() | (F.col("_nth") == 1)).drop("_nth")
+    return top_per_key(once, keys, [F.col(place)], k)
 
 
 def list_lengths(lists: DataFrame, keys: Sequence[str], category: str) -> DataFrame:
@@ -180,9 +179,14 @@ def loo_popularity(members: DataFrame, units: DataFrame, names: DataFrame, unit:
     k + m places of the overall order: no unit is crossed with the vocabulary.
     """
     order = popularity_order(members, names)
-    own = members.groupBy(unit).agg(F.collect_set("category").alias("own"))
-    u = units.select(unit).join(own, unit, "left").select(unit, F.coalesce("own", F.array().cast("array<int>")).alias("own"))
-    cand = u.select("*", F.explode(F.sequence(F.lit(1), F.size("own") + k)).alias("place")).join(order, "place")
+    # units meet their entries in one aggregate, and the vocabulary is the side sent to the tasks: files of
+    # units are small enough for Spark to send those instead, through the driver
+    asked = units.select(unit, F.lit(None).cast("int").alias("category"), F.lit(1).alias("_asked"))
+    both = asked.unionByName(members.select(unit, "category", F.lit(0).alias("_asked")))
+    u = both.groupBy(unit).agg(F.collect_set("category").alias("own"), F.sum("_asked").alias("_asked")).where("_asked > 0")
+    known = F.when(F.col(unit).isNotNull(), F.col("own")).otherwise(F.array().cast("array<int>"))
+    u = u.select(unit, known.alias("own"), F.explode(F.sequence(F.lit(1), F.col("_asked").cast("int"))).alias("_row")).drop("_row")
+    cand = u.select("*", F.explode(F.sequence(F.lit(1), F.size("own") + k)).alias("place")).join(F.broadcast(order), "place")
     score = F.col("n") - F.array_contains("own", F.col("category")).cast("int")
     return top_per_key(cand.select(unit, "category", "name", score.alias("score")), [unit], [F.desc("score"), F.col("name")], k)
 

@@ -45,7 +45,7 @@ def _common(spark, sf):
 
 
 def _ranked(spark, sf, lists=None):
-    return R.first_mentions(_common(spark, sf) if lists is None else lists, ["method", "unit"], "place", "category", ["item"])
+    return R.first_mentions(_common(spark, sf) if lists is None else lists, ["unit", "method"], "place", "category", ["item"])
 
 
 def _items(spark, sf, lists=None):

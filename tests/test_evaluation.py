@@ -274,3 +274,31 @@ def test_whole_result_groups_are_registered(spark):
     reg, sf = load_all(), "/root/testdata/sf0.001"
     assert {r["grid"] for r in reg["q_d16_kshot"].build(spark, sf).select("grid").distinct().collect()} == {"1x3", "2x2", "3x3", "4x4"}
     assert {r["rank"] for r in reg["q_j1_loo_popular"].build(spark, sf).select("rank").distinct().collect()} == set(range(1, 7))  # six names
+
+
+def test_popularity_sends_no_table_of_units_through_the_driver(spark, tmp_path):
+    """Units in a small file would be broadcast, many times larger in memory; only the vocabulary may be."""
+    spark.range(3000).select(F.col("id").cast("int").alias("unit")).write.parquet(f"{tmp_path}/u")
+    units = spark.read.parquet(f"{tmp_path}/u")
+    members = units.where("unit % 2 = 0").select("unit", (F.col("unit") % 5).alias("category"))
+    names = spark.createDataFrame([(i, f"n{i}") for i in range(5)], "category int, name string")
+    got = R.loo_popularity(members, units, names, k=3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "rightHint=(strategy=broadcast)" in plan
+    assert got.count() == 9000
+
+
+def test_popularity_keeps_repeated_and_null_units(spark):
+    units = spark.createDataFrame([(1,), (1,), (None,)], "unit int")
+    members = spark.createDataFrame([(1, 0), (None, 1), (7, 1)], "unit int, category int")
+    names = spark.createDataFrame([(0, "a"), (1, "b")], "category int, name string")
+    got = sorted((str(r["unit"]), r["category"], r["score"]) for r in R.loo_popularity(members, units, names, k=9).collect())
+    assert got == [("1", 0, 0), ("1", 0, 0), ("1", 1, 2), ("1", 1, 2), ("None", 0, 1), ("None", 1, 2)]
+
+
+def test_first_mentions_is_one_pass_and_keeps_every_unnamed_item(spark):
+    rows = [("m", 1, 1, 7, "x"), ("m", 1, 2, None, "y"), ("m", 1, 2, None, "y"), ("m", 1, 3, 7, "z"), ("m", 1, 4, 8, "w")]
+    d = spark.createDataFrame(rows, "method string, unit int, place int, category int, item string")
+    got = R.first_mentions(d, ["unit", "method"], "place", "category", ["item"])
+    assert [(r["rank"], r["item"]) for r in got.orderBy("rank").collect()] == [(1, "x"), (2, "y"), (3, "y"), (4, "w")]
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
