@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from evalgrid.functions.draws import add_hash
 from evalgrid.functions.zones import NO_ZONE, grid_list, zone_of
 from evalgrid.operators.skew import attach, top_per_key
+from evalgrid.session import cut_lineage
 
 # Calibration sizes, draws per size, size from which a slope is fitted, slope range.
 CALIB_K = [1, 3, 5, 9, 16]
 CALIB_DRAWS = 20
+PRUNE = 8  # a draw of k rows sorts those with the lowest hashes, about PRUNE * k
 SLOPE_FROM = 5
 SLOPE_RANGE = (0.5, 3.0)
 MIN_SPREAD = 1e-9
@@ -170,18 +172,35 @@ def calibration_fits(df: DataFrame, subject: str, row_id: str, day: str, axes: d
     A draw is the k rows of lowest hash, so sizes of one draw are nested.
     """
     sizes = sizes or CALIB_K
-    first = df.groupBy(subject).agg(F.min(day).alias("_first"))
-    d = attach(df, first, [subject], [row_id], how="inner")
     answered = F.lit(True)
     for p, _ in axes.values():
         answered = answered & F.col(p).isNotNull()
-    pool = d.where(answered).select(
-        "*",
-        F.explode(F.when(F.col(day) == F.col("_first"), F.array(F.lit("random"), F.lit("first session"))).otherwise(F.array(F.lit("random")))).alias("scheme"),
-    )
-    drawn = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = add_hash(drawn, F.lit(seed), F.col("draw"), F.col(row_id), "_h")
-    drawn = top_per_key(drawn, [subject, "scheme", "draw"], [F.col("_h"), F.col(row_id)], max(sizes), rank="_r")
+    per_day = df.groupBy(subject, day).agg(F.count_if(answered).alias("_n"))
+    first = per_day.groupBy(subject).agg(F.min(day).alias("_first"), F.sum("_n").alias("_all"), F.min_by("_n", day).alias("_early"))
+    d = attach(df, first, [subject], [row_id], how="inner")
+    early = F.struct(F.lit("first session").alias("scheme"), F.col("_early").alias("_n"))
+    every = F.struct(F.lit("random").alias("scheme"), F.col("_all").alias("_n"))
+    pool = d.where(answered).select("*", F.inline(F.when(F.col(day) == F.col("_first"), F.array(every, early)).otherwise(F.array(every))))
+    # of n hashes the lowest few lie below a limit that a small multiple of them is expected under; only
+    # those rows are sorted. Where a draw has too few there, all its rows are
+    most = max(sizes)
+    limit = F.when(F.col("_n") > PRUNE * most, F.ceil(F.lit(float(PRUNE * most << 32)) / F.col("_n"))).otherwise(F.lit(1 << 32))
+    cell = [subject, "scheme", "draw"]
+
+    def drawn_from(rows: DataFrame) -> DataFrame:
+        return add_hash(rows, F.lit(seed), F.col("draw"), F.col(row_id), "_h")
+
+    each = pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    near = drawn_from(each).where(F.col("_h").isNull() | (F.col("_h") < limit))
+    drawn = cut_lineage(top_per_key(near, cell, [F.col("_h"), F.col(row_id)], most, rank="_r"))
+    pools = first.select(subject, F.inline(F.array(every, early))).where((F.col("_n") > 0) & F.col(subject).isNotNull())
+    pools = pools.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    got = drawn.groupBy(*cell).agg(F.count(F.lit(1)).alias("_got"))
+    short = cut_lineage(pools.join(got, cell, "left").where(F.coalesce("_got", F.lit(0)) < F.least("_n", F.lit(most))).select(*cell))
+    if not short.isEmpty():
+        again = drawn_from(pool.join(short, [subject, "scheme"])).select(*[c for c in drawn.columns if c != "_r"])
+        again = top_per_key(again, cell, [F.col("_h"), F.col(row_id)], most, rank="_r")
+        drawn = cut_lineage(drawn.join(short, cell, "left_anti").unionByName(again))
     by_k = drawn.select("*", F.explode(F.array(*[F.lit(k) for k in sizes])).alias("k")).where(F.col("_r") <= F.col("k"))
     aggs = [F.count(F.lit(1)).alias("_n")]
     for a, (p, t) in axes.items():

@@ -302,3 +302,29 @@ def test_first_mentions_is_one_pass_and_keeps_every_unnamed_item(spark):
     got = R.first_mentions(d, ["unit", "method"], "place", "category", ["item"])
     assert [(r["rank"], r["item"]) for r in got.orderBy("rank").collect()] == [(1, "x"), (2, "y"), (3, "y"), (4, "w")]
     assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calibration_draws_sort_few_rows_and_are_those_of_lowest_hash(spark, monkeypatch):
+    """Subject 1 has distinct rows; subject 2 one repeated id, whose hash lies below the limit or not at all."""
+    rows = [(1, i, i % 3) for i in range(600)] + [(2, 7, 0)] * 200 + [(3, i, 0) for i in range(4)]
+    d = spark.createDataFrame([(s, i, day, i / 600 if i % 5 else None, i / 700) for s, i, day in rows], "s int, id bigint, day int, px double, gx double")
+    sorted_rows, top = [], C.top_per_key
+    monkeypatch.setattr(C, "top_per_key", lambda df, *a, **k: sorted_rows.append(df.count()) or top(df, *a, **k))
+    fits, drawn, _ = C.calibration_fits(d, "s", "id", "day", {"x": ("px", "gx")}, draws=6)
+    got = {}
+    for r in drawn.where("k = 16").collect():
+        got.setdefault((r["s"], r["scheme"], r["draw"]), []).append((r["_h"], r["id"]))
+    assert sorted_rows[0] < sum((600 * 4 // 5 + 160, 200 * 2, 3 * 2)) * 6 * 0.75
+
+    def h(draw, i):
+        x = (draw * 668265263 + i * 1640531527) & 0xFFFFFFFF
+        for _ in range(2):
+            x = (((x >> 16) ^ x) * 0x45D9F3B) & 0xFFFFFFFF
+        return (x >> 16) ^ x
+
+    want = {}
+    for scheme, keep in (("random", lambda s, day: True), ("first session", lambda s, day: day == 0)):
+        for draw in range(6):
+            for s in (1, 2, 3):
+                want[s, scheme, draw] = sorted((h(draw, i), i) for t, i, day in rows if t == s and i % 5 and keep(s, day))[:16]
+    assert {k: sorted(v) for k, v in got.items()} == want
