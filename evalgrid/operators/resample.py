@@ -80,7 +80,9 @@ def _by_unit(units: DataFrame, cell: Sequence[str], unit: str, value: str) -> Da
     computed again from what they came from."""
     v = F.col(value).cast("double")
     rows = units.select(*cell, unit, v.alias(value)).where(finite(v))
-    return cut_lineage(rows.repartition(unit).sortWithinPartitions(unit))
+    # a set number of parts: adaptive execution would make few of them, and drawing costs much per byte
+    parts = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(rows.repartition(parts, unit).sortWithinPartitions(unit))
 
 
 def replicate_sums(units: DataFrame, cell: Sequence[str], unit: str, value: str, reps: int = REPS, seed: int | Column = 0) -> DataFrame:
