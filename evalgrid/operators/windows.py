@@ -6,7 +6,7 @@ from collections import deque
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,44 +172,46 @@ def reaches(v: DataFrame, run: Sequence[str], disp: float) -> DataFrame:
     out = f"{fields}, place bigint, t bigint, end bigint, end_t bigint, _part int, {', '.join(f'{c} double' for c in _BOX)}, _open boolean"
     names = [*run, "place", "t", "end", "end_t", "_part", *_BOX, "_open"]
 
-    def own(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows.sort_values("place").reset_index(drop=True)
-        reach = _reach(r[["x", "y"]].to_numpy(float), disp)
-        last = len(r) - 1
-        back = _boxes(r["x"].to_numpy(float)[::-1], r["y"].to_numpy(float)[::-1])[::-1]  # from each sample to the slot's end
-        r["end"], r["end_t"], r["_open"] = r["place"].to_numpy()[reach], r["t"].to_numpy()[reach], reach == last
-        r[_BOX] = back
-        return r[names]
+    def table(of: pa.Table, *columns: np.ndarray) -> pa.Table:
+        """The run keys of `of` and the other columns of `names`."""
+        return pa.Table.from_arrays([*(of[k] for k in run), *(pa.array(c) for c in columns)], names)
 
-    def onward(key: tuple, starts: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def samples(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        order = np.argsort(rows["place"].to_numpy(), kind="stable")
+        return tuple(rows[c].to_numpy()[order] for c in ("place", "t", "x", "y"))
+
+    def own(rows: pa.Table) -> pa.Table:
+        place, t, x, y = samples(rows)  # the keys and the part are one for all rows
+        reach = _reach(np.c_[x, y], disp)
+        back = _boxes(x[::-1], y[::-1])[::-1]  # from each sample to the slot's end
+        return table(rows, place, t, place[reach], t[reach], rows["_part"].to_numpy(), *back.T.copy(), reach == len(place) - 1)
+
+    def onward(starts: pa.Table, rows: pa.Table) -> pa.Table:
         if not len(starts):
-            return pd.DataFrame(columns=names)
-        starts = starts.assign(_part=starts["_part"] + 1, _open=False)
+            return starts.select(names)
+        at_place, at_t, end, end_t = (starts[c].to_numpy() for c in ("place", "t", "end", "end_t"))
+        had, part = np.c_[tuple(starts[c].to_numpy() for c in _BOX)], starts["_part"].to_numpy() + np.int32(1)
         if not len(rows):  # the run is over: what was reached stays
-            return starts[names]
-        r = rows.sort_values("place")
-        boxes, place, t = _boxes(r["x"].to_numpy(float), r["y"].to_numpy(float)), r["place"].to_numpy(), r["t"].to_numpy()
-        had = starts[_BOX].to_numpy(float)
-        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(r))  # number of samples within
+            return table(starts, at_place, at_t, end, end_t, part, *had.T.copy(), np.zeros(len(starts), bool))
+        place, t, x, y = samples(rows)
+        boxes = _boxes(x, y)
+        low, high = np.zeros(len(starts), np.int64), np.full(len(starts), len(place))  # number of samples within
         while (low < high).any():
             mid = (low + high) // 2
-            fits = _spread(_joined(had, boxes[np.minimum(mid, len(r) - 1)])) <= disp
+            fits = _spread(_joined(had, boxes[np.minimum(mid, len(place) - 1)])) <= disp
             more = (low < high) & fits
             low, high = np.where(more, mid + 1, low), np.where((low < high) & ~fits, mid, high)
         some = low > 0
         at = np.maximum(low - 1, 0)
-        starts["end"] = np.where(some, place[at], starts["end"])
-        starts["end_t"] = np.where(some, t[at], starts["end_t"])
-        starts["_open"] = low == len(r)
-        starts[_BOX] = _joined(had, boxes[at])
-        return starts[names]
+        end, end_t = np.where(some, place[at], end), np.where(some, t[at], end_t)
+        return table(starts, at_place, at_t, end, end_t, part, *_joined(had, boxes[at]).T.copy(), low == len(place))
 
-    found = cut_lineage(v.groupBy(*run, "_part").applyInPandas(own, out))
+    found = cut_lineage(v.groupBy(*run, "_part").applyInArrow(own, out))
     done, todo = [found.where("NOT _open")], found.where("_open")
     while not todo.isEmpty():
         asked = todo.withColumn("_key", F.col("_part") + 1)
         met = asked.groupBy(*run, "_key").cogroup(join_on(v, asked.select(*run, F.col("_key").alias("_part")).distinct(), [*run, "_part"]).withColumn("_key", F.col("_part")).groupBy(*run, "_key"))
-        found = cut_lineage(met.applyInPandas(onward, out))
+        found = cut_lineage(met.applyInArrow(onward, out))
         done.append(found.where("NOT _open"))
         todo = found.where("_open")
     every = done[0]

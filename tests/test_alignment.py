@@ -223,3 +223,16 @@ def test_lag_scan_matches_a_plain_interpolation(spark, slot_len):
         for lag in lags:
             ref = np.interp([t + lag for t, _ in xs], ts, [np.mean(by[t]) for t in ts])
             assert got[who, lag] == pytest.approx(np.corrcoef([x for _, x in xs], ref)[0, 1], abs=1e-9)
+
+
+def test_fixation_slots_are_not_turned_into_pandas_frames(spark, monkeypatch):
+    """A stream has many slots of few samples: a frame for each took most of the time."""
+    from pyspark.sql.pandas.group_ops import PandasCogroupedOps, PandasGroupedOpsMixin
+
+    def refuse(*_):
+        raise AssertionError("a pandas frame per slot")
+
+    for kind in (PandasCogroupedOps, PandasGroupedOpsMixin):
+        monkeypatch.setattr(kind, "applyInPandas", refuse)
+    d = spark.createDataFrame([("p", 8 * i, 0.3, 0.5, 1) for i in range(20)], "who string, t bigint, x double, y double, ok int")
+    assert [(r["start"], r["end"]) for r in W.fixations(d, ["who"], "t", "x", "y", "ok", 100, 0.04, 500).collect()] == [(0.0, 152.0)]
