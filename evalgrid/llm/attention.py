@@ -101,7 +101,7 @@ class Model:
     def folded(self) -> Model:
         """The same model for scoring, with queries, keys and values worked out for every input row."""
         w = self.weights
-        rows = {f"rows_{m}": w["emb"] @ w[f"w{m}"] for m in "qkv"}
+        rows = {"rows": w["emb"] @ _projections(w)}
         return Model(self.vocabulary, self.group, self.direct, self.cluster, self.within, w | rows)
 
     def with_clusters(self, counts: np.ndarray) -> None:
@@ -115,114 +115,209 @@ class Model:
 
 _BACK = np.maximum(np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :], 0)
 _AHEAD = np.triu(np.full((WINDOW, WINDOW), -1e4, np.float32), 1)
+_AT = np.eye(WINDOW, dtype=np.float32)[_BACK]
+_HEAD = WIDTH // HEADS
+_OF = np.repeat(np.eye(HEADS, dtype=np.float32), _HEAD, axis=0)  # which head a column belongs to
+_CELLS = np.arange((ROWS + SHARED + 1) * WIDTH).reshape(-1, WIDTH)  # where a row's embedding lies
+EARLY = WINDOW - STRIDE  # places that only a text's first window scores
 
 
-def attend(w: dict[str, np.ndarray], rows: np.ndarray):
-    """Attention output (windows, places, WIDTH) and what the gradients need. Scores are shifted by the
-    greatest of their row before exp; a column of ones beside the values sums them up."""
-    n, dk = len(rows), WIDTH // HEADS
-    e = None if "rows_q" in w else w["emb"][rows].reshape(-1, WIDTH)
-    split = lambda x: x.reshape(n, WINDOW, HEADS, dk).transpose(0, 2, 1, 3)
-    if "rows_q" in w:
-        flat = rows.ravel()
-        q, k, values = (split(w[m][flat]) for m in ("rows_q", "rows_k", "rows_v"))
-    else:
-        q, k, values = (split(e @ w[m]) for m in ("wq", "wk", "wv"))
-    v = np.ones((n, HEADS, WINDOW, dk + 1), np.float32)
-    v[..., :dk] = values
-    s = np.matmul(q, k.transpose(0, 1, 3, 2))
-    s += w["rel"][:, _BACK] + _AHEAD
-    s -= s.max(axis=-1, keepdims=True)
-    np.exp(s, out=s)
-    o = np.matmul(s, v)
-    total = o[..., dk:]
-    o = (o[..., :dk] / total).transpose(0, 2, 1, 3).reshape(n, WINDOW, WIDTH)
-    return o, (e, q, k, v[..., :dk], s, total)
+def _projections(w: dict[str, np.ndarray]) -> np.ndarray:
+    return np.concatenate([w["wq"], w["wk"], w["wv"]], axis=1)
+
+
+def _heads(x: np.ndarray) -> np.ndarray:
+    """A view of (windows, places, WIDTH) as (windows, heads, places, columns of a head)."""
+    return x.reshape(*x.shape[:2], HEADS, _HEAD).transpose(0, 2, 1, 3)
+
 
+def _row_max(s: np.ndarray) -> np.ndarray:
+    """max(axis=-1, keepdims=True), halving the rows: quick where they are short."""
+    while (k := s.shape[-1]) > 1:
+        s = np.maximum(s[..., : (k + 1) // 2], s[..., k // 2 :])
+    return s
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z = np.exp(z - z.max(axis=1, keepdims=True))
-    return z / z.sum(axis=1, keepdims=True)
+
+def attend(w: dict[str, np.ndarray], rows: np.ndarray, lo: int = 0):
+    """Attention output (windows, places from lo on, WIDTH) and what the gradients need. A column of ones
+    beside the values sums the weights up. Only where scores are far from zero, they are shifted by the
+    greatest of their row before exp."""
+    n, size = rows.shape
+    flat, e = rows.ravel(), None
+    if "rows" in w:
+        qkv = w["rows"].take(flat, axis=0)
+    else:
+        e = w["emb"].take(flat, axis=0)
+        qkv = e @ _projections(w)
+    qkv = qkv.reshape(n, size, 3 * WIDTH)
+    q, k = _heads(qkv[:, lo:, :WIDTH]), _heads(qkv[:, :, WIDTH : 2 * WIDTH])
+    v = np.ones((n, HEADS, size, _HEAD + 1), qkv.dtype)
+    v[..., :_HEAD] = _heads(qkv[:, :, 2 * WIDTH :])
+    across = np.ascontiguousarray(k.transpose(0, 1, 3, 2))
+    bias = w["rel"].take(_BACK[lo:size, :size], axis=1) + _AHEAD[lo:size, :size]
+    for least in (1e-15, 0):  # with a shift, no sum is below 1
+        s = np.matmul(q, across)
+        s += bias
+        if least == 0 or s.max(initial=0) > 40:
+            s -= _row_max(s)
+        o = np.matmul(np.exp(s, out=s), v)
+        total = o[..., _HEAD:]
+        if total.min(initial=1) > least:
+            break
+    out = np.empty((n, size - lo, WIDTH), qkv.dtype)
+    np.divide(o[..., :_HEAD], total, out=_heads(out))
+    return out, (e, q, k, v, s, total)
+
+
+def _attend_back(w: dict[str, np.ndarray], rows: np.ndarray, lo: int, out: np.ndarray, do: np.ndarray, kept: tuple, g: dict[str, np.ndarray]) -> None:
+    """Adds to g what the gradient `do` of attend's output gives."""
+    e, q, k, v, s, total = kept
+    n, size = rows.shape
+    # with a = s / total: ds = a * (do . v - do . out), where both come from one product with v's ones
+    d = np.empty((n, HEADS, size - lo, _HEAD + 1), v.dtype)
+    d[..., :_HEAD] = _heads(do)
+    d[..., _HEAD] = ((do * out).reshape(-1, WIDTH) @ -_OF).reshape(n, -1, HEADS).transpose(0, 2, 1)
+    d /= total
+    dqkv = np.empty((n, size, 3 * WIDTH), v.dtype)
+    dqkv[:, :lo, :WIDTH] = 0
+    dq, dk, dv = (_heads(dqkv[:, :, i * WIDTH : (i + 1) * WIDTH]) for i in range(3))
+    ahead = s.transpose(0, 1, 3, 2)
+    np.matmul(ahead, d[..., :_HEAD], out=dv)
+    s *= np.matmul(d, np.ascontiguousarray(v.transpose(0, 1, 3, 2)))
+    np.matmul(s, k, out=dq[:, :, lo:])
+    np.matmul(ahead, q, out=dk)
+    g["rel"] += s.sum(axis=0).reshape(HEADS, -1) @ _AT[lo:size, :size].reshape(-1, WINDOW)
+    dw = np.matmul(e.reshape(n, size, WIDTH).transpose(0, 2, 1), dqkv).sum(axis=0)
+    for i, name in enumerate(("wq", "wk", "wv")):
+        g[name] += dw[:, i * WIDTH : (i + 1) * WIDTH]
+    de = dqkv.reshape(-1, 3 * WIDTH) @ _projections(w).T
+    np.add.at(g["emb"].reshape(-1), _CELLS.take(rows.ravel(), axis=0).ravel(), de.ravel())
+
+
+def _parts(places: np.ndarray) -> list[tuple[np.ndarray | slice, int, int]]:
+    """What must be attended to: (windows, first place that looks, end of the places looked at). Places that only
+    first windows score are left to them."""
+    early = np.flatnonzero(places[:, :EARLY].any(axis=1))
+    return [(slice(None), EARLY, WINDOW)] + ([(early, 0, EARLY)] if len(early) else [])
 
 
-def _share(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The target's part of a softmax whose logits need no shift: smoothed log shares and a little."""
-    e = np.exp(np.minimum(z, 60.0, out=z), out=z)
-    return e[np.arange(len(e)), target] / e.sum(axis=1)
+@dataclass
+class _Scored:
+    """The scored places in order of their target's group, and their softmaxes' logits."""
 
+    order: np.ndarray  # of the targets
+    at: np.ndarray  # place in the windows laid end to end
+    groups: list[tuple[int, int, int]]  # group, and where its targets begin and end
+    own: np.ndarray  # where the targets stand in the logits laid end to end: groups, then classes
+    base: np.ndarray  # (2 * targets, classes): direct logits
 
-def _by_group(target: np.ndarray):
-    """(group, positions of the targets in it) for the groups that occur."""
-    group = (target // IN_GROUP).astype(np.int16)  # 16 bits are sorted by counting
-    order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    return [(g, order[ends[g] : ends[g + 1]]) for g in range(GROUPS) if ends[g] < ends[g + 1]]
+    @classmethod
+    def of(cls, model: Model, rows: np.ndarray, places: np.ndarray, target: np.ndarray) -> _Scored:
+        group = (target // IN_GROUP).astype(np.int16)  # 16 bits are sorted by counting
+        order = np.argsort(group, kind="stable")
+        group, at, m = group[order], np.flatnonzero(places)[order], len(order)
+        ends = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        now, group = rows.ravel()[at], group.astype(np.int64)
+        base = np.empty((2 * m, GROUPS), model.group.dtype)
+        base[:m] = model.group.take(now, axis=0)
+        base[m:] = model.direct.reshape(-1, IN_GROUP).take(group * len(model.group) + now, axis=0)
+        own = np.arange(0, 2 * m * GROUPS, GROUPS)
+        own[:m] += group
+        own[m:] += target[order] % IN_GROUP
+        return cls(order, at, [(g, ends[g], ends[g + 1]) for g in range(GROUPS) if ends[g] < ends[g + 1]], own, base)
+
+    def softmaxes(self, w: dict[str, np.ndarray], o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """exp of the logits and its sums. Shifted as in attend."""
+        m = len(o)
+        z = self.base.astype(o.dtype)
+        z[:m] += o @ w["w1"]
+        for g, a, b in self.groups:
+            z[m + a : m + b] += o[a:b] @ w["w2"][g]
+        for least in (1e-15, 0):
+            x = np.exp(z - _row_max(z) if least == 0 or z.max(initial=0) > 40 else z)
+            total = x @ np.ones(GROUPS, x.dtype)
+            if total.min(initial=1) > least:
+                break
+        return x, total
 
 
 def class_log10(model: Model, rows: np.ndarray, places: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log10 probability of the target class at the chosen (boolean) places, in their order: of its
     group, and of the class within the group."""
-    w = model.weights
-    o, now = attend(w, rows)[0][places], rows[places]
-    p = _share(model.group[now] + o @ w["w1"], target // IN_GROUP)
-    for g, at in _by_group(target):
-        p[at] *= _share(model.direct[g][now[at]] + o[at] @ w["w2"][g], target[at] % IN_GROUP)
+    w, (n, size) = model.weights, rows.shape
+    out = np.empty((n, size, WIDTH), w["emb"].dtype)
+    for at, lo, upto in _parts(places):
+        out[at, lo:upto] = attend(w, rows[at, :upto], lo)[0]
+    scored, m = _Scored.of(model, rows, places, target), len(target)
+    x, total = scored.softmaxes(w, out.reshape(-1, WIDTH).take(scored.at, axis=0))
+    share = x.reshape(-1).take(scored.own) / total
+    p = np.empty(m, x.dtype)
+    p[scored.order] = share[:m] * share[m:]
     return np.log10(np.maximum(p, np.float32(1e-30)))
 
 
-def gradients(model: Model, rows: np.ndarray, places: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradient of the mean log-likelihood of the classes at the chosen places."""
-    w, n, dk = model.weights, len(rows), WIDTH // HEADS
-    out, (e, q, k, v, s, total) = attend(w, rows)
-    o, now, scale = out[places], rows[places], np.float32(-1 / max(1, len(target)))
-    p = _softmax(model.group[now] + o @ w["w1"])
-    p[np.arange(len(p)), target // IN_GROUP] -= 1
-    p *= scale
-    g = {"w1": o.T @ p, "w2": np.zeros_like(w["w2"])}
-    back = p @ w["w1"].T
-    for b, at in _by_group(target):
-        p = _softmax(model.direct[b][now[at]] + o[at] @ w["w2"][b])
-        p[np.arange(len(at)), target[at] % IN_GROUP] -= 1
-        p *= scale
-        g["w2"][b] = o[at].T @ p
-        back[at] += p @ w["w2"][b].T
+def gradients(model: Model, rows: np.ndarray, places: np.ndarray, target: np.ndarray, into: dict[str, np.ndarray] | None = None) -> dict[str, np.ndarray]:
+    """Gradient of the mean log-likelihood of the classes at the chosen places; added to `into`."""
+    w, (n, size) = model.weights, rows.shape
+    g = {k: np.zeros_like(w[k]) for k in LEARNED} if into is None else into
+    out, parts = np.empty((n, size, WIDTH), w["emb"].dtype), []
+    for at, lo, upto in _parts(places):
+        got, kept = attend(w, rows[at, :upto], lo)
+        out[at, lo:upto] = got
+        parts.append((at, lo, upto, got, kept))
+    scored, m = _Scored.of(model, rows, places, target), len(target)
+    o, scale = out.reshape(-1, WIDTH).take(scored.at, axis=0), w["emb"].dtype.type(1 / max(1, m))
+    p, total = scored.softmaxes(w, o)
+    p *= (-scale / total)[:, None]
+    p.reshape(-1)[scored.own] += scale
+    g["w1"] += o.T @ p[:m]
+    back = p[:m] @ w["w1"].T
+    for b, at, end in scored.groups:
+        g["w2"][b] += o[at:end].T @ p[m + at : m + end]
+        back[at:end] += p[m + at : m + end] @ w["w2"][b].T
     do = np.zeros_like(out)
-    do[places] = back
-    do = do.reshape(n, WINDOW, HEADS, dk).transpose(0, 2, 1, 3)
-    a = s / total
-    dv = a.transpose(0, 1, 3, 2) @ do
-    ds = do @ v.transpose(0, 1, 3, 2)
-    ds = a * (ds - (ds * a).sum(axis=-1, keepdims=True))
-    g["rel"] = np.stack([np.bincount(_BACK.ravel(), t.ravel(), minlength=WINDOW) for t in ds.sum(axis=0)]).astype(np.float32)
-    join = lambda x: x.transpose(0, 2, 1, 3).reshape(-1, WIDTH)
-    de = np.zeros_like(e)
-    for name, d in (("wq", join(ds @ k)), ("wk", join(ds.transpose(0, 1, 3, 2) @ q)), ("wv", join(dv))):
-        g[name] = e.T @ d
-        de += d @ w[name].T
-    g["emb"] = np.zeros_like(w["emb"])
-    np.add.at(g["emb"], rows.ravel(), de)
+    do.reshape(-1, WIDTH)[scored.at] = back
+    for at, lo, upto, got, kept in parts:
+        _attend_back(w, rows[at, :upto], lo, got, do[at, lo:upto], kept, g)
     return g
 
 
 class Trainer:
-    """Adam on a model's learned weights, in place."""
+    """Adam on a model's learned weights, which it holds in a row."""
 
     def __init__(self, model: Model, rate: float, seed: int = 0):
-        self.model, self.rate, self.rng = model, np.float32(rate), np.random.default_rng(seed)
-        self.m, self.v, self.step = {}, {}, 0
+        self.model, self.rate, self.rng, self.step = model, rate, np.random.default_rng(seed), 0
+        self.flat = np.concatenate([model.weights[k].ravel() for k in LEARNED])
+        self.g, self.m, self.v, self.a, self.b = (np.zeros_like(self.flat) for _ in range(5))
+        self.parts, at = {}, 0
+        for k in LEARNED:
+            shape, size = model.weights[k].shape, model.weights[k].size
+            self.parts[k] = self.g[at : at + size].reshape(shape)
+            model.weights[k] = self.flat[at : at + size].reshape(shape)
+            at += size
 
     def run(self, rows: np.ndarray, places: np.ndarray, target: np.ndarray, batch: int = 128) -> None:
         """One pass over the windows. target: the class at every place, read where places holds."""
         order = self.rng.permutation(len(rows))
         for at in range(0, len(order), batch):
             b = np.sort(order[at : at + batch])
-            g = gradients(self.model, rows[b], places[b], target[b][places[b]])
-            self.step += 1
-            for name in LEARNED:
-                self.m[name] = 0.9 * self.m.get(name, 0) + 0.1 * g[name]
-                self.v[name] = 0.99 * self.v.get(name, 0) + 0.01 * g[name] ** 2
-                change = (self.m[name] / (1 - 0.9**self.step)) / (np.sqrt(self.v[name] / (1 - 0.99**self.step)) + 1e-6)
-                self.model.weights[name] = self.model.weights[name] + self.rate * change.astype(np.float32)
+            chosen = places[b]
+            self.g.fill(0)
+            gradients(self.model, rows[b], chosen, target[b][chosen], self.parts)
+            self._adam()
+
+    def _adam(self) -> None:
+        self.step += 1
+        g, m, v, a, b = self.g, self.m, self.v, self.a, self.b
+        m *= 0.9  # m and v are sums, 10 and 100 times the running means
+        m += g
+        v *= 0.99
+        v += np.multiply(g, g, out=a)
+        level = (1 - 0.99**self.step) ** 0.5
+        np.sqrt(v, out=a)
+        a += 1e-5 * level
+        np.multiply(m, float(self.rate) * level / (1 - 0.9**self.step), out=b)
+        self.flat += np.divide(b, a, out=b)
 
 
 def windows(rows: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

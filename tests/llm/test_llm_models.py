@@ -215,6 +215,53 @@ def test_attention_holds_at_large_scores():
     assert np.isfinite(out).all()
 
 
+@pytest.mark.parametrize("times", [1.0, 30.0, -1e4])
+def test_attention_equals_a_plain_softmax_from_any_place_on(times):
+    model, rng = small_model(), np.random.default_rng(9)
+    w = model.weights | {"wq": model.weights["wq"] * np.float32(times)}
+    rows, dk = rng.integers(0, 40, (3, A.WINDOW)), A.WIDTH // A.HEADS
+    want = np.zeros((3, A.WINDOW, A.WIDTH))
+    for i, e in enumerate(w["emb"][rows].astype(float)):
+        for h in range(A.HEADS):
+            own = slice(h * dk, (h + 1) * dk)
+            q, k, v = (e @ w[m][:, own].astype(float) for m in ("wq", "wk", "wv"))
+            for t in range(A.WINDOW):
+                z = k[: t + 1] @ q[t] + w["rel"][h, t::-1]
+                a = np.exp(z - z.max())
+                want[i, t, own] = a @ v[: t + 1] / a.sum()
+    tolerance = 1e-3 if abs(times) < 100 else 0.5
+    assert np.allclose(A.attend(w, rows)[0], want, atol=tolerance)
+    assert np.allclose(A.attend(w, rows, A.EARLY)[0], want[:, A.EARLY :], atol=tolerance)
+    assert np.allclose(A.attend(w, rows[:, : A.EARLY])[0], want[:, : A.EARLY], atol=tolerance)
+
+
+def test_attention_is_worked_out_from_scoring_places_only(monkeypatch):
+    model, plain, cells = small_model(), A.attend, []
+    x, index, own = A.windows(np.arange(400) % 40, np.array([300, 100]), model.vocabulary.start)
+    monkeypatch.setattr(A, "attend", lambda w, rows, lo=0: cells.append(rows.size * (rows.shape[1] - lo)) or plain(w, rows, lo))
+    y = (index % A.CLASSES)[own]
+    A.gradients(model, x, own, y)
+    assert sum(cells) < 0.8 * x.size * A.WINDOW
+    one = [A.class_log10(model, x[i : i + 1], own[i : i + 1], (index[i] % A.CLASSES)[own[i]]) for i in range(len(x))]
+    assert np.allclose(A.class_log10(model, x, own, y), np.concatenate(one), atol=1e-4)
+
+
+def test_training_steps_are_those_of_adam():
+    model, rng = small_model(), np.random.default_rng(10)
+    plain = A.Model(model.vocabulary, model.group, model.direct, model.cluster, model.within, dict(model.weights))
+    rows, places = rng.integers(0, 40, (4, A.WINDOW)), np.ones((4, A.WINDOW), bool)
+    y = rng.integers(0, A.CLASSES, rows.shape)
+    trainer, m, v = A.Trainer(model, 0.01), {}, {}
+    for step in range(1, 4):
+        g = A.gradients(plain, rows, places, y[places])
+        for k in A.LEARNED:
+            m[k] = 0.9 * m.get(k, 0) + 0.1 * g[k]
+            v[k] = 0.99 * v.get(k, 0) + 0.01 * g[k] ** 2
+            plain.weights[k] = plain.weights[k] + np.float32(0.01) * (m[k] / (1 - 0.9**step) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-6))
+        trainer.run(rows, places, y)
+        assert all(np.allclose(model.weights[k], plain.weights[k], atol=2e-3) for k in A.LEARNED)
+
+
 def test_language_model_base_by_count_and_score_beats_it(spark):
     docs = many_docs(spark, 700).union(awkward_docs(spark))
     rows = docs.collect()
