@@ -32,6 +32,7 @@ from evalgrid.session import cut_lineage
 FREQUENT, LONGEST = 1 << 18, 64  # words that every task holds, and the bytes of the longest of them
 ROUNDS = [0.01, 0.004]  # learning rate of each round
 TASK_WINDOWS = 4096  # windows that a training task should have at least, where there are as many
+SLICE = 2 << 20  # bytes of text that a task cuts into words at a time
 END = 50256
 SIZE = 50257  # ids of the vocabulary
 
@@ -43,7 +44,7 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, 0):
+        for part in slices(batch, 0, SLICE):
             seen = pc.value_counts(_words(part.column(0))[0])
             yield pa.RecordBatch.from_arrays([seen.field("values"), seen.field("counts")], ["word", "n"])
     pa.default_memory_pool().release_unused()  # the worker lives on into later stages
@@ -77,7 +78,7 @@ def tokenised(docs: DataFrame, tokenizer: str, words: pa.Array, n: np.ndarray) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, made = word_ids(tokenizer, " "), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, SLICE):
                 flat, ends = _words(part.column(2))
                 coded = flat.dictionary_encode()
                 at = pc.index_in(coded.dictionary, words).fill_null(-1).to_numpy()[coded.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
@@ -99,15 +100,14 @@ def tokenised(docs: DataFrame, tokenizer: str, words: pa.Array, n: np.ndarray) -
 
 def _texts(batch: pa.RecordBatch, column: int, most: int = 400_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of a batch's rows with about `most` ids: first row, end row, ids in a row, ids per text."""
-    raw = batch.column(column).to_pylist()
+    raw = batch.column(column).cast(pa.binary())
+    ends = np.r_[0, np.cumsum(pc.binary_length(raw).to_numpy().astype(np.int64) // 2)]
+    first = int(np.frombuffer(raw.buffers()[1], np.int32)[raw.offset]) if ends[-1] else 0
+    all_ids = np.frombuffer(raw.buffers()[2] if ends[-1] else b"", "<u2", int(ends[-1]), first)  # no copy
     at = 0
     while at < len(raw):
-        upto, n = at, 0
-        while upto < len(raw) and (upto == at or n + len(raw[upto]) // 2 <= most):
-            n += len(raw[upto]) // 2
-            upto += 1
-        part = raw[at:upto]
-        yield at, upto, np.frombuffer(b"".join(part), "<u2").astype(np.int64), np.array([len(x) // 2 for x in part], np.int64)
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] + most, "right")) - 1)
+        yield at, upto, all_ids[ends[at] : ends[upto]].astype(np.int64), np.diff(ends[at : upto + 1])
         at = upto
 
 
@@ -125,6 +125,7 @@ def _histogram(train: DataFrame, size: int, keys) -> np.ndarray:
                     n += np.bincount(k, minlength=size)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["k", "n"])
+        pa.default_memory_pool().release_unused()
 
     got = train.select("ids").mapInArrow(run, "k bigint, n bigint").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
@@ -174,6 +175,7 @@ def average_round(texts: DataFrame, model: A.Model, rate: float, number: int) ->
         flat = np.concatenate([own.weights[k].ravel() for k in A.LEARNED]).astype(np.float64) * seen
         flat = np.r_[seen, flat] if seen else np.zeros(0)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], ["place", "value"])
+        pa.default_memory_pool().release_unused()
 
     got = texts.mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value")).toArrow()
     if not got.num_rows:
@@ -222,6 +224,7 @@ def score(docs: DataFrame, held_out: Column, tokenizer: str, frequent: int = FRE
             got = [_text_scores(model, ids, sizes) for _, _, ids, sizes in _texts(batch, 6)]
             score = pa.array(np.concatenate([np.zeros(0), *got]))
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], score], [*batch.schema.names[:6], "score"])
+        pa.default_memory_pool().release_unused()
 
     narrow = "row bigint, doc_id bigint, held_out boolean, n_words bigint, known bigint, logs double"
     scored = tokens.select("row", "doc_id", "held_out", "n_words", "known", "logs", "ids").mapInArrow(run, narrow + ", score double")

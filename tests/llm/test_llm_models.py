@@ -8,6 +8,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -246,6 +247,18 @@ def test_attention_is_worked_out_from_scoring_places_only(monkeypatch):
     assert np.allclose(A.class_log10(model, x, own, y), np.concatenate(one), atol=1e-4)
 
 
+def test_runs_of_texts_are_read_from_a_batch_in_place():
+    sizes = [3, 0, 5, 9, 0, 2, 40, 1]
+    texts = [np.arange(n) + 100 * i for i, n in enumerate(sizes)]
+    whole = pa.RecordBatch.from_arrays([pa.array([x.astype("<u2").tobytes() for x in texts], pa.binary())], ["ids"])
+    for a, n in [(0, 8), (2, 5), (4, 1), (1, 1), (8, 0)]:
+        got = list(lm._texts(whole.slice(a, n), 0, most=10))
+        assert [i for at, upto, _, _ in got for i in range(at, upto)] == list(range(n))
+        assert all(sum(own) <= 10 or len(own) == 1 for _, _, _, own in got)
+        assert [x for *_, own in got for x in own] == sizes[a : a + n]
+        assert [int(x) for _, _, ids, _ in got for x in ids] == [int(x) for t in texts[a : a + n] for x in t]
+
+
 def test_training_steps_are_those_of_adam():
     model, rng = small_model(), np.random.default_rng(10)
     plain = A.Model(model.vocabulary, model.group, model.direct, model.cluster, model.within, dict(model.weights))
